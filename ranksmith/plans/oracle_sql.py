@@ -97,3 +97,132 @@ def bm25_search_sql(k: int = 15) -> str:
 
 def tfidf_search_sql(k: int = 15) -> str:
     return f"WITH {corpus_cte()}, {questions_cte()}{tfidf_ctes()}\n" + topk_sql(all_pairs("cs"), k)
+
+
+def mention_sql(qexpr: str = "q.question", name: str = "d.name") -> str:
+    return (f"(contains(lower({qexpr}), lower({name})) OR "
+            f"contains(lower({qexpr}), replace(lower({name}), '_', ' ')))")
+
+
+def hybrid_ctes(alpha: float = 0.5, forced: bool = True) -> str:
+    """``hyb`` (query_id, item_id, ordinal, name, text, question, score)
+    over q x docs; requires the bm25 and tfidf CTEs."""
+    force = f"WHEN {mention_sql()} THEN 2.0 " if forced else "WHEN false THEN 0.0 "
+    return f""",
+ball AS ({all_pairs('bm')}),
+bst AS (SELECT query_id, min(score) AS mn, max(score) AS mx FROM ball GROUP BY query_id),
+hyb AS (SELECT q.query_id, d.item_id, d.ordinal, d.name, d.text, q.question,
+          CASE {force}ELSE {alpha} * coalesce(cs.score, 0.0) + {1 - alpha} *
+            ((coalesce(bm.score, 0.0) - bst.mn) / CASE WHEN bst.mx <> bst.mn THEN bst.mx - bst.mn ELSE 1.0 END) END AS score
+        FROM q CROSS JOIN docs d
+        LEFT JOIN bm ON bm.query_id = q.query_id AND bm.item_id = d.item_id
+        LEFT JOIN cs ON cs.query_id = q.query_id AND cs.item_id = d.item_id
+        JOIN bst ON bst.query_id = q.query_id)"""
+
+
+def ranked_cte(name: str, src: str, k: int) -> str:
+    return (f", {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id "
+            f"ORDER BY round(score, 9) DESC, ordinal) AS rk FROM {src}) WHERE rk <= {k})")
+
+
+def retrieve_offline_sql(k: int = 5, pool: int = 55) -> str:
+    ws_q = f"list_distinct({ws_tokens('question')})"
+    ws_d = f"list_distinct({ws_tokens('text')})"
+    return f"""WITH {corpus_cte()}, {questions_cte()}{bm25_ctes()}{tfidf_ctes()}{hybrid_ctes()}
+{ranked_cte('pool', 'hyb', pool)},
+rr0 AS (SELECT query_id, item_id, ordinal, score
+          + CASE WHEN contains(lower(question), replace(lower(name), '_', ' ')) THEN 0.2 ELSE 0.0 END
+          + least(len(list_intersect({ws_q}, {ws_d})), 5) * 0.01 AS score FROM pool)
+{ranked_cte('top', 'rr0', k)},
+forced AS (SELECT q.query_id, d.item_id, row_number() OVER (PARTITION BY q.query_id ORDER BY d.ordinal) AS fpos
+           FROM q CROSS JOIN docs d WHERE {mention_sql()}),
+fin AS (SELECT coalesce(t.query_id, f.query_id) AS query_id, coalesce(t.item_id, f.item_id) AS item_id,
+          CASE WHEN f.fpos IS NOT NULL THEN coalesce(t.score, 1.0) + 1.0 ELSE t.score END AS score,
+          CASE WHEN f.fpos IS NOT NULL THEN f.fpos ELSE 1000000000 + t.rk END AS key
+        FROM top t FULL JOIN forced f ON t.query_id = f.query_id AND t.item_id = f.item_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY key, item_id) AS rank FROM fin),
+r5 AS (SELECT query_id, item_id, rank, round(score, 4) AS score FROM rk WHERE rank <= {k})
+SELECT r5.query_id, r5.rank, r5.item_id, d.name, r5.score,
+       round(avg(r5.score) OVER (PARTITION BY r5.query_id), 4) AS confidence,
+       CASE WHEN {mention_sql()} THEN 'Question directly mentions ''' || d.name || ''''
+            ELSE 'Semantically relevant to the query (score=' || CAST(r5.score AS VARCHAR) || ')' END AS reason
+FROM r5 JOIN docs d ON d.item_id = r5.item_id JOIN q ON q.query_id = r5.query_id"""
+
+
+def gold_cte() -> str:
+    return (", gold AS (SELECT DISTINCT b.item_id AS query_id, d.doc_id AS item_id FROM benchmark b "
+            "JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) > 0)")
+
+
+def containment_gold_sql() -> str:
+    return ("SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d "
+            "ON contains(d.text, b.text) WHERE length(b.text) > 0")
+
+
+def bm25_top_cte(k: int) -> str:
+    return f"{bm25_ctes()}, ballp AS ({all_pairs('bm')}){ranked_cte('bt', 'ballp', k)}"
+
+
+def recall_at_k_sql() -> str:
+    return f"""WITH {corpus_cte()}, {questions_cte()}{bm25_top_cte(10)}{gold_cte()},
+j AS (SELECT g.query_id, g.item_id, bt.rk FROM gold g LEFT JOIN bt ON bt.query_id = g.query_id AND bt.item_id = g.item_id),
+pq AS (SELECT query_id, count(*) AS n, sum(CASE WHEN rk <= 5 THEN 1 ELSE 0 END) AS h5,
+              sum(CASE WHEN rk <= 10 THEN 1 ELSE 0 END) AS h10 FROM j GROUP BY query_id)
+SELECT 5 AS k, avg(h5 / n) AS recall, count(*) AS n_queries FROM pq
+UNION ALL SELECT 10 AS k, avg(h10 / n) AS recall, count(*) AS n_queries FROM pq"""
+
+
+def per_query_report_sql(k: int = 5) -> str:
+    return f"""WITH {corpus_cte()}, {questions_cte()}{bm25_top_cte(k)}{gold_cte()},
+g AS (SELECT query_id, list_sort(list(item_id)) AS gold_items FROM gold GROUP BY query_id),
+r AS (SELECT query_id, list_sort(list(item_id)) AS retrieved_items FROM bt GROUP BY query_id),
+j AS (SELECT g.query_id, g.gold_items, coalesce(r.retrieved_items, []::BIGINT[]) AS retrieved_items FROM g LEFT JOIN r USING (query_id))
+SELECT query_id, gold_items, retrieved_items, list_sort(list_intersect(gold_items, retrieved_items)) AS matched,
+       len(list_intersect(gold_items, retrieved_items)) / len(gold_items) AS recall FROM j"""
+
+
+def worst_queries_sql(k: int = 5, n: int = 10) -> str:
+    return (f"SELECT query_id, recall FROM ({per_query_report_sql(k)}) ORDER BY recall, query_id LIMIT {n}")
+
+
+def pool_cte(pool: int = 25) -> str:
+    return (f"{bm25_ctes()}{tfidf_ctes()}{hybrid_ctes(forced=False)}{ranked_cte('pl', 'hyb', pool)}{gold_cte()}, "
+            "lab AS (SELECT pl.query_id AS group_id, pl.item_id, pl.score, "
+            "CASE WHEN g.item_id IS NULL THEN 0 ELSE 1 END AS label FROM pl LEFT JOIN gold g "
+            "ON g.query_id = pl.query_id AND g.item_id = pl.item_id)")
+
+
+def pool_metrics_sql(pool: int = 25) -> str:
+    return f"""WITH {corpus_cte()}, {questions_cte()}{pool_cte(pool)},
+r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY round(score, 9) DESC, item_id) AS pos FROM lab),
+per AS (SELECT group_id, sum(label) AS npos,
+          sum(CASE WHEN pos <= 5 THEN label ELSE 0 END) AS h5, sum(CASE WHEN pos <= 10 THEN label ELSE 0 END) AS h10,
+          sum(CASE WHEN pos <= 5 THEN (pow(2, label) - 1) / log2(pos + 1) ELSE 0 END) AS d5,
+          sum(CASE WHEN pos <= 10 THEN (pow(2, label) - 1) / log2(pos + 1) ELSE 0 END) AS d10
+        FROM r GROUP BY group_id HAVING sum(label) > 0),
+idl AS (SELECT group_id, h5, h10, d5, d10, npos,
+          (SELECT sum(1 / log2(i + 1)) FROM range(1, least(npos::BIGINT, 5) + 1) t(i)) AS i5,
+          (SELECT sum(1 / log2(i + 1)) FROM range(1, least(npos::BIGINT, 10) + 1) t(i)) AS i10 FROM per)
+SELECT avg(h5 / npos) AS recall_at_5, avg(CASE WHEN i5 > 0 THEN d5 / i5 ELSE 0 END) AS ndcg_at_5,
+       avg(h10 / npos) AS recall_at_10, avg(CASE WHEN i10 > 0 THEN d10 / i10 ELSE 0 END) AS ndcg_at_10,
+       count(*) AS n_groups FROM idl"""
+
+
+def binary_metrics_sql(pool: int = 25) -> str:
+    return f"""WITH {corpus_cte()}, {questions_cte()}{pool_cte(pool)},
+c AS (SELECT count(*) AS n, sum(CASE WHEN score >= 0.5 AND label = 1 THEN 1 ELSE 0 END) AS tp,
+        sum(CASE WHEN score >= 0.5 AND label = 0 THEN 1 ELSE 0 END) AS fp,
+        sum(CASE WHEN score < 0.5 AND label = 1 THEN 1 ELSE 0 END) AS fn,
+        sum(CASE WHEN (score >= 0.5) = (label = 1) THEN 1 ELSE 0 END) AS ok FROM lab),
+m AS (SELECT n, ok, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p, coalesce(tp / nullif(tp + fn, 0), 0.0) AS r FROM c)
+SELECT coalesce(ok / nullif(n, 0), 0.0) AS accuracy, p AS precision, r AS recall,
+       CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM m"""
+
+
+def auc_roc_sql(pool: int = 25) -> str:
+    return f"""WITH {corpus_cte()}, {questions_cte()}{pool_cte(pool)},
+pos AS (SELECT score FROM lab WHERE label = 1), neg AS (SELECT score FROM lab WHERE label <> 1),
+u AS (SELECT sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END) AS u
+      FROM pos p CROSS JOIN neg n)
+SELECT CASE WHEN (SELECT count(*) FROM pos) > 0 AND (SELECT count(*) FROM neg) > 0
+            THEN (SELECT u FROM u) / ((SELECT count(*) FROM pos) * (SELECT count(*) FROM neg)) ELSE 0.0 END AS auc_roc"""

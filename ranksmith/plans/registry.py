@@ -38,3 +38,91 @@ def q_tfidf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = tb.corpus_documents(spark, sf_dir)
     qs = tb.questions_benchmark(spark, sf_dir)
     return se.tfidf_search(ix.tfidf_index(corpus), qs, corpus, 15)
+
+
+# --- offline pipeline ----------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..operators import containment as ct  # noqa: E402
+from ..operators import evaluate as ev  # noqa: E402
+from . import retrieve as rt  # noqa: E402
+
+
+def _setup(spark: SparkSession, sf_dir: str):
+    corpus = tb.corpus_documents(spark, sf_dir)
+    return rt.Indexes(corpus), tb.questions_benchmark(spark, sf_dir)
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tb.table(spark, sf_dir, "documents", spread=True)
+    bench = tb.table(spark, sf_dir, "benchmark")
+    return ct.contains_pairs(docs, "doc_id", "text", bench, "item_id", "text")
+
+
+@register("retrieve_offline", osql.retrieve_offline_sql)
+def q_retrieve_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: hybrid candidates (55) -> lexical rerank -> pins -> top 5."""
+    idx, qs = _setup(spark, sf_dir)
+    return rt.retrieve_offline(idx, qs)
+
+
+@register("containment_gold", osql.containment_gold_sql)
+def q_containment_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold pairs: benchmark items whose text occurs verbatim in a document."""
+    return _gold(spark, sf_dir)
+
+
+def _bm25_top(spark, sf_dir, k):
+    idx, qs = _setup(spark, sf_dir)
+    return se.bm25_search(idx.bm25, qs, idx.corpus, k)
+
+
+def _gold_q(spark, sf_dir):
+    return _gold(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("item_id"))
+
+
+@register("recall_at_k", osql.recall_at_k_sql)
+def q_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """End-to-end Recall@5 / @10 of BM25 against the containment gold."""
+    return ev.recall_at_k(_bm25_top(spark, sf_dir, 10), _gold_q(spark, sf_dir), (5, 10))
+
+
+@register("per_query_report", osql.per_query_report_sql)
+def q_per_query_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per question: gold, retrieved (BM25 top 5), matched, recall."""
+    return ev.per_query_recall(_bm25_top(spark, sf_dir, 5), _gold_q(spark, sf_dir), 5)
+
+
+@register("worst_queries", osql.worst_queries_sql)
+def q_worst_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 questions with the lowest Recall@5 (a top-n report)."""
+    r = ev.per_query_recall(_bm25_top(spark, sf_dir, 5), _gold_q(spark, sf_dir), 5)
+    return r.select("query_id", "recall").orderBy("recall", "query_id").limit(10)
+
+
+def _labelled_pool(spark, sf_dir, pool=25):
+    idx, qs = _setup(spark, sf_dir)
+    p = rt.hybrid_pool(idx, qs, pool)
+    g = _gold_q(spark, sf_dir).withColumn("label", F.lit(1))
+    return (p.join(g, ["query_id", "item_id"], "left")
+            .select(F.col("query_id").alias("group_id"), "item_id", "score",
+                    F.coalesce("label", F.lit(0)).alias("label")))
+
+
+@register("ndcg_at_k", osql.pool_metrics_sql)
+def q_ndcg_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pool Recall@K and NDCG@K (K = 5, 10) of the hybrid top-25 pools."""
+    return ev.pool_metrics(_labelled_pool(spark, sf_dir), ks=(5, 10))
+
+
+@register("binary_metrics", osql.binary_metrics_sql)
+def q_binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy / precision / recall / F1 of hybrid score >= 0.5 vs gold."""
+    return ev.binary_metrics(_labelled_pool(spark, sf_dir))
+
+
+@register("auc_roc", osql.auc_roc_sql)
+def q_auc_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact tie-aware ROC AUC of the hybrid score vs gold labels."""
+    return ev.auc_roc(_labelled_pool(spark, sf_dir))
