@@ -126,3 +126,229 @@ def q_binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_auc_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact tie-aware ROC AUC of the hybrid score vs gold labels."""
     return ev.auc_roc(_labelled_pool(spark, sf_dir))
+
+
+# --- guarded aggregates and scalar functions ------------------------------
+
+from ..functions import scalars as sc  # noqa: E402
+from ..functions import text as tx  # noqa: E402
+from . import sqlshapes as sh  # noqa: E402
+
+
+@register("agg_variance", lambda: "SELECT o_custkey, round(CASE WHEN count(o_totalprice) = 1 THEN 0.0 "
+          "ELSE var_samp(o_totalprice / 1000.0) END, 6) AS variance, count(*) AS n FROM orders GROUP BY o_custkey")
+def q_agg_variance(spark, sf_dir):
+    """VARIANCE per customer of order prices (0.0 for a single order)."""
+    o = tb.table(spark, sf_dir, "orders")
+    return o.groupBy("o_custkey").agg(F.round(sc.agg_variance(F.col("o_totalprice") / 1000.0), 6).alias("variance"),
+                                      F.count(F.lit(1)).alias("n"))
+
+
+@register("agg_stddev", lambda: "SELECT l_partkey, CASE WHEN count(l_quantity) = 1 THEN 0.0 "
+          "ELSE round(stddev_samp(l_quantity), 9) END AS stddev, count(*) AS n FROM lineitem GROUP BY l_partkey")
+def q_agg_stddev(spark, sf_dir):
+    """STDDEV per part of line quantities (0.0 for a single line)."""
+    li = tb.table(spark, sf_dir, "lineitem")
+    return li.groupBy("l_partkey").agg(F.round(sc.agg_stddev("l_quantity"), 9).alias("stddev"),
+                                       F.count(F.lit(1)).alias("n"))
+
+
+@register("agg_var_pop", lambda: "SELECT user_id, round(var_pop(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) "
+          "AS var_pop FROM events GROUP BY user_id")
+def q_agg_var_pop(spark, sf_dir):
+    """VAR_POP per user of a number read from JSON text (text parsed)."""
+    e = tb.table(spark, sf_dir, "events")
+    return e.groupBy("user_id").agg(F.round(sc.agg_var_pop(F.get_json_object("props", "$.k")), 6).alias("var_pop"))
+
+
+@register("agg_stddev_pop", lambda: "SELECT event_type, round(stddev_pop(value), 9) AS stddev_pop, "
+          "stddev_pop(TRY_CAST(event_type AS DOUBLE)) AS stddev_pop_text FROM events GROUP BY event_type")
+def q_agg_stddev_pop(spark, sf_dir):
+    """STDDEV_POP per event type; non-numeric text gives null."""
+    e = tb.table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.round(sc.agg_stddev_pop("value"), 9).alias("stddev_pop"),
+                                       sc.agg_stddev_pop("event_type").alias("stddev_pop_text"))
+
+
+@register("fn_log", lambda: "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_discount > 0 THEN ln(l_discount) END, 9) AS log_discount, "
+          "round(CASE WHEN l_tax > 0 THEN ln(l_tax) END, 9) AS log_tax FROM lineitem")
+def q_fn_log(spark, sf_dir):
+    """LOG of discounts and taxes: null at zero."""
+    li = tb.table(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", F.round(sc.fn_log("l_discount"), 9).alias("log_discount"),
+                     F.round(sc.fn_log("l_tax"), 9).alias("log_tax"))
+
+
+@register("fn_exp", lambda: "SELECT l_orderkey, l_linenumber, round(exp(l_quantity / 10.0), 9) AS exp_qty, "
+          "(l_extendedprice / 100.0 >= 709.78) AS exp_overflows FROM lineitem")
+def q_fn_exp(spark, sf_dir):
+    """EXP of quantities and prices: null on overflow."""
+    li = tb.table(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", F.round(sc.fn_exp(F.col("l_quantity") / 10.0), 9).alias("exp_qty"),
+                     sc.fn_exp(F.col("l_extendedprice") / 100.0).isNull().alias("exp_overflows"))
+
+
+@register("fn_ascii", lambda: "SELECT c_custkey, CASE WHEN c_name <> '' THEN ascii(c_name) END AS a_name, "
+          "CASE WHEN c_mktsegment <> '' THEN ascii(c_mktsegment) END AS a_segment, "
+          "CASE WHEN c_acctbal <> 0 THEN ascii(CAST(c_acctbal AS VARCHAR)) END AS a_balance FROM customer")
+def q_fn_ascii(spark, sf_dir):
+    """ASCII of names, segments and balances (null for '' and 0)."""
+    c = tb.table(spark, sf_dir, "customer")
+    return c.select("c_custkey", sc.fn_ascii("c_name").alias("a_name"),
+                    sc.fn_ascii("c_mktsegment").alias("a_segment"),
+                    sc.fn_ascii("c_acctbal", numeric=True).alias("a_balance"))
+
+
+@register("sigmoid", lambda: "SELECT event_id, round(1.0 / (1.0 + exp(-(value - 50.0) / 10.0)), 9) AS sigmoid, "
+          "round(1.0 / (1.0 + exp(-((value / 10.0 - 3.0) + 2.5) / 1.2)), 4) AS calibrated FROM events")
+def q_sigmoid(spark, sf_dir):
+    """Logistic and calibrated logistic of event values."""
+    e = tb.table(spark, sf_dir, "events")
+    return e.select("event_id", F.round(sc.sigmoid((F.col("value") - 50.0) / 10.0), 9).alias("sigmoid"),
+                    sc.calibrated_score(F.col("value") / 10.0 - 3.0).alias("calibrated"))
+
+
+@register("finite_or_zero", lambda: "SELECT event_id, round(ln(CASE WHEN value * 20 > 709.78 THEN 0.0 "
+          "ELSE exp(value * 20) END + 1.0), 6) AS v FROM events")
+def q_finite_or_zero(spark, sf_dir):
+    """exp(20 x value) with overflowed (infinite) results set to 0."""
+    e = tb.table(spark, sf_dir, "events")
+    return e.select("event_id", F.round(F.ln(sc.finite_or_zero(F.exp(F.col("value") * 20)) + 1.0), 6).alias("v"))
+
+
+# --- text functions over whole conversation turns ------------------------
+
+def _conv(spark, sf_dir):
+    return tb.table(spark, sf_dir, "conversations", spread=True).withColumn(
+        "text", F.coalesce("text", F.lit("")))
+
+
+_CONV = "(SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)"
+
+
+@register("tok_ws", lambda: f"SELECT conv_id, turn, len({osql.ws_tokens('text')}) AS n_tokens, "
+          f"len(list_distinct({osql.ws_tokens('text')})) AS n_distinct FROM {_CONV}")
+def q_tok_ws(spark, sf_dir):
+    """Whitespace tokens (with repeats) and distinct tokens per turn."""
+    c = _conv(spark, sf_dir)
+    return c.select("conv_id", "turn", F.size(tx.tok_ws("text")).alias("n_tokens"),
+                    F.size(tx.ws_set("text")).alias("n_distinct"))
+
+
+@register("tok_word", lambda: f"SELECT conv_id, turn, len({osql.word_set('text')}) AS n_words FROM {_CONV}")
+def q_tok_word(spark, sf_dir):
+    """Distinct word tokens per turn."""
+    c = _conv(spark, sf_dir)
+    return c.select("conv_id", "turn", F.size(tx.tok_word("text")).alias("n_words"))
+
+
+def _plural_sql(x: str) -> str:
+    toks = (f"list_filter(list_transform({osql.ws_tokens(x)}, lambda t: "
+            r"regexp_replace(t, '^[\?,\.\(\)_]+|[\?,\.\(\)_]+$', '', 'g')), lambda t: t <> '')")
+    singles = (f"list_transform(list_filter({toks}, lambda t: length(t) > 4 AND suffix(t, 's')), "
+               "lambda t: substring(t, 1, length(t) - 1))")
+    return f"len(list_distinct(list_concat({toks}, {singles})))"
+
+
+@register("tok_clean_plural", lambda: f"SELECT conv_id, turn, {_plural_sql('text')} AS n_terms FROM {_CONV}")
+def q_tok_clean_plural(spark, sf_dir):
+    """Edge-stripped terms plus singular forms per turn."""
+    c = _conv(spark, sf_dir)
+    return c.select("conv_id", "turn", F.size(tx.tok_clean_plural("text")).alias("n_terms"))
+
+
+def _trigram_sql(x: str) -> str:
+    return (f"(CASE WHEN length({x}) < 3 THEN [{x}] ELSE list_distinct(list_transform("
+            f"range(1, length({x}) - 1), lambda i: substring({x}, i, 3))) END)")
+
+
+@register("char_3grams", lambda: f"SELECT conv_id, turn, len({_trigram_sql('lower(text)')}) AS n_trigrams FROM {_CONV}")
+def q_char_3grams(spark, sf_dir):
+    """Distinct character trigrams of each whole turn."""
+    c = _conv(spark, sf_dir)
+    return c.select("conv_id", "turn", F.size(tx.trigram_set("text")).alias("n_trigrams"))
+
+
+def _jac_sql(a: str, b: str) -> str:
+    return (f"CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN 0.0 ELSE "
+            f"len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END")
+
+
+@register("jaccard", lambda: (
+    f"SELECT a.conv_id, a.turn, round({_jac_sql(osql.word_set('a.text'), osql.word_set('b.text'))}, 9) AS jaccard_word, "
+    f"round({_jac_sql(_trigram_sql('lower(a.text)'), _trigram_sql('lower(b.text)'))}, 9) AS jaccard_char_3gram "
+    f"FROM {_CONV} a JOIN {_CONV} b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1"))
+def q_jaccard(spark, sf_dir):
+    """Word and trigram Jaccard between consecutive turns (equi join on
+    (conversation, turn + 1))."""
+    c = _conv(spark, sf_dir).select("conv_id", "turn", tx.tok_word("text").alias("w"),
+                                    tx.trigram_set("text").alias("g"))
+    n = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("w2"), F.col("g").alias("g2"))
+    j = c.join(n, ["conv_id", "turn"])
+    return j.select("conv_id", "turn", F.round(tx.jaccard(F.col("w"), F.col("w2")), 9).alias("jaccard_word"),
+                    F.round(tx.jaccard(F.col("g"), F.col("g2")), 9).alias("jaccard_char_3gram"))
+
+
+def _hits_sql(x: str, kws: list[str]) -> str:
+    return " + ".join(f"(CASE WHEN contains({x}, '{k}') THEN 1 ELSE 0 END)" for k in kws)
+
+
+@register("keyword_hits", lambda: (
+    f"SELECT conv_id, turn, {_hits_sql('lower(text)', tx.AGGREGATION_KEYWORDS)} AS agg_hits, "
+    f"{_hits_sql('lower(text)', tx.JOIN_KEYWORDS)} AS join_hits, "
+    f"{_hits_sql('lower(text)', tx.SUBQUERY_KEYWORDS)} AS subquery_hits FROM {_CONV}"))
+def q_keyword_hits(spark, sf_dir):
+    """How many phrases of each keyword set occur in each turn."""
+    c = _conv(spark, sf_dir)
+    ql = F.lower("text")
+    return c.select("conv_id", "turn", tx.keyword_hits(ql, tx.AGGREGATION_KEYWORDS).alias("agg_hits"),
+                    tx.keyword_hits(ql, tx.JOIN_KEYWORDS).alias("join_hits"),
+                    tx.keyword_hits(ql, tx.SUBQUERY_KEYWORDS).alias("subquery_hits"))
+
+
+@register("sql_text_normal", lambda: f"SELECT conv_id, turn, md5(regexp_replace(lower(text), '{tx.WS_RE}', '', 'g')) AS norm_md5, "
+          f"length(regexp_replace(lower(text), '{tx.WS_RE}', '', 'g')) AS norm_len FROM {_CONV}")
+def q_sql_text_normal(spark, sf_dir):
+    """Exact-match key (lower case, no whitespace) per turn, hashed."""
+    c = _conv(spark, sf_dir)
+    n = tx.sql_text_normal("text")
+    return c.select("conv_id", "turn", F.md5(n).alias("norm_md5"), F.length(n).alias("norm_len"))
+
+
+# --- SQL shapes -----------------------------------------------------------
+
+@register("sql_groupwise_max", lambda: sh.GROUPWISE_MAX)
+def q_sql_groupwise_max(spark, sf_dir):
+    """CTE, join, LIKE / OR, correlated scalar max per group, AVG."""
+    return sh.run(spark, sf_dir, sh.GROUPWISE_MAX, ["supplier", "nation"])
+
+
+@register("sql_filtered_variance", lambda: sh.FILTERED_VARIANCE)
+def q_sql_filtered_variance(spark, sf_dir):
+    """CTE, join, IS NOT NULL, !=, NOT IN, GROUP BY, AVG/VARIANCE/COUNT."""
+    return sh.run(spark, sf_dir, sh.FILTERED_VARIANCE, ["orders", "customer"])
+
+
+@register("sql_semi_having", lambda: sh.SEMI_HAVING)
+def q_sql_semi_having(spark, sf_dir):
+    """IN (subquery), two LEFT JOINs, STDDEV, COUNT(DISTINCT), HAVING."""
+    return sh.run(spark, sf_dir, sh.SEMI_HAVING, ["nation", "customer", "orders"])
+
+
+@register("execution_match", lambda: (
+    f"WITH a AS ({sh.GROUPWISE_MAX}), b AS ({sh.GROUPWISE_MAX_WINDOW}), "
+    "l AS (SELECT count(*) AS c FROM (SELECT * FROM a EXCEPT SELECT * FROM b)), "
+    "r AS (SELECT count(*) AS c FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) "
+    "SELECT (l.c = 0 AND r.c = 0) AS match, l.c AS only_left, r.c AS only_right FROM l, r"))
+def q_execution_match(spark, sf_dir):
+    """Set equality of two formulations of the group-wise maximum."""
+    a = sh.run(spark, sf_dir, sh.GROUPWISE_MAX, ["supplier", "nation"])
+    b = spark.sql(sh.GROUPWISE_MAX_WINDOW)
+    return sh.execution_match(a, b)
+
+
+@register("guarded_preview", lambda: sh.PREVIEW + " LIMIT 100")
+def q_guarded_preview(spark, sf_dir):
+    """A read-only statement previewed at 100 rows."""
+    sh.register_views(spark, sf_dir, ["lineitem"])
+    return sh.guarded_preview(spark, sh.PREVIEW, 100)
