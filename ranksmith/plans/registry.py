@@ -352,3 +352,104 @@ def q_guarded_preview(spark, sf_dir):
     """A read-only statement previewed at 100 rows."""
     sh.register_views(spark, sf_dir, ["lineitem"])
     return sh.guarded_preview(spark, sh.PREVIEW, 100)
+
+
+# --- telemetry ------------------------------------------------------------
+
+from ..operators import telemetry as tm  # noqa: E402
+
+_REQ_SQL = """req AS (SELECT event_id AS request_id,
+  (['/retrieve', '/generate-sql', '/benchmark', '/execute-sql', '/health'])[(user_id % 5) + 1] AS endpoint,
+  epoch_us(ts) / 1e6 AS timestamp, value AS latency_ms, event_type <> 'error' AS success,
+  CAST(json_extract_string(props, '$.k') AS INTEGER) / 100.0 AS top_confidence,
+  CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0 AS used_learned_ranker,
+  0.0 AS expansion_ms, value * 0.2 AS retrieval_ms, value * 0.3 AS reranking_ms,
+  value * 0.4 AS generation_ms, value * 0.1 AS validation_ms FROM events)"""
+_RET = "endpoint IN ('/retrieve', '/generate-sql') AND success"
+
+
+def _r1(x: str) -> str:
+    return f"floor(({x}) * 10 + 0.5) / 10"
+
+
+def _req(spark, sf_dir):
+    return tm.requests_from_events(tb.table(spark, sf_dir, "events"))
+
+
+@register("endpoint_latency", lambda: f"""WITH {_REQ_SQL}
+SELECT endpoint, count(*) AS count, {_r1('quantile_cont(latency_ms, 0.5)')} AS latency_p50_ms,
+  {_r1('quantile_cont(latency_ms, 0.95)')} AS latency_p95_ms, {_r1('quantile_cont(latency_ms, 0.99)')} AS latency_p99_ms,
+  {_r1('avg(latency_ms)')} AS latency_avg_ms, sum(CASE WHEN success THEN 0 ELSE 1 END) AS error_count
+FROM req GROUP BY endpoint""")
+def q_endpoint_latency(spark, sf_dir):
+    """Per endpoint: count, exact p50/p95/p99 and mean latency, errors."""
+    return tm.endpoint_latency(_req(spark, sf_dir))
+
+
+@register("error_rate", lambda: f"""WITH {_REQ_SQL}
+SELECT count(*) AS total_requests, sum(CASE WHEN success THEN 0 ELSE 1 END) AS total_errors,
+  round(sum(CASE WHEN success THEN 0 ELSE 1 END) / count(*), 4) AS error_rate FROM req""")
+def q_error_rate(spark, sf_dir):
+    """Lifetime request and error totals and the error rate."""
+    return tm.error_rate(_req(spark, sf_dir))
+
+
+@register("confidence_avg", lambda: f"""WITH {_REQ_SQL}
+SELECT round(coalesce(avg(top_confidence), 0.0), 4) AS avg_confidence,
+  round(coalesce(avg(CAST(used_learned_ranker AS DOUBLE)), 0.0), 4) AS learned_ranker_usage_pct
+FROM req WHERE {_RET}""")
+def q_confidence_avg(spark, sf_dir):
+    """Mean confidence (and ranker share) of successful retrievals."""
+    return tm.confidence_and_usage(_req(spark, sf_dir))
+
+
+@register("ranker_usage", lambda: f"""WITH {_REQ_SQL}
+SELECT round(coalesce(avg(CAST(used_learned_ranker AS DOUBLE)), 0.0), 4) AS learned_ranker_usage_pct
+FROM req WHERE {_RET}""")
+def q_ranker_usage(spark, sf_dir):
+    """Share of successful retrievals that used the learned ranker."""
+    return tm.confidence_and_usage(_req(spark, sf_dir)).select("learned_ranker_usage_pct")
+
+
+@register("stage_breakdown", lambda: f"""WITH {_REQ_SQL},
+m AS (SELECT avg(expansion_ms) AS e, avg(retrieval_ms) AS r, avg(reranking_ms) AS k, avg(generation_ms) AS g,
+        avg(validation_ms) AS v FROM req WHERE {_RET}),
+s AS (SELECT 'expansion_ms' AS stage, e AS ms FROM m UNION ALL SELECT 'retrieval_ms', r FROM m
+      UNION ALL SELECT 'reranking_ms', k FROM m UNION ALL SELECT 'generation_ms', g FROM m
+      UNION ALL SELECT 'validation_ms', v FROM m)
+SELECT stage, {_r1('ms')} AS avg_ms, round(coalesce(ms / nullif(sum(ms) OVER (), 0), 0.0), 4) AS share FROM s""")
+def q_stage_breakdown(spark, sf_dir):
+    """Mean ms per pipeline stage and its share of the total."""
+    return tm.stage_breakdown(_req(spark, sf_dir))
+
+
+@register("metrics_summary", lambda: f"""WITH {_REQ_SQL}
+SELECT count(*) AS total_requests, sum(CASE WHEN success THEN 0 ELSE 1 END) AS total_errors,
+  round(sum(CASE WHEN success THEN 0 ELSE 1 END) / count(*), 4) AS error_rate,
+  round(coalesce(avg(CASE WHEN {_RET} THEN top_confidence END), 0.0), 4) AS avg_confidence,
+  round(coalesce(avg(CASE WHEN {_RET} THEN CAST(used_learned_ranker AS DOUBLE) END), 0.0), 4) AS learned_ranker_usage_pct,
+  count(DISTINCT endpoint) AS n_endpoints,
+  {_r1(f'coalesce(avg(CASE WHEN {_RET} THEN expansion_ms END), 0.0)')} AS expansion_ms,
+  {_r1(f'coalesce(avg(CASE WHEN {_RET} THEN retrieval_ms END), 0.0)')} AS retrieval_ms,
+  {_r1(f'coalesce(avg(CASE WHEN {_RET} THEN reranking_ms END), 0.0)')} AS reranking_ms,
+  {_r1(f'coalesce(avg(CASE WHEN {_RET} THEN generation_ms END), 0.0)')} AS generation_ms,
+  {_r1(f'coalesce(avg(CASE WHEN {_RET} THEN validation_ms END), 0.0)')} AS validation_ms
+FROM req""")
+def q_metrics_summary(spark, sf_dir):
+    """The whole telemetry summary in one row."""
+    return tm.metrics_summary(_req(spark, sf_dir))
+
+
+@register("recent_buffer", lambda: f"""WITH {_REQ_SQL}
+SELECT request_id, endpoint, latency_ms, success FROM req ORDER BY timestamp DESC, request_id DESC LIMIT 1000""")
+def q_recent_buffer(spark, sf_dir):
+    """The newest 1000 requests (the ring buffer as a top-n)."""
+    return tm.recent_buffer(_req(spark, sf_dir), 1000).select("request_id", "endpoint", "latency_ms", "success")
+
+
+@register("latency_history", lambda: f"""WITH {_REQ_SQL},
+l AS (SELECT * FROM req WHERE endpoint = '/retrieve' ORDER BY timestamp DESC, request_id DESC LIMIT 100)
+SELECT request_id, timestamp, latency_ms, top_confidence AS confidence, success FROM l""")
+def q_latency_history(spark, sf_dir):
+    """Last 100 points of /retrieve, oldest first."""
+    return tm.latency_history(_req(spark, sf_dir), "/retrieve", 100)
