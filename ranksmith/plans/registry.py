@@ -453,3 +453,40 @@ SELECT request_id, timestamp, latency_ms, top_confidence AS confidence, success
 def q_latency_history(spark, sf_dir):
     """Last 100 points of /retrieve, oldest first."""
     return tm.latency_history(_req(spark, sf_dir), "/retrieve", 100)
+
+
+# --- streaming ------------------------------------------------------------
+
+from ..streaming import metrics as sm  # noqa: E402
+
+
+def _stream_sql(size_min: int, slide_min: int | None) -> str:
+    step = slide_min or size_min
+    starts = [f"time_bucket(INTERVAL {step} MINUTE, ts) - INTERVAL {i * step} MINUTE"
+              for i in range(size_min // step)]
+    rows = " UNION ALL ".join(f"SELECT {s} AS window_start, * FROM req" for s in starts)
+    return f"""WITH {_REQ_SQL.replace('FROM events)', ', ts FROM events)')},
+wm AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events),
+x AS ({rows})
+SELECT window_start, window_start + INTERVAL {size_min} MINUTE AS window_end, endpoint, count(*) AS n,
+  round(avg(latency_ms), 6) AS avg_latency_ms, sum(CASE WHEN success THEN 0 ELSE 1 END) AS errors
+FROM x GROUP BY ALL HAVING window_start + INTERVAL {size_min} MINUTE <= (SELECT wm FROM wm)"""
+
+
+@register("stream_metrics", lambda: _stream_sql(60, None))
+def q_stream_metrics(spark, sf_dir):
+    """Streaming tumbling 1-hour windows per endpoint with a 10-minute
+    watermark (windows closed by the watermark)."""
+    return sm.stream_metrics(spark, f"{sf_dir}/events.parquet", "1 hour")
+
+
+@register("stream_metrics_sliding", lambda: _stream_sql(60, 30))
+def q_stream_metrics_sliding(spark, sf_dir):
+    """Streaming sliding windows (1 hour, every 30 minutes)."""
+    return sm.stream_metrics(spark, f"{sf_dir}/events.parquet", "1 hour", "30 minutes")
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, sf_dir):
+    """First event per (user, type) within a 1-hour watermark."""
+    return sm.stream_dedup(spark, f"{sf_dir}/events.parquet", ["user_id", "event_type"])
