@@ -490,3 +490,56 @@ def q_stream_metrics_sliding(spark, sf_dir):
 def q_stream_dedup(spark, sf_dir):
     """First event per (user, type) within a 1-hour watermark."""
     return sm.stream_dedup(spark, f"{sf_dir}/events.parquet", ["user_id", "event_type"])
+
+
+# --- dense search ---------------------------------------------------------
+
+from ..operators import dense as dn  # noqa: E402
+
+_DENSE_SQL = """WITH p AS (
+  SELECT q.vec_id AS query_id, i.vec_id AS item_id,
+         list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])) AS score
+  FROM embeddings q JOIN embeddings i ON q.vec_id <> i.vec_id)
+SELECT query_id, item_id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM p)
+WHERE rank <= 10"""
+
+
+def _emb(spark, sf_dir):
+    return tb.table(spark, sf_dir, "embeddings", spread=True)
+
+
+@register("dense_cosine_search", lambda: _DENSE_SQL)
+def q_dense_cosine_search(spark, sf_dir):
+    """Every vector as a query: its 10 nearest other vectors by cosine."""
+    e = _emb(spark, sf_dir)
+    items = e.select(F.col("vec_id").alias("item_id"), "embedding")
+    qs = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    return dn.dense_topk(items, qs, 10, exclude_self=True)
+
+
+@register("cosine_rank", lambda: _DENSE_SQL.replace("rank <= 10", "rank <= 3"))
+def q_cosine_rank(spark, sf_dir):
+    """1-based rank per query by cosine (first three)."""
+    e = _emb(spark, sf_dir)
+    items = e.select(F.col("vec_id").alias("item_id"), "embedding")
+    qs = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    return dn.dense_topk(items, qs, 3, exclude_self=True)
+
+
+@register("dense_recall", lambda: _DENSE_SQL.replace(
+    "SELECT query_id, item_id, round(score, 6) AS score, rank FROM (",
+    "SELECT 10 AS k, avg(hit) AS precision_at_k, count(DISTINCT query_id) AS n_queries FROM (SELECT r.query_id, "
+    "CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END AS hit FROM (SELECT query_id, item_id, rank FROM (")
+    + ") r JOIN embeddings a ON a.vec_id = r.query_id JOIN embeddings b ON b.vec_id = r.item_id)")
+def q_dense_recall(spark, sf_dir):
+    """Share of the 10 nearest neighbours that carry the query's label."""
+    e = _emb(spark, sf_dir)
+    items = e.select(F.col("vec_id").alias("item_id"), "embedding")
+    qs = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    r = dn.dense_topk(items, qs, 10, exclude_self=True)
+    lab = e.select("vec_id", "label")
+    j = (r.join(lab.withColumnRenamed("vec_id", "query_id").withColumnRenamed("label", "ql"), "query_id")
+         .join(lab.withColumnRenamed("vec_id", "item_id").withColumnRenamed("label", "il"), "item_id"))
+    return j.agg(F.lit(10).alias("k"), F.avg((F.col("ql") == F.col("il")).cast("double")).alias("precision_at_k"),
+                 F.countDistinct("query_id").alias("n_queries"))
