@@ -7,6 +7,7 @@ oracle): never ``\\s`` / ``\\w``, whose meaning differs between engines.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,8 +77,13 @@ def trigram_set_expr(x: str) -> str:
             f"i -> substring({x}, i, 3))) END")
 
 
-def trigram_set(c: str) -> Column:
-    return F.expr(trigram_set_expr(f"lower({c})"))
+def with_trigrams(df, src: str, out: str):
+    """Add ``out`` = trigram set of lower(``src``).  The lower-cased text is
+    its own projection (referenced three times, so Catalyst keeps it)
+    instead of being re-evaluated for every trigram inside the lambda."""
+    tmp = f"_lc_{out}"
+    df = df.withColumn(tmp, F.lower(F.col(src)))
+    return df.withColumn(out, F.expr(trigram_set_expr(tmp))).drop(tmp)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -96,3 +102,37 @@ def keyword_hits(text_lower: Column, keywords: list[str]) -> Column:
 def sql_text_normal(c) -> Column:
     """Lower case with all whitespace removed: the exact-match key."""
     return F.regexp_replace(F.lower(col_(c)), WS_RE, "")
+
+
+def _trigram_count_udf():
+    @F.pandas_udf("long")
+    def trigram_count(s: pd.Series) -> pd.Series:
+        def n(x):
+            if x is None:
+                return 1
+            x = x.lower()
+            return 1 if len(x) < 3 else len({x[i:i + 3] for i in range(len(x) - 2)})
+        return s.map(n).astype("int64")
+    return trigram_count
+
+
+_TRIGRAM_COUNT = None
+
+
+def trigram_count(c) -> Column:
+    """Number of distinct trigrams of lower(text) (1 below three
+    characters).  A vectorised pandas UDF: a long document's set is built
+    once in a Python set instead of a 30k-element lambda array."""
+    global _TRIGRAM_COUNT
+    if _TRIGRAM_COUNT is None:
+        _TRIGRAM_COUNT = _trigram_count_udf()
+    return _TRIGRAM_COUNT(col_(c))
+
+
+def trigram_jaccard(short_lower: str, short_grams: str, long_lower: str, long_count: Column) -> Column:
+    """Jaccard of two trigram sets given the short text's set and the long
+    text's distinct-trigram count: the intersection probes each short
+    trigram in the long text with ``instr`` (native substring search)."""
+    inter = F.size(F.filter(F.col(short_grams), lambda g: F.instr(F.col(long_lower), g) > 0))
+    union = F.size(short_grams) + long_count - inter
+    return F.when(union == 0, F.lit(0.0)).otherwise(inter / union)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import index as ix
 from ..operators import search as se
+from ..session import checkpoint_dir
 from ..sources import tables as tb
 from . import oracle_sql as osql
 
@@ -27,17 +28,15 @@ def register(key: str, sql: Callable[[], str] | None = None):
 @register("bm25_search", lambda: osql.bm25_search_sql(15))
 def q_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 top-15 documents for every benchmark question."""
-    corpus = tb.corpus_documents(spark, sf_dir)
-    qs = tb.questions_benchmark(spark, sf_dir)
-    return se.bm25_search(ix.bm25_index(corpus), qs, corpus, 15)
+    idx, qs = _setup(spark, sf_dir)
+    return se.bm25_search(idx.bm25, qs, idx.corpus, 15)
 
 
 @register("tfidf_search", lambda: osql.tfidf_search_sql(15))
 def q_tfidf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF-IDF cosine top-15 documents for every benchmark question."""
-    corpus = tb.corpus_documents(spark, sf_dir)
-    qs = tb.questions_benchmark(spark, sf_dir)
-    return se.tfidf_search(ix.tfidf_index(corpus), qs, corpus, 15)
+    idx, qs = _setup(spark, sf_dir)
+    return se.tfidf_search(idx.tfidf, qs, idx.corpus, 15)
 
 
 # --- offline pipeline ----------------------------------------------------
@@ -49,9 +48,24 @@ from ..operators import evaluate as ev  # noqa: E402
 from . import retrieve as rt  # noqa: E402
 
 
+_INDEXES: dict = {}
+
+
+def _indexes(spark: SparkSession, sf_dir: str) -> "rt.Indexes":
+    """One materialised index per (session, corpus), like the service's
+    start-up index build."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        corpus = tb.corpus_documents(spark, sf_dir)
+        # the corpus is read by many plans: store it once too (one scan +
+        # tokenisation-free reads afterwards)
+        checkpoint_dir(spark)
+        _INDEXES[key] = rt.Indexes(corpus.checkpoint(eager=True))
+    return _INDEXES[key]
+
+
 def _setup(spark: SparkSession, sf_dir: str):
-    corpus = tb.corpus_documents(spark, sf_dir)
-    return rt.Indexes(corpus), tb.questions_benchmark(spark, sf_dir)
+    return _indexes(spark, sf_dir), tb.questions_benchmark(spark, sf_dir)
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,8 +279,8 @@ def _trigram_sql(x: str) -> str:
 @register("char_3grams", lambda: f"SELECT conv_id, turn, len({_trigram_sql('lower(text)')}) AS n_trigrams FROM {_CONV}")
 def q_char_3grams(spark, sf_dir):
     """Distinct character trigrams of each whole turn."""
-    c = _conv(spark, sf_dir)
-    return c.select("conv_id", "turn", F.size(tx.trigram_set("text")).alias("n_trigrams"))
+    c = tx.with_trigrams(_conv(spark, sf_dir), "text", "g")
+    return c.select("conv_id", "turn", F.size("g").alias("n_trigrams"))
 
 
 def _jac_sql(a: str, b: str) -> str:
@@ -281,8 +295,8 @@ def _jac_sql(a: str, b: str) -> str:
 def q_jaccard(spark, sf_dir):
     """Word and trigram Jaccard between consecutive turns (equi join on
     (conversation, turn + 1))."""
-    c = _conv(spark, sf_dir).select("conv_id", "turn", tx.tok_word("text").alias("w"),
-                                    tx.trigram_set("text").alias("g"))
+    c = tx.with_trigrams(_conv(spark, sf_dir), "text", "g").select(
+        "conv_id", "turn", tx.tok_word("text").alias("w"), "g")
     n = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("w2"), F.col("g").alias("g2"))
     j = c.join(n, ["conv_id", "turn"])
     return j.select("conv_id", "turn", F.round(tx.jaccard(F.col("w"), F.col("w2")), 9).alias("jaccard_word"),
@@ -543,3 +557,105 @@ def q_dense_recall(spark, sf_dir):
          .join(lab.withColumnRenamed("vec_id", "item_id").withColumnRenamed("label", "il"), "item_id"))
     return j.agg(F.lit(10).alias("k"), F.avg((F.col("ql") == F.col("il")).cast("double")).alias("precision_at_k"),
                  F.countDistinct("query_id").alias("n_queries"))
+
+
+# --- features and learning to rank ----------------------------------------
+
+from ..operators import expand as ex  # noqa: E402
+from ..operators import features as fe  # noqa: E402
+from ..operators import ltr  # noqa: E402
+
+
+def _features(spark, sf_dir, pool: int = 25) -> DataFrame:
+    idx, qs = _setup(spark, sf_dir)
+    bm = se.bm25_scores(idx.bm25, qs)
+    cs = se.tfidf_scores(idx.tfidf, qs)
+    bnorm = se.minmax_norm(bm, idx.n_items, max_floor=True)
+    cands = rt.hybrid_pool(idx, qs, pool, scores=(bm, cs))
+    return fe.features_28(cands, qs, idx.corpus, bm, cs, bnorm, expanded=ex.expand_full(qs))
+
+
+@register("features_28")
+def q_features_28(spark, sf_dir):
+    """The 28 features of every (question, candidate) pair of the hybrid
+    top-25 pools."""
+    return _features(spark, sf_dir)
+
+
+def _train(spark, sf_dir) -> DataFrame:
+    return ltr.training_set(_features(spark, sf_dir), _gold_q(spark, sf_dir))
+
+
+@register("training_set")
+def q_training_set(spark, sf_dir):
+    """Labelled training rows: features of questions that have gold."""
+    return _train(spark, sf_dir)
+
+
+@register("class_balance")
+def q_class_balance(spark, sf_dir):
+    """Positives, negatives, ratio and groups of the training set."""
+    return ltr.class_balance(_train(spark, sf_dir))
+
+
+@register("group_kfold")
+def q_group_kfold(spark, sf_dir):
+    """Fold of every training group (5 folds, snake-dealt by size)."""
+    return ltr.group_kfold(_train(spark, sf_dir), 5)
+
+
+@register("standard_scale")
+def q_standard_scale(spark, sf_dir):
+    """Training rows scaled by training mean and population std."""
+    t = _train(spark, sf_dir)
+    return ltr.standard_scale(t, t)
+
+
+def _cached_train(spark, sf_dir) -> DataFrame:
+    """Training rows written once to the shared checkpoint folder: every
+    fold and model re-reads them instead of recomputing the features, and
+    a lost executor costs a re-read, not the lineage."""
+    return _train(spark, sf_dir).checkpoint(eager=True)
+
+
+@register("train_gbt")
+def q_train_gbt(spark, sf_dir):
+    """Gradient-boosted trees fitted on all rows; top-5 predictions."""
+    checkpoint_dir(spark)
+    t = _cached_train(spark, sf_dir)
+    s = ltr.standard_scale(t, t)
+    return ltr.predict_topk(ltr.fit(s, "gradient_boosting"), s, 5)
+
+
+@register("train_rf")
+def q_train_rf(spark, sf_dir):
+    """Random forest fitted on all rows; top-5 predictions."""
+    checkpoint_dir(spark)
+    t = _cached_train(spark, sf_dir)
+    s = ltr.standard_scale(t, t)
+    return ltr.predict_topk(ltr.fit(s, "random_forest"), s, 5)
+
+
+@register("cross_validate")
+def q_cross_validate(spark, sf_dir):
+    """Grouped 5-fold CV of gradient boosting: per-fold metrics."""
+    checkpoint_dir(spark)
+    return ltr.cross_validate(_cached_train(spark, sf_dir), "gradient_boosting", 5, {"maxIter": 30})
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    """Normalised importances of the fitted gradient-boosting model."""
+    checkpoint_dir(spark)
+    t = _cached_train(spark, sf_dir)
+    return ltr.feature_importance(ltr.fit(ltr.standard_scale(t, t), "gradient_boosting"), spark)
+
+
+@register("ranker_save_load")
+def q_ranker_save_load(spark, sf_dir):
+    """Fit, save to the shared folder, load back and score."""
+    base = checkpoint_dir(spark)
+    t = _cached_train(spark, sf_dir)
+    s = ltr.standard_scale(t, t)
+    path = ltr.save_model(ltr.fit(s, "random_forest", {"numTrees": 50}), base)
+    return ltr.predict_topk(ltr.load_model(path), s, 5)

@@ -11,39 +11,60 @@ from ..operators import expand as ex
 from ..operators import index as ix
 from ..operators import search as se
 from ..operators.util import OUT_DIGITS, scalar
+from ..session import checkpoint_dir
 
 
 class Indexes:
-    """BM25 and TF-IDF indexes of one corpus, built lazily and shared."""
+    """BM25 and TF-IDF indexes of one corpus, built once and shared.
 
-    def __init__(self, corpus: DataFrame):
+    With ``materialize`` (the default) each index is written to the shared
+    checkpoint folder when first used and its corpus statistics become
+    literals, so every later plan scans the stored postings instead of
+    re-tokenising the corpus, and a lost executor re-reads stored blocks
+    instead of replaying the lineage.  This is the "build the index once
+    at start-up" step of the service, done as a Spark job."""
+
+    def __init__(self, corpus: DataFrame, materialize: bool = True):
         self.corpus = corpus
+        self.materialize = materialize
         self._bm25 = None
         self._tfidf = None
-        self.n_items = scalar(corpus.agg(F.count(F.lit(1))))
+        if materialize:
+            checkpoint_dir(corpus.sparkSession)
+            self.n_items = F.lit(corpus.count())
+        else:
+            self.n_items = scalar(corpus.agg(F.count(F.lit(1))))
 
     @property
     def bm25(self) -> ix.Bm25Index:
         if self._bm25 is None:
-            self._bm25 = ix.bm25_index(self.corpus)
+            b = ix.bm25_index(self.corpus)
+            if self.materialize:
+                post = b.postings.checkpoint(eager=True)
+                vocab = b.vocab.checkpoint(eager=True)
+                avgdl = self.corpus.sparkSession.range(1).select(b.avgdl).first()[0]
+                b = ix.Bm25Index(post, vocab, self.n_items.cast("double"), F.lit(float(avgdl or 0.0)), b.k1, b.b)
+            self._bm25 = b
         return self._bm25
 
     @property
     def tfidf(self) -> ix.TfidfIndex:
         if self._tfidf is None:
-            self._tfidf = ix.tfidf_index(self.corpus)
+            t = ix.tfidf_index(self.corpus)
+            if self.materialize:
+                t = ix.TfidfIndex(t.postings.checkpoint(eager=True), t.vocab.checkpoint(eager=True), t.stop)
+            self._tfidf = t
         return self._tfidf
 
 
 def hybrid_pool(idx: Indexes, queries: DataFrame, k: int, alpha: float = 0.5,
                 text_col: str = "question", mentions: DataFrame | None = None,
-                forced_score: float = 2.0) -> DataFrame:
+                forced_score: float = 2.0, scores: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """alpha x TF-IDF cosine + (1 - alpha) x min-max BM25 over the whole
     corpus; mentioned items forced to ``forced_score``; top k per query:
     (query_id, item_id, ordinal, score, rank)."""
     q = queries.select("query_id", F.col(text_col).alias("question"))
-    bm = se.bm25_scores(idx.bm25, q)
-    cs = se.tfidf_scores(idx.tfidf, q)
+    bm, cs = scores if scores is not None else (se.bm25_scores(idx.bm25, q), se.tfidf_scores(idx.tfidf, q))
     pairs, base = se.hybrid_scores(bm, cs, idx.n_items, alpha)
     pairs = pairs.select("query_id", "item_id", "score")
     if mentions is not None:
