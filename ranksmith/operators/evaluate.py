@@ -172,3 +172,52 @@ def ideal_dcg(n_pos: int, k: int) -> float:
 
 def rate(flag: Column) -> Column:
     return F.avg(flag.cast("double"))
+
+
+# --- fixed values: question words that mark benchmark subtasks ------------
+COLUMN_WORDS = ["budget", "phone", "email", "name", "title"]
+DOMAIN_WORDS = ["mit", "residential", "chemical", "biology", "mathematics"]
+# --- end of fixed values ----------------------------------------------------
+
+
+def benchmark_facts(queries: DataFrame, gold: DataFrame, top5: DataFrame, top10: DataFrame) -> DataFrame:
+    """One row per question with gold: recall at 5 and 10 and the subtask
+    flags (several gold items; 'join' asked for; column words; domain
+    words).  Questions without gold are skipped."""
+    g = gold.groupBy("query_id").agg(F.collect_set("item_id").alias("gold"))
+    r5 = top5.groupBy("query_id").agg(F.collect_set("item_id").alias("r5"))
+    r10 = top10.groupBy("query_id").agg(F.collect_set("item_id").alias("r10"))
+    j = g.join(queries.select("query_id", F.lower("question").alias("ql")), "query_id") \
+        .join(r5, "query_id", "left").join(r10, "query_id", "left")
+    empty = F.array().cast("array<bigint>")
+    rec = lambda c: F.size(F.array_intersect("gold", F.coalesce(c, empty))) / F.size("gold")
+    has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.instr(F.col("ql"), w) > 0)
+    return j.select("query_id", F.size("gold").alias("n_gold"), rec(F.col("r5")).alias("recall_5"),
+                    rec(F.col("r10")).alias("recall_10"),
+                    (F.size("gold") > 1).alias("multi_table"), (F.instr("ql", "join") > 0).alias("join_detection"),
+                    has(COLUMN_WORDS).alias("column_mapping"), has(DOMAIN_WORDS).alias("domain_knowledge"))
+
+
+SUBTASKS = ["multi_table", "column_mapping", "join_detection", "domain_knowledge"]
+
+
+def subtask_breakdown(facts: DataFrame) -> DataFrame:
+    """Per subtask: members, successes (all gold in the top 5) and the
+    success rate, 1.0 for a subtask without members (4 d.p.)."""
+    ok = F.col("recall_5") == 1.0
+    rows = facts.select(F.explode(F.array(*[F.struct(F.lit(s).alias("subtask"), F.col(s).alias("m"))
+                                            for s in SUBTASKS])).alias("x"), ok.alias("ok"))
+    agg = rows.groupBy("x.subtask").agg(F.sum(F.col("x.m").cast("long")).alias("count"),
+                                        F.sum((F.col("x.m") & F.col("ok")).cast("long")).alias("correct"))
+    return agg.select("subtask", "count", "correct",
+                      F.when(F.col("count") > 0, F.round(F.col("correct") / F.col("count"), 4))
+                      .otherwise(F.lit(1.0)).alias("rate"))
+
+
+def benchmark_summary(facts: DataFrame) -> DataFrame:
+    """One row: questions evaluated, mean Recall@5 / @10 (4 d.p.) and the
+    retrieval-failure count (questions with Recall@5 = 0)."""
+    return facts.agg(F.count(F.lit(1)).alias("total_queries"),
+                     F.round(F.avg("recall_5"), 4).alias("retrieval_recall_at_5"),
+                     F.round(F.avg("recall_10"), 4).alias("retrieval_recall_at_10"),
+                     F.sum((F.col("recall_5") == 0).cast("long")).alias("retrieval_failures"))

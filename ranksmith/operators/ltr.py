@@ -92,11 +92,24 @@ def make_model(kind: str = "gradient_boosting", params: dict | None = None):
     return GBTClassifier(featuresCol="features", labelCol="label", **p)
 
 
+ROWS_PER_TRAIN_PARTITION = 100_000
+
+
 def fit(train: DataFrame, kind: str = "gradient_boosting", params: dict | None = None) -> PipelineModel:
-    """Assemble the 28 features and fit the tree ensemble."""
+    """Assemble the 28 features and fit the tree ensemble.
+
+    Tree learners run several jobs per tree level, so the input's
+    partition count is sized to its row count (one partition per
+    ``ROWS_PER_TRAIN_PARTITION`` rows, at most the cluster parallelism):
+    small training sets do not pay per-task overhead hundreds of times,
+    large ones stay spread over the cluster."""
+    n = train.count()
+    par = train.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(par, -(-n // ROWS_PER_TRAIN_PARTITION)))
+    data = train.repartition(parts)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURE_NAMES, outputCol="features"),
                             make_model(kind, params)])
-    return pipe.fit(train)
+    return pipe.fit(data)
 
 
 def predict_scores(model: PipelineModel, rows: DataFrame) -> DataFrame:

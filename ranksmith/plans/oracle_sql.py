@@ -226,3 +226,180 @@ u AS (SELECT sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THE
       FROM pos p CROSS JOIN neg n)
 SELECT CASE WHEN (SELECT count(*) FROM pos) > 0 AND (SELECT count(*) FROM neg) > 0
             THEN (SELECT u FROM u) / ((SELECT count(*) FROM pos) * (SELECT count(*) FROM neg)) ELSE 0.0 END AS auc_roc"""
+
+
+def _lit_list(words) -> str:
+    if not words:
+        return "[]::VARCHAR[]"
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def clean_plural_sql(x: str) -> str:
+    toks = (f"list_filter(list_transform({ws_tokens(x)}, lambda t: "
+            r"regexp_replace(t, '^[\?,\.\(\)_]+|[\?,\.\(\)_]+$', '', 'g')), lambda t: t <> '')")
+    singles = (f"list_transform(list_filter({toks}, lambda t: length(t) > 4 AND suffix(t, 's')), "
+               "lambda t: substring(t, 1, length(t) - 1))")
+    return f"list_distinct(list_concat({toks}, {singles}))"
+
+
+def expansion_extras_sql(q: str) -> str:
+    """SQL phrase words + abbreviation words of the full expansion."""
+    from ..operators.expand import (ABBREVIATIONS, EXPANSION_STOP_WORDS, GENERIC_TRIGGER_WORDS,
+                                    SQL_PHRASES)
+    parts = [f"CASE WHEN contains(lower({q}), '{p}') THEN {_lit_list(ws)} ELSE []::VARCHAR[] END"
+             for p, ws in SQL_PHRASES.items()]
+    qw = clean_plural_sql(q)
+    qtrig = (f"list_filter({qw}, lambda w: NOT list_contains({_lit_list(EXPANSION_STOP_WORDS)}, w) "
+             f"AND NOT list_contains({_lit_list(GENERIC_TRIGGER_WORDS)}, w))")
+    for ab, meaning in ABBREVIATIONS.items():
+        words = sorted({w for w in meaning.replace(",", "").replace(".", "").lower().split()
+                        if w not in EXPANSION_STOP_WORDS and len(w) > 3})
+        trig = [w for w in words if w not in GENERIC_TRIGGER_WORDS]
+        cond = f"list_contains({qw}, '{ab.lower()}')"
+        if trig:
+            cond += f" OR len(list_intersect({qtrig}, {_lit_list(trig)})) > 0"
+        parts.append(f"CASE WHEN {cond} THEN {_lit_list([ab] + [w.upper() for w in words])} ELSE []::VARCHAR[] END")
+    return "list_distinct(flatten([" + ", ".join(parts) + "]))"
+
+
+def features_28_sql(pool: int = 25) -> str:
+    from ..functions.text import AGGREGATION_KEYWORDS, JOIN_KEYWORDS, SUBQUERY_KEYWORDS
+    from ..operators.expand import ABBREVIATIONS
+
+    def hits(x, kws):
+        return "(" + " + ".join(f"(CASE WHEN contains({x}, '{k}') THEN 1 ELSE 0 END)" for k in kws) + ")"
+
+    def jac(a, b):
+        return (f"(CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN 0.0 ELSE "
+                f"len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END)")
+
+    tri = lambda x: (f"(CASE WHEN length({x}) < 3 THEN [{x}] ELSE list_distinct(list_transform("
+                     f"range(1, length({x}) - 1), lambda i: substring({x}, i, 3))) END)")
+    meaning_map = "MAP {" + ", ".join(
+        f"'{ab}': {_lit_list(sorted(set(m.replace(',', '').lower().split())))}" for ab, m in ABBREVIATIONS.items()) + "}"
+    from ..operators.features import FEATURE_NAMES
+    outs = []
+    for c in FEATURE_NAMES:
+        e = "1.0 / (1.0 + exp(-cross_encoder_logit))" if c == "cross_encoder_calibrated" else c
+        outs.append(f"CAST(round({e}, 9) AS DOUBLE) AS {c}")
+    final_select = "\nSELECT query_id, item_id, " + ", ".join(outs) + " FROM f"
+    return f"""WITH {corpus_cte()}, {questions_cte()}{bm25_ctes()}{tfidf_ctes()}{hybrid_ctes(forced=False)}
+{ranked_cte('pl', 'hyb', pool)},
+bst2 AS (SELECT query_id, mn, CASE WHEN mx > 0 THEN mx ELSE 1.0 END AS mx FROM bst),
+bnorm AS (SELECT query_id, mn, CASE WHEN mx <> mn THEN mx - mn ELSE 1.0 END AS rng FROM bst2),
+brk AS (SELECT bm.query_id, bm.item_id, row_number() OVER (PARTITION BY bm.query_id ORDER BY round(bm.score, 9) DESC, d.ordinal) AS r
+        FROM bm JOIN docs d USING (item_id)),
+bm_m AS (SELECT query_id, count(*) AS m FROM bm GROUP BY query_id),
+crk AS (SELECT cs.query_id, cs.item_id, row_number() OVER (PARTITION BY cs.query_id ORDER BY round(cs.score, 9) DESC, d.ordinal) AS r
+        FROM cs JOIN docs d USING (item_id)),
+cs_m AS (SELECT query_id, count(*) AS m FROM cs GROUP BY query_id),
+base AS (
+  SELECT pl.query_id, pl.item_id, pl.question, d.text, d.name, lower(pl.question) AS ql, lower(d.name) AS nl,
+    (coalesce(bm.score, 0.0) - bn.mn) / bn.rng AS f_bm25, coalesce(cs.score, 0.0) AS f_cos,
+    {word_set('pl.question')} AS qw, {word_set('d.text')} AS dw,
+    list_distinct(list_filter(string_split(replace(lower(d.name), '_', ' '), ' '), lambda t: t <> '')) AS ntok,
+    coalesce(brk.r, coalesce(bm_m.m, 0) + 1) AS f_brank, coalesce(crk.r, coalesce(cs_m.m, 0) + 1) AS f_crank,
+    list_distinct(list_concat({ws_tokens('pl.question')}, list_transform({expansion_extras_sql('pl.question')}, lambda w: lower(w)))) AS exw
+  FROM pl JOIN docs d ON d.item_id = pl.item_id
+  LEFT JOIN bm ON bm.query_id = pl.query_id AND bm.item_id = pl.item_id
+  LEFT JOIN cs ON cs.query_id = pl.query_id AND cs.item_id = pl.item_id
+  JOIN bnorm bn ON bn.query_id = pl.query_id
+  LEFT JOIN brk ON brk.query_id = pl.query_id AND brk.item_id = pl.item_id
+  LEFT JOIN crk ON crk.query_id = pl.query_id AND crk.item_id = pl.item_id
+  LEFT JOIN bm_m ON bm_m.query_id = pl.query_id LEFT JOIN cs_m ON cs_m.query_id = pl.query_id),
+f AS (
+  SELECT query_id, item_id, f_bm25 AS bm25_score, f_cos AS tfidf_cosine, {jac('qw', 'dw')} AS jaccard_word,
+    {jac(tri('ql'), tri('lower(text)'))} AS jaccard_char_3gram,
+    CASE WHEN contains(ql, nl) OR contains(ql, replace(nl, '_', ' ')) THEN 1.0 ELSE 0.0 END AS exact_table_name_match,
+    CASE WHEN len(list_filter(string_split(nl, '_'), lambda p: length(p) > 3 AND contains(ql, p))) > 0 THEN 1.0 ELSE 0.0 END
+      AS partial_table_name_match,
+    len(list_intersect(qw, ntok)) * 1.0 AS query_table_token_overlap,
+    f_cos AS biencoder_cosine,
+    4.0 * ((CASE WHEN contains(ql, replace(nl, '_', ' ')) THEN 0.2 ELSE 0.0 END)
+      + least(len(list_intersect(list_distinct({ws_tokens('question')}), list_distinct({ws_tokens('text')}))), 5) * 0.01) - 2.0
+      AS cross_encoder_logit,
+    0.0 AS num_columns, 0.0 AS num_fk_relations, 0.0 AS schema_graph_degree,
+    0.0 AS has_join_key_overlap_with_candidates, 0.0 AS num_shared_join_keys_with_candidates,
+    len(qw) * 1.0 AS query_length_words, length(question) * 1.0 AS query_length_chars,
+    CASE WHEN {hits('ql', AGGREGATION_KEYWORDS)} > 0 THEN 1.0 ELSE 0.0 END AS has_aggregation_keyword,
+    CASE WHEN {hits('ql', JOIN_KEYWORDS)} > 0 THEN 1.0 ELSE 0.0 END AS has_join_keyword,
+    CASE WHEN {hits('ql', SUBQUERY_KEYWORDS)} > 0 THEN 1.0 ELSE 0.0 END AS has_subquery_indicator,
+    ({hits('ql', AGGREGATION_KEYWORDS)} + {hits('ql', JOIN_KEYWORDS)} + {hits('ql', SUBQUERY_KEYWORDS)}) * 1.0
+      AS num_sql_keywords_detected,
+    f_bm25 * f_cos AS bm25_x_cosine, f_brank * 1.0 AS bm25_rank, f_crank * 1.0 AS cosine_rank,
+    abs(f_brank - f_crank) * 1.0 AS rank_difference,
+    CASE WHEN f_cos > 1e-6 THEN f_bm25 / f_cos ELSE f_bm25 * 100.0 END AS score_ratio,
+    len(list_intersect(exw, list_distinct(list_concat(dw, ntok)))) * 1.0 AS llm_expansion_overlap,
+    CASE WHEN len(list_intersect(qw, coalesce({meaning_map}[split_part(upper(name), '_', 1)], []::VARCHAR[]))) > 0
+      THEN 1.0 ELSE 0.0 END AS category_prefix_match
+  FROM base)
+""" + final_select
+
+
+def catalog_cte() -> str:
+    """Stand-in catalog rows and parsed columns ``ccols`` in DuckDB."""
+    def parse(c):
+        return (f"CASE WHEN json_valid({c}) THEN CAST(json({c}) AS VARCHAR[]) ELSE list_filter(list_transform("
+                f"string_split({c}, ','), lambda p: regexp_replace(p, '^[ \\[\\]\"'']+|[ \\[\\]\"'']+$', '', 'g')), "
+                f"lambda p: p <> '') END")
+    return f"""cat AS (
+  SELECT upper(concat_ws('_', d.lang, d.source, CAST(d.doc_id AS VARCHAR))) AS table_name,
+    ['doc_id', d.source || '_id', d.lang || '_code', 'text', 'n_chars', 'load_date']
+      || CASE WHEN l.doc_id IS NOT NULL THEN ['quality', 'toxic'] ELSE []::VARCHAR[] END AS n,
+    ['int64', 'int64', 'string', 'string', 'int64', 'timestamp']
+      || CASE WHEN l.doc_id IS NOT NULL THEN ['int32', 'int32'] ELSE []::VARCHAR[] END AS t,
+    d.doc_id
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+catraw AS (
+  SELECT table_name,
+    CASE WHEN doc_id % 2 = 0 THEN to_json(n)::VARCHAR ELSE '[' || array_to_string(n, ', ') || ']' END AS column_names,
+    CASE WHEN doc_id % 2 = 0 THEN to_json(t)::VARCHAR ELSE '[' || array_to_string(t, ', ') || ']' END AS column_types
+  FROM cat),
+parsed AS (SELECT table_name, {parse('column_names')} AS n, {parse('column_types')} AS t FROM catraw),
+ccols AS (SELECT table_name, i - 1 AS ordinal, n[i] AS column_name, coalesce(t[i], 'unknown') AS column_type
+          FROM parsed, LATERAL (SELECT unnest(range(1, len(n) + 1)) AS i))"""
+
+
+def _any(c: str, frags) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{f}')" for f in frags) + ")"
+
+
+def catalog_class_sql() -> str:
+    from ..operators import catalog as cg
+    lc = "lower(column_name)"
+    suffix = "(" + " OR ".join(f"suffix({lc}, '{s}')" for s in cg.KEY_SUFFIXES) + ")"
+    known = "(" + ", ".join(f"'{k}'" for k in cg.KNOWN_KEYS) + ")"
+    audit = _any(lc, cg.AUDIT_FRAGMENTS)
+    jk = f"(NOT {audit} AND CASE WHEN {suffix} THEN NOT {_any(lc, cg.GENERIC_CODES)} ELSE {lc} IN {known} END)"
+    stype = "CASE " + " ".join(f"WHEN contains(lower(column_type), '{f}') THEN '{v}'" for f, v in cg.TYPE_MAP) + " ELSE 'TEXT' END"
+    role = (f"CASE WHEN suffix({lc}, '_id') THEN 'foreign key referencing ' || substring({lc}, 1, length({lc}) - 3) || ' table' "
+            f"WHEN {_any(lc, cg.ROLE_NUMERIC)} THEN 'numeric aggregation column' "
+            f"WHEN {_any(lc, cg.ROLE_TEXT)} THEN 'descriptive text column' "
+            f"WHEN {_any(lc, cg.ROLE_TIME)} THEN 'temporal column' END")
+    return f"""{catalog_cte()},
+cls AS (SELECT table_name, ordinal, column_name, column_type, {stype} AS storage_type, {audit} AS is_audit,
+          {jk} AS is_join_key, {role} AS role FROM ccols),
+tkeys AS (SELECT DISTINCT table_name, lower(column_name) AS key FROM cls WHERE is_join_key),
+hubs AS (SELECT key, count(*) AS n_tables FROM tkeys GROUP BY key HAVING count(*) > 1),
+tk AS (SELECT tkeys.table_name, tkeys.key, hubs.n_tables FROM tkeys JOIN hubs USING (key))"""
+
+
+def usecase_sql(t: str) -> str:
+    from ..operators.expand import ABBREVIATIONS
+    m = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in ABBREVIATIONS.items()) + "}"
+    meanings = f"list_filter(list_transform(string_split(upper({t}), '_'), lambda p: {m}[p]), lambda x: x IS NOT NULL)"
+    return (f"CASE WHEN len({meanings}) > 0 THEN 'This table is useful for queries concerning ' || "
+            f"array_to_string({meanings}, ', ') || '.' ELSE 'This table stores records related to ' || "
+            f"replace(lower({t}), '_', ' ') || '.' END")
+
+
+def describe_sql(clean: bool) -> str:
+    item = "column_name" if clean else \
+        "column_name || ' (' || column_type || ')' || CASE WHEN role IS NOT NULL THEN ' [role: ' || role || ']' ELSE '' END"
+    return f"""WITH {catalog_class_sql()},
+per AS (SELECT table_name, string_agg({item}, ', ' ORDER BY ordinal) AS cols FROM cls WHERE NOT is_audit GROUP BY table_name),
+ks AS (SELECT table_name, string_agg(key || ' (' || CAST(n_tables AS VARCHAR) || ' tables)', ', ' ORDER BY key, n_tables) AS keys
+       FROM tk GROUP BY table_name)
+SELECT per.table_name, 'Table: ' || per.table_name || '. ' || {usecase_sql('per.table_name')} || ' Schema structure: ['
+  || cols || '].' || CASE WHEN keys IS NOT NULL THEN ' Join Keys: [' || keys || '].' ELSE '' END AS description
+FROM per LEFT JOIN ks USING (table_name)"""

@@ -43,7 +43,9 @@ def q_tfidf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from pyspark.sql import functions as F  # noqa: E402
 
+from ..operators import boost as bo  # noqa: E402
 from ..operators import containment as ct  # noqa: E402
+from ..operators import expand as ex  # noqa: E402
 from ..operators import evaluate as ev  # noqa: E402
 from . import retrieve as rt  # noqa: E402
 
@@ -575,11 +577,12 @@ def _features(spark, sf_dir, pool: int = 25) -> DataFrame:
     return fe.features_28(cands, qs, idx.corpus, bm, cs, bnorm, expanded=ex.expand_full(qs))
 
 
-@register("features_28")
+@register("features_28", osql.features_28_sql)
 def q_features_28(spark, sf_dir):
     """The 28 features of every (question, candidate) pair of the hybrid
-    top-25 pools."""
-    return _features(spark, sf_dir)
+    top-25 pools (reported to 9 d.p.)."""
+    f = _features(spark, sf_dir)
+    return f.select("query_id", "item_id", *[F.round(c, 9).alias(c) for c in fe.FEATURE_NAMES])
 
 
 def _train(spark, sf_dir) -> DataFrame:
@@ -659,3 +662,329 @@ def q_ranker_save_load(spark, sf_dir):
     s = ltr.standard_scale(t, t)
     path = ltr.save_model(ltr.fit(s, "random_forest", {"numTrees": 50}), base)
     return ltr.predict_topk(ltr.load_model(path), s, 5)
+
+
+# --- index statistics, normalisation, candidate stages ---------------------
+
+@register("corpus_stats", lambda: f"WITH {osql.corpus_cte()}, {osql.questions_cte()}{osql.bm25_ctes()} "
+          "SELECT token, df, round(idf, 9) AS idf FROM voc0 JOIN voc USING (token)")
+def q_corpus_stats(spark, sf_dir):
+    """Whole BM25 vocabulary: document frequency and (floored) idf."""
+    idx = _indexes(spark, sf_dir)
+    return idx.bm25.vocab.select("token", "df", F.round("idf", 9).alias("idf"))
+
+
+@register("minmax_norm", lambda: f"""WITH {osql.corpus_cte()}, {osql.questions_cte()}{osql.bm25_ctes()},
+ball AS ({osql.all_pairs('bm')}),
+bst AS (SELECT query_id, min(score) AS mn, max(score) AS mx FROM ball GROUP BY query_id)
+SELECT bm.query_id, bm.item_id, round((bm.score - mn) / CASE WHEN mx <> mn THEN mx - mn ELSE 1.0 END, 9) AS norm,
+       round((0.0 - mn) / CASE WHEN mx <> mn THEN mx - mn ELSE 1.0 END, 9) AS base
+FROM bm JOIN bst USING (query_id)""")
+def q_minmax_norm(spark, sf_dir):
+    """Per-question min-max normalised BM25 over the whole corpus (matched
+    pairs, plus the value every unmatched item normalises to)."""
+    idx, qs = _setup(spark, sf_dir)
+    n = se.minmax_norm(se.bm25_scores(idx.bm25, qs), idx.n_items)
+    return n.select("query_id", "item_id", F.round("norm", 9).alias("norm"), F.round("base", 9).alias("base"))
+
+
+@register("tie_avg_rank", lambda: f"""WITH {osql.corpus_cte()}, {osql.questions_cte()}{osql.pool_cte()},
+g AS (SELECT round(score, 6) AS score, count(*) AS n FROM lab GROUP BY 1)
+SELECT score, n, (sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n) + (n + 1) / 2.0 AS avg_rank
+FROM g""")
+def q_tie_avg_rank(spark, sf_dir):
+    """Average ascending rank of the pool scores, ties sharing the mean."""
+    p = _labelled_pool(spark, sf_dir).select(F.round("score", 6).alias("score"))
+    return ev.tie_avg_rank(p, "score")
+
+
+@register("gold_hits", lambda: f"""WITH {osql.corpus_cte()}, {osql.questions_cte()}{osql.bm25_top_cte(5)}{osql.gold_cte()}
+SELECT query_id, item_id FROM gold INTERSECT SELECT query_id, item_id FROM bt""")
+def q_gold_hits(spark, sf_dir):
+    """Gold items that BM25 retrieved in the top 5 (set intersection)."""
+    r = _bm25_top(spark, sf_dir, 5).select("query_id", "item_id")
+    return _gold_q(spark, sf_dir).select("query_id", "item_id").intersect(r)
+
+
+@register("hybrid_candidates_offline", lambda: f"""WITH {osql.corpus_cte()}, {osql.questions_cte()}{osql.bm25_ctes()}{osql.tfidf_ctes()}{osql.hybrid_ctes()}
+SELECT query_id, item_id, round(score, 6) AS score, rank FROM (
+  SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ordinal) AS rank FROM hyb)
+WHERE rank <= 55""")
+def q_hybrid_candidates_offline(spark, sf_dir):
+    """Hybrid fusion on the raw question with mentioned items forced to
+    2.0; top 55 candidates per question."""
+    idx, qs = _setup(spark, sf_dir)
+    m = bo.mention_pairs(qs, idx.corpus)
+    p = rt.hybrid_pool(idx, qs, 55, mentions=m)
+    return p.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+
+
+@register("lexical_rerank", lambda: f"""WITH {osql.corpus_cte()}, {osql.questions_cte()}{osql.bm25_ctes()}{osql.tfidf_ctes()}{osql.hybrid_ctes()}
+{osql.ranked_cte('pool', 'hyb', 55)},
+rr0 AS (SELECT query_id, item_id, ordinal, score
+          + CASE WHEN contains(lower(question), replace(lower(name), '_', ' ')) THEN 0.2 ELSE 0.0 END
+          + least(len(list_intersect(list_distinct({osql.ws_tokens('question')}), list_distinct({osql.ws_tokens('text')}))), 5) * 0.01
+          AS score FROM pool)
+SELECT query_id, item_id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ordinal) AS rank FROM rr0)
+WHERE rank <= 5""")
+def q_lexical_rerank(spark, sf_dir):
+    """Rerank of the 55 offline candidates by mention and word overlap."""
+    idx, qs = _setup(spark, sf_dir)
+    m = bo.mention_pairs(qs, idx.corpus)
+    p = rt.hybrid_pool(idx, qs, 55, mentions=m)
+    r = bo.lexical_rerank(p.select("query_id", "item_id", "score"), qs, idx.corpus, 5)
+    return r.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+
+
+@register("expand_query", lambda: f"""WITH {osql.questions_cte()}
+SELECT query_id, list_sort(list_distinct(list_concat({osql.ws_tokens('question')},
+  list_transform({osql.expansion_extras_sql('question')}, lambda w: lower(w))))) AS expanded_terms FROM q""")
+def q_expand_query(spark, sf_dir):
+    """Question words plus SQL-phrase and abbreviation expansion words
+    (as a sorted set of lower-cased terms)."""
+    qs = tb.questions_benchmark(spark, sf_dir)
+    x = ex.expand_full(qs)
+    return x.select("query_id", F.array_sort(tx.ws_set("expanded")).alias("expanded_terms"))
+
+
+# --- benchmark report -------------------------------------------------------
+
+def _facts(spark, sf_dir):
+    idx, qs = _setup(spark, sf_dir)
+    t5 = rt.retrieve_offline(idx, qs, k=5)
+    t10 = rt.retrieve_offline(idx, qs, k=10)
+    return ev.benchmark_facts(qs, _gold_q(spark, sf_dir), t5, t10)
+
+
+def _facts_sql() -> str:
+    """benchmark facts from the offline pipeline at k = 5 and k = 10."""
+    r5 = osql.retrieve_offline_sql(5)
+    r10 = osql.retrieve_offline_sql(10)
+    cols = ev.COLUMN_WORDS
+    doms = ev.DOMAIN_WORDS
+    has = lambda ws: "(" + " OR ".join(f"contains(lower(q.text), '{w}')" for w in ws) + ")"
+    return f"""g AS ({osql.containment_gold_sql()}),
+gg AS (SELECT item_id AS query_id, list(doc_id) AS gold FROM g GROUP BY 1),
+r5 AS (SELECT query_id, list(item_id) AS r FROM ({r5}) GROUP BY 1),
+r10 AS (SELECT query_id, list(item_id) AS r FROM ({r10}) GROUP BY 1),
+facts AS (SELECT gg.query_id, len(gg.gold) AS n_gold,
+    len(list_intersect(gg.gold, coalesce(r5.r, []))) / len(gg.gold) AS recall_5,
+    len(list_intersect(gg.gold, coalesce(r10.r, []))) / len(gg.gold) AS recall_10,
+    len(gg.gold) > 1 AS multi_table, contains(lower(q.text), 'join') AS join_detection,
+    {has(cols)} AS column_mapping, {has(doms)} AS domain_knowledge
+  FROM gg JOIN benchmark q ON q.item_id = gg.query_id
+  LEFT JOIN r5 ON r5.query_id = gg.query_id LEFT JOIN r10 ON r10.query_id = gg.query_id)"""
+
+
+@register("benchmark_summary", lambda: f"""WITH {_facts_sql()}
+SELECT count(*) AS total_queries, round(avg(recall_5), 4) AS retrieval_recall_at_5,
+  round(avg(recall_10), 4) AS retrieval_recall_at_10, sum(CASE WHEN recall_5 = 0 THEN 1 ELSE 0 END) AS retrieval_failures
+FROM facts""")
+def q_benchmark_summary(spark, sf_dir):
+    """Benchmark report of the offline retriever: questions, Recall@5/10,
+    retrieval failures."""
+    return ev.benchmark_summary(_facts(spark, sf_dir))
+
+
+@register("subtask_breakdown", lambda: f"""WITH {_facts_sql()},
+s AS (SELECT 'multi_table' AS subtask, multi_table AS m, recall_5 = 1.0 AS ok FROM facts
+  UNION ALL SELECT 'column_mapping', column_mapping, recall_5 = 1.0 FROM facts
+  UNION ALL SELECT 'join_detection', join_detection, recall_5 = 1.0 FROM facts
+  UNION ALL SELECT 'domain_knowledge', domain_knowledge, recall_5 = 1.0 FROM facts)
+SELECT subtask, sum(CASE WHEN m THEN 1 ELSE 0 END) AS count, sum(CASE WHEN m AND ok THEN 1 ELSE 0 END) AS correct,
+  CASE WHEN sum(CASE WHEN m THEN 1 ELSE 0 END) > 0
+       THEN round(sum(CASE WHEN m AND ok THEN 1 ELSE 0 END) / sum(CASE WHEN m THEN 1 ELSE 0 END), 4) ELSE 1.0 END AS rate
+FROM s GROUP BY subtask""")
+def q_subtask_breakdown(spark, sf_dir):
+    """Success rate per overlapping subtask (1.0 without members)."""
+    return ev.subtask_breakdown(_facts(spark, sf_dir))
+
+
+# --- audit log and experiment runs ------------------------------------------
+
+import os  # noqa: E402
+import time as _time  # noqa: E402
+import uuid  # noqa: E402
+
+from ..sources import logs as lg  # noqa: E402
+
+
+def _audit_path(spark, sf_dir) -> str:
+    """Write one audit record per benchmark question (the offline
+    retrieval result) and return the log folder."""
+    idx, qs = _setup(spark, sf_dir)
+    r = rt.retrieve_offline(idx, qs)
+    per_q = (r.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "name", "score"))).alias("x"),
+                                       F.first("confidence").alias("confidence"))
+             .join(qs, "query_id")
+             .select(F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("query_id")),
+                                   "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+                     "question", F.col("x.name").alias("retrieved_tables"), F.col("x.score").alias("scores"),
+                     "confidence", F.lit("offline").alias("model_used")))
+    path = os.path.join(checkpoint_dir(spark), f"audit-{uuid.uuid4().hex[:12]}")
+    lg.audit_log_write(per_q, path)
+    return path
+
+
+@register("audit_log_recent")
+def q_audit_log_recent(spark, sf_dir):
+    """Write the audit log of a retrieval batch, read back the newest 20."""
+    return lg.audit_log_recent(spark, _audit_path(spark, sf_dir), 20)
+
+
+@register("top_tables_in_log", lambda: (
+    f"SELECT name AS table_name, count(*) AS n FROM ({osql.retrieve_offline_sql(5)}) GROUP BY name"))
+def q_top_tables_in_log(spark, sf_dir):
+    """How often each item was retrieved, read from the audit log."""
+    log = spark.read.schema(lg.AUDIT_SCHEMA).json(_audit_path(spark, sf_dir))
+    return log.select(F.explode("retrieved_tables").alias("table_name")).groupBy("table_name") \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+def _runs_path(spark, sf_dir) -> str:
+    """Train two model kinds on the training set (fold 0 held out), record
+    one experiment run each and return the runs folder."""
+    t = _cached_train(spark, sf_dir)
+    folds = ltr.group_kfold(t, 5)
+    tf = t.join(folds, "group_id")
+    tr, va = tf.filter("fold != 0"), tf.filter("fold = 0")
+    path = os.path.join(checkpoint_dir(spark), f"runs-{uuid.uuid4().hex[:12]}")
+    runs = []
+    for kind, params in (("random_forest", {"numTrees": 20}), ("gradient_boosting", {"maxIter": 20})):
+        t0 = _time.time()
+        m = ltr.fit(ltr.standard_scale(tr, tr), kind, params)
+        dur = _time.time() - t0
+        val = ltr.fold_metrics(ltr.predict_scores(m, ltr.standard_scale(tr, va))).first().asDict()
+        trn = ltr.fold_metrics(ltr.predict_scores(m, ltr.standard_scale(tr, tr))).first().asDict()
+        imp = {r.feature: r.importance for r in ltr.feature_importance(m, spark).collect()}
+        runs.append((f"{kind}_{uuid.uuid4().hex[:8]}", kind, "grouped holdout, fold 0", sf_dir,
+                     t.count(), len(fe.FEATURE_NAMES), 5, 0.2, dur,
+                     {k: str(v) for k, v in params.items()},
+                     {k.replace("val_", "train_"): v for k, v in trn.items()}, val, {}, imp, [val]))
+    schema = ("run_id string, model_type string, description string, dataset string, num_training_samples int, "
+              "num_features int, cv_folds int, train_test_split_ratio double, training_duration_seconds double, "
+              "hyperparameters map<string,string>, train_metrics map<string,double>, val_metrics map<string,double>, "
+              "test_metrics map<string,double>, feature_importances map<string,double>, "
+              "cv_fold_metrics array<map<string,double>>")
+    lg.experiment_write(spark.createDataFrame(runs, schema), path)
+    return path
+
+
+@register("experiment_list")
+def q_experiment_list(spark, sf_dir):
+    """Record two training runs, list them newest first."""
+    return lg.experiment_list(spark, _runs_path(spark, sf_dir)).select(
+        "run_id", "model_type", "num_training_samples", "val_metrics")
+
+
+@register("best_run")
+def q_best_run(spark, sf_dir):
+    """Best recorded run by validation Recall@5."""
+    return lg.best_run(lg.experiment_list(spark, _runs_path(spark, sf_dir)), "val_recall_at_5")
+
+
+@register("run_comparison")
+def q_run_comparison(spark, sf_dir):
+    """Recorded runs side by side on chosen metrics."""
+    return lg.run_comparison(lg.experiment_list(spark, _runs_path(spark, sf_dir)),
+                             ["val_recall_at_5", "val_ndcg_at_5", "val_auc_roc"])
+
+
+@register("predict_scores")
+def q_predict_scores(spark, sf_dir):
+    """Relevance probability of every training candidate (forest)."""
+    t = _cached_train(spark, sf_dir)
+    s = ltr.standard_scale(t, t)
+    return ltr.predict_scores(ltr.fit(s, "random_forest", {"numTrees": 50}), s).select("group_id", "item_id", "score")
+
+
+@register("train_boosted_variants")
+def q_train_boosted_variants(spark, sf_dir):
+    """The boosted-library settings (depth 6) on Spark's GBT; top 5."""
+    t = _cached_train(spark, sf_dir)
+    s = ltr.standard_scale(t, t)
+    return ltr.predict_topk(ltr.fit(s, "lightgbm", {"maxIter": 50}), s, 5)
+
+
+# --- catalog ------------------------------------------------------------------
+
+from ..operators import catalog as cg  # noqa: E402
+
+
+def _cat_cols(spark, sf_dir):
+    return cg.catalog_columns(tb.catalog_from_documents(spark, sf_dir))
+
+
+@register("catalog_columns", lambda: f"WITH {osql.catalog_cte()} SELECT * FROM ccols")
+def q_catalog_columns(spark, sf_dir):
+    """Catalog rows (JSON or comma lists) exploded to ordered columns."""
+    return _cat_cols(spark, sf_dir)
+
+
+@register("catalog_type_map", lambda: f"WITH {osql.catalog_class_sql()} SELECT table_name, column_name, storage_type FROM cls")
+def q_catalog_type_map(spark, sf_dir):
+    """Storage type of every catalog column (ordered substring rules)."""
+    return cg.classify_columns(_cat_cols(spark, sf_dir)).select("table_name", "column_name", "storage_type")
+
+
+@register("column_role", lambda: f"WITH {osql.catalog_class_sql()} SELECT table_name, column_name, role FROM cls")
+def q_column_role(spark, sf_dir):
+    """Role of every catalog column (first matching rule)."""
+    return cg.classify_columns(_cat_cols(spark, sf_dir)).select("table_name", "column_name", "role")
+
+
+@register("join_key_predicate", lambda: f"WITH {osql.catalog_class_sql()} SELECT table_name, column_name, is_join_key FROM cls")
+def q_join_key_predicate(spark, sf_dir):
+    """Is each catalog column a usable join key?"""
+    return cg.classify_columns(_cat_cols(spark, sf_dir)).select("table_name", "column_name", "is_join_key")
+
+
+@register("audit_column_filter", lambda: f"WITH {osql.catalog_class_sql()} SELECT table_name, column_name FROM cls WHERE NOT is_audit")
+def q_audit_column_filter(spark, sf_dir):
+    """Catalog columns without the bookkeeping (audit) columns."""
+    c = _cat_cols(spark, sf_dir)
+    return c.filter(~cg.is_audit_column(F.col("column_name"))).select("table_name", "column_name")
+
+
+@register("shared_key_edges", lambda: f"WITH {osql.catalog_class_sql()} SELECT key, n_tables FROM hubs")
+def q_shared_key_edges(spark, sf_dir):
+    """Join keys shared by several tables, in hub form (key, tables)."""
+    return cg.key_hubs(_cat_cols(spark, sf_dir))
+
+
+@register("relation_counts", lambda: f"""WITH {osql.catalog_class_sql()},
+n AS (SELECT table_name, count(*) AS num_columns FROM ccols GROUP BY table_name),
+k AS (SELECT table_name, count(*) AS num_join_keys, max(n_tables) AS max_hub_tables FROM tk GROUP BY table_name)
+SELECT n.table_name, num_columns, coalesce(num_join_keys, 0) AS num_join_keys, coalesce(max_hub_tables, 0) AS max_hub_tables
+FROM n LEFT JOIN k USING (table_name)""")
+def q_relation_counts(spark, sf_dir):
+    """Columns, shared join keys and largest hub per table."""
+    return cg.relation_counts(_cat_cols(spark, sf_dir))
+
+
+@register("usecase_text", lambda: f"WITH {osql.catalog_cte()} SELECT table_name, {osql.usecase_sql('table_name')} AS usecase FROM catraw")
+def q_usecase_text(spark, sf_dir):
+    """Use-case sentence per table from its name parts."""
+    c = tb.catalog_from_documents(spark, sf_dir)
+    return c.select("table_name", cg.usecase_text(F.col("table_name")).alias("usecase"))
+
+
+@register("describe_item", lambda: osql.describe_sql(False))
+def q_describe_item(spark, sf_dir):
+    """Full description per table (columns with types and roles, keys)."""
+    return cg.describe_tables(_cat_cols(spark, sf_dir))
+
+
+@register("describe_clean", lambda: osql.describe_sql(True))
+def q_describe_clean(spark, sf_dir):
+    """Description with column names only."""
+    return cg.describe_tables(_cat_cols(spark, sf_dir), clean=True)
+
+
+@register("compact_schema_line", lambda: f"""WITH {osql.catalog_class_sql()}
+SELECT table_name, table_name || '(' || string_agg(column_name, ', ' ORDER BY ordinal) || ') -- '
+  || {osql.usecase_sql('table_name')} AS line FROM cls WHERE NOT is_audit GROUP BY table_name""")
+def q_compact_schema_line(spark, sf_dir):
+    """``T(col, ...) -- use case`` lines for prompt context."""
+    return cg.compact_schema_line(_cat_cols(spark, sf_dir))

@@ -52,3 +52,29 @@ def questions_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (c.filter(F.col("role") == "user")
             .select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
                     F.coalesce(F.col("text"), F.lit("")).alias("question")))
+
+
+def catalog_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in catalog rows ``(table_name, column_names, column_types)``
+    with one described table per document: its id, a per-source key, a
+    per-language code, text and size columns, a load-date audit column and
+    the label columns when the document is labelled.  Even ids carry the
+    lists as JSON arrays, odd ids as bracketed comma text (the fallback
+    format).  Only the input rows are built here; every catalog operator
+    runs on them unchanged."""
+    d = table(spark, sf_dir, "documents", spread=True).select("doc_id", "lang", "source")
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("_lab"))
+    j = d.join(lab, "doc_id", "left")
+    labelled = F.coalesce(F.col("_lab"), F.lit(False))
+    names = F.concat(F.array(F.lit("doc_id"), F.concat(F.col("source"), F.lit("_id")),
+                             F.concat(F.col("lang"), F.lit("_code")), F.lit("text"), F.lit("n_chars"),
+                             F.lit("load_date")),
+                     F.when(labelled, F.array(F.lit("quality"), F.lit("toxic"))).otherwise(F.array().cast("array<string>")))
+    types = F.concat(F.array(*[F.lit(t) for t in ("int64", "int64", "string", "string", "int64", "timestamp")]),
+                     F.when(labelled, F.array(F.lit("int32"), F.lit("int32"))).otherwise(F.array().cast("array<string>")))
+
+    def enc(a):
+        return F.when(F.col("doc_id") % 2 == 0, F.to_json(a)) \
+            .otherwise(F.concat(F.lit("["), F.array_join(a, ", "), F.lit("]")))
+    return j.select(F.upper(F.concat_ws("_", "lang", "source", F.col("doc_id").cast("string"))).alias("table_name"),
+                    enc(names).alias("column_names"), enc(types).alias("column_types"))
