@@ -171,26 +171,149 @@ def rule_pins(queries: DataFrame, corpus: DataFrame, rules: list[Rule],
 
 
 def graph_propagate(scores: DataFrame, item_keys: DataFrame, threshold: float = 1.0,
-                    factor: float = 0.4, score: str = "score") -> DataFrame:
+                    factor: float = 0.4, score: str = "score", fill_k: int | None = None) -> DataFrame:
     """One hop of score propagation over shared join keys: every item whose
     score is above ``threshold`` lifts each neighbour to at least
     ``factor`` x its score (from pre-propagation scores).
 
-    Neighbours are items sharing a key column; instead of materialising
-    item pairs (quadratic in a popular key), the push goes through the key
-    as a hub: per (query, key) the best pushing score, then per item the
-    best over its keys.  An item's own push never exceeds its score, so
-    routing it back to itself changes nothing.  ``item_keys`` =
-    (item_id, key)."""
-    src = scores.filter(F.col(score) > threshold).join(item_keys, "item_id")
+    Neighbours are items sharing a key; the push goes through the key as a
+    hub, never through materialised item pairs: per (question, key) the
+    best pushing score, then per receiving item the best over its keys.
+    Receivers are the scored pairs themselves (linear in them) and, when
+    ``fill_k`` is given, the ``fill_k`` lowest-ordinal members of every
+    pushing hub — enough for an exact top-``fill_k`` afterwards, because
+    all unscored members of a hub receive the same lift.  An item's own
+    push never exceeds its score, so it changes nothing for itself.
+    ``item_keys`` = (item_id, key, ordinal)."""
+    ik = item_keys.select("item_id", "key")
+    src = scores.filter(F.col(score) > threshold).join(ik, "item_id")
     hub = src.groupBy("query_id", "key").agg(F.max(F.col(score)).alias("_push"))
-    recv = hub.join(item_keys, "key").groupBy("query_id", "item_id").agg(
-        (F.max("_push") * factor).alias("_lift"))
-    j = scores.join(recv, ["query_id", "item_id"], "left")
-    return j.withColumn(score, F.greatest(F.col(score), F.coalesce(F.col("_lift"), F.col(score)))).drop("_lift")
+    recv = (scores.select("query_id", "item_id").join(ik, "item_id").join(hub, ["query_id", "key"])
+            .groupBy("query_id", "item_id").agg((F.max("_push") * factor).alias("_lift")))
+    out = scores.join(recv, ["query_id", "item_id"], "left")
+    out = out.withColumn(score, F.greatest(F.col(score), F.coalesce(F.col("_lift"), F.col(score)))).drop("_lift")
+    if fill_k:
+        w = Window.partitionBy("key").orderBy("ordinal", "item_id")
+        firsts = item_keys.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= fill_k) \
+            .select("key", "item_id")
+        extra = hub.join(firsts, "key").groupBy("query_id", "item_id").agg((F.max("_push") * factor).alias(score)) \
+            .join(scores.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+        out = out.select("query_id", "item_id", score).unionByName(extra.select("query_id", "item_id", score))
+    return out
 
 
 def heuristic_fusion(cands: DataFrame, logit: str = "logit", score: str = "score",
                      weight: float = 1.5) -> DataFrame:
     """candidate score + 1.5 x sigmoid(pair logit)."""
     return cands.withColumn("fused", F.col(score) + weight / (1 + F.exp(-F.col(logit))))
+
+
+def name_boost(queries: DataFrame, corpus: DataFrame, mentions: DataFrame,
+               exact: float = 2.0, part: float = 1.5) -> DataFrame:
+    """(query_id, item_id, name_boost): ``exact`` when the question
+    mentions the name; else ``part`` when the name's second part (longer
+    than three characters) or its singular / plural form is a question
+    word (words stripped of ``?,.()_:``).  The part test is an equi join
+    of question words with name parts, not a scan of names per question."""
+    m = mentions.select("query_id", "item_id", F.lit(exact).alias("name_boost"))
+    words = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.transform(
+        F.split(F.lower("question"), "[ \\t\\n\\r\\f]+"),
+        lambda w: F.regexp_replace(w, "^[?,.()_:]+|[?,.()_:]+$", "")), lambda w: w != ""))).alias("w"))
+    p2 = F.split(F.lower("name"), "_").getItem(1)
+    forms = F.array(p2, F.concat(p2, F.lit("s")),
+                    F.when(p2.endswith("s"), p2.substr(F.lit(1), F.length(p2) - 1)))
+    parts = corpus.filter(F.size(F.split("name", "_")) > 1).select(
+        "item_id", F.explode(F.filter(forms, lambda x: x.isNotNull())).alias("w"), p2.alias("p2")) \
+        .filter(F.length("p2") > 3).select("item_id", "w")
+    pb = words.join(parts, "w").select("query_id", "item_id").distinct() \
+        .withColumn("name_boost", F.lit(part))
+    both = m.unionByName(pb)
+    return both.groupBy("query_id", "item_id").agg(F.max("name_boost").alias("name_boost"))
+
+
+def force_include(top: DataFrame, scored: DataFrame, forced: DataFrame) -> DataFrame:
+    """Append forced items that missed the cut (with their score), without
+    duplicates: rows of ``top`` plus forced rows of ``scored`` not in it."""
+    extra = scored.join(forced.select("query_id", "item_id"), ["query_id", "item_id"], "left_semi") \
+        .join(top.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+    return top.select("query_id", "item_id", "score").unionByName(extra.select("query_id", "item_id", "score"))
+
+
+def pair_scorer(cands: DataFrame, queries: DataFrame, corpus: DataFrame, model=None) -> DataFrame:
+    """Pair logits for candidate rows.  ``model`` is a function
+    pandas.DataFrame(question, text, name) -> array of logits, applied per
+    Arrow batch with ``mapInPandas`` to candidate pairs only; without a
+    model the model-free lexical logit is computed JVM-side."""
+    from .features import pair_logit
+    from ..functions.text import ws_set
+    j = cands.select("query_id", "item_id").join(queries.select("query_id", "question"), "query_id") \
+        .join(corpus.select("item_id", "name", "text"), "item_id")
+    if model is None:
+        return j.select("query_id", "item_id", pair_logit(F.lower("question"), F.col("name"),
+                                                          ws_set("question"), ws_set("text")).alias("logit"))
+
+    def run(batches):
+        import numpy as np
+        for pdf in batches:
+            logit = np.nan_to_num(np.asarray(model(pdf), dtype=float), nan=0.0, posinf=0.0, neginf=0.0)
+            yield pdf[["query_id", "item_id"]].assign(logit=logit)
+    return j.mapInPandas(run, "query_id long, item_id long, logit double")
+
+
+def memo_lookup(requests: DataFrame, cache: DataFrame, compute, key: str = "query_id",
+                value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Cache in front of an expensive step.  Hits come from ``cache`` (left
+    join), misses (``left_anti``) go through ``compute`` (a DataFrame ->
+    DataFrame function returning key + value); the cache is upserted with
+    the new values, the latest write winning per key.
+    Returns (answers with a ``from_cache`` flag, updated cache)."""
+    hits = requests.join(cache.select(key, value), key, "inner").withColumn("from_cache", F.lit(True))
+    misses = requests.join(cache.select(key), key, "left_anti")
+    fresh = compute(misses).select(key, value)
+    answers = hits.select(key, value, "from_cache").unionByName(fresh.withColumn("from_cache", F.lit(False)))
+    stamped = (cache.select(key, value, F.lit(0).alias("_v"))
+               .unionByName(fresh.select(key, value, F.lit(1).alias("_v"))))
+    w = Window.partitionBy(key).orderBy(F.col("_v").desc())
+    updated = stamped.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_v")
+    return answers, updated
+
+
+def rule_target_boosts(queries: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Fired rules summed per (question, target, match): rows sharing a
+    rule id count once (max).  Stays at target level — a prefix family is
+    one row, not one row per member item."""
+    f = fired_rules(queries, rules)
+    per_rule = f.groupBy("query_id", "rule_id", "target", "match").agg(F.max("delta").alias("d"))
+    return per_rule.groupBy("query_id", "target", "match").agg(F.sum("d").alias("boost"))
+
+
+def _item_targets(corpus: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(item_id, ordinal, target, match): every rule key an item answers to."""
+    keys = [F.struct(F.lit("exact").alias("match"), F.col("name").alias("target"))]
+    for L in sorted({len(r.target) for r in rules if r.match == "prefix"}):
+        keys.append(F.struct(F.lit("prefix").alias("match"), F.substring("name", 1, L).alias("target")))
+    return corpus.select("item_id", "ordinal", F.explode(F.array(*keys)).alias("k")) \
+        .select("item_id", "ordinal", "k.target", "k.match")
+
+
+def apply_rule_boosts(pairs: DataFrame, corpus: DataFrame, tboost: DataFrame, rules: list[Rule],
+                      fill_k: int | None = None) -> DataFrame:
+    """(query_id, item_id, boost) for the given (query_id, item_id) pairs,
+    plus — with ``fill_k`` — the ``fill_k`` lowest-ordinal items of every
+    fired target (all members of a target get the same boost, so that is
+    enough for an exact top-``fill_k`` of boosted unscored items)."""
+    it = _item_targets(corpus, rules)
+    pk = pairs.select("query_id", "item_id").distinct().join(it.select("item_id", "target", "match"), "item_id")
+    got = pk.join(tboost, ["query_id", "target", "match"]).groupBy("query_id", "item_id") \
+        .agg(F.sum("boost").alias("boost"))
+    if fill_k:
+        w = Window.partitionBy("target", "match").orderBy("ordinal", "item_id")
+        firsts = it.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= fill_k) \
+            .select("item_id", "target", "match")
+        fill_pairs = tboost.join(firsts, ["target", "match"]).select("query_id", "item_id").distinct() \
+            .join(pairs.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+        extra = fill_pairs.join(it.select("item_id", "target", "match"), "item_id") \
+            .join(tboost, ["query_id", "target", "match"]).groupBy("query_id", "item_id") \
+            .agg(F.sum("boost").alias("boost"))
+        got = got.unionByName(extra)
+    return got

@@ -187,3 +187,27 @@ def catalog_search(descriptions: DataFrame, cols: DataFrame, term: str) -> DataF
     hit_desc = descriptions.filter((F.instr(F.lower("table_name"), t) > 0) |
                                    (F.instr(F.lower("description"), t) > 0)).select("table_name")
     return hit_desc.union(hit_col).distinct()
+
+
+def join_paths(top: DataFrame, item_keys: DataFrame) -> DataFrame:
+    """Join paths inside each question's retrieved set: pairs of retrieved
+    items (better-ranked first) that share a join key, with the sorted keys
+    joined by ``/``.  Pairs are formed only within a question's top-k, so
+    their number is bounded by k² per question.
+    ``top`` = (query_id, item_id, rank); ``item_keys`` = (item_id, key)."""
+    a = top.select("query_id", "item_id", "rank").join(item_keys.select("item_id", "key"), "item_id")
+    x, y = a.alias("x"), a.alias("y")
+    p = x.join(y, (F.col("x.query_id") == F.col("y.query_id")) & (F.col("x.key") == F.col("y.key"))
+               & (F.col("x.rank") < F.col("y.rank")))
+    g = p.groupBy(F.col("x.query_id").alias("query_id"), F.col("x.item_id").alias("left_item"),
+                  F.col("y.item_id").alias("right_item")).agg(F.array_sort(F.collect_set("x.key")).alias("k"))
+    return g.select("query_id", "left_item", "right_item", F.array_join("k", "/").alias("via"))
+
+
+def edges_from_text(descriptions: DataFrame) -> DataFrame:
+    """Join keys parsed back out of description text:
+    (table_name, key, n_tables)."""
+    inner = F.regexp_extract("description", r"Join Keys: \[(.*)\]\.$", 1)
+    items = descriptions.select("table_name", F.explode(F.split(inner, ", ")).alias("it")).filter(F.col("it") != "")
+    return items.select("table_name", F.regexp_extract("it", r"^(.*) \((\d+) tables\)$", 1).alias("key"),
+                        F.regexp_extract("it", r"^(.*) \((\d+) tables\)$", 2).cast("long").alias("n_tables"))

@@ -32,9 +32,14 @@ DEFAULT_TIERS = ((8, 8), (3, 3), (1, 1))
 
 
 def _sampled_grams(hay: DataFrame, g: int, s: int) -> DataFrame:
-    n = F.length("htext")
-    pos = F.when(n >= g, F.sequence(F.lit(1), n - g + 1, F.lit(s))).otherwise(F.array().cast("array<int>"))
-    grams = F.array_distinct(F.transform(pos, lambda p: F.col("htext").substr(p, F.lit(g))))
+    if g == s:
+        # grams at 1, 1+g, 1+2g, ... are the consecutive g-character chunks:
+        # one native regex pass, no per-element lambda
+        grams = F.array_distinct(F.regexp_extract_all("htext", F.lit("(?s)(.{%d})" % g), 1))
+    else:
+        n = F.length("htext")
+        pos = F.when(n >= g, F.sequence(F.lit(1), n - g + 1, F.lit(s))).otherwise(F.array().cast("array<int>"))
+        grams = F.array_distinct(F.transform(pos, lambda p: F.col("htext").substr(p, F.lit(g))))
     return (hay.select("hid", F.explode_outer(grams).alias("gram"))
             .filter(F.col("gram").isNotNull()))
 
@@ -65,7 +70,10 @@ def contains_pairs(hay: DataFrame, hay_id: str, hay_text: str,
         nt = n_all.filter(cond)
         if has_at_most(nt, 0):
             continue
-        small = has_at_most(nt, BROADCAST_MAX_ROWS // 64)
+        # broadcast bounds, checked on the data: needle grams number about
+        # the total needle length; needle text is bounded in bytes
+        total_chars = nt.agg(F.sum(F.length("ntext"))).first()[0] or 0
+        small = total_chars <= BROADCAST_MAX_ROWS and has_at_most(nt, BROADCAST_MAX_ROWS // s)
         ng = _needle_grams(nt, g, s)
         hg = _sampled_grams(h, g, s)
         wanted = ng.select("gram").distinct()

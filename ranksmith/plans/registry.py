@@ -570,11 +570,12 @@ from ..operators import ltr  # noqa: E402
 
 def _features(spark, sf_dir, pool: int = 25) -> DataFrame:
     idx, qs = _setup(spark, sf_dir)
-    bm = se.bm25_scores(idx.bm25, qs)
-    cs = se.tfidf_scores(idx.tfidf, qs)
+    bm = rt.stage(se.bm25_scores(idx.bm25, qs))
+    cs = rt.stage(se.tfidf_scores(idx.tfidf, qs))
     bnorm = se.minmax_norm(bm, idx.n_items, max_floor=True)
-    cands = rt.hybrid_pool(idx, qs, pool, scores=(bm, cs))
-    return fe.features_28(cands, qs, idx.corpus, bm, cs, bnorm, expanded=ex.expand_full(qs))
+    cands = rt.stage(rt.hybrid_pool(idx, qs, pool, scores=(bm, cs)))
+    xq = rt.stage(ex.expand_full(qs))
+    return fe.features_28(cands, qs, idx.corpus, bm, cs, bnorm, expanded=xq)
 
 
 @register("features_28", osql.features_28_sql)
@@ -988,3 +989,113 @@ SELECT table_name, table_name || '(' || string_agg(column_name, ', ' ORDER BY or
 def q_compact_schema_line(spark, sf_dir):
     """``T(col, ...) -- use case`` lines for prompt context."""
     return cg.compact_schema_line(_cat_cols(spark, sf_dir))
+
+
+# --- full pipeline pieces -----------------------------------------------------
+
+def _item_keys(spark, sf_dir):
+    """(item_id, key, ordinal): shared join keys of every corpus item, from
+    the catalog built over the same documents."""
+    idx = _indexes(spark, sf_dir)
+    tk = cg.table_keys(_cat_cols(spark, sf_dir))
+    return tk.join(idx.corpus.select("item_id", "ordinal", F.col("name").alias("table_name")), "table_name") \
+        .select("item_id", "key", "ordinal")
+
+
+@register("retrieve_full")
+def q_retrieve_full(spark, sf_dir):
+    """Full pipeline (no learned model): expanded BM25 + cosine, name and
+    language-rule boosts, key-hub propagation, top 25 + forced, pair
+    logits, heuristic fusion, calibrated top 5."""
+    idx, qs = _setup(spark, sf_dir)
+    return rt.retrieve_full(idx, qs, _item_keys(spark, sf_dir))
+
+
+@register("rule_boost")
+def q_rule_boost(spark, sf_dir):
+    """Language-cue rule boosts of user turns, per (question, target)."""
+    qs = tb.questions_conversations(spark, sf_dir)
+    return bo.rule_target_boosts(qs, rt.LANGUAGE_RULES)
+
+
+@register("name_boost")
+def q_name_boost(spark, sf_dir):
+    """Name mention (2.0) and name-part (1.5) boosts per question."""
+    idx, qs = _setup(spark, sf_dir)
+    return bo.name_boost(qs, idx.corpus, bo.mention_pairs(qs, idx.corpus))
+
+
+@register("graph_propagate")
+def q_graph_propagate(spark, sf_dir):
+    """Hybrid scores + rule boosts lifted through shared join keys."""
+    idx, qs = _setup(spark, sf_dir)
+    p = rt.hybrid_pool(idx, qs, 25)
+    rb = bo.apply_rule_boosts(p, idx.corpus, bo.rule_target_boosts(qs, rt.LANGUAGE_RULES), rt.LANGUAGE_RULES)
+    s = p.select("query_id", "item_id", "score").join(rb, ["query_id", "item_id"], "left") \
+        .select("query_id", "item_id", (F.col("score") + F.coalesce("boost", F.lit(0.0)) * 4).alias("score"))
+    return bo.graph_propagate(s, _item_keys(spark, sf_dir), fill_k=25)
+
+
+@register("pair_scorer")
+def q_pair_scorer(spark, sf_dir):
+    """Pair logits of the hybrid top-25 pools through ``mapInPandas`` with
+    a pandas lexical model (same formula as the JVM default)."""
+    idx, qs = _setup(spark, sf_dir)
+    p = rt.hybrid_pool(idx, qs, 25)
+
+    def lexical(pdf):
+        import numpy as np
+        out = []
+        for q, t, n in zip(pdf["question"], pdf["text"], pdf["name"]):
+            ql = q.lower()
+            hit = 0.2 if n.lower().replace("_", " ") in ql else 0.0
+            out.append(4.0 * (hit + 0.01 * min(5, len(set(ql.split()) & set(t.lower().split())))) - 2.0)
+        return np.array(out)
+    return bo.pair_scorer(p, qs, idx.corpus, lexical)
+
+
+@register("workload_scan", lambda: """SELECT conv_id, turn, text FROM conversations
+WHERE role = 'user' AND length(coalesce(text, '')) > 0 ORDER BY conv_id, turn LIMIT 50""")
+def q_workload_scan(spark, sf_dir):
+    """First 50 usable questions of the workload (a limit is the feature)."""
+    c = tb.table(spark, sf_dir, "conversations")
+    return c.filter((F.col("role") == "user") & (F.length(F.coalesce("text", F.lit(""))) > 0)) \
+        .orderBy("conv_id", "turn").limit(50).select("conv_id", "turn", "text")
+
+
+@register("join_paths", lambda: f"""WITH {osql.catalog_class_sql()},
+top AS ({osql.retrieve_offline_sql(5)}),
+keys AS (SELECT d.doc_id AS item_id, tk.key FROM tk JOIN documents d
+         ON upper(concat_ws('_', d.lang, d.source, CAST(d.doc_id AS VARCHAR))) = tk.table_name),
+a AS (SELECT top.query_id, top.item_id, top.rank, keys.key FROM top JOIN keys USING (item_id))
+SELECT x.query_id, x.item_id AS left_item, y.item_id AS right_item,
+       array_to_string(list_sort(list_distinct(list(x.key))), '/') AS via
+FROM a x JOIN a y ON x.query_id = y.query_id AND x.key = y.key AND x.rank < y.rank
+GROUP BY 1, 2, 3""")
+def q_join_paths(spark, sf_dir):
+    """Pairs of each question's top-5 items that share a join key."""
+    idx, qs = _setup(spark, sf_dir)
+    top = rt.retrieve_offline(idx, qs)
+    keys = _item_keys(spark, sf_dir)
+    return cg.join_paths(top, keys)
+
+
+@register("edges_from_text", lambda: f"""WITH {osql.catalog_class_sql()}
+SELECT table_name, key, n_tables FROM tk""")
+def q_edges_from_text(spark, sf_dir):
+    """Join keys recovered from the description text of every table."""
+    return cg.edges_from_text(cg.describe_tables(_cat_cols(spark, sf_dir)))
+
+
+@register("memo_lookup")
+def q_memo_lookup(spark, sf_dir):
+    """Expansion memo: even question ids are cached, the rest computed and
+    upserted; answers carry where they came from."""
+    qs = tb.questions_benchmark(spark, sf_dir)
+
+    def expand(df):
+        return ex.expand_full(df).select("query_id", F.array_sort(tx.ws_set("expanded")).alias("value"))
+    cache = expand(qs.filter(F.col("query_id") % 2 == 0))
+    answers, updated = bo.memo_lookup(qs, cache, lambda m: expand(m.select("query_id", "question")))
+    return answers.join(updated.select("query_id", F.col("value").alias("cached")), "query_id") \
+        .select("query_id", "value", "from_cache", (F.col("value") == F.col("cached")).alias("cache_updated"))

@@ -10,7 +10,7 @@ from ..operators import boost as bo
 from ..operators import expand as ex
 from ..operators import index as ix
 from ..operators import search as se
-from ..operators.util import OUT_DIGITS, scalar
+from ..operators.util import OUT_DIGITS, scalar, topk
 from ..session import checkpoint_dir
 
 
@@ -57,6 +57,17 @@ class Indexes:
         return self._tfidf
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Materialise one pipeline stage in the shared checkpoint folder.
+
+    Long pipelines reuse intermediate tables (pair scores feed the pool,
+    the ranks and the normalisation; boosts feed scoring and forcing).
+    Storing a stage once keeps each downstream plan small and executes
+    the stage once; a lost executor re-reads stored blocks."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def hybrid_pool(idx: Indexes, queries: DataFrame, k: int, alpha: float = 0.5,
                 text_col: str = "question", mentions: DataFrame | None = None,
                 forced_score: float = 2.0, scores: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -89,8 +100,8 @@ def retrieve_offline(idx: Indexes, queries: DataFrame, k: int = 5, pool: int = 5
     One row per (query, rank): item, name, score (4 d.p.), the query's
     confidence (mean of its scores) and a reason text."""
     corpus = idx.corpus
-    mentions = bo.mention_pairs(queries, corpus, raw=True, clean=True)
-    cands = hybrid_pool(idx, queries, pool, mentions=mentions)
+    mentions = stage(bo.mention_pairs(queries, corpus, raw=True, clean=True))
+    cands = stage(hybrid_pool(idx, queries, pool, mentions=mentions))
     rr = bo.lexical_rerank(cands.select("query_id", "item_id", "score"), queries, corpus, k)
     forced = bo.rule_pins(queries, corpus, pins or [], mentions)
     final = bo.pin_to_front(rr, forced, corpus, k)
@@ -104,3 +115,69 @@ def retrieve_offline(idx: Indexes, queries: DataFrame, k: int = 5, pool: int = 5
         .otherwise(F.concat(F.lit("Semantically relevant to the query (score="),
                             F.col("score").cast("string"), F.lit(")")))
     return out.select("query_id", "rank", "item_id", "name", "score", "confidence", reason.alias("reason"))
+
+
+# --- fixed values: language cue rules for the document corpus -------------
+# (prefix families, as the service's category boosts: +0.3 each)
+LANGUAGE_RULES = [
+    bo.Rule("lang_en", [" the ", " and ", " of "], "EN_", 0.3, match="prefix"),
+    bo.Rule("lang_fr", [" le ", " la ", " les ", " des "], "FR_", 0.3, match="prefix"),
+    bo.Rule("lang_de", [" der ", " die ", " und ", " nicht "], "DE_", 0.3, match="prefix"),
+    bo.Rule("lang_es", [" el ", " los ", " las ", " del "], "ES_", 0.3, match="prefix"),
+]
+# --- end of fixed values ---------------------------------------------------
+
+
+def retrieve_full(idx: Indexes, queries: DataFrame, item_keys: DataFrame, k: int = 5, pool: int = 25,
+                  rules: list | None = None, model=None) -> DataFrame:
+    """The full pipeline without a learned model: BM25 on the expanded
+    question fused with the cosine score, plus name and rule boosts ->
+    one hop of propagation through shared join keys -> top ``pool`` plus
+    items whose rule boost is at least 0.8 -> pair logits -> heuristic
+    fusion (score + 1.5 x sigmoid(logit)) -> top k with calibrated scores
+    (sigmoid((logit + 2.5) / 1.2), 4 d.p.), the first score as confidence
+    and a reason.  Unmatched items take the per-query base score; boosts
+    and propagation apply to scored pairs and boosted / lifted items;
+    rule boosts stay per (question, target) and reach unscored items only
+    through the lowest-ordinal members of each fired target, so a rule
+    family covering a third of the corpus never becomes question x family
+    rows.  Forced items are those candidates with a rule boost >= 0.8."""
+    from ..functions.scalars import calibrated_score
+    rules = LANGUAGE_RULES if rules is None else rules
+    corpus = idx.corpus
+    q = queries.select("query_id", "question")
+    xq = stage(ex.expand_full(q))
+    bm = stage(se.bm25_scores(idx.bm25, xq.select("query_id", F.col("expanded").alias("question"))))
+    cs = stage(se.tfidf_scores(idx.tfidf, q))
+    pairs, base = se.hybrid_scores(bm, cs, idx.n_items, 0.5, max_floor=True)
+    mentions = stage(bo.mention_pairs(q, corpus))
+    nb = bo.name_boost(q, corpus, mentions)
+    tb = stage(bo.rule_target_boosts(q, rules))
+    scored = pairs.select("query_id", "item_id").unionByName(nb.select("query_id", "item_id"))
+    rb = stage(bo.apply_rule_boosts(scored, corpus, tb, rules, fill_k=pool))
+    adds = nb.select("query_id", "item_id", F.col("name_boost").alias("b")) \
+        .unionByName(rb.select("query_id", "item_id", F.col("boost").alias("b"))) \
+        .groupBy("query_id", "item_id").agg(F.sum("b").alias("b"))
+    s = pairs.select("query_id", "item_id", "score").join(adds, ["query_id", "item_id"], "full") \
+        .join(base, "query_id", "left")
+    s = s.select("query_id", "item_id", (F.coalesce("score", "base", F.lit(0.0)) + F.coalesce("b", F.lit(0.0)))
+                 .alias("score"))
+    s = stage(bo.graph_propagate(s, item_keys, fill_k=pool))
+    top = se.topk_with_fill(s, q, corpus, pool, base).select("query_id", "item_id", "score")
+    forced = rb.filter(F.col("boost") >= 0.8)
+    cands = stage(bo.force_include(top, s, forced))
+    logits = bo.pair_scorer(cands, q, corpus, model)
+    fused = bo.heuristic_fusion(cands.join(logits, ["query_id", "item_id"]))
+    best = topk(fused.join(corpus.select("item_id", "ordinal"), "item_id"), "query_id", "fused", "ordinal", k)
+    best = best.withColumn("calibrated", calibrated_score(F.col("logit")))
+    w = Window.partitionBy("query_id").orderBy("rank")
+    best = best.withColumn("confidence", F.first("calibrated").over(w.rowsBetween(Window.unboundedPreceding,
+                                                                                  Window.unboundedFollowing)))
+    m = mentions.withColumn("_m", F.lit(True))
+    out = best.join(corpus.select("item_id", "name"), "item_id").join(m, ["query_id", "item_id"], "left")
+    reason = F.when(F.col("_m"), F.concat(F.lit("Question directly mentions table '"), F.col("name"), F.lit("'"))) \
+        .otherwise(F.concat(F.lit("Semantically mapped table based on query intent (score="),
+                            F.col("calibrated").cast("string"), F.lit(")")))
+    return out.select("query_id", "rank", "item_id", "name", F.round("fused", 6).alias("rank_score"),
+                      F.col("calibrated").alias("score"), "confidence", reason.alias("reason"),
+                      F.lit("heuristic").alias("model_used"))

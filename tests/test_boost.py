@@ -27,12 +27,23 @@ def test_rule_boost_grammar(spark):
 def test_graph_propagate(spark):
     scores = spark.createDataFrame([(1, 0, 2.0), (1, 1, 0.5), (1, 2, 0.9), (1, 3, 1.0)],
                                    "query_id long, item_id long, score double")
-    keys = spark.createDataFrame([(0, "k1"), (1, "k1"), (2, "k2"), (3, "k2"), (2, "k1")],
-                                 "item_id long, key string")
+    keys = spark.createDataFrame([(0, "k1", 0), (1, "k1", 1), (2, "k2", 2), (3, "k2", 3), (2, "k1", 2),
+                                  (4, "k1", 4), (5, "k1", 5)],
+                                 "item_id long, key string, ordinal long")
     got = {r.item_id: r.score for r in bo.graph_propagate(scores, keys).collect()}
     assert got[1] == 0.8 and got[2] == 0.9  # lifted to 0.4 * 2.0 = 0.8; 0.9 stays (max)
     assert got[3] == 1.0                    # score exactly 1.0 pushes nothing (strict >)
     assert got[0] == 2.0
+    assert 4 not in got
+    filled = {r.item_id: r.score for r in bo.graph_propagate(scores, keys, fill_k=1).collect()}
+    assert 4 not in filled and 5 not in filled   # hub k1's first member (item 0) is already scored
+    # hub k1 by ordinal: 0, 1, 2 (scored), 4, 5: with k = 3 any unscored
+    # member is beaten by three members scoring >= its lift, so none is
+    # needed; with k = 4 member 4 joins at the lift 0.8
+    filled3 = {r.item_id: r.score for r in bo.graph_propagate(scores, keys, fill_k=3).collect()}
+    assert 4 not in filled3
+    filled4 = {r.item_id: r.score for r in bo.graph_propagate(scores, keys, fill_k=4).collect()}
+    assert filled4[4] == 0.8 and 5 not in filled4
 
 
 def test_pin_to_front(spark):
@@ -42,3 +53,18 @@ def test_pin_to_front(spark):
     forced = spark.createDataFrame([(1, 3, 1), (1, 1, 2)], "query_id long, item_id long, fpos long")
     out = [(r.item_id, round(r.score, 6)) for r in bo.pin_to_front(ranked, forced, c, 3).orderBy("rank").collect()]
     assert out == [(3, 2.0), (1, 1.4), (2, 0.9)]
+
+
+def test_target_level_rule_boosts_match_item_level(spark):
+    c = corpus(spark)
+    q = spark.createDataFrame([(1, "Which building has most rooms?"), (3, "isbn of the textbook")],
+                              "query_id long, question string")
+    rules = [bo.Rule("fam", ["building", "room"], "FCLT_", 0.3, match="prefix"),
+             bo.Rule("two", ["building"], "FCLT_ROOMS", 1.0, any_of_2=["rooms"]),
+             bo.Rule("or", ["isbn"], "TIP_DETAIL", 0.9), bo.Rule("or", ["textbook"], "TIP_DETAIL", 0.7)]
+    tb = bo.rule_target_boosts(q, rules)
+    pairs = spark.createDataFrame([(1, 1)], "query_id long, item_id long")
+    got = {(r.query_id, r.item_id): round(r.boost, 6)
+           for r in bo.apply_rule_boosts(pairs, c, tb, rules, fill_k=5).collect()}
+    exp = {(r.query_id, r.item_id): round(r.boost, 6) for r in bo.rule_boost(q, c, rules).collect()}
+    assert got == exp
