@@ -136,3 +136,42 @@ def trigram_jaccard(short_lower: str, short_grams: str, long_lower: str, long_co
     inter = F.size(F.filter(F.col(short_grams), lambda g: F.instr(F.col(long_lower), g) > 0))
     union = F.size(short_grams) + long_count - inter
     return F.when(union == 0, F.lit(0.0)).otherwise(inter / union)
+
+
+def _strip_ws(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+
+
+def sql_table_refs(df, sql_col: str, out: str = "refs"):
+    """Add ``out`` = struct(tables, ctes) read from SQL text by a token
+    scan: quotes and backticks removed, upper case, whitespace split; the
+    word after WITH is a CTE name; the word after FROM / JOIN, cut at
+    parentheses, unless it starts a subquery, is a table (last dotted
+    part).  Both are distinct sets."""
+    tmp = f"_w_{out}"
+    words = F.array_remove(F.split(F.upper(F.regexp_replace(F.col(sql_col), "[`\"]", "")), WS_RE), "")
+    df = df.withColumn(tmp, words)
+    w = F.col(tmp)
+    nxt = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))),
+                      lambda i: F.struct(F.try_element_at(w, i).alias("a"), F.try_element_at(w, i + 1).alias("b")))
+    pairs = F.filter(nxt, lambda p: p["b"].isNotNull())
+    ctes = F.array_distinct(F.transform(F.filter(pairs, lambda p: p["a"] == "WITH"), lambda p: p["b"]))
+    cut = lambda b: F.split(F.split(b, "\\(").getItem(0), "\\)").getItem(0)
+    cands = F.transform(F.filter(pairs, lambda p: p["a"].isin("FROM", "JOIN")), lambda p: cut(p["b"]))
+    keep = F.filter(cands, lambda n: (n != "") & ~n.startswith("SELECT") & (n != "("))
+    tables = F.array_distinct(F.transform(keep, lambda n: F.element_at(F.split(n, "\\."), -1)))
+    return df.withColumn(out, F.struct(tables.alias("tables"), ctes.alias("ctes"))).drop(tmp)
+
+
+def strip_code_fence(c) -> Column:
+    """Body of a fenced code block (an ``sql`` tag dropped), or the text
+    without fence lines when the fence is not closed; then a leading
+    ``SQL:`` prefix removed."""
+    s = col_(c)
+    parts = F.split(s, "```")
+    body = parts.getItem(1)
+    body = _strip_ws(F.when(F.lower(body).startswith("sql"), body.substr(F.lit(4), F.length(body))).otherwise(body))
+    lines = F.filter(F.split(s, "\n"), lambda ln: ~_strip_ws(ln).startswith("```"))
+    unclosed = _strip_ws(F.array_join(lines, "\n"))
+    t = F.when(F.instr(s, "```") > 0, F.when(F.size(parts) >= 3, body).otherwise(unclosed)).otherwise(s)
+    return F.when(F.upper(t).startswith("SQL:"), _strip_ws(t.substr(F.lit(5), F.length(t)))).otherwise(t)

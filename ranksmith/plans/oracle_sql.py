@@ -403,3 +403,82 @@ ks AS (SELECT table_name, string_agg(key || ' (' || CAST(n_tables AS VARCHAR) ||
 SELECT per.table_name, 'Table: ' || per.table_name || '. ' || {usecase_sql('per.table_name')} || ' Schema structure: ['
   || cols || '].' || CASE WHEN keys IS NOT NULL THEN ' Join Keys: [' || keys || '].' ELSE '' END AS description
 FROM per LEFT JOIN ks USING (table_name)"""
+
+
+def rule_boost_sql(rules) -> str:
+    def has(words, col="ql"):
+        return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")" if words else "true"
+    parts = []
+    for r in rules:
+        cond = has(r.any_of)
+        if r.any_of_2:
+            cond += f" AND {has(r.any_of_2)}"
+        if r.none_of:
+            cond += f" AND NOT {has(r.none_of)}"
+        parts.append(f"SELECT query_id, '{r.rule_id}' AS rule_id, '{r.target}' AS target, '{r.match}' AS match, "
+                     f"{float(r.delta)} AS delta FROM qq WHERE {cond}")
+    return f"""WITH qq AS (SELECT conv_id * 1000 + turn AS query_id, lower(coalesce(text, '')) AS ql
+                FROM conversations WHERE role = 'user'),
+fired AS ({' UNION ALL '.join(parts)}),
+pr AS (SELECT query_id, rule_id, target, match, max(delta) AS d FROM fired GROUP BY ALL)
+SELECT query_id, target, match, sum(d) AS boost FROM pr GROUP BY query_id, target, match"""
+
+
+def training_set_sql(round_to: int = 9) -> str:
+    from ..operators.features import FEATURE_NAMES
+    cols = ", ".join(f"f.{c}" for c in FEATURE_NAMES)
+    return f"""WITH feats AS ({features_28_sql()}),
+gold AS ({containment_gold_sql()}),
+withgold AS (SELECT DISTINCT item_id AS query_id FROM gold)
+SELECT f.query_id AS group_id, f.item_id, {cols},
+       CASE WHEN g.doc_id IS NULL THEN 0.0 ELSE 1.0 END AS label
+FROM feats f JOIN withgold w ON w.query_id = f.query_id
+LEFT JOIN gold g ON g.item_id = f.query_id AND g.doc_id = f.item_id"""
+
+
+def class_balance_sql() -> str:
+    return f"""WITH t AS ({training_set_sql()})
+SELECT sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS positives, sum(CASE WHEN label <> 1 THEN 1 ELSE 0 END) AS negatives,
+       count(DISTINCT group_id) AS groups,
+       round(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) / count(*), 6) AS positive_ratio FROM t"""
+
+
+def group_kfold_sql(k: int = 5) -> str:
+    return f"""WITH t AS ({training_set_sql()}),
+s AS (SELECT group_id, count(*) AS n FROM t GROUP BY group_id),
+g AS (SELECT least({k}, (SELECT count(*) FROM s)) AS kk),
+r AS (SELECT group_id, row_number() OVER (ORDER BY n DESC, group_id) - 1 AS i FROM s)
+SELECT group_id, CAST(CASE WHEN floor(i / kk) % 2 = 0 THEN i % kk ELSE kk - 1 - i % kk END AS INTEGER) AS fold
+FROM r, g"""
+
+
+def standard_scale_sql() -> str:
+    from ..operators.features import FEATURE_NAMES
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FEATURE_NAMES)
+    cols = ", ".join(f"round((t.{c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1.0 END, 6) AS {c}"
+                     for c in FEATURE_NAMES)
+    return f"""WITH t AS ({training_set_sql()}), st AS (SELECT {stats} FROM t)
+SELECT t.group_id, t.item_id, {cols}, t.label FROM t, st"""
+
+
+def phrase_extras_sql(q: str, phrases) -> str:
+    parts = [f"CASE WHEN contains(lower({q}), '{p}') THEN {_lit_list(ws)} ELSE []::VARCHAR[] END"
+             for p, ws in phrases.items()]
+    return "list_distinct(flatten([" + ", ".join(parts) + "]))"
+
+
+def hybrid_search_sql(k: int = 20) -> str:
+    """Offline expansion (phrase words + names mentioned in clean or
+    singular form), then hybrid fusion on the expanded text."""
+    from ..operators.expand import OFFLINE_PHRASES
+    sing = "regexp_replace(replace(lower(d.name), '_', ' '), 's+$', '')"
+    return f"""WITH {corpus_cte()}, q0 AS (SELECT item_id AS query_id, coalesce(text, '') AS question FROM benchmark),
+names AS (SELECT q0.query_id, list(DISTINCT d.name) AS nm FROM q0 CROSS JOIN docs d
+          WHERE contains(lower(q0.question), replace(lower(d.name), '_', ' ')) OR contains(lower(q0.question), {sing})
+          GROUP BY q0.query_id),
+q AS (SELECT q0.query_id, q0.question || ' ' || array_to_string(list_concat({phrase_extras_sql('q0.question', OFFLINE_PHRASES)},
+        coalesce(names.nm, []::VARCHAR[])), ' ') AS question FROM q0 LEFT JOIN names USING (query_id))
+{bm25_ctes()}{tfidf_ctes()}{hybrid_ctes(forced=False)}
+SELECT query_id, item_id, round(score, 6) AS score, rank FROM (
+  SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ordinal) AS rank FROM hyb)
+WHERE rank <= {k}"""

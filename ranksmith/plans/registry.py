@@ -590,29 +590,31 @@ def _train(spark, sf_dir) -> DataFrame:
     return ltr.training_set(_features(spark, sf_dir), _gold_q(spark, sf_dir))
 
 
-@register("training_set")
+@register("training_set", osql.training_set_sql)
 def q_training_set(spark, sf_dir):
-    """Labelled training rows: features of questions that have gold."""
-    return _train(spark, sf_dir)
+    """Labelled training rows: features of questions that have gold
+    (features reported to 9 d.p.)."""
+    t = _cached_train(spark, sf_dir)
+    return t.select("group_id", "item_id", *[F.round(c, 9).alias(c) for c in fe.FEATURE_NAMES], "label")
 
 
-@register("class_balance")
+@register("class_balance", osql.class_balance_sql)
 def q_class_balance(spark, sf_dir):
     """Positives, negatives, ratio and groups of the training set."""
-    return ltr.class_balance(_train(spark, sf_dir))
+    return ltr.class_balance(_cached_train(spark, sf_dir))
 
 
-@register("group_kfold")
+@register("group_kfold", osql.group_kfold_sql)
 def q_group_kfold(spark, sf_dir):
     """Fold of every training group (5 folds, snake-dealt by size)."""
-    return ltr.group_kfold(_train(spark, sf_dir), 5)
+    return ltr.group_kfold(_cached_train(spark, sf_dir), 5)
 
 
-@register("standard_scale")
+@register("standard_scale", osql.standard_scale_sql)
 def q_standard_scale(spark, sf_dir):
-    """Training rows scaled by training mean and population std."""
-    t = _train(spark, sf_dir)
-    return ltr.standard_scale(t, t)
+    """Training rows scaled by training mean and population std (6 d.p.)."""
+    s = _scaled_train(spark, sf_dir)
+    return s.select("group_id", "item_id", *[F.round(c, 6).alias(c) for c in fe.FEATURE_NAMES], "label")
 
 
 _SESSION_CACHE: dict = {}
@@ -1031,7 +1033,7 @@ def q_retrieve_full(spark, sf_dir):
     return rt.retrieve_full(idx, qs, _item_keys(spark, sf_dir))
 
 
-@register("rule_boost")
+@register("rule_boost", lambda: osql.rule_boost_sql(rt.LANGUAGE_RULES))
 def q_rule_boost(spark, sf_dir):
     """Language-cue rule boosts of user turns, per (question, target)."""
     qs = tb.questions_conversations(spark, sf_dir)
@@ -1119,3 +1121,85 @@ def q_memo_lookup(spark, sf_dir):
     answers, updated = bo.memo_lookup(qs, cache, lambda m: expand(m.select("query_id", "question")))
     return answers.join(updated.select("query_id", F.col("value").alias("cached")), "query_id") \
         .select("query_id", "value", "from_cache", (F.col("value") == F.col("cached")).alias("cache_updated"))
+
+
+# --- more index, expansion and evaluation keys ----------------------------
+
+@register("tfidf_index", lambda: f"WITH {osql.corpus_cte()}, {osql.questions_cte()}{osql.tfidf_ctes()} "
+          "SELECT token, round(idf, 9) AS idf FROM tvoc")
+def q_tfidf_index(spark, sf_dir):
+    """TF-IDF vocabulary with smooth idf (stop words removed)."""
+    return _indexes(spark, sf_dir).tfidf.vocab.select("token", F.round("idf", 9).alias("idf"))
+
+
+@register("bm25_index", lambda: f"WITH {osql.corpus_cte()}, {osql.questions_cte()}{osql.bm25_ctes()} "
+          "SELECT item_id, token, tf FROM post")
+def q_bm25_index(spark, sf_dir):
+    """BM25 postings (item, token, term frequency) of the whole corpus."""
+    return _indexes(spark, sf_dir).bm25.postings.select("item_id", "token", "tf")
+
+
+@register("recall_at_k_pool", lambda: "SELECT recall_at_5, recall_at_10, n_groups FROM (" + osql.pool_metrics_sql() + ")")
+def q_recall_at_k_pool(spark, sf_dir):
+    """Recall@K inside the candidate pools (denominator: pool positives)."""
+    return ev.pool_metrics(_labelled_pool(spark, sf_dir), ks=(5, 10)).select("recall_at_5", "recall_at_10", "n_groups")
+
+
+@register("fold_mean_std")
+def q_fold_mean_std(spark, sf_dir):
+    """Mean and population std of every cross-validation metric."""
+    cv = _cached(spark, ("cv", sf_dir), lambda: ltr.cross_validate(
+        _cached_train(spark, sf_dir), "gradient_boosting", 5, {"maxIter": 30}).checkpoint(eager=True))
+    return ltr.cv_summary(cv)
+
+
+@register("hybrid_search", osql.hybrid_search_sql)
+def q_hybrid_search(spark, sf_dir):
+    """Hybrid fusion on the offline-expanded question; top 20."""
+    idx, qs = _setup(spark, sf_dir)
+    return rt.hybrid_search(idx, qs, 20)
+
+
+@register("expand_phrases", lambda: f"""WITH {osql.questions_cte()}
+SELECT query_id, list_sort({osql.phrase_extras_sql('question', ex.OFFLINE_PHRASES)}) AS added FROM q""")
+def q_expand_phrases(spark, sf_dir):
+    """Words added by the phrase dictionary, per question (sorted set)."""
+    qs = tb.questions_benchmark(spark, sf_dir)
+    return qs.select("query_id", F.array_sort(ex.phrase_extras(F.lower("question"), ex.OFFLINE_PHRASES)).alias("added"))
+
+
+@register("expand_abbrev", lambda: f"""WITH {osql.questions_cte()}
+SELECT query_id, list_sort(list_filter({osql.expansion_extras_sql('question')},
+  lambda w: NOT list_contains(flatten([{', '.join(osql._lit_list(v) for v in ex.SQL_PHRASES.values())}]), w))) AS added
+FROM q""")
+def q_expand_abbrev(spark, sf_dir):
+    """Abbreviations (and meaning words) added per question."""
+    qs = tb.questions_benchmark(spark, sf_dir)
+    sqlw = sorted({w for v in ex.SQL_PHRASES.values() for w in v})
+    a = F.array_except(ex.abbrev_extras(F.col("question")), F.array(*[F.lit(w) for w in sqlw]))
+    return qs.select("query_id", F.array_sort(a).alias("added"))
+
+
+@register("name_mention", lambda: f"""WITH {osql.corpus_cte()}, {osql.questions_cte()}
+SELECT q.query_id, d.item_id FROM q CROSS JOIN docs d WHERE {osql.mention_sql()}""")
+def q_name_mention(spark, sf_dir):
+    """Items whose name (or name with spaces) a question mentions."""
+    idx, qs = _setup(spark, sf_dir)
+    return bo.mention_pairs(qs, idx.corpus)
+
+
+@register("log_search")
+def q_log_search(spark, sf_dir):
+    """Audit-log records whose question or model contains 'the'."""
+    log = spark.read.schema(lg.AUDIT_SCHEMA).json(_audit_path(spark, sf_dir))
+    return lg.log_search(log, "the")
+
+
+@register("stream_audit_log")
+def q_stream_audit_log(spark, sf_dir):
+    """User turns streamed into a checkpointed JSON-lines audit sink."""
+    path = f"{sf_dir}/conversations.parquet"
+    src = sm.events_stream(spark, path).filter(F.col("role") == "user")
+    rec = src.select(F.col("conv_id").cast("string").alias("timestamp"), F.col("text").alias("question"),
+                     F.lit("stream").alias("model_used"))
+    return sm.stream_audit_log(spark, rec)

@@ -128,3 +128,16 @@ def run_comparison(runs: DataFrame, metrics: list[str]) -> DataFrame:
     return r.select("run_id", "model_type", "timestamp",
                     *[F.round(F.coalesce(F.col("_m")[m], F.lit(0.0)), 4).alias(m) for m in metrics],
                     F.round(F.coalesce("training_duration_seconds", F.lit(0.0)), 1).alias("training_duration_seconds"))
+
+
+def log_search(log: DataFrame, term: str = "", valid: bool | None = None) -> DataFrame:
+    """Records whose question, generated SQL or model contains ``term``
+    (case-insensitive), optionally only valid / invalid ones."""
+    t = term.lower()
+    hit = (F.instr(F.lower(F.coalesce("question", F.lit(""))), t) > 0) | \
+          (F.instr(F.lower(F.coalesce("sql_generated", F.lit(""))), t) > 0) | \
+          (F.instr(F.lower(F.coalesce("model_used", F.lit(""))), t) > 0)
+    out = log.filter(hit)
+    if valid is not None:
+        out = out.filter(F.col("is_valid") == F.lit(valid))
+    return out

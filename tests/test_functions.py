@@ -62,3 +62,25 @@ def test_trigram_count_matches_python(spark):
     got = [r[0] for r in df.select(tx.trigram_count("t")).collect()]
     exp = [1 if len(t) < 3 else len({t.lower()[i:i + 3] for i in range(len(t) - 2)}) for t in texts]
     assert got == exp
+
+
+def test_sql_table_refs(spark):
+    sql = ('WITH t AS (SELECT * FROM "db"."ORDERS" o JOIN items i ON o.id = i.id) '
+           'SELECT * FROM t JOIN (SELECT 1) x JOIN `sales`.line_items(') 
+    df = tx.sql_table_refs(spark.createDataFrame([(sql,)], "s string"), "s")
+    r = df.first().refs
+    assert set(r.tables) == {"ORDERS", "ITEMS", "T", "LINE_ITEMS"}
+    assert set(r.ctes) == {"T"}
+
+
+def test_strip_code_fence(spark):
+    rows = [("```sql\nSELECT 1\n```",), ("Here:\n```\nSELECT 2\n",), ("SQL: SELECT 3",), ("SELECT 4",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "s string").select(tx.strip_code_fence("s")).collect()]
+    assert got == ["SELECT 1", "Here:\nSELECT 2", "SELECT 3", "SELECT 4"]
+
+
+def test_map_top(spark):
+    from ranksmith.sources.logs import map_top
+    df = spark.createDataFrame([({"a": 0.1, "b": 0.5, "c": 0.3, "d": 0.2, "e": 0.9, "f": 0.05},)],
+                               "m map<string,double>")
+    assert set(df.select(map_top(F.col("m"), 5)).first()[0]) == {"a", "b", "c", "d", "e"}
