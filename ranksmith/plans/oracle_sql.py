@@ -416,7 +416,7 @@ def rule_boost_sql(rules) -> str:
         if r.none_of:
             cond += f" AND NOT {has(r.none_of)}"
         parts.append(f"SELECT query_id, '{r.rule_id}' AS rule_id, '{r.target}' AS target, '{r.match}' AS match, "
-                     f"{float(r.delta)} AS delta FROM qq WHERE {cond}")
+                     f"CAST({float(r.delta)} AS DOUBLE) AS delta FROM qq WHERE {cond}")
     return f"""WITH qq AS (SELECT conv_id * 1000 + turn AS query_id, lower(coalesce(text, '')) AS ql
                 FROM conversations WHERE role = 'user'),
 fired AS ({' UNION ALL '.join(parts)}),
@@ -455,7 +455,7 @@ FROM r, g"""
 def standard_scale_sql() -> str:
     from ..operators.features import FEATURE_NAMES
     stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FEATURE_NAMES)
-    cols = ", ".join(f"round((t.{c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1.0 END, 6) AS {c}"
+    cols = ", ".join(f"round((t.{c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1.0 END, 4) AS {c}"
                      for c in FEATURE_NAMES)
     return f"""WITH t AS ({training_set_sql()}), st AS (SELECT {stats} FROM t)
 SELECT t.group_id, t.item_id, {cols}, t.label FROM t, st"""

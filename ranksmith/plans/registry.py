@@ -612,9 +612,11 @@ def q_group_kfold(spark, sf_dir):
 
 @register("standard_scale", osql.standard_scale_sql)
 def q_standard_scale(spark, sf_dir):
-    """Training rows scaled by training mean and population std (6 d.p.)."""
-    s = _scaled_train(spark, sf_dir)
-    return s.select("group_id", "item_id", *[F.round(c, 6).alias(c) for c in fe.FEATURE_NAMES], "label")
+    """Training rows (features at 9 d.p.) scaled by the training mean and
+    population std, reported to 4 d.p."""
+    t = q_training_set(spark, sf_dir)
+    s = ltr.standard_scale(t, t)
+    return s.select("group_id", "item_id", *[F.round(c, 4).alias(c) for c in fe.FEATURE_NAMES], "label")
 
 
 _SESSION_CACHE: dict = {}
