@@ -122,8 +122,12 @@ def best_run(runs: DataFrame, metric: str = "val_recall_at_5", higher_is_better:
 def run_comparison(runs: DataFrame, metrics: list[str]) -> DataFrame:
     """One row per run with the chosen metrics (validation overlaid by test
     metrics; missing = 0.0; 4 d.p.) and the duration (1 d.p.)."""
-    merged = F.map_concat(F.coalesce("val_metrics", F.create_map().cast("map<string,double>")),
-                          F.coalesce("test_metrics", F.create_map().cast("map<string,double>")))
+    empty = F.create_map().cast("map<string,double>")
+    test = F.coalesce("test_metrics", empty)
+    # test overrides validation: drop overridden keys first, so the merge
+    # never depends on the session's duplicate-key policy
+    val = F.map_filter(F.coalesce("val_metrics", empty), lambda k, v: ~F.array_contains(F.map_keys(test), k))
+    merged = F.map_concat(val, test)
     r = runs.withColumn("_m", merged)
     return r.select("run_id", "model_type", "timestamp",
                     *[F.round(F.coalesce(F.col("_m")[m], F.lit(0.0)), 4).alias(m) for m in metrics],

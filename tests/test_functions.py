@@ -84,3 +84,14 @@ def test_map_top(spark):
     df = spark.createDataFrame([({"a": 0.1, "b": 0.5, "c": 0.3, "d": 0.2, "e": 0.9, "f": 0.05},)],
                                "m map<string,double>")
     assert set(df.select(map_top(F.col("m"), 5)).first()[0]) == {"a", "b", "c", "d", "e"}
+
+
+def test_run_comparison_overlay(spark):
+    from ranksmith.sources import logs as lg
+    runs = spark.createDataFrame(
+        [("r1", "gbt", "2024", {"val_recall_at_5": 0.5, "val_auc_roc": 0.7}, {"val_auc_roc": 0.9}, 12.34)],
+        "run_id string, model_type string, timestamp string, val_metrics map<string,double>, "
+        "test_metrics map<string,double>, training_duration_seconds double")
+    r = lg.run_comparison(runs, ["val_recall_at_5", "val_auc_roc", "missing"]).first()
+    assert r.val_recall_at_5 == 0.5 and r.val_auc_roc == 0.9 and r.missing == 0.0
+    assert r.training_duration_seconds == 12.3
