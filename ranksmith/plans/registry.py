@@ -667,8 +667,7 @@ def q_train_rf(spark, sf_dir):
 @register("cross_validate")
 def q_cross_validate(spark, sf_dir):
     """Grouped 5-fold CV of gradient boosting: per-fold metrics."""
-    checkpoint_dir(spark)
-    return ltr.cross_validate(_cached_train(spark, sf_dir), "gradient_boosting", 5, {"maxIter": 30})
+    return _cv(spark, sf_dir, "gradient_boosting", {"maxIter": 30})
 
 
 @register("feature_importance")
@@ -1150,9 +1149,7 @@ def q_recall_at_k_pool(spark, sf_dir):
 @register("fold_mean_std")
 def q_fold_mean_std(spark, sf_dir):
     """Mean and population std of every cross-validation metric."""
-    cv = _cached(spark, ("cv", sf_dir), lambda: ltr.cross_validate(
-        _cached_train(spark, sf_dir), "gradient_boosting", 5, {"maxIter": 30}).checkpoint(eager=True))
-    return ltr.cv_summary(cv)
+    return ltr.cv_summary(_cv(spark, sf_dir, "gradient_boosting", {"maxIter": 30}))
 
 
 @register("hybrid_search", osql.hybrid_search_sql)
@@ -1205,3 +1202,46 @@ def q_stream_audit_log(spark, sf_dir):
     rec = src.select(F.col("conv_id").cast("string").alias("timestamp"), F.col("text").alias("question"),
                      F.lit("stream").alias("model_used"))
     return sm.stream_audit_log(spark, rec)
+
+
+@register("catalog_search", lambda: f"""WITH {osql.catalog_class_sql()},
+per AS (SELECT table_name, string_agg(column_name || ' (' || column_type || ')' || CASE WHEN role IS NOT NULL
+          THEN ' [role: ' || role || ']' ELSE '' END, ', ' ORDER BY ordinal) AS cols FROM cls WHERE NOT is_audit
+        GROUP BY table_name),
+ks AS (SELECT table_name, string_agg(key || ' (' || CAST(n_tables AS VARCHAR) || ' tables)', ', ' ORDER BY key, n_tables)
+       AS keys FROM tk GROUP BY table_name),
+descr AS (SELECT per.table_name, 'Table: ' || per.table_name || '. ' || {osql.usecase_sql('per.table_name')}
+          || ' Schema structure: [' || cols || '].' || CASE WHEN keys IS NOT NULL THEN ' Join Keys: [' || keys || '].'
+          ELSE '' END AS description FROM per LEFT JOIN ks USING (table_name))
+SELECT table_name FROM descr WHERE contains(lower(table_name), 'src1_') OR contains(lower(description), 'src1_')
+UNION SELECT table_name FROM ccols WHERE contains(lower(column_name), 'src1_')""")
+def q_catalog_search(spark, sf_dir):
+    """Tables whose name, description or columns contain 'src1_'."""
+    cols = _cat_cols(spark, sf_dir)
+    return cg.catalog_search(cg.describe_tables(cols), cols, "src1_")
+
+
+def _cv(spark, sf_dir, kind, params):
+    key = ("cv", sf_dir, kind, tuple(sorted(params.items())))
+    return _cached(spark, key, lambda: ltr.cross_validate(_cached_train(spark, sf_dir), kind, 5, params)
+                   .checkpoint(eager=True))
+
+
+@register("compare_models")
+def q_compare_models(spark, sf_dir):
+    """Grouped-CV summary of boosting and a forest; best Recall@5 flagged."""
+    rows = None
+    for kind, params in (("gradient_boosting", {"maxIter": 30}), ("random_forest", {"numTrees": 20})):
+        s = ltr.cv_summary(_cv(spark, sf_dir, kind, params)).withColumn("model_type", F.lit(kind))
+        rows = s if rows is None else rows.unionByName(s)
+    best = rows.agg(F.max_by("model_type", "val_recall_at_5")).scalar()
+    return rows.withColumn("best", F.col("model_type") == best)
+
+
+@register("map_top5")
+def q_map_top5(spark, sf_dir):
+    """The five largest feature importances of the fitted boosting model,
+    kept as the audit log keeps them."""
+    imp = ltr.feature_importance(_model(spark, sf_dir, "gradient_boosting"), spark)
+    m = imp.agg(F.map_from_entries(F.collect_list(F.struct("feature", "importance"))).alias("m"))
+    return m.select(lg.map_top(F.col("m"), 5).alias("top_feature_importances"))
