@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ws_set
 from .containment import contains_pairs
-from .util import topk
+from .util import broadcast_if_small, topk
 
 
 def mention_pairs(queries: DataFrame, corpus: DataFrame, raw: bool = True, clean: bool = True,
@@ -58,7 +58,9 @@ def lexical_rerank(cands: DataFrame, queries: DataFrame, corpus: DataFrame, k: i
     are built for candidates only."""
     q = queries.select("query_id", F.lower("question").alias("ql"), ws_set("question").alias("qw"))
     d = corpus.select("item_id", "ordinal", "name", "text")
-    j = cands.join(q, "query_id").join(d, "item_id")
+    # the pool (questions x k) is broadcast behind a checked bound, so the
+    # corpus streams through a hash lookup instead of being shuffled
+    j = d.join(broadcast_if_small(cands.join(q, "query_id")), "item_id")
     hit = F.instr(F.col("ql"), F.regexp_replace(F.lower("name"), "_", " ")) > 0
     overlap = F.size(F.array_intersect(F.col("qw"), ws_set("text")))
     j = j.withColumn("score", F.col("score") + F.when(hit, mention_bonus).otherwise(0.0)
@@ -246,8 +248,9 @@ def pair_scorer(cands: DataFrame, queries: DataFrame, corpus: DataFrame, model=N
     model the model-free lexical logit is computed JVM-side."""
     from .features import pair_logit
     from ..functions.text import ws_set
-    j = cands.select("query_id", "item_id").join(queries.select("query_id", "question"), "query_id") \
-        .join(corpus.select("item_id", "name", "text"), "item_id")
+    pool = broadcast_if_small(cands.select("query_id", "item_id").join(queries.select("query_id", "question"),
+                                                                       "query_id"))
+    j = corpus.select("item_id", "name", "text").join(pool, "item_id")
     if model is None:
         return j.select("query_id", "item_id", pair_logit(F.lower("question"), F.col("name"),
                                                           ws_set("question"), ws_set("text")).alias("logit"))

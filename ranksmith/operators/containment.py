@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from .util import BROADCAST_MAX_ROWS, has_at_most
 
 DEFAULT_TIERS = ((8, 8), (3, 3), (1, 1))
@@ -83,8 +84,13 @@ def contains_pairs(hay: DataFrame, hay_id: str, hay_text: str,
                   .groupBy("nid", "r").agg(F.min_by("gram", F.struct("df", "o")).alias("gram"))
                   .select("nid", "gram"))
         cand = hg.join(F.broadcast(chosen) if small else chosen, "gram").select("hid", "nid").distinct()
-        ver = (cand.join(F.broadcast(nt) if small else nt, "nid")
-               .join(h, "hid")
+        # candidates are usually few: when their checked count allows,
+        # broadcast them with the needle text so the haystack text is
+        # scanned in place for verification instead of shuffled
+        checkpoint_dir(cand.sparkSession)
+        cand = cand.checkpoint(eager=True)
+        cn = cand.join(F.broadcast(nt) if small else nt, "nid")
+        ver = (h.join(F.broadcast(cn) if small and has_at_most(cand, BROADCAST_MAX_ROWS // 8) else cn, "hid")
                .filter(F.instr(F.col("htext"), F.col("ntext")) > 0)
                .select("hid", "nid"))
         out = ver if out is None else out.unionByName(ver)

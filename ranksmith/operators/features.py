@@ -25,7 +25,7 @@ from ..functions.text import (AGGREGATION_KEYWORDS, JOIN_KEYWORDS, SUBQUERY_KEYW
                               keyword_hits, tok_word, trigram_count, trigram_jaccard,
                               with_trigrams, ws_set)
 from .expand import ABBREVIATIONS
-from .util import rank_key
+from .util import broadcast_if_small, rank_key
 
 FEATURE_NAMES = [
     "bm25_score", "tfidf_cosine", "jaccard_word", "jaccard_char_3gram",
@@ -76,7 +76,9 @@ def features_28(cands: DataFrame, queries: DataFrame, corpus: DataFrame,
     q = queries.select("query_id", "question")
     c = cands.select("query_id", "item_id").distinct()
     d = corpus.select("item_id", "ordinal", "name", "text")
-    j = c.join(q, "query_id").join(d, "item_id")
+    # candidate pools are bounded (questions x k): broadcast them (checked)
+    # and stream the corpus past them instead of shuffling its text
+    j = d.join(broadcast_if_small(c.join(q, "query_id")), "item_id")
     # sparse scores and ranks
     bn = bm25_norm.select("query_id", "item_id", F.col("norm").alias("_bn"))
     base = bm25_norm.groupBy("query_id").agg(F.first("base").alias("_base"))

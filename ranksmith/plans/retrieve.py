@@ -10,7 +10,7 @@ from ..operators import boost as bo
 from ..operators import expand as ex
 from ..operators import index as ix
 from ..operators import search as se
-from ..operators.util import OUT_DIGITS, scalar, topk
+from ..operators.util import OUT_DIGITS, broadcast_if_small, scalar, topk
 from ..session import checkpoint_dir
 
 
@@ -109,7 +109,7 @@ def retrieve_offline(idx: Indexes, queries: DataFrame, k: int = 5, pool: int = 5
     w = Window.partitionBy("query_id")
     final = final.withColumn("confidence", F.round(F.avg("score").over(w), 4))
     m = mentions.withColumn("_mention", F.lit(True))
-    out = (final.join(corpus.select("item_id", "name"), "item_id")
+    out = (corpus.select("item_id", "name").join(broadcast_if_small(final), "item_id")
            .join(m, ["query_id", "item_id"], "left"))
     reason = F.when(F.col("_mention"), F.concat(F.lit("Question directly mentions '"), F.col("name"), F.lit("'"))) \
         .otherwise(F.concat(F.lit("Semantically relevant to the query (score="),
@@ -168,13 +168,15 @@ def retrieve_full(idx: Indexes, queries: DataFrame, item_keys: DataFrame, k: int
     cands = stage(bo.force_include(top, s, forced))
     logits = bo.pair_scorer(cands, q, corpus, model)
     fused = bo.heuristic_fusion(cands.join(logits, ["query_id", "item_id"]))
-    best = topk(fused.join(corpus.select("item_id", "ordinal"), "item_id"), "query_id", "fused", "ordinal", k)
+    best = topk(corpus.select("item_id", "ordinal").join(broadcast_if_small(fused), "item_id"),
+                "query_id", "fused", "ordinal", k)
     best = best.withColumn("calibrated", calibrated_score(F.col("logit")))
     w = Window.partitionBy("query_id").orderBy("rank")
     best = best.withColumn("confidence", F.first("calibrated").over(w.rowsBetween(Window.unboundedPreceding,
                                                                                   Window.unboundedFollowing)))
     m = mentions.withColumn("_m", F.lit(True))
-    out = best.join(corpus.select("item_id", "name"), "item_id").join(m, ["query_id", "item_id"], "left")
+    out = corpus.select("item_id", "name").join(broadcast_if_small(best), "item_id") \
+        .join(m, ["query_id", "item_id"], "left")
     reason = F.when(F.col("_m"), F.concat(F.lit("Question directly mentions table '"), F.col("name"), F.lit("'"))) \
         .otherwise(F.concat(F.lit("Semantically mapped table based on query intent (score="),
                             F.col("calibrated").cast("string"), F.lit(")")))
