@@ -44,8 +44,9 @@ def mention_pairs(queries: DataFrame, corpus: DataFrame, raw: bool = True, clean
 def candidate_union(pairs: DataFrame, mentions: DataFrame, forced_score: float = 2.0,
                     score: str = "score") -> DataFrame:
     """Mentioned items join the pool with their score set to ``forced_score``."""
-    m = mentions.select("query_id", "item_id", F.lit(True).alias("_m"))
-    j = pairs.join(m, ["query_id", "item_id"], "full")
+    keys = ["query_id", "item_id"] + (["ordinal"] if "ordinal" in pairs.columns and "ordinal" in mentions.columns else [])
+    m = mentions.select(*keys, F.lit(True).alias("_m"))
+    j = pairs.join(m, keys, "full")
     return j.withColumn(score, F.when(F.col("_m"), F.lit(forced_score)).otherwise(F.col(score))).drop("_m")
 
 

@@ -56,11 +56,27 @@ def _prefix_meaning_words() -> Column:
     return F.map_from_arrays(F.array(*keys), F.array(*vals))
 
 
-def ranks_of(scores: DataFrame, corpus: DataFrame, name: str) -> DataFrame:
-    """(query_id, item_id, <name>): 1-based rank among matched items."""
-    s = scores.join(corpus.select("item_id", "ordinal"), "item_id")
-    w = Window.partitionBy("query_id").orderBy(rank_key("score").desc(), F.col("ordinal").asc())
-    return s.select("query_id", "item_id", F.row_number().over(w).alias(name))
+def ranks_of(scores: DataFrame, corpus: DataFrame, name: str, cands: DataFrame | None = None) -> DataFrame:
+    """(query_id, item_id, <name>): 1-based rank among the question's scored
+    pairs, by (score desc, ordinal asc).
+
+    With ``cands`` only those pairs are ranked, as 1 + the number of the
+    question's pairs ordered before them: each scored pair is compared with
+    its question's (broadcast, bounded) candidates and the counts are
+    aggregated map-side, so a question matching most of the corpus never
+    sits in one task the way a per-question window would."""
+    s = scores if "ordinal" in scores.columns else scores.join(corpus.select("item_id", "ordinal"), "item_id")
+    if cands is None:
+        w = Window.partitionBy("query_id").orderBy(rank_key("score").desc(), F.col("ordinal").asc())
+        return s.select("query_id", "item_id", F.row_number().over(w).alias(name))
+    own = s.join(broadcast_if_small(cands.select("query_id", "item_id").distinct()), ["query_id", "item_id"]) \
+        .select("query_id", F.col("item_id").alias("c_item"), rank_key("score").alias("c_key"),
+                F.col("ordinal").alias("c_ord"))
+    better = (rank_key("score") > F.col("c_key")) | ((rank_key("score") == F.col("c_key"))
+                                                    & (F.col("ordinal") < F.col("c_ord")))
+    cnt = s.join(broadcast_if_small(own), "query_id").groupBy("query_id", "c_item") \
+        .agg(F.sum(better.cast("long")).alias("_b"))
+    return cnt.select("query_id", F.col("c_item").alias("item_id"), (F.col("_b") + 1).cast("int").alias(name))
 
 
 def features_28(cands: DataFrame, queries: DataFrame, corpus: DataFrame,
@@ -86,8 +102,8 @@ def features_28(cands: DataFrame, queries: DataFrame, corpus: DataFrame,
     j = j.join(tfidf.select("query_id", "item_id", F.col("score").alias("_tf")), ["query_id", "item_id"], "left")
     if dense is not None:
         j = j.join(dense.select("query_id", "item_id", F.col("score").alias("_de")), ["query_id", "item_id"], "left")
-    br = ranks_of(bm25, corpus, "_br")
-    cr = ranks_of(tfidf, corpus, "_cr")
+    br = ranks_of(bm25, corpus, "_br", c)
+    cr = ranks_of(tfidf, corpus, "_cr", c)
     bm_m = bm25.groupBy("query_id").agg(F.count(F.lit(1)).alias("_bm_m"))
     cr_m = tfidf.groupBy("query_id").agg(F.count(F.lit(1)).alias("_cr_m"))
     j = (j.join(br, ["query_id", "item_id"], "left").join(cr, ["query_id", "item_id"], "left")

@@ -33,14 +33,14 @@ def default_stop_words() -> list[str]:
 
 
 def _postings(d: DataFrame, id_col: str = "item_id") -> DataFrame:
-    return (d.select(id_col, *[c for c in d.columns if c in ("dl",)], F.explode_outer("tfs").alias("p")).filter(F.col("p").isNotNull())
-            .select(id_col, *[c for c in d.columns if c in ("dl",)],
-                    F.col("p.token").alias("token"), F.col("p.tf").alias("tf")))
+    keep = [c for c in d.columns if c in ("ordinal", "dl")]
+    return (d.select(id_col, *keep, F.explode_outer("tfs").alias("p")).filter(F.col("p").isNotNull())
+            .select(id_col, *keep, F.col("p.token").alias("token"), F.col("p.tf").alias("tf")))
 
 
 @dataclass
 class Bm25Index:
-    postings: DataFrame        # item_id, dl, token, tf
+    postings: DataFrame        # item_id, ordinal, dl, token, tf
     vocab: DataFrame           # token, df, idf
     n_docs: Column
     avgdl: Column
@@ -56,7 +56,9 @@ def bm25_index(corpus: DataFrame, k1: float = 1.5, b: float = 0.75,
     ``epsilon`` times the mean idf of the whole vocabulary (the mean taken
     before the replacement).
     """
-    d = corpus.select("item_id", tok_ws("text").alias("toks"))
+    # the ordinal rides along in every posting, so scored pairs carry it
+    # and never need a join back to the corpus for tie-breaking
+    d = corpus.select("item_id", "ordinal", tok_ws("text").alias("toks"))
     d = d.withColumn("dl", F.size("toks"))
     d = with_term_freqs(d, "toks", "tfs").drop("toks")
     postings = _postings(d)
@@ -72,7 +74,7 @@ def bm25_index(corpus: DataFrame, k1: float = 1.5, b: float = 0.75,
 
 @dataclass
 class TfidfIndex:
-    postings: DataFrame        # item_id, token, tf, idf, wn (L2-normalised tf*idf)
+    postings: DataFrame        # item_id, ordinal, token, tf, idf, wn (L2-normalised tf*idf)
     vocab: DataFrame           # token, df, idf
     stop: DataFrame            # token
 
@@ -83,11 +85,12 @@ def stop_frame(spark: SparkSession, stop_words: list[str] | None) -> DataFrame:
 
 
 def word_postings(df: DataFrame, id_col: str, text_col: str, stop: DataFrame) -> DataFrame:
-    """(id, token, tf) of 2+-character word tokens without stop words."""
-    d = df.select(id_col, tok_word2(text_col).alias("toks"))
+    """(id, [ordinal,] token, tf) of 2+-character word tokens without stop words."""
+    keep = [c for c in df.columns if c == "ordinal"]
+    d = df.select(id_col, *keep, tok_word2(text_col).alias("toks"))
     d = with_term_freqs(d, "toks", "tfs")
-    p = (d.select(id_col, F.explode_outer("tfs").alias("p")).filter(F.col("p").isNotNull())
-         .select(id_col, F.col("p.token").alias("token"), F.col("p.tf").alias("tf")))
+    p = (d.select(id_col, *keep, F.explode_outer("tfs").alias("p")).filter(F.col("p").isNotNull())
+         .select(id_col, *keep, F.col("p.token").alias("token"), F.col("p.tf").alias("tf")))
     # the stop list is a fixed, small table: broadcast is bounded by it
     return p.join(F.broadcast(stop), "token", "left_anti")
 

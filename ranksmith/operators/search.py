@@ -46,7 +46,7 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, text_col: str = "question"
     hits = index.postings.join(_side(qw, small), "token")
     tf = F.col("tf")
     contrib = F.col("w") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / index.avgdl))
-    return hits.groupBy("query_id", "item_id").agg(F.sum(contrib).alias("score"))
+    return hits.groupBy("query_id", "item_id", "ordinal").agg(F.sum(contrib).alias("score"))
 
 
 def tfidf_scores(index: TfidfIndex, queries: DataFrame, text_col: str = "question") -> DataFrame:
@@ -60,7 +60,7 @@ def tfidf_scores(index: TfidfIndex, queries: DataFrame, text_col: str = "questio
     qw = qw.join(_side(qn, small), "query_id").select(
         "query_id", "token", (F.col("w") / F.col("qnorm")).alias("wq"))
     hits = index.postings.join(_side(qw, small), "token")
-    return hits.groupBy("query_id", "item_id").agg(F.sum(F.col("wq") * F.col("wn")).alias("score"))
+    return hits.groupBy("query_id", "item_id", "ordinal").agg(F.sum(F.col("wq") * F.col("wn")).alias("score"))
 
 
 def minmax_stats(scores: DataFrame, n_items: Column, max_floor: bool = False) -> DataFrame:
@@ -97,8 +97,9 @@ def hybrid_scores(bm25: DataFrame, cosine: DataFrame, n_items: Column, alpha: fl
     score); ``base`` = (query_id, base_score) — the fused score of an item
     matched by neither side."""
     st = minmax_stats(bm25, n_items, max_floor)
+    keys = ["query_id", "item_id"] + (["ordinal"] if "ordinal" in bm25.columns and "ordinal" in cosine.columns else [])
     pairs = (bm25.withColumnRenamed("score", "bm25")
-             .join(cosine.withColumnRenamed("score", "cosine"), ["query_id", "item_id"], "full"))
+             .join(cosine.withColumnRenamed("score", "cosine"), keys, "full"))
     pairs = pairs.join(st, "query_id", "left")
     # a query with no BM25 match at all: every raw score is 0, range 1
     mn = F.coalesce(F.col("mn"), F.lit(0.0))
@@ -106,7 +107,8 @@ def hybrid_scores(bm25: DataFrame, cosine: DataFrame, n_items: Column, alpha: fl
     b = F.coalesce(F.col("bm25"), F.lit(0.0))
     c = F.coalesce(F.col("cosine"), F.lit(0.0))
     score = F.lit(alpha) * c + F.lit(1 - alpha) * ((b - mn) / rng)
-    pairs = pairs.select("query_id", "item_id", b.alias("bm25"), c.alias("cosine"), score.alias("score"))
+    extra = ["ordinal"] if "ordinal" in pairs.columns else []
+    pairs = pairs.select("query_id", "item_id", *extra, b.alias("bm25"), c.alias("cosine"), score.alias("score"))
     base = st.select("query_id", (F.lit(1 - alpha) * ((F.lit(0.0) - F.col("mn")) / F.col("rng"))).alias("base"))
     return pairs, base
 
@@ -130,8 +132,9 @@ def topk_with_fill(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, k: i
     cut touches at most 2k rows per query.
     """
     keep = keep or []
-    ords = corpus.select("item_id", "ordinal")
-    m = pairs.join(ords, "item_id")
+    # scores from the indexes already carry the ordinal; only foreign pair
+    # tables need the lookup
+    m = pairs if "ordinal" in pairs.columns else pairs.join(corpus.select("item_id", "ordinal"), "item_id")
     m = topk(m, "query_id", score, "ordinal", k).drop("rank")
     m = m.withColumn("_matched", F.lit(1))
     fill = queries.select("query_id", F.explode(first_items(corpus, k)).alias("f")) \

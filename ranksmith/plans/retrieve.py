@@ -77,9 +77,13 @@ def hybrid_pool(idx: Indexes, queries: DataFrame, k: int, alpha: float = 0.5,
     q = queries.select("query_id", F.col(text_col).alias("question"))
     bm, cs = scores if scores is not None else (se.bm25_scores(idx.bm25, q), se.tfidf_scores(idx.tfidf, q))
     pairs, base = se.hybrid_scores(bm, cs, idx.n_items, alpha)
-    pairs = pairs.select("query_id", "item_id", "score")
+    has_ord = "ordinal" in pairs.columns
+    pairs = pairs.select("query_id", "item_id", *(["ordinal"] if has_ord else []), "score")
     if mentions is not None:
-        pairs = bo.candidate_union(pairs, mentions, forced_score)
+        m = mentions
+        if has_ord:  # mentions are few: attach their ordinal with the corpus streaming past them
+            m = idx.corpus.select("item_id", "ordinal").join(broadcast_if_small(mentions), "item_id")
+        pairs = bo.candidate_union(pairs, m, forced_score)
     return se.topk_with_fill(pairs, q, idx.corpus, k, base)
 
 
