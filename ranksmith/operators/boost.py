@@ -199,9 +199,12 @@ def graph_propagate(scores: DataFrame, item_keys: DataFrame, threshold: float =
         w = Window.partitionBy("key").orderBy("ordinal", "item_id")
         firsts = item_keys.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= fill_k) \
             .select("key", "item_id")
-        extra = hub.join(firsts, "key").groupBy("query_id", "item_id").agg((F.max("_push") * factor).alias(score)) \
+        firsts = firsts.join(item_keys.select("item_id", "ordinal").distinct(), "item_id")
+        extra = hub.join(firsts, "key").groupBy("query_id", "item_id", "ordinal") \
+            .agg((F.max("_push") * factor).alias(score)) \
             .join(scores.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
-        out = out.select("query_id", "item_id", score).unionByName(extra.select("query_id", "item_id", score))
+        cols = ["query_id", "item_id"] + (["ordinal"] if "ordinal" in scores.columns else []) + [score]
+        out = out.select(*cols).unionByName(extra.select(*cols))
     return out
 
 

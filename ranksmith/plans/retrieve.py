@@ -162,10 +162,16 @@ def retrieve_full(idx: Indexes, queries: DataFrame, item_keys: DataFrame, k: int
     adds = nb.select("query_id", "item_id", F.col("name_boost").alias("b")) \
         .unionByName(rb.select("query_id", "item_id", F.col("boost").alias("b"))) \
         .groupBy("query_id", "item_id").agg(F.sum("b").alias("b"))
-    s = pairs.select("query_id", "item_id", "score").join(adds, ["query_id", "item_id"], "full") \
+    s = pairs.select("query_id", "item_id", "ordinal", "score").join(adds, ["query_id", "item_id"], "full") \
         .join(base, "query_id", "left")
-    s = s.select("query_id", "item_id", (F.coalesce("score", "base", F.lit(0.0)) + F.coalesce("b", F.lit(0.0)))
-                 .alias("score"))
+    s = s.select("query_id", "item_id", "ordinal",
+                 (F.coalesce("score", "base", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))).alias("score"))
+    # only boost-only rows (bounded: k per fired target) lack an ordinal;
+    # look those up with the corpus streaming past them
+    known = s.filter(F.col("ordinal").isNotNull())
+    boosted = s.filter(F.col("ordinal").isNull()).drop("ordinal")
+    s = known.unionByName(corpus.select("item_id", "ordinal").join(broadcast_if_small(boosted), "item_id")
+                          .select("query_id", "item_id", "ordinal", "score"))
     s = stage(bo.graph_propagate(s, item_keys, fill_k=pool))
     top = se.topk_with_fill(s, q, corpus, pool, base).select("query_id", "item_id", "score")
     forced = rb.filter(F.col("boost") >= 0.8)
