@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import index as ix
 from ..operators import search as se
 from ..session import checkpoint_dir
 from ..sources import tables as tb
