@@ -49,3 +49,15 @@ def test_binary_metrics_zero_division(spark):
     df = spark.createDataFrame([(0, 0.1), (0, 0.2)], "label int, score double")
     r = ev.binary_metrics(df).first()
     assert r.accuracy == 1.0 and r.precision == 0.0 and r.recall == 0.0 and r.f1 == 0.0
+
+
+def test_tie_avg_rank_brute_force(spark):
+    import random
+    rnd = random.Random(5)
+    vals = [round(rnd.random(), 1) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in vals], "score double")
+    got = {r.score: r.avg_rank for r in ev.tie_avg_rank(df).collect()}
+    order = sorted(vals)
+    for v in set(vals):
+        pos = [i + 1 for i, x in enumerate(order) if x == v]
+        assert math.isclose(got[v], sum(pos) / len(pos))
