@@ -68,3 +68,19 @@ def test_target_level_rule_boosts_match_item_level(spark):
            for r in bo.apply_rule_boosts(pairs, c, tb, rules, fill_k=5).collect()}
     exp = {(r.query_id, r.item_id): round(r.boost, 6) for r in bo.rule_boost(q, c, rules).collect()}
     assert got == exp
+
+
+def test_memo_lookup_hits_misses_upsert(spark):
+    from pyspark.sql import functions as F
+    reqs = spark.createDataFrame([(1,), (2,), (3,)], "query_id long")
+    cache = spark.createDataFrame([(1, "cached-1"), (9, "cached-9")], "query_id long, value string")
+    calls = []
+
+    def compute(m):
+        calls.append(1)
+        return m.select("query_id", F.concat(F.lit("new-"), F.col("query_id").cast("string")).alias("value"))
+    answers, updated = bo.memo_lookup(reqs, cache, compute)
+    a = {r.query_id: (r.value, r.from_cache) for r in answers.collect()}
+    assert a == {1: ("cached-1", True), 2: ("new-2", False), 3: ("new-3", False)}
+    u = {r.query_id: r.value for r in updated.collect()}
+    assert u == {1: "cached-1", 9: "cached-9", 2: "new-2", 3: "new-3"}
