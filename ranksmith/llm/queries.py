@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, token_files
+from . import decontam, langid, mixing, token_files
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -20,9 +24,15 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(spark, read(spark, sf_dir, "documents"))
 
 
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
     "op9_token_ids": op9_token_ids,
+    "op10_source_mix": op10_source_mix,
 }
 
 ORACLE: dict[str, str] = {}
