@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, token_files
+from . import decontam, langid, mixing, ngram_join, token_files
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(read(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -29,6 +33,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_ngram_join": op2_ngram_join,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
     "op9_token_ids": op9_token_ids,
