@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, ngram_join, token_files
+from . import decontam, knn_join, langid, mixing, ngram_join, token_files
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(read(spark, sf_dir, "documents"))
 
 
+def op6_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -34,10 +39,24 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_ngram_join": op2_ngram_join,
+    "op6_voronoi_top_k": op6_voronoi_top_k,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
     "op9_token_ids": op9_token_ids,
     "op10_source_mix": op10_source_mix,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_voronoi_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: coalesce(z[1] * z[2], 0))) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+}
