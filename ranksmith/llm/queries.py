@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, knn_join, langid, mixing, ngram_join, token_files
+from . import decontam, html_text, knn_join, langid, mixing, ngram_join, token_files
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(read(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op6_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_join.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -39,6 +43,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_ngram_join": op2_ngram_join,
+    "op5_html_text": op5_html_text,
     "op6_voronoi_top_k": op6_voronoi_top_k,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
