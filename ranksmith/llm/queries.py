@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, knn_join, langid, mixing, ngram_join, token_files
+from . import decontam, html_text, knn_join, langid, lm_score, mixing, ngram_join, token_files
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ce_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read(spark, sf_dir, "documents"), lm_score.good_ids(read(spark, sf_dir, "labels")))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(read(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ce_difference": op1_ce_difference,
     "op2_ngram_join": op2_ngram_join,
     "op5_html_text": op5_html_text,
     "op6_voronoi_top_k": op6_voronoi_top_k,
@@ -52,6 +57,30 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_ce_difference": r"""
+WITH d AS (
+  SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) AS target,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS ws FROM documents),
+tok AS (
+  SELECT doc_id, target, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM d),
+uni AS (SELECT w, count(*) AS b, count(*) FILTER (target) AS t FROM tok GROUP BY w),
+ids AS (SELECT doc_id, target, i, n, CASE WHEN u.t >= 2 THEN tok.w ELSE ' unk' END AS w FROM tok JOIN uni u USING (w)),
+big AS (
+  SELECT doc_id, target, w, i, n, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), ' s') AS v FROM ids),
+tot AS (SELECT count(*) AS nb, count(*) FILTER (target) AS nt,
+               (SELECT count(*) FROM uni WHERE t >= 2) AS vs FROM ids),
+one AS (SELECT w, count(*) AS b, count(*) FILTER (target) AS t FROM ids GROUP BY w),
+his AS (SELECT v, count(*) AS b, count(*) FILTER (target) AS t FROM big GROUP BY v),
+two AS (SELECT v, w, count(*) AS b, count(*) FILTER (target) AS t FROM big GROUP BY v, w),
+val AS (
+  SELECT two.v, two.w,
+         ln(((nt::DOUBLE / nb) * two.b + 5.0 * ((nt::DOUBLE / nb) * one.b + 0.5) / (nt + 0.5 * (vs + 1)))
+            / ((nt::DOUBLE / nb) * his.b + 5.0))
+         - ln((two.t + 5.0 * (one.t + 0.5) / (nt + 0.5 * (vs + 1))) / (his.t + 5.0)) AS x
+  FROM two JOIN one ON one.w = two.w JOIN his ON his.v = two.v CROSS JOIN tot)
+SELECT d.doc_id, len(d.ws) AS n_tokens, round(coalesce(s.x, 0.0), 6) AS ce_difference
+FROM d LEFT JOIN (SELECT doc_id, avg(x) AS x FROM big JOIN val USING (v, w) GROUP BY doc_id) s USING (doc_id)""",
     "op6_voronoi_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
