@@ -20,7 +20,6 @@ columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,19 +34,28 @@ from pyspark.sql import functions as F
 from .common import shared_folder, slices
 
 MAGIC = b"RSTOK001"
-MEMO_ENTRIES = 300_000
-_ODD = re.compile(r"\s\s|^\s|\s\Z")
+MEMO_ENTRIES = 1_000_000
+_TAIL = ".,;:!?*#$%&|"
+# white space other than the space and the line feed
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _ENCODERS: dict = {}
 
 
+def _has_runs(t: str) -> bool:
+    """White space next to white space or at an end, or of another kind."""
+    return ("  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[:1].isspace() or t[-1:].isspace()
+            or any(c in t for c in _OTHER_SPACE))
+
+
 class MemoEncoder:
     """The tokenizers library behind a memo of its results.
 
     The byte-level vocabulary splits a text into pieces first, and a single
     space or line feed between two other characters always begins a piece.
-    Between such places the ids do not depend on each other, so they are
-    encoded once per distinct chunk.  Any text with other white space runs
-    goes to the library whole.
+    Between such places the ids do not depend on each other, and neither do
+    those of a word and of the punctuation after it, so they are encoded once
+    per distinct chunk.  A text with longer runs of white space, or other
+    kinds of it, goes to the library whole.  The memos stop growing at ``MEMO_ENTRIES``.
     """
 
     def __init__(self, path: str, specials_are_text: bool):
@@ -60,30 +68,80 @@ class MemoEncoder:
             and "use_regex=True" in kind and self.tok.normalizer is None
         wide = self.tok.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.dtype = np.dtype("<u4" if wide else "<u2")
-        self.memo: dict[str, bytes] = {}
-        self.long: set[str] = set()
+        self.memo: dict[str, bytes] = {}  # after a space
+        self.plain: dict[str, bytes] = {}  # without one
+        self.space = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
+        self.space[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes()
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if not self.chunks or _ODD.search(text):
-            return self._library([text])[0]
-        keys = text.replace("\n", " \n").split(" ")
-        memo = self.memo
-        out = [memo.get(k) for k in keys]
-        out[0] = self._library([keys[0]])[0]
-        lost = [i for i, v in enumerate(out) if v is None]
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it, from one text of them all."""
+        ids = np.array(self.tok.encode(" " + " ".join(words), add_special_tokens=False).ids, dtype=self.dtype)
+        at = np.flatnonzero(self.space[ids])
+        if len(at) != len(words):
+            return self._library([" " + w for w in words])
+        data, w = ids.tobytes(), self.dtype.itemsize
+        ends = (np.r_[at, len(ids)] * w).tolist()
+        return [data[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    def _look_up(self, lost: dict[str, bytes]) -> None:
+        """Fill in the ids of chunks that the memo lacks: words after a space,
+        or (with a line feed before them) at a line's begin."""
+        stems, plain = {}, {}
+        for k in lost:
+            core = k.rstrip(_TAIL)
+            if k[:1] == "\n":
+                plain[k] = None
+            elif len(core) < len(k) and core.isalpha():
+                plain[k[len(core):]] = stems[core] = None
+            else:
+                stems[k] = None
+        new = [k for k in stems if k not in self.memo]
+        stems = dict(zip(new, self._spaced(new))) if new else {}
+        new = [k for k in plain if k not in self.plain]
+        plain = dict(zip(new, self._library(new))) if new else {}
+        for k in lost:
+            core = k.rstrip(_TAIL)
+            if k[:1] == "\n":
+                lost[k] = plain.get(k) or self.plain[k]
+            elif len(core) < len(k) and core.isalpha():
+                tail = k[len(core):]
+                lost[k] = (stems.get(core) or self.memo[core]) + (plain.get(tail) or self.plain[tail])
+            else:
+                lost[k] = stems.get(k) or self.memo[k]
+        for memo, made in ((self.memo, stems), (self.plain, plain), (self.memo, lost)):
+            if len(memo) < MEMO_ENTRIES:
+                memo.update((k, v) for k, v in made.items() if len(k) < 64 and k[:1] != "\n" or memo is self.plain)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes."""
+        out: list = [None] * len(texts)
+        whole, lost, heads = [], {}, []
+        get = self.memo.get
+        for i, t in enumerate(texts):
+            if not self.chunks or _has_runs(t):
+                whole.append(i)
+                continue
+            keys = t.replace("\n", " \n").split(" ")
+            heads.append((i, keys[0]))
+            del keys[0]
+            got = list(map(get, keys))
+            if None in got:
+                lost.update((k, None) for k, v in zip(keys, got) if v is None)
+            out[i] = (keys, got)
         if lost:
-            made = self._library([keys[i] if keys[i][:1] == "\n" else " " + keys[i] for i in lost])
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-            for i, v in zip(lost, made):
-                out[i] = v
-                if len(keys[i]) < 64:
-                    memo[keys[i]] = v
-        return b"".join(out)
+            self._look_up(lost)
+        for (i, _), head in zip(heads, self._library([h for _, h in heads])):
+            keys, got = out[i]
+            if None in got:
+                got = [lost[k] if v is None else v for k, v in zip(keys, got)]
+            out[i] = head + b"".join(got)
+        for i, data in zip(whole, self._library([texts[i] for i in whole])):
+            out[i] = data
+        return out
 
 
 def encoder(path: str, specials_are_text: bool = True) -> MemoEncoder:
@@ -143,10 +201,11 @@ def _write_part(uri: str, path: str, end_id: int, specials_are_text: bool):
             col = b.column("doc_id")
             nulls.append(np.asarray(col.is_null()).astype(np.uint8))
             ids.append(np.asarray(col.fill_null(0)).astype("<i8"))
-            for t in b.column("text").to_pylist():
-                data = enc.encode(t) + end if t else end
-                bin_file.write(data)
-                sizes.append(len(data) // enc.dtype.itemsize)
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for lo in range(0, len(texts), 256):
+                for data in enc.encode(texts[lo:lo + 256]):
+                    bin_file.write(data + end)
+                    sizes.append(len(data) // enc.dtype.itemsize + 1)
         if bin_file is None:
             return
         bin_file.close()
