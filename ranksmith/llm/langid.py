@@ -191,5 +191,12 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` (all columns) whose language could be told; documents
     with null text or without a letter go."""
     model = learn(docs.where(~held_out(F.col("doc_id"))))
-    kept = predict(docs, model, *docs.columns)
-    return kept.where(F.col("lang_pred") != UND).select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, proto = shared.value
+        for b in slices(batches, "text", max_bytes=4 << 20, max_rows=1024):
+            lang, _ = predict_batch(b.column("text").to_pylist(), names, proto)
+            yield b.filter(pa.array([x != UND for x in lang]))
+
+    return docs.mapInArrow(run, docs.schema)

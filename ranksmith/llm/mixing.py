@@ -267,6 +267,8 @@ def mixed_corpus(docs: DataFrame) -> DataFrame:
 
     A document without words weighs nothing, so no target asks for it: it goes.
     """
-    sized, plan, _ = _by_contract(docs)
-    rows = plan.repeats(sized).where((F.col("_repeats") > 0) & (F.col("_size") > 0))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_repeats"))).alias("_n")).drop("_n")
+    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    sized, plan, _ = _by_contract(packed)
+    rows = plan.repeats(sized.select("doc_id", "_size", "_pattern", "_row"))
+    return (rows.where((F.col("_repeats") > 0) & (F.col("_size") > 0))
+            .select("_row", F.explode(F.sequence(F.lit(1), F.col("_repeats"))).alias("_n")).select("_row.*"))
