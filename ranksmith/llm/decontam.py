@@ -40,7 +40,7 @@ from .common import mix64, slices
 WINDOW = 5
 COVERAGE = 0.8
 SLICE_ITEMS = 50_000
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 1_000_000
 
 # fixed values: spellings of units of measure, time and money
 UNITS = frozenset("""mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl dl l s sec secs min mins h hr hrs
@@ -75,7 +75,8 @@ def _coded(word: str) -> int:
     if not core:
         return code
     low = core.lower()
-    if _NUMBER.match(core) or low in NUMBER_WORDS:
+    if low in NUMBER_WORDS or not low[-1].isalpha() and _NUMBER.match(core) or core[0].isdigit() \
+            and _NUMBER.match(core):
         code |= NUM
     elif low in UNITS:
         code |= UNIT
@@ -89,13 +90,14 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
     types are 0, ``NUMBER``, ``MEASURE`` and ``NAME``."""
     words = text.replace("\n", "\n ").replace("\t", " ").replace("\r", " ").split(" ")
     memo = _MEMO
-    got = [memo.get(w) for w in words]
+    got = list(map(memo.get, words))
     if None in got:
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
+        full = len(memo) >= MEMO_ENTRIES
         for i, g in enumerate(got):
             if g is None:
-                got[i] = memo[words[i]] = _coded(words[i])
+                got[i] = code = _coded(words[i])
+                if not full:
+                    memo[words[i]] = code
     codes = np.fromiter(got, np.uint64, len(got))
     ends = np.cumsum(codes & np.uint64(ENDS)).astype(np.int64)
     at = np.flatnonzero(codes >> np.uint64(5))
@@ -119,8 +121,9 @@ def windows(ids: np.ndarray, size: int = WINDOW) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = np.full(n, size, np.uint64)
     for k in range(size):
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + ids[k:n + k])
-    return h
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += ids[k:n + k]
+    return mix64(h)
 
 
 def both_windows(ids: np.ndarray, slot: np.ndarray) -> list[np.ndarray]:
