@@ -91,9 +91,10 @@ def _route(shared, dim: int, k: int):
             low, high = mid - reach - margin, mid + reach + margin
             order = np.argsort(-low, axis=1)
             total = np.cumsum(count[order], axis=1)
-            # one more than k: the query's own row may be among them
-            at = np.argmax(total >= k + 1, axis=1)
-            floor = np.where(total[:, -1] >= k + 1, np.take_along_axis(low, np.take_along_axis(
+            # the query's own rows may be among them
+            want = k + b.column("own").to_numpy()[:, None]
+            at = np.argmax(total >= want, axis=1)
+            floor = np.where(total[:, -1] >= want[:, 0], np.take_along_axis(low, np.take_along_axis(
                 order, at[:, None], 1), 1)[:, 0], -np.inf)
             q, c = np.nonzero((high >= floor[:, None]) & (count > 0)[None, :])
             n = blocks[c]
@@ -174,7 +175,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", emb
     first = np.cumsum(blocks) - blocks
     places = spark.createDataFrame([(i, int(b), int(f)) for i, (b, f) in enumerate(zip(blocks, first))],
                                    "cell int, blocks long, first long")
-    asked = cells.where(is_query).select("vec_id", "v").distinct()
+    own = cells.where(is_query).groupBy("vec_id").agg(F.count(F.lit(1)).alias("own"))
+    asked = stored(cells.where(is_query).select("vec_id", "v").distinct().join(own, "vec_id"), "knn-queries")
     parts = max(1, -(-asked.count() // QUERY_ROWS))
     part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int")
     route = spark.sparkContext.broadcast((pivots, count, radius, blocks, first))
