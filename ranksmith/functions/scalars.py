@@ -87,11 +87,13 @@ def agg_stddev_pop(x) -> Column:
     return F.stddev_pop(as_double(x))
 
 
+# the SQL text of ``as_double`` for the argument x
+_NUMERIC = "CASE WHEN x RLIKE '{}' THEN try_cast(replace(x, '_', '') AS DOUBLE) END".format(
+    NUMERIC_TEXT.replace("\\", "\\\\"))
+
 SQL_FUNCTIONS = {
-    "rs_log": ("x STRING", "DOUBLE",
-               "CASE WHEN try_cast(x AS DOUBLE) > 0 THEN ln(try_cast(x AS DOUBLE)) END"),
-    "rs_exp": ("x STRING", "DOUBLE",
-               "CASE WHEN abs(exp(try_cast(x AS DOUBLE))) != double('inf') THEN exp(try_cast(x AS DOUBLE)) END"),
+    "rs_log": ("x STRING", "DOUBLE", f"CASE WHEN {_NUMERIC} > 0 THEN ln({_NUMERIC}) END"),
+    "rs_exp": ("x STRING", "DOUBLE", f"CASE WHEN abs(exp({_NUMERIC})) != double('inf') THEN exp({_NUMERIC}) END"),
     "rs_ascii": ("x STRING", "INT", "CASE WHEN x IS NOT NULL AND x != '' THEN ascii(x) END"),
     "rs_sigmoid": ("x DOUBLE", "DOUBLE", "1.0 / (1.0 + exp(-x))"),
 }

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ws_set
 from .containment import contains_pairs
+from .search import first_free
 from .util import broadcast_if_small, topk
 
 
@@ -173,39 +174,45 @@ def rule_pins(queries: DataFrame, corpus: DataFrame, rules: list[Rule],
     return first.select("query_id", "item_id", F.row_number().over(w).cast("long").alias("fpos"))
 
 
+def push_hubs(scores: DataFrame, item_keys: DataFrame, threshold: float = 1.0, factor: float = 0.4,
+              score: str = "score") -> DataFrame:
+    """(query_id, key, lift): what every item above ``threshold`` gives to
+    the members of its join keys, the best per (question, key)."""
+    src = scores.filter(F.col(score) > threshold).join(item_keys.select("item_id", "key"), "item_id")
+    return src.groupBy("query_id", "key").agg((F.max(F.col(score)) * factor).alias("lift"))
+
+
 def graph_propagate(scores: DataFrame, item_keys: DataFrame, threshold: float = 1.0,
-                    factor: float = 0.4, score: str = "score", fill_k: int | None = None) -> DataFrame:
+                    factor: float = 0.4, score: str = "score") -> DataFrame:
     """One hop of score propagation over shared join keys: every item whose
-    score is above ``threshold`` lifts each neighbour to at least
+    score is above ``threshold`` lifts each scored neighbour to at least
     ``factor`` x its score (from pre-propagation scores).
 
     Neighbours are items sharing a key; the push goes through the key as a
     hub, never through materialised item pairs: per (question, key) the
-    best pushing score, then per receiving item the best over its keys.
-    Receivers are the scored pairs themselves (linear in them) and, when
-    ``fill_k`` is given, the ``fill_k`` lowest-ordinal members of every
-    pushing hub — enough for an exact top-``fill_k`` afterwards, because
-    all unscored members of a hub receive the same lift.  An item's own
-    push never exceeds its score, so it changes nothing for itself.
-    ``item_keys`` = (item_id, key, ordinal)."""
-    ik = item_keys.select("item_id", "key")
-    src = scores.filter(F.col(score) > threshold).join(ik, "item_id")
-    hub = src.groupBy("query_id", "key").agg(F.max(F.col(score)).alias("_push"))
-    recv = (scores.select("query_id", "item_id").join(ik, "item_id").join(hub, ["query_id", "key"])
-            .groupBy("query_id", "item_id").agg((F.max("_push") * factor).alias("_lift")))
+    best pushing score, then per receiving item the best over its keys.  An
+    item's own push never exceeds its score, so it changes nothing for
+    itself.  ``item_keys`` = (item_id, key, ordinal).  Unscored members of
+    the hubs are the business of ``propagated_fill``."""
+    hub = push_hubs(scores, item_keys, threshold, factor, score)
+    recv = (scores.select("query_id", "item_id").join(item_keys.select("item_id", "key"), "item_id")
+            .join(hub, ["query_id", "key"]).groupBy("query_id", "item_id").agg(F.max("lift").alias("_lift")))
     out = scores.join(recv, ["query_id", "item_id"], "left")
-    out = out.withColumn(score, F.greatest(F.col(score), F.coalesce(F.col("_lift"), F.col(score)))).drop("_lift")
-    if fill_k:
-        w = Window.partitionBy("key").orderBy("ordinal", "item_id")
-        firsts = item_keys.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= fill_k) \
-            .select("key", "item_id")
-        firsts = firsts.join(item_keys.select("item_id", "ordinal").distinct(), "item_id")
-        extra = hub.join(firsts, "key").groupBy("query_id", "item_id", "ordinal") \
-            .agg((F.max("_push") * factor).alias(score)) \
-            .join(scores.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
-        cols = ["query_id", "item_id"] + (["ordinal"] if "ordinal" in scores.columns else []) + [score]
-        out = out.select(*cols).unionByName(extra.select(*cols))
-    return out
+    return out.withColumn(score, F.greatest(F.col(score), F.coalesce(F.col("_lift"), F.col(score)))).drop("_lift")
+
+
+def propagated_fill(scores: DataFrame, item_keys: DataFrame, base: DataFrame, k: int,
+                    threshold: float = 1.0, factor: float = 0.4, score: str = "score") -> DataFrame:
+    """(query_id, item_id, ordinal, score) of unscored hub members, enough
+    for an exact top-``k``: per (question, hub) the k lowest-ordinal ones,
+    each at the larger of the question's base and its best lift."""
+    hub = push_hubs(scores, item_keys, threshold, factor, score)
+    free = first_free(hub.select("query_id", "key"), item_keys.select("key", "item_id", "ordinal"), scores, k, ["key"])
+    # a member's best lift may come from another of its hubs
+    own = (free.select("query_id", "item_id", "ordinal").distinct().join(item_keys.select("item_id", "key"), "item_id")
+           .join(hub, ["query_id", "key"]).groupBy("query_id", "item_id", "ordinal").agg(F.max("lift").alias("_lift")))
+    return own.join(base, "query_id", "left").select(
+        "query_id", "item_id", "ordinal", F.greatest("_lift", F.coalesce("base", F.lit(0.0))).alias(score))
 
 
 def heuristic_fusion(cands: DataFrame, logit: str = "logit", score: str = "score",
@@ -267,22 +274,19 @@ def pair_scorer(cands: DataFrame, queries: DataFrame, corpus: DataFrame, model=N
     return j.mapInPandas(run, "query_id long, item_id long, logit double")
 
 
-def memo_lookup(requests: DataFrame, cache: DataFrame, compute, key: str = "query_id",
+def memo_lookup(requests: DataFrame, cache: DataFrame, compute, key: str = "question",
                 value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Cache in front of an expensive step.  Hits come from ``cache`` (left
-    join), misses (``left_anti``) go through ``compute`` (a DataFrame ->
-    DataFrame function returning key + value); the cache is upserted with
-    the new values, the latest write winning per key.
-    Returns (answers with a ``from_cache`` flag, updated cache)."""
-    hits = requests.join(cache.select(key, value), key, "inner").withColumn("from_cache", F.lit(True))
-    misses = requests.join(cache.select(key), key, "left_anti")
+    """Cache in front of an expensive step, keyed by ``key`` (the question
+    text).  Every request gets its answer; hits come from ``cache`` (one row
+    per key), the distinct missing keys go through ``compute`` once each (a
+    DataFrame -> DataFrame function returning key + value), and the cache
+    gains them.  Returns (requests with the value and ``from_cache``,
+    updated cache)."""
+    known = cache.select(key, value)
+    misses = requests.select(key).distinct().join(known.select(key), key, "left_anti")
     fresh = compute(misses).select(key, value)
-    answers = hits.select(key, value, "from_cache").unionByName(fresh.withColumn("from_cache", F.lit(False)))
-    stamped = (cache.select(key, value, F.lit(0).alias("_v"))
-               .unionByName(fresh.select(key, value, F.lit(1).alias("_v"))))
-    w = Window.partitionBy(key).orderBy(F.col("_v").desc())
-    updated = stamped.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_v")
-    return answers, updated
+    both = known.withColumn("from_cache", F.lit(True)).unionByName(fresh.withColumn("from_cache", F.lit(False)))
+    return requests.join(both, key), known.unionByName(fresh)
 
 
 def rule_target_boosts(queries: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -303,24 +307,34 @@ def _item_targets(corpus: DataFrame, rules: list[Rule]) -> DataFrame:
         .select("item_id", "ordinal", "k.target", "k.match")
 
 
+def check_rules(rules: list[Rule], limit: float = 0.8) -> None:
+    """A prefix rule lifts a whole family of items; families must stay below
+    the boost that forces an item into the pool."""
+    for r in rules:
+        if r.match == "prefix":
+            most = sum(x.delta for x in rules if x.match == "prefix" and x.delta > 0 and r.target.startswith(x.target))
+            if most >= limit:
+                raise ValueError(f"prefix rules of {r.target!r} add up to {most}; only exact rules may reach {limit}")
+
+
 def apply_rule_boosts(pairs: DataFrame, corpus: DataFrame, tboost: DataFrame, rules: list[Rule],
                       fill_k: int | None = None) -> DataFrame:
     """(query_id, item_id, boost) for the given (query_id, item_id) pairs,
-    plus — with ``fill_k`` — the ``fill_k`` lowest-ordinal items of every
-    fired target (all members of a target get the same boost, so that is
-    enough for an exact top-``fill_k`` of boosted unscored items)."""
+    plus, with ``fill_k``, unscored items enough for an exact
+    top-``fill_k``: items that answer to the same rule targets form a class
+    and get the same boost, so the ``fill_k`` lowest-ordinal unscored
+    members of every (question, class) will do."""
     it = _item_targets(corpus, rules)
     pk = pairs.select("query_id", "item_id").distinct().join(it.select("item_id", "target", "match"), "item_id")
     got = pk.join(tboost, ["query_id", "target", "match"]).groupBy("query_id", "item_id") \
         .agg(F.sum("boost").alias("boost"))
-    if fill_k:
-        w = Window.partitionBy("target", "match").orderBy("ordinal", "item_id")
-        firsts = it.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= fill_k) \
-            .select("item_id", "target", "match")
-        fill_pairs = tboost.join(firsts, ["target", "match"]).select("query_id", "item_id").distinct() \
-            .join(pairs.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
-        extra = fill_pairs.join(it.select("item_id", "target", "match"), "item_id") \
-            .join(tboost, ["query_id", "target", "match"]).groupBy("query_id", "item_id") \
-            .agg(F.sum("boost").alias("boost"))
-        got = got.unionByName(extra)
+    if fill_k and rules:
+        known = F.array(*[F.concat_ws("\u0001", F.lit(r.match), F.lit(r.target)) for r in rules])
+        key = F.concat_ws("\u0001", "match", "target")
+        cls = it.filter(F.array_contains(known, key)).groupBy("item_id", "ordinal") \
+            .agg(F.concat_ws("\u0002", F.array_sort(F.collect_set(key))).alias("cls"))
+        kinds = cls.select("cls").distinct().withColumn("key", F.explode(F.split("cls", "\u0002")))
+        worth = tboost.withColumn("key", key).join(kinds, "key").groupBy("query_id", "cls").agg(F.sum("boost").alias("boost"))
+        free = first_free(worth.select("query_id", "cls"), cls, pairs, fill_k, ["cls"])
+        got = got.unionByName(free.join(worth, ["query_id", "cls"]).select("query_id", "item_id", "boost"))
     return got

@@ -6,8 +6,6 @@ they run as ordinary grouped aggregations; nothing is collected.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,20 +81,6 @@ def pool_metrics(df: DataFrame, group: str = "group_id", label: str = "label",
     return per.agg(*outs, F.count(F.lit(1)).alias("n_groups"))
 
 
-def ndcg_graded(df: DataFrame, group: str, label: str, score: str, tie: str, k: int) -> DataFrame:
-    """NDCG@K for graded labels: per-group ideal order by label desc."""
-    r = _ranked_by_score(df, group, score, tie)
-    wi = Window.partitionBy(group).orderBy(F.col(label).desc(), F.col(tie).asc())
-    r = r.withColumn("_ipos", F.row_number().over(wi))
-    gain = F.pow(F.lit(2.0), F.col(label)) - 1
-    per = r.groupBy(group).agg(
-        F.sum(label).alias("_npos"),
-        F.sum(F.when(F.col("_pos") <= k, gain / F.log2(F.col("_pos") + 1)).otherwise(0.0)).alias("dcg"),
-        F.sum(F.when(F.col("_ipos") <= k, gain / F.log2(F.col("_ipos") + 1)).otherwise(0.0)).alias("idcg"))
-    per = per.filter(F.col("_npos") > 0)
-    return per.agg(F.avg(F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0)).alias(f"ndcg_at_{k}"))
-
-
 def binary_metrics(df: DataFrame, label: str = "label", score: str = "score",
                    threshold: float = 0.5) -> DataFrame:
     """accuracy, precision, recall, F1 at ``score >= threshold``; a zero
@@ -166,14 +150,6 @@ def tie_avg_rank(df: DataFrame, score: str = "score") -> DataFrame:
     return c.select(F.col("s").alias(score), "n", (F.col("before_n") + (F.col("n") + 1) / 2.0).alias("avg_rank"))
 
 
-def ideal_dcg(n_pos: int, k: int) -> float:
-    return sum(1.0 / math.log2(i + 1) for i in range(1, min(n_pos, k) + 1))
-
-
-def rate(flag: Column) -> Column:
-    return F.avg(flag.cast("double"))
-
-
 # --- fixed values: question words that mark benchmark subtasks ------------
 COLUMN_WORDS = ["budget", "phone", "email", "name", "title"]
 DOMAIN_WORDS = ["mit", "residential", "chemical", "biology", "mathematics"]

@@ -30,9 +30,9 @@ MODEL_PARAMS = {
     "random_forest": dict(numTrees=200, maxDepth=8, minInstancesPerNode=5,
                           featureSubsetStrategy="sqrt", seed=42),
     # boosted-library variants fall back to gradient boosting with their settings
-    "lightgbm": dict(maxIter=200, maxDepth=6, stepSize=0.05, subsamplingRate=0.8,
+    "lightgbm": dict(maxIter=200, maxDepth=5, stepSize=0.05, subsamplingRate=0.8,
                      minInstancesPerNode=10, seed=42),
-    "xgboost": dict(maxIter=200, maxDepth=6, stepSize=0.05, subsamplingRate=0.8,
+    "xgboost": dict(maxIter=200, maxDepth=5, stepSize=0.05, subsamplingRate=0.8,
                     minInstancesPerNode=1, seed=42),
 }
 
@@ -55,6 +55,9 @@ def class_balance(train: DataFrame) -> DataFrame:
         .withColumn("positive_ratio", F.round(F.col("positives") / (F.col("positives") + F.col("negatives")), 6))
 
 
+KFOLD_RANGES = 64
+
+
 def group_kfold(train: DataFrame, k: int = 5) -> DataFrame:
     """Fold number per group: groups ordered by size (desc, then id) are
     dealt to folds 0..k-1, k-1..0, 0.. (snake order), which balances fold
@@ -62,8 +65,18 @@ def group_kfold(train: DataFrame, k: int = 5) -> DataFrame:
     sizes = train.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
     n_groups = sizes.agg(F.count(F.lit(1))).scalar()
     kk = F.least(F.lit(k), n_groups)
-    w = Window.orderBy(F.col("n").desc(), F.col("group_id"))  # one row per group
-    r = sizes.withColumn("_i", F.row_number().over(w) - 1)
+    # groups of one size are cut into ranges of their ids, numbered range by
+    # range; the ranges' offsets are a table of sizes x ranges rows (sizes:
+    # at most the candidates of a pool)
+    probs = [i / KFOLD_RANGES for i in range(1, KFOLD_RANGES)]
+    cuts = sizes.groupBy("n").agg(F.percentile_approx("group_id", probs, 10000).alias("_cuts"))
+    b = sizes.join(cuts, "n").withColumn("_b", F.aggregate("_cuts", F.lit(0), lambda a, c: a + (c < F.col("group_id"))
+                                                            .cast("int"))).drop("_cuts")
+    at = Window.orderBy(F.col("n").desc(), "_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = (b.groupBy("n", "_b").agg(F.count(F.lit(1)).alias("_c"))
+           .select("n", "_b", F.coalesce(F.sum("_c").over(at), F.lit(0)).alias("_off")))
+    own = Window.partitionBy("n", "_b").orderBy("group_id")
+    r = b.join(off, ["n", "_b"]).withColumn("_i", F.col("_off") + F.row_number().over(own) - 1)
     lap = F.floor(F.col("_i") / kk)
     pos = F.col("_i") % kk
     return r.select("group_id", F.when(lap % 2 == 0, pos).otherwise(kk - 1 - pos).cast("int").alias("fold"))
@@ -92,21 +105,19 @@ def make_model(kind: str = "gradient_boosting", params: dict | None = None):
     return GBTClassifier(featuresCol="features", labelCol="label", **p)
 
 
-ROWS_PER_TRAIN_PARTITION = 100_000
+ROWS_PER_TRAIN_PARTITION = 25_000
 
 
 def fit(train: DataFrame, kind: str = "gradient_boosting", params: dict | None = None) -> PipelineModel:
     """Assemble the 28 features and fit the tree ensemble.
 
-    Tree learners run several jobs per tree level, so the input's
-    partition count is sized to its row count (one partition per
-    ``ROWS_PER_TRAIN_PARTITION`` rows, at most the cluster parallelism):
-    small training sets do not pay per-task overhead hundreds of times,
-    large ones stay spread over the cluster."""
-    n = train.count()
-    par = train.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, min(par, -(-n // ROWS_PER_TRAIN_PARTITION)))
-    data = train.repartition(parts)
+    Tree learners run several jobs per tree level, so the input gets one
+    partition per ``ROWS_PER_TRAIN_PARTITION`` rows: small training sets do
+    not pay per-task overhead hundreds of times, large ones are spread.  The
+    rows' places depend on their keys alone, so the trees' samples, and with
+    them the model, do not depend on the cluster."""
+    parts = max(1, -(-train.count() // ROWS_PER_TRAIN_PARTITION))
+    data = train.repartition(parts, "group_id", "item_id").sortWithinPartitions("group_id", "item_id")
     pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURE_NAMES, outputCol="features"),
                             make_model(kind, params)])
     return pipe.fit(data)
@@ -182,14 +193,3 @@ def save_model(model: PipelineModel, base_dir: str) -> str:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
-
-
-def compare_models(train: DataFrame, kinds=("gradient_boosting", "random_forest"), k: int = 5) -> DataFrame:
-    """Cross-validate each model kind; rows (model_type, val_*) with a
-    ``best`` flag on the highest mean Recall@5."""
-    out = None
-    for kind in kinds:
-        s = cv_summary(cross_validate(train, kind, k)).withColumn("model_type", F.lit(kind))
-        out = s if out is None else out.unionByName(s)
-    best = out.agg(F.max_by("model_type", "val_recall_at_5")).scalar()
-    return out.withColumn("best", F.col("model_type") == best)

@@ -8,12 +8,13 @@ materialising the query x corpus product.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tok_ws
 from .index import Bm25Index, TfidfIndex, word_postings
-from .util import BROADCAST_MAX_ROWS, OUT_DIGITS, has_at_most, scalar, topk, with_term_freqs
+from ..session import checkpoint_dir
+from .util import BROADCAST_MAX_ROWS, OUT_DIGITS, has_at_most, rank_key, topk, with_term_freqs
 
 
 def query_terms_ws(queries: DataFrame, text_col: str = "question") -> DataFrame:
@@ -113,46 +114,72 @@ def hybrid_scores(bm25: DataFrame, cosine: DataFrame, n_items: Column, alpha: fl
     return pairs, base
 
 
-def first_items(corpus: DataFrame, k: int) -> Column:
-    """The k lowest-ordinal items as a lazy scalar array of structs."""
-    firstk = corpus.select("ordinal", "item_id").orderBy("ordinal").limit(k)
-    return scalar(firstk.agg(F.array_sort(F.collect_list(F.struct("ordinal", "item_id")))))
+def first_free(groups: DataFrame, members: DataFrame, taken: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """(query_id, *keys, item_id, ordinal): of each (question, group) the
+    ``k`` lowest-ordinal members that ``taken`` (query_id, item_id) lacks.
+
+    The first ``4 k`` members of each group are tried first; the few
+    (question, group) rows that find fewer than ``k`` there, although the
+    group has more members, look through the whole group."""
+    checkpoint_dir(groups.sparkSession)
+    width = 4 * k
+    first = Window.partitionBy(*keys).orderBy("ordinal", "item_id")
+    near = members.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= width).drop("_n")
+    t = taken.select("query_id", "item_id")
+    best = Window.partitionBy("query_id", *keys).orderBy("ordinal", "item_id")
+    cols = ["query_id", *keys, "item_id", "ordinal"]
+
+    def free(g: DataFrame, m: DataFrame) -> DataFrame:
+        f = g.join(m, keys).join(t, ["query_id", "item_id"], "left_anti")
+        return f.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).select(*cols)
+
+    got = free(groups, near).checkpoint(eager=True)
+    size = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > width)
+    short = (groups.join(size, keys).join(got.groupBy("query_id", *keys).agg(F.count(F.lit(1)).alias("_got")),
+                                          ["query_id", *keys], "left")
+             .filter(F.coalesce("_got", F.lit(0)) < k).select("query_id", *keys).checkpoint(eager=True))
+    if short.limit(1).count():
+        got = got.join(short, ["query_id", *keys], "left_anti").select(*cols).unionByName(free(short, members))
+    return got
 
 
 def topk_with_fill(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int,
                    base: DataFrame | None = None, score: str = "score",
                    keep: list[str] | None = None) -> DataFrame:
-    """Exact top-k per query over *all* items when unmatched items share
-    the per-query ``base`` score (0 when ``base`` is None) and matched
-    scores are not below it.
+    """Exact top-k per query over *all* items, where the unmatched items
+    share the per-query ``base`` score (0 when ``base`` is None).
 
     The matched pairs are cut to k per query first (partial
-    WindowGroupLimit map-side), then merged with the k lowest-ordinal items
-    as fillers, de-duplicated and cut again: every step after the first
-    cut touches at most 2k rows per query.
+    WindowGroupLimit map-side).  Only questions with fewer than k matches,
+    or whose k-th match does not score above the base, can have unmatched
+    items in the answer: those get their k lowest-ordinal unmatched items
+    as fillers, and all are ranked together.
     """
     keep = keep or []
+    checkpoint_dir(pairs.sparkSession)
     # scores from the indexes already carry the ordinal; only foreign pair
     # tables need the lookup
     m = pairs if "ordinal" in pairs.columns else pairs.join(corpus.select("item_id", "ordinal"), "item_id")
-    m = topk(m, "query_id", score, "ordinal", k).drop("rank")
-    m = m.withColumn("_matched", F.lit(1))
-    fill = queries.select("query_id", F.explode(first_items(corpus, k)).alias("f")) \
-        .select("query_id", F.col("f.item_id").alias("item_id"), F.col("f.ordinal").alias("ordinal"))
+    cols = ["query_id", "item_id", "ordinal", score] + keep
+    m = topk(m, "query_id", score, "ordinal", k).select(*cols).checkpoint(eager=True)
+    known = m.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min(rank_key(score)).alias("_least"))
+    q = queries.select("query_id").distinct().join(known, "query_id", "left")
     if base is not None:
-        fill = fill.join(base, "query_id", "left").withColumn(score, F.coalesce(F.col("base"), F.lit(0.0))).drop("base")
+        q = q.join(base.select("query_id", F.col("base").alias("_base")), "query_id", "left")
     else:
-        fill = fill.withColumn(score, F.lit(0.0))
+        q = q.withColumn("_base", F.lit(0.0))
+    q = q.withColumn("_base", F.coalesce("_base", F.lit(0.0)))
+    open_ = (q.filter((F.coalesce("_n", F.lit(0)) < k) | (F.col("_least") <= rank_key("_base")))
+             .select("query_id", "_base", F.lit(0).alias("_all")).checkpoint(eager=True))
+    if not open_.limit(1).count():
+        return topk(m, "query_id", score, "ordinal", k)
+    members = corpus.select("item_id", "ordinal", F.lit(0).alias("_all"))
+    fill = first_free(open_.select("query_id", "_all"), members, pairs.join(open_, "query_id", "left_semi"), k, ["_all"])
+    fill = fill.join(open_.select("query_id", "_base"), "query_id").withColumn(score, F.col("_base"))
     for c in keep:
         if c not in fill.columns:
             fill = fill.withColumn(c, F.lit(0.0))
-    fill = fill.withColumn("_matched", F.lit(0))
-    cols = ["query_id", "item_id", "ordinal", score] + keep + ["_matched"]
-    both = m.select(*cols).unionByName(fill.select(*cols))
-    best = both.groupBy("query_id", "item_id").agg(
-        F.max_by(F.struct(*[F.col(c) for c in ["ordinal", score] + keep]), F.col("_matched")).alias("r"))
-    best = best.select("query_id", "item_id", *[F.col(f"r.{c}").alias(c) for c in ["ordinal", score] + keep])
-    return topk(best, "query_id", score, "ordinal", k)
+    return topk(m.unionByName(fill.select(*cols)), "query_id", score, "ordinal", k)
 
 
 def bm25_search(index: Bm25Index, queries: DataFrame, corpus: DataFrame, k: int = 15,

@@ -55,18 +55,21 @@ def exact_percentiles(df: DataFrame, group: str, value: str, ps: list[float],
     statistics (the default of numpy and of DuckDB ``quantile_cont``), per
     group, without holding a whole group in one task.
 
-    Approximate quantiles cut each group's value range into ``buckets``;
-    bucket counts and their running offsets locate the bucket(s) holding
-    the two order statistics each percentile needs; only those buckets are
-    ranked.  The cut points affect balance, never the result.
+    Equal values are counted first (map-side), so a value that makes up
+    most of a group is one row.  Approximate quantiles then cut each group's
+    distinct values into ``buckets``; bucket counts and their running
+    offsets locate the bucket(s) holding the two order statistics each
+    percentile needs; only those buckets are cumulated.  The cut points
+    affect balance, never the result.
     Output: group, n, p<100p> for each p (e.g. p50)."""
     probs = [i / buckets for i in range(1, buckets)]
     base = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    cuts = base.groupBy("g").agg(F.percentile_approx("v", probs, 10000).alias("cuts"), F.count(F.lit(1)).alias("n"))
-    b = base.join(cuts, "g")
+    counted = base.groupBy("g", "v").agg(F.count(F.lit(1)).alias("m"))
+    cuts = counted.groupBy("g").agg(F.percentile_approx("v", probs, 10000).alias("cuts"), F.sum("m").alias("n"))
+    b = counted.join(cuts, "g")
     b = b.withColumn("b", F.array_position(F.sort_array(F.concat(F.col("cuts"), F.array("v"))), F.col("v")) - 1) \
         .drop("cuts")
-    cnt = b.groupBy("g", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    cnt = b.groupBy("g", "b").agg(F.sum("m").alias("c"), F.first("n").alias("n"))
     wo = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     cnt = cnt.withColumn("off", F.coalesce(F.sum("c").over(wo), F.lit(0)))
     # the 0-based order statistics each percentile needs
@@ -80,9 +83,9 @@ def exact_percentiles(df: DataFrame, group: str, value: str, ps: list[float],
         .select("g", "b", "off", "t.p", "t.k", "t.r", "t.hi")
     wanted = targets.select("g", "b", "off").distinct()
     rows = b.join(wanted, ["g", "b"])
-    wr = Window.partitionBy("g", "b").orderBy("v")
-    rows = rows.withColumn("k", F.col("off") + F.row_number().over(wr) - 1).select("g", "b", "k", "v")
-    hit = targets.join(rows, ["g", "b", "k"])
+    upto = Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.col("off") + F.sum("m").over(upto)).select("g", "b", "m", "end", "v")
+    hit = targets.join(rows, ["g", "b"]).filter((F.col("k") < F.col("end")) & (F.col("k") >= F.col("end") - F.col("m")))
     per = hit.groupBy("g", "p").agg(
         F.max(F.when(F.col("hi") == 0, F.col("v"))).alias("lo_v"),
         F.max(F.when(F.col("hi") == 1, F.col("v"))).alias("hi_v"),

@@ -501,10 +501,11 @@ def q_stream_metrics_sliding(spark, sf_dir):
     return sm.stream_metrics(spark, f"{sf_dir}/events.parquet", "1 hour", "30 minutes")
 
 
-@register("stream_dedup")
+@register("stream_dedup", lambda: "SELECT DISTINCT user_id, event_type FROM events")
 def q_stream_dedup(spark, sf_dir):
-    """First event per (user, type) within a 1-hour watermark."""
-    return sm.stream_dedup(spark, f"{sf_dir}/events.parquet", ["user_id", "event_type"])
+    """The distinct (user, type) keys that pass a 1-hour watermark dedup (which
+    of a key's events comes first depends on the arrival)."""
+    return sm.stream_dedup(spark, f"{sf_dir}/events.parquet", ["user_id", "event_type"]).select("user_id", "event_type").distinct()
 
 
 # --- dense search ---------------------------------------------------------
@@ -645,7 +646,7 @@ def _scaled_train(spark, sf_dir) -> DataFrame:
 
 def _model(spark, sf_dir, kind, params=None):
     """One fitted model per (session, data, kind, parameters)."""
-    key = ("model", sf_dir, kind, tuple(sorted((params or {}).items())))
+    key = ("model", sf_dir, kind == "random_forest", tuple(sorted((ltr.MODEL_PARAMS[kind] | (params or {})).items())))
     return _cached(spark, key, lambda: ltr.fit(_scaled_train(spark, sf_dir), kind, params))
 
 
@@ -666,7 +667,7 @@ def q_train_rf(spark, sf_dir):
 @register("cross_validate")
 def q_cross_validate(spark, sf_dir):
     """Grouped 5-fold CV of gradient boosting: per-fold metrics."""
-    return _cv(spark, sf_dir, "gradient_boosting", {"maxIter": 30})
+    return _cv(spark, sf_dir, "gradient_boosting")
 
 
 @register("feature_importance")
@@ -680,7 +681,7 @@ def q_ranker_save_load(spark, sf_dir):
     """Fit, save to the shared folder, load back and score."""
     base = checkpoint_dir(spark)
     s = _scaled_train(spark, sf_dir)
-    path = ltr.save_model(_model(spark, sf_dir, "random_forest", {"numTrees": 50}), base)
+    path = ltr.save_model(_model(spark, sf_dir, "random_forest"), base)
     return ltr.predict_topk(ltr.load_model(path), s, 5)
 
 
@@ -847,10 +848,15 @@ def _audit_path(spark, sf_dir) -> str:
     return path
 
 
-@register("audit_log_recent")
+@register("audit_log_recent", lambda: f"""SELECT strftime(to_timestamp(1704067200 + r.query_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS timestamp,
+  b.text AS question, list(r.name ORDER BY r.rank) AS retrieved_tables, list(r.score ORDER BY r.rank) AS scores,
+  min(r.confidence) AS confidence, 'offline' AS model_used
+FROM ({osql.retrieve_offline_sql(5)}) r JOIN benchmark b ON b.item_id = r.query_id
+GROUP BY r.query_id, b.text ORDER BY 1 DESC LIMIT 20""")
 def q_audit_log_recent(spark, sf_dir):
     """Write the audit log of a retrieval batch, read back the newest 20."""
-    return lg.audit_log_recent(spark, _audit_path(spark, sf_dir), 20)
+    return lg.audit_log_recent(spark, _audit_path(spark, sf_dir), 20).select(
+        "timestamp", "question", "retrieved_tables", "scores", "confidence", "model_used")
 
 
 @register("top_tables_in_log", lambda: (
@@ -919,15 +925,19 @@ def q_run_comparison(spark, sf_dir):
 def q_predict_scores(spark, sf_dir):
     """Relevance probability of every training candidate (forest)."""
     s = _scaled_train(spark, sf_dir)
-    return ltr.predict_scores(_model(spark, sf_dir, "random_forest", {"numTrees": 50}), s) \
+    return ltr.predict_scores(_model(spark, sf_dir, "random_forest"), s) \
         .select("group_id", "item_id", "score")
 
 
 @register("train_boosted_variants")
 def q_train_boosted_variants(spark, sf_dir):
-    """The boosted-library settings (depth 6) on Spark's GBT; top 5."""
+    """Both boosted-library settings on Spark's boosted trees; top 5 each."""
     s = _scaled_train(spark, sf_dir)
-    return ltr.predict_topk(_model(spark, sf_dir, "lightgbm", {"maxIter": 50}), s, 5)
+    out = None
+    for kind in ("lightgbm", "xgboost"):
+        top = ltr.predict_topk(_model(spark, sf_dir, kind), s, 5).withColumn("model_type", F.lit(kind))
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 # --- catalog ------------------------------------------------------------------
@@ -1040,40 +1050,65 @@ def q_rule_boost(spark, sf_dir):
     return bo.rule_target_boosts(qs, rt.LANGUAGE_RULES)
 
 
-@register("name_boost")
+@register("name_boost", lambda: f"""WITH {osql.corpus_cte()},
+q AS (SELECT conv_id * 1000 + turn AS query_id, CASE WHEN turn % 2 = 0 THEN conversations.text || ' see ' || replace(lower(d.name), '_', ' ')
+        ELSE conversations.text || ' from ' || split_part(lower(d.name), '_', 2) || '?' END AS question
+      FROM conversations JOIN docs d ON d.item_id = conv_id WHERE role = 'user' AND conversations.text IS NOT NULL),
+m AS (SELECT q.query_id, d.item_id FROM q CROSS JOIN docs d WHERE {osql.mention_sql()}),
+w AS (SELECT DISTINCT query_id, unnest(list_transform({osql.ws_tokens('question')}, lambda t:
+        regexp_replace(t, '^[?,.()_:]+|[?,.()_:]+$', '', 'g'))) AS w FROM q),
+p AS (SELECT item_id, split_part(lower(name), '_', 2) AS p2 FROM docs),
+b AS (SELECT query_id, item_id, 2.0 AS boost FROM m UNION ALL
+      SELECT query_id, item_id, 1.5 FROM w JOIN p ON length(p2) > 3
+        AND (w.w = p2 OR w.w = p2 || 's' OR (suffix(p2, 's') AND w.w = left(p2, length(p2) - 1))))
+SELECT query_id, item_id, CAST(max(boost) AS DOUBLE) AS name_boost FROM b GROUP BY ALL""")
 def q_name_boost(spark, sf_dir):
-    """Name mention (2.0) and name-part (1.5) boosts per question."""
-    idx, qs = _setup(spark, sf_dir)
-    return bo.name_boost(qs, idx.corpus, bo.mention_pairs(qs, idx.corpus))
-
-
-@register("graph_propagate")
+    """Name mention (2.0) and name-part (1.5) boosts of user turns that name
+    the document of their conversation's number, or its source."""
+    idx, qs = _indexes(spark, sf_dir), _naming_turns(spark, sf_dir)
+    out = bo.name_boost(qs, idx.corpus, bo.mention_pairs(qs, idx.corpus))
+    return out.select("query_id", "item_id", F.col("name_boost").cast("double").alias("name_boost"))
+
+
+def _naming_turns(spark, sf_dir):
+    """User turns as questions that name an item of the corpus: even turns
+    the whole name, odd turns its second part."""
+    c = tb.table(spark, sf_dir, "conversations").filter("role = 'user' AND text IS NOT NULL")
+    d = _indexes(spark, sf_dir).corpus.select(F.col("item_id").alias("conv_id"), F.lower("name").alias("n"))
+    return c.join(d, "conv_id").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+        F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(" see "), F.regexp_replace("n", "_", " ")))
+        .otherwise(F.concat("text", F.lit(" from "), F.split("n", "_").getItem(1), F.lit("?"))).alias("question"))
+
+
+@register("graph_propagate", lambda: f"""WITH {osql.catalog_class_sql()}, {osql.corpus_cte()}, {osql.questions_cte()}{osql.bm25_ctes()}{osql.tfidf_ctes()}{osql.hybrid_ctes(forced=False)}
+{osql.ranked_cte('pool', 'hyb', 25)},
+s AS (SELECT query_id, item_id, score * 3 AS score FROM pool),
+ik AS (SELECT DISTINCT docs.item_id, tk.key FROM docs JOIN tk ON tk.table_name = docs.name),
+hub AS (SELECT s.query_id, ik.key, max(s.score) * 0.4 AS lift FROM s JOIN ik USING (item_id) WHERE s.score > 1.0 GROUP BY ALL),
+recv AS (SELECT s.query_id, s.item_id, max(hub.lift) AS lift FROM s JOIN ik USING (item_id)
+         JOIN hub ON hub.query_id = s.query_id AND hub.key = ik.key GROUP BY ALL)
+SELECT s.query_id, s.item_id, round(greatest(s.score, coalesce(recv.lift, s.score)), 6) AS score
+FROM s LEFT JOIN recv USING (query_id, item_id)""")
 def q_graph_propagate(spark, sf_dir):
-    """Hybrid scores + rule boosts lifted through shared join keys."""
+    """Hybrid scores (x 3, so that some are above 1) of the top-25 pools,
+    lifted through shared join keys."""
     idx, qs = _setup(spark, sf_dir)
-    p = rt.hybrid_pool(idx, qs, 25)
-    rb = bo.apply_rule_boosts(p, idx.corpus, bo.rule_target_boosts(qs, rt.LANGUAGE_RULES), rt.LANGUAGE_RULES)
-    s = p.select("query_id", "item_id", "score").join(rb, ["query_id", "item_id"], "left") \
-        .select("query_id", "item_id", (F.col("score") + F.coalesce("boost", F.lit(0.0)) * 4).alias("score"))
-    return bo.graph_propagate(s, _item_keys(spark, sf_dir), fill_k=25)
+    s = rt.hybrid_pool(idx, qs, 25).select("query_id", "item_id", (F.col("score") * 3).alias("score"))
+    out = bo.graph_propagate(rt.stage(s), _item_keys(spark, sf_dir))
+    return out.select("query_id", "item_id", F.round("score", 6).alias("score"))
 
 
-@register("pair_scorer")
+@register("pair_scorer", lambda: f"""WITH {osql.corpus_cte()}, {osql.questions_cte()}{osql.bm25_ctes()}{osql.tfidf_ctes()}{osql.hybrid_ctes(forced=False)}
+{osql.ranked_cte('pool', 'hyb', 25)}
+SELECT query_id, item_id, CAST(round(4.0 * (CASE WHEN contains(lower(question), replace(lower(name), '_', ' ')) THEN 0.2 ELSE 0.0 END
+  + least(len(list_intersect(list_distinct({osql.ws_tokens('question')}), list_distinct({osql.ws_tokens('text')}))), 5) * 0.01) - 2.0, 9) AS DOUBLE)
+  AS logit FROM pool""")
 def q_pair_scorer(spark, sf_dir):
-    """Pair logits of the hybrid top-25 pools through ``mapInPandas`` with
-    a pandas lexical model (same formula as the JVM default)."""
+    """Model-free pair logits of the hybrid top-25 pools."""
     idx, qs = _setup(spark, sf_dir)
     p = rt.hybrid_pool(idx, qs, 25)
-
-    def lexical(pdf):
-        import numpy as np
-        out = []
-        for q, t, n in zip(pdf["question"], pdf["text"], pdf["name"]):
-            ql = q.lower()
-            hit = 0.2 if n.lower().replace("_", " ") in ql else 0.0
-            out.append(4.0 * (hit + 0.01 * min(5, len(set(ql.split()) & set(t.lower().split())))) - 2.0)
-        return np.array(out)
-    return bo.pair_scorer(p, qs, idx.corpus, lexical)
+    return bo.pair_scorer(p, qs, idx.corpus).select("query_id", "item_id", F.round("logit", 9).alias("logit"))
 
 
 @register("workload_scan", lambda: """SELECT conv_id, turn, text FROM conversations
@@ -1109,18 +1144,23 @@ def q_edges_from_text(spark, sf_dir):
     return cg.edges_from_text(cg.describe_tables(_cat_cols(spark, sf_dir)))
 
 
-@register("memo_lookup")
+@register("memo_lookup", lambda: f"""WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+c AS (SELECT DISTINCT text FROM u WHERE conv_id < (SELECT avg(conv_id) FROM u))
+SELECT u.conv_id, u.turn, list_sort(list_distinct({osql.ws_tokens('u.text')})) AS value,
+  u.text IN (SELECT text FROM c) AS from_cache,
+  (SELECT count(DISTINCT text) FROM u) AS cache_size FROM u""")
 def q_memo_lookup(spark, sf_dir):
-    """Expansion memo: even question ids are cached, the rest computed and
-    upserted; answers carry where they came from."""
-    qs = tb.questions_benchmark(spark, sf_dir)
+    """Word sets of user turns behind a memo keyed by their text: the turns
+    of the lower half of the conversations are cached, the other texts are
+    computed once each, and the cache holds every text afterwards."""
+    u = tb.table(spark, sf_dir, "conversations").filter("role = 'user' AND text IS NOT NULL").select("conv_id", "turn", "text")
 
-    def expand(df):
-        return ex.expand_full(df).select("query_id", F.array_sort(tx.ws_set("expanded")).alias("value"))
-    cache = expand(qs.filter(F.col("query_id") % 2 == 0))
-    answers, updated = bo.memo_lookup(qs, cache, lambda m: expand(m.select("query_id", "question")))
-    return answers.join(updated.select("query_id", F.col("value").alias("cached")), "query_id") \
-        .select("query_id", "value", "from_cache", (F.col("value") == F.col("cached")).alias("cache_updated"))
+    def sets(df):
+        return df.select("text", F.array_sort(tx.ws_set("text")).alias("value"))
+    half = u.filter(F.col("conv_id") < u.agg(F.avg("conv_id")).scalar())
+    answers, updated = bo.memo_lookup(u, sets(half.select("text").distinct()), sets, "text")
+    return answers.select("conv_id", "turn", "value", "from_cache",
+                          updated.agg(F.count(F.lit(1))).scalar().alias("cache_size"))
 
 
 # --- more index, expansion and evaluation keys ----------------------------
@@ -1148,7 +1188,7 @@ def q_recall_at_k_pool(spark, sf_dir):
 @register("fold_mean_std")
 def q_fold_mean_std(spark, sf_dir):
     """Mean and population std of every cross-validation metric."""
-    return ltr.cv_summary(_cv(spark, sf_dir, "gradient_boosting", {"maxIter": 30}))
+    return ltr.cv_summary(_cv(spark, sf_dir, "gradient_boosting"))
 
 
 @register("hybrid_search", osql.hybrid_search_sql)
@@ -1178,22 +1218,35 @@ def q_expand_abbrev(spark, sf_dir):
     return qs.select("query_id", F.array_sort(a).alias("added"))
 
 
-@register("name_mention", lambda: f"""WITH {osql.corpus_cte()}, {osql.questions_cte()}
+@register("name_mention", lambda: f"""WITH {osql.corpus_cte()},
+q AS (SELECT conv_id * 1000 + turn AS query_id, CASE WHEN turn % 2 = 0 THEN conversations.text || ' see ' || replace(lower(d.name), '_', ' ')
+        ELSE conversations.text || ' from ' || split_part(lower(d.name), '_', 2) || '?' END AS question
+      FROM conversations JOIN docs d ON d.item_id = conv_id WHERE role = 'user' AND conversations.text IS NOT NULL)
 SELECT q.query_id, d.item_id FROM q CROSS JOIN docs d WHERE {osql.mention_sql()}""")
 def q_name_mention(spark, sf_dir):
-    """Items whose name (or name with spaces) a question mentions."""
-    idx, qs = _setup(spark, sf_dir)
+    """Items whose name (or name with spaces) a user turn mentions; the
+    turns name the document of their conversation's number."""
+    idx, qs = _indexes(spark, sf_dir), _naming_turns(spark, sf_dir)
     return bo.mention_pairs(qs, idx.corpus)
 
 
-@register("log_search")
+@register("log_search", lambda: """SELECT timestamp, question, is_valid FROM (
+  SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, event_type || ' by user ' || user_id AS question,
+         event_type <> 'error' AS is_valid FROM events)
+WHERE contains(lower(question), 'user 1') AND is_valid""")
 def q_log_search(spark, sf_dir):
-    """Audit-log records whose question or model contains 'the'."""
-    log = spark.read.schema(lg.AUDIT_SCHEMA).json(_audit_path(spark, sf_dir))
-    return lg.log_search(log, "the")
+    """Valid records about 'User 1...' in an audit log of all events."""
+    ev_ = tb.table(spark, sf_dir, "events")
+    path = os.path.join(checkpoint_dir(spark), f"audit-{uuid.uuid4().hex[:12]}")
+    lg.audit_log_write(ev_.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+                                  F.concat("event_type", F.lit(" by user "), "user_id").alias("question"),
+                                  (F.col("event_type") != "error").alias("is_valid")), path)
+    log = spark.read.schema(lg.AUDIT_SCHEMA).json(path)
+    return lg.log_search(log, "User 1", valid=True).select("timestamp", "question", "is_valid")
 
 
-@register("stream_audit_log")
+@register("stream_audit_log", lambda: """SELECT CAST(conv_id AS VARCHAR) AS timestamp, text AS question,
+'stream' AS model_used FROM conversations WHERE role = 'user'""")
 def q_stream_audit_log(spark, sf_dir):
     """User turns streamed into a checkpointed JSON-lines audit sink."""
     path = f"{sf_dir}/conversations.parquet"
@@ -1220,27 +1273,31 @@ def q_catalog_search(spark, sf_dir):
     return cg.catalog_search(cg.describe_tables(cols), cols, "src1_")
 
 
-def _cv(spark, sf_dir, kind, params):
-    key = ("cv", sf_dir, kind, tuple(sorted(params.items())))
-    return _cached(spark, key, lambda: ltr.cross_validate(_cached_train(spark, sf_dir), kind, 5, params)
+def _cv(spark, sf_dir, kind):
+    """Fold metrics of a model kind; kinds with equal settings share them."""
+    key = ("cv", sf_dir, kind == "random_forest", tuple(sorted(ltr.MODEL_PARAMS[kind].items())))
+    return _cached(spark, key, lambda: ltr.cross_validate(_cached_train(spark, sf_dir), kind, 5)
                    .checkpoint(eager=True))
 
 
 @register("compare_models")
 def q_compare_models(spark, sf_dir):
-    """Grouped-CV summary of boosting and a forest; best Recall@5 flagged."""
+    """Grouped-CV summary of all four model kinds; best Recall@5 flagged."""
     rows = None
-    for kind, params in (("gradient_boosting", {"maxIter": 30}), ("random_forest", {"numTrees": 20})):
-        s = ltr.cv_summary(_cv(spark, sf_dir, kind, params)).withColumn("model_type", F.lit(kind))
+    for kind in ltr.MODEL_PARAMS:
+        s = ltr.cv_summary(_cv(spark, sf_dir, kind)).withColumn("model_type", F.lit(kind))
         rows = s if rows is None else rows.unionByName(s)
     best = rows.agg(F.max_by("model_type", "val_recall_at_5")).scalar()
     return rows.withColumn("best", F.col("model_type") == best)
 
 
-@register("map_top5")
+@register("map_top5", lambda: """SELECT user_id, event_type AS name, value FROM (
+  SELECT user_id, event_type, total AS value,
+         row_number() OVER (PARTITION BY user_id ORDER BY total DESC, event_type) AS r
+  FROM (SELECT user_id, event_type, round(sum(value), 6) AS total FROM events GROUP BY ALL)) WHERE r <= 5""")
 def q_map_top5(spark, sf_dir):
-    """The five largest feature importances of the fitted boosting model,
-    kept as the audit log keeps them."""
-    imp = ltr.feature_importance(_model(spark, sf_dir, "gradient_boosting"), spark)
-    m = imp.agg(F.map_from_entries(F.collect_list(F.struct("feature", "importance"))).alias("m"))
-    return m.select(lg.map_top(F.col("m"), 5).alias("top_feature_importances"))
+    """The five largest entries of a map per user (event type -> summed
+    value), as the audit log keeps feature importances."""
+    t = tb.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 6).alias("v"))
+    m = t.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m"))
+    return m.select("user_id", F.explode(lg.map_top(F.col("m"), 5)).alias("name", "value"))

@@ -142,19 +142,21 @@ def retrieve_full(idx: Indexes, queries: DataFrame, item_keys: DataFrame, k: int
     (sigmoid((logit + 2.5) / 1.2), 4 d.p.), the first score as confidence
     and a reason.  Unmatched items take the per-query base score; boosts
     and propagation apply to scored pairs and boosted / lifted items;
-    rule boosts stay per (question, target) and reach unscored items only
-    through the lowest-ordinal members of each fired target, so a rule
-    family covering a third of the corpus never becomes question x family
-    rows.  Forced items are those candidates with a rule boost >= 0.8."""
+    rule boosts stay per (question, target) and reach unscored items through
+    the lowest-ordinal unscored members of each class of rule targets, so a
+    rule family covering a third of the corpus never becomes question x
+    family rows.  Forced items are those with a rule boost >= 0.8; only
+    exact rules may reach it (``check_rules``)."""
     from ..functions.scalars import calibrated_score
     rules = LANGUAGE_RULES if rules is None else rules
+    bo.check_rules(rules)
     corpus = idx.corpus
     q = queries.select("query_id", "question")
-    xq = stage(ex.expand_full(q))
+    mentions = stage(bo.mention_pairs(q, corpus))
+    xq = stage(ex.expand_full(q, mentions, corpus))
     bm = stage(se.bm25_scores(idx.bm25, xq.select("query_id", F.col("expanded").alias("question"))))
     cs = stage(se.tfidf_scores(idx.tfidf, q))
     pairs, base = se.hybrid_scores(bm, cs, idx.n_items, 0.5, max_floor=True)
-    mentions = stage(bo.mention_pairs(q, corpus))
     nb = bo.name_boost(q, corpus, mentions)
     tb = stage(bo.rule_target_boosts(q, rules))
     scored = pairs.select("query_id", "item_id").unionByName(nb.select("query_id", "item_id"))
@@ -172,7 +174,9 @@ def retrieve_full(idx: Indexes, queries: DataFrame, item_keys: DataFrame, k: int
     boosted = s.filter(F.col("ordinal").isNull()).drop("ordinal")
     s = known.unionByName(corpus.select("item_id", "ordinal").join(broadcast_if_small(boosted), "item_id")
                           .select("query_id", "item_id", "ordinal", "score"))
-    s = stage(bo.graph_propagate(s, item_keys, fill_k=pool))
+    s = stage(s)
+    s = stage(bo.graph_propagate(s, item_keys).select("query_id", "item_id", "ordinal", "score")
+              .unionByName(bo.propagated_fill(s, item_keys, base, pool)))
     top = se.topk_with_fill(s, q, corpus, pool, base).select("query_id", "item_id", "score")
     forced = rb.filter(F.col("boost") >= 0.8)
     cands = stage(bo.force_include(top, s, forced))

@@ -1,4 +1,7 @@
+import pytest
+
 from ranksmith.operators import boost as bo
+from ranksmith.operators import search as se
 
 
 def corpus(spark):
@@ -35,15 +38,38 @@ def test_graph_propagate(spark):
     assert got[3] == 1.0                    # score exactly 1.0 pushes nothing (strict >)
     assert got[0] == 2.0
     assert 4 not in got
-    filled = {r.item_id: r.score for r in bo.graph_propagate(scores, keys, fill_k=1).collect()}
-    assert 4 not in filled and 5 not in filled   # hub k1's first member (item 0) is already scored
-    # hub k1 by ordinal: 0, 1, 2 (scored), 4, 5: with k = 3 any unscored
-    # member is beaten by three members scoring >= its lift, so none is
-    # needed; with k = 4 member 4 joins at the lift 0.8
-    filled3 = {r.item_id: r.score for r in bo.graph_propagate(scores, keys, fill_k=3).collect()}
-    assert 4 not in filled3
-    filled4 = {r.item_id: r.score for r in bo.graph_propagate(scores, keys, fill_k=4).collect()}
-    assert filled4[4] == 0.8 and 5 not in filled4
+    ordered = scores.withColumn("ordinal", scores.item_id)
+    base = spark.createDataFrame([(1, 0.1)], "query_id long, base double")
+    fill = lambda k, b=base: {r.item_id: r.score for r in bo.propagated_fill(ordered, keys, b, k).collect()}
+    # the lowest members of hub k1 (0, 1, 2) are scored already: the fill
+    # goes on to 4 and 5, at the lift 0.8
+    assert fill(1) == {4: 0.8} and fill(3) == {4: 0.8, 5: 0.8}
+    # a base above the lift stays
+    assert fill(1, spark.createDataFrame([(1, 0.95)], "query_id long, base double")) == {4: 0.95}
+
+
+def test_first_free_looks_through_the_whole_group(spark):
+    members = spark.createDataFrame([(i, i, "g") for i in range(40)] + [(100, 0, "h")], "item_id long, ordinal long, g string")
+    groups = spark.createDataFrame([(1, "g"), (2, "g"), (2, "h")], "query_id long, g string")
+    taken = spark.createDataFrame([(1, i) for i in range(38)] + [(2, 1)], "query_id long, item_id long")
+    got = sorted((r.query_id, r.g, r.item_id) for r in se.first_free(groups, members, taken, 3, ["g"]).collect())
+    assert got == [(1, "g", 38), (1, "g", 39), (2, "g", 0), (2, "g", 2), (2, "g", 3), (2, "h", 100)]
+
+
+def test_rule_families(spark):
+    """A positive family with a negative one inside it: the lowest members
+    are the penalised ones, the fill must reach beyond them."""
+    c = spark.createDataFrame([(i, i, f"AA_B{i}" if i < 9 else f"AA_C{i}", "t") for i in range(12)],
+                              "item_id long, ordinal long, name string, text string")
+    rules = [bo.Rule("up", ["x"], "AA_", 0.5, match="prefix"), bo.Rule("down", ["x"], "AA_B", -0.4, match="prefix")]
+    q = spark.createDataFrame([(1, "x y")], "query_id long, question string")
+    none = spark.createDataFrame([], "query_id long, item_id long")
+    got = {r.item_id: round(r.boost, 6) for r in
+           bo.apply_rule_boosts(none, c, bo.rule_target_boosts(q, rules), rules, fill_k=2).collect()}
+    assert got == {0: 0.1, 1: 0.1, 9: 0.5, 10: 0.5}
+    bo.check_rules(rules)
+    with pytest.raises(ValueError):
+        bo.check_rules([*rules, bo.Rule("more", ["x"], "AA_B", 0.3, match="prefix")])
 
 
 def test_pin_to_front(spark):
@@ -72,15 +98,15 @@ def test_target_level_rule_boosts_match_item_level(spark):
 
 def test_memo_lookup_hits_misses_upsert(spark):
     from pyspark.sql import functions as F
-    reqs = spark.createDataFrame([(1,), (2,), (3,)], "query_id long")
-    cache = spark.createDataFrame([(1, "cached-1"), (9, "cached-9")], "query_id long, value string")
-    calls = []
+    reqs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, "c"), (5, "a")], "query_id long, question string")
+    cache = spark.createDataFrame([("a", "cached-a"), ("z", "cached-z")], "question string, value string")
+    asked = []
 
     def compute(m):
-        calls.append(1)
-        return m.select("query_id", F.concat(F.lit("new-"), F.col("query_id").cast("string")).alias("value"))
+        asked.extend(sorted(r.question for r in m.collect()))
+        return m.select("question", F.concat(F.lit("new-"), "question").alias("value"))
     answers, updated = bo.memo_lookup(reqs, cache, compute)
     a = {r.query_id: (r.value, r.from_cache) for r in answers.collect()}
-    assert a == {1: ("cached-1", True), 2: ("new-2", False), 3: ("new-3", False)}
-    u = {r.query_id: r.value for r in updated.collect()}
-    assert u == {1: "cached-1", 9: "cached-9", 2: "new-2", 3: "new-3"}
+    assert a == {1: ("cached-a", True), 2: ("new-b", False), 3: ("new-b", False), 4: ("new-c", False), 5: ("cached-a", True)}
+    assert asked == ["b", "c"]  # each missing text once
+    assert sorted(map(tuple, updated.collect())) == [("a", "cached-a"), ("b", "new-b"), ("c", "new-c"), ("z", "cached-z")]

@@ -95,3 +95,16 @@ def test_run_comparison_overlay(spark):
     r = lg.run_comparison(runs, ["val_recall_at_5", "val_auc_roc", "missing"]).first()
     assert r.val_recall_at_5 == 0.5 and r.val_auc_roc == 0.9 and r.missing == 0.0
     assert r.training_duration_seconds == 12.3
+
+
+def test_sql_functions_agree_with_columns(spark):
+    from ranksmith.functions import scalars as sc
+    sc.register_sql_functions(spark)
+    rows = [("2.5",), ("1_000",), (" 7 ",), ("0",), ("-1",), ("abc",), ("",), (None,), ("1__0",), ("710",), ("5d",), ("nan",)]
+    df = spark.createDataFrame(rows, "x string")
+    df.createOrReplaceTempView("rs_args")
+    got = spark.sql("SELECT rs_log(x) AS l, rs_exp(x) AS e, rs_ascii(x) AS a, x FROM rs_args").collect()
+    want = df.select(sc.fn_log("x").alias("l"), sc.fn_exp("x").alias("e"), sc.fn_ascii("x").alias("a"), "x").collect()
+    assert [str(r) for r in got] == [str(r) for r in want]
+    assert got[1].l is not None and got[5].l is None and got[10].l is None and got[9].e is None
+    assert spark.sql("SELECT rs_sigmoid(0.0D) AS s").first().s == 0.5

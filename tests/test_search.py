@@ -62,3 +62,22 @@ def test_corpus_smaller_than_k(spark):
     q = spark.createDataFrame([(1, "the cat")], "query_id long, question string")
     out = se.bm25_search(ix.bm25_index(c), q, c, k=10).collect()
     assert len(out) == 2
+
+
+def test_topk_exact_with_negative_scores(spark):
+    """The mean idf is negative here, so matches score below the unmatched
+    items, which are not the lowest-ordinal ones."""
+    docs = spark.createDataFrame([(i, i, f"n{i}", "a b" if i < 20 else "zz") for i in range(23)],
+                                 "item_id long, ordinal long, name string, text string")
+    from ranksmith.plans.retrieve import Indexes
+    idx = Indexes(docs)
+    q = spark.createDataFrame([(1, "a"), (2, "nothing"), (3, "zz a b")], "query_id long, question string")
+    got = {}
+    for r in se.bm25_search(idx.bm25, q, docs, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["item_id"], r["score"]))
+    assert [i for i, _ in got[1]] == [20, 21, 22] and {s for _, s in got[1]} == {0.0}
+    assert [i for i, _ in got[2]] == [0, 1, 2]
+    assert [i for i, _ in got[3]] == [20, 21, 22] and all(s > 0 for _, s in got[3])
+    # all matched, fewer than k unmatched
+    all_k = se.bm25_search(idx.bm25, q.filter("query_id = 1"), docs, 23).collect()
+    assert [r["item_id"] for r in sorted(all_k, key=lambda r: r["rank"])] == [20, 21, 22, *range(20)]
