@@ -51,7 +51,9 @@ outbrain taboola share sharing social comment comments commentlist disqus respon
 feedback related recommended recommendations pagination pager paging search searchbox form widget widgets
 tagcloud toc skip hidden invisible copyright legal disclaimer paywall""".split())
 BAD_STEMS = ("advert", "sidebar", "comment", "cookie", "newsletter", "sponsor", "breadcrumb", "navbar", "footer")
-GOOD_WORDS = frozenset("""article articlebody body content entry main post story text blog hentry prose page""".split())
+GOOD_WORDS = frozenset("""article articlebody body content entry main post story text blog hentry prose""".split())
+# whose header holds the article's title
+TITLE_OF = frozenset(("article", "post", "entry", "story", "hentry"))
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -93,10 +95,14 @@ def _judge(node: Node, attrs: str, by_name: bool) -> None:
                 parts = {w for v, w in zip(["", *names], names) if v not in _ABOUT} | {whole.lower()}
                 if name == "role" and whole.lower() in ("main", "article"):
                     node.main = True
-                elif parts & GOOD_WORDS and not (whole.lower().startswith(BAD_STEMS) or parts & {"comment", "comments"}):
-                    node.good += 1
-                elif not parts.isdisjoint(BAD_WORDS) or whole.lower().startswith(BAD_STEMS):
+                    continue
+                bad = parts & BAD_WORDS
+                if bad == {"header"} and names[0] in TITLE_OF:
+                    bad = set()
+                if bad or whole.lower().startswith(BAD_STEMS):
                     node.out = True
+                elif parts & GOOD_WORDS:
+                    node.good += 1
         elif name == "itemprop" and value.lower() == "articlebody":
             node.main = True
 

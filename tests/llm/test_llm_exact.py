@@ -299,3 +299,14 @@ def test_pipeline(spark, sf_small):
 def test_word_hashes():
     a, at = words(np.frombuffer("The cat\tTHE\n".encode() + "the caT".encode(), np.uint8), np.array([0, 12, 19]))
     assert a[0] == a[2] == a[3] and a[1] == a[4] and len(set(a.tolist())) == 2 and at.tolist() == [0, 0, 0, 1, 1]
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-footer", "post-footer", "nav-content", "cookie-notice", "ad", "ads-box", "adSlot",
+                                  "widget-content", "newsletter-signup", "comments", "comment-body", "reader_comments", "related-posts",
+                                  "share-buttons", "breadcrumbs", "main-menu", "topbar", "promo-text", "login-form", "page-header"])
+def test_html_names_of_other_parts(name):
+    text = "A paragraph, with commas, and enough words to be taken for the article, if nothing else told."
+    for attr in (f'class="{name}"', f'id="{name}"'):
+        page = (f'<body><div class="layout"><div {attr}><p>{text * 3}</p></div><div class="story has-sidebar"><div class="post-header">'
+                f'<h1>Head</h1></div><p>Real, first, paragraph of it.</p><p>Real, second, one.</p></div></div></body>')
+        assert html_text.main_text(page) == "Head Real, first, paragraph of it. Real, second, one."
