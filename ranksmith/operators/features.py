@@ -173,12 +173,13 @@ def _jac(a: Column, b: Column) -> Column:
 
 def add_structure_features(feats: DataFrame, item_keys: DataFrame) -> DataFrame:
     """Fill features 11-15 from (item_id, key, n_columns, out_degree, degree)
-    rows: column count, relations, graph degree, and how many other
+    rows (key null for an item without any): column count, relations, graph
+    degree (tables its keys link, key by key), and how many other
     candidates of the same question share a join key with the item
     (candidate pools are bounded, so the per-question pairs are too)."""
     meta = item_keys.groupBy("item_id").agg(F.first("n_columns").alias("_nc"), F.first("out_degree").alias("_od"),
                                             F.first("degree").alias("_dg"))
-    keys = item_keys.select("item_id", "key").distinct()
+    keys = item_keys.filter(F.col("key").isNotNull()).select("item_id", "key").distinct()
     ck = feats.select("query_id", "item_id").join(keys, "item_id")
     pairs = (ck.alias("a").join(ck.alias("b"), ["query_id", "key"])
              .filter(F.col("a.item_id") != F.col("b.item_id"))

@@ -283,8 +283,13 @@ def features_28_sql(pool: int = 25) -> str:
         e = "1.0 / (1.0 + exp(-cross_encoder_logit))" if c == "cross_encoder_calibrated" else c
         outs.append(f"CAST(round({e}, 9) AS DOUBLE) AS {c}")
     final_select = "\nSELECT query_id, item_id, " + ", ".join(outs) + " FROM f"
-    return f"""WITH {corpus_cte()}, {questions_cte()}{bm25_ctes()}{tfidf_ctes()}{hybrid_ctes(forced=False)}
+    return f"""WITH {catalog_class_sql()}, {corpus_cte()}, {questions_cte()}{bm25_ctes()}{tfidf_ctes()}{hybrid_ctes(forced=False)}
 {ranked_cte('pl', 'hyb', pool)},
+ncol AS (SELECT table_name, count(*) AS n FROM ccols GROUP BY table_name),
+rel AS (SELECT table_name, count(*) AS k, sum(n_tables - 1) AS d FROM tk GROUP BY table_name),
+pk AS (SELECT pl.query_id, pl.item_id, tk.key FROM pl JOIN tk ON tk.table_name = pl.name),
+sh AS (SELECT a.query_id, a.item_id, count(DISTINCT b.item_id) AS n FROM pk a JOIN pk b
+       ON a.query_id = b.query_id AND a.key = b.key AND a.item_id <> b.item_id GROUP BY 1, 2),
 bst2 AS (SELECT query_id, mn, CASE WHEN mx > 0 THEN mx ELSE 1.0 END AS mx FROM bst),
 bnorm AS (SELECT query_id, mn, CASE WHEN mx <> mn THEN mx - mn ELSE 1.0 END AS rng FROM bst2),
 brk AS (SELECT bm.query_id, bm.item_id, row_number() OVER (PARTITION BY bm.query_id ORDER BY round(bm.score, 9) DESC, d.ordinal) AS r
@@ -318,8 +323,10 @@ f AS (
     4.0 * ((CASE WHEN contains(ql, replace(nl, '_', ' ')) THEN 0.2 ELSE 0.0 END)
       + least(len(list_intersect(list_distinct({ws_tokens('question')}), list_distinct({ws_tokens('text')}))), 5) * 0.01) - 2.0
       AS cross_encoder_logit,
-    0.0 AS num_columns, 0.0 AS num_fk_relations, 0.0 AS schema_graph_degree,
-    0.0 AS has_join_key_overlap_with_candidates, 0.0 AS num_shared_join_keys_with_candidates,
+    coalesce(ncol.n, 0) * 1.0 AS num_columns, coalesce(rel.k, 0) * 1.0 AS num_fk_relations,
+    coalesce(rel.d, 0) * 1.0 AS schema_graph_degree,
+    CASE WHEN coalesce(sh.n, 0) > 0 THEN 1.0 ELSE 0.0 END AS has_join_key_overlap_with_candidates,
+    coalesce(sh.n, 0) * 1.0 AS num_shared_join_keys_with_candidates,
     len(qw) * 1.0 AS query_length_words, length(question) * 1.0 AS query_length_chars,
     CASE WHEN {hits('ql', AGGREGATION_KEYWORDS)} > 0 THEN 1.0 ELSE 0.0 END AS has_aggregation_keyword,
     CASE WHEN {hits('ql', JOIN_KEYWORDS)} > 0 THEN 1.0 ELSE 0.0 END AS has_join_keyword,
@@ -332,7 +339,8 @@ f AS (
     len(list_intersect(exw, list_distinct(list_concat(dw, ntok)))) * 1.0 AS llm_expansion_overlap,
     CASE WHEN len(list_intersect(qw, coalesce({meaning_map}[split_part(upper(name), '_', 1)], []::VARCHAR[]))) > 0
       THEN 1.0 ELSE 0.0 END AS category_prefix_match
-  FROM base)
+  FROM base LEFT JOIN ncol ON ncol.table_name = base.name LEFT JOIN rel ON rel.table_name = base.name
+  LEFT JOIN sh USING (query_id, item_id))
 """ + final_select
 
 

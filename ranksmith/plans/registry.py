@@ -575,7 +575,19 @@ def _features(spark, sf_dir, pool: int = 25) -> DataFrame:
     bnorm = se.minmax_norm(bm, idx.n_items, max_floor=True)
     cands = rt.stage(rt.hybrid_pool(idx, qs, pool, scores=(bm, cs)))
     xq = rt.stage(ex.expand_full(qs))
-    return fe.features_28(cands, qs, idx.corpus, bm, cs, bnorm, expanded=xq)
+    return fe.features_28(cands, qs, idx.corpus, bm, cs, bnorm, expanded=xq, item_keys=_item_structure(spark, sf_dir))
+
+
+def _item_structure(spark, sf_dir) -> DataFrame:
+    """(item_id, key, n_columns, out_degree, degree) of every corpus item,
+    from the catalog over the same documents."""
+    cols = _cat_cols(spark, sf_dir)
+    keys = cg.table_keys(cols)
+    per = keys.groupBy("table_name").agg(F.count(F.lit(1)).alias("out_degree"), F.sum(F.col("n_tables") - 1).alias("degree"))
+    n = cols.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_columns"))
+    names = _indexes(spark, sf_dir).corpus.select("item_id", F.col("name").alias("table_name"))
+    return (names.join(n, "table_name").join(per, "table_name", "left").join(keys.select("table_name", "key"), "table_name", "left")
+            .select("item_id", "key", "n_columns", "out_degree", "degree"))
 
 
 @register("features_28", osql.features_28_sql)
