@@ -2,10 +2,10 @@
 
 Both models are bigram models with the same vocabulary, smoothing and size.
 The vocabulary holds the words with ``MIN_COUNT`` occurrences or more in the
-target documents (the ``MAX_WORDS`` most frequent of them; ties by hash);
-every other word is the unknown word, in either model.  Words are runs of
-bytes other than ASCII white space, A-Z lower-cased, told apart by 64-bit
-hashes.  Background counts are those of all documents, scaled by s so that
+target documents (where more than ``MAX_WORDS`` have, the smallest count
+that ``MAX_WORDS`` at most reach is asked for); every other word is the
+unknown word, in either model.  Words are runs of bytes other than ASCII white
+space, A-Z lower-cased, told apart by 64-bit hashes.  Background counts are those of all documents, scaled by s so that
 they amount to as many words as the target's.  With <s> before the first word,
 
     p1(w)   = (s c(w) + ALPHA) / (N + ALPHA (V + 1))
@@ -74,15 +74,17 @@ class Places:
 class Model:
     """The shared vocabulary with both models' word and history counts."""
 
-    def __init__(self, vocab: pd.DataFrame, totals: dict[str, int]):
-        v = vocab.sort_values("u", ignore_index=True)
-        self.keys = v["u"].to_numpy(np.uint64)
-        self.size = len(v) + 2
+    def __init__(self, vocab: DataFrame, totals: dict[str, int]):
+        v = vocab.toArrow().combine_chunks()
+        keys = v["w"].to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.size = len(keys) + 2
         n_t, n_b = totals["t"], totals["b"]
         self.scale = n_t / n_b if n_b else 0.0
 
         def counts(col, total, first):
-            known = v[col].to_numpy(np.float64)
+            known = v[col].to_numpy().astype(np.float64)[order]
             return np.r_[first, total - known.sum(), known]
 
         base = n_t + ALPHA * (self.size - 1)
@@ -260,6 +262,20 @@ def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
                          "ce_difference": np.round(np.where(n > 0, total / np.maximum(n, 1), 0.0), 6)})
 
 
+def _least_count(counts: DataFrame) -> int:
+    """The smallest target count, ``MIN_COUNT`` or more, that ``MAX_WORDS``
+    words at most reach."""
+    many = F.least("t", F.lit(1_000_000))
+    rows = counts.where(F.col("t") >= MIN_COUNT).groupBy(many.alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, words = MIN_COUNT, 0
+    for r in sorted(rows, key=lambda r: -r["t"]):
+        words += r["n"]
+        if words > MAX_WORDS:
+            least = r["t"] + 1
+            break
+    return least
+
+
 def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ce_difference) of every row of ``docs``.
 
@@ -279,10 +295,7 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     counts = stored(counts, "lm-words")
     sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("b", "t", "end_b", "end_t")]).first().asDict()
     totals = sums | {"docs_b": sums["end_b"], "docs_t": sums["end_t"]}
-    vocab = counts.where(F.col("t") >= MIN_COUNT).orderBy(F.desc("t"), "w").limit(MAX_WORDS).toPandas()
-    vocab["u"] = vocab["w"].to_numpy(np.int64).view(np.uint64)
-    model = Model(vocab, totals)
-    del vocab
+    model = Model(counts.where(F.col("t") >= _least_count(counts)), totals)
     places = Places(model.keys)
     # Bigrams that are common in some chunk: a bounded list, chosen over all
     # documents; which ones it holds decides where they are counted, not how.
