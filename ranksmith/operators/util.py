@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest side we hint for broadcast without asking AQE.  The bound is
-# checked on the data (``limit(n+1).count()``), never assumed.
-BROADCAST_MAX_ROWS = 2_000_000
+from ..session import checkpoint_dir
+
+# Largest side we hint for broadcast without asking AQE: rows, and bytes of
+# what they hold.  Both are checked on the data, never assumed.
+BROADCAST_MAX_ROWS = 500_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 # Ranking keys are rounded so that parallel float sums that differ only in
 # the last bits order the same way in Spark and in the SQL oracle.
@@ -20,10 +23,29 @@ def has_at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a checked row bound; otherwise leave the
-    strategy to Catalyst + AQE (shuffle join, skew splitting)."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
+def _held_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: 8 for each number, and the length of the rest."""
+    parts = [F.lit(8)]
+    for name, kind in df.dtypes:
+        if kind == "string":
+            parts.append(F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) + 16)
+        elif kind.startswith(("array", "map", "struct")):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))), F.lit(0)) + 16)
+        else:
+            parts.append(F.lit(8))
+    return sum(parts[1:], parts[0]).cast("long")
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                       max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only behind a checked bound of rows and bytes;
+    otherwise the strategy is left to Catalyst + AQE (shuffle join, skew
+    splitting).  The checked rows are stored, so a side that is broadcast
+    runs its plan once."""
+    checkpoint_dir(df.sparkSession)
+    held = df.limit(max_rows + 1).checkpoint(eager=True)
+    n, size = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(_held_bytes(held)), F.lit(0))).first()
+    return F.broadcast(held) if n <= max_rows and size <= max_bytes else df
 
 
 def scalar(df: DataFrame) -> Column:
