@@ -98,19 +98,18 @@ def _info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
-    cells = None
+    cells, held = None, []
     for b in slices(batches, "text", 2 << 20):
         for s in shingle_sets(b.column("text")):
             if not len(s) or (k := signature(s)) in seen:
                 continue
             if len(seen) < 1 << 18:
                 seen.add(k)
-            if cells is None:
-                cells = np.zeros(CELLS, np.uint32)
-            cells += np.bincount((s >> np.uint64(42)).astype(np.int64), minlength=CELLS).astype(np.uint32) \
-                if len(s) > CELLS >> 4 else 0
-            if len(s) <= CELLS >> 4:
-                np.add.at(cells, (s >> np.uint64(42)).astype(np.int64), 1)
+            held.append(s >> np.uint64(42))
+        if held:
+            cells = np.zeros(CELLS, np.uint32) if cells is None else cells
+            np.add.at(cells, np.concatenate(held).astype(np.int64), 1)
+            held = []
     if cells is not None:
         parts = np.minimum(cells, 65_535).astype("<u2").reshape(CELL_PARTS, -1)
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(CELL_PARTS), pa.int32()),
@@ -193,12 +192,12 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index rows whose list holds two sets or more."""
+    """Index rows whose list holds another set of fitting size."""
     for df in _lists(batches):
-        df = df.drop_duplicates(["key", "sig"])
-        key = df["key"].to_numpy()
-        same = key[1:] == key[:-1]
-        df = df[np.r_[False, same] | np.r_[same, False]]
+        df = df.drop_duplicates(["key", "sig"]).sort_values(["key", "n"], kind="stable")
+        key, n = df["key"].to_numpy(), df["n"].to_numpy().astype(np.int64)
+        fits = (key[1:] == key[:-1]) & (NUM * n[1:] <= DEN * n[:-1])
+        df = df[np.r_[False, fits] | np.r_[fits, False]]
         if len(df):
             yield pa.RecordBatch.from_pandas(df, preserve_index=False)
 
@@ -364,21 +363,20 @@ def grouped(docs: DataFrame) -> DataFrame:
     rows = index_rows(d, cell_counts(d))
     index = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, rows.schema), "join-index")
     bits = info.where("n > 0").groupBy("sig").agg(F.max("bits").alias("bits"))
-    lists = stored(index.join(bits, "sig").select("key", "sig", "n", "pos", "bits")
-                   .repartition("key").sortWithinPartitions("key"), "join-lists")
 
-    def by_list(frame: DataFrame, run) -> DataFrame:
+    def by_list(rows: DataFrame, run) -> DataFrame:
+        frame = rows.join(bits, "sig")
         return stored(frame.repartition("key").sortWithinPartitions("key")
                       .mapInArrow(run, "a long, b long").distinct(), "join-pairs")
 
-    tested = _checked(d, by_list(lists, _forest))
+    tested = _checked(d, by_list(index, _forest))
     links = tested.where("ok").select("a", "b")
     roots = components(links)
     if tested.where("not ok").limit(1).count():
         seen = stored(tested.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "join-open")
         labels = seen.join(roots, seen.sig == roots.node, "left").select(
             "sig", F.coalesce("root", "sig").alias("label"))
-        more = by_list(lists.join(stored(labels, "join-labels"), "sig"), _crossing)
+        more = by_list(index.join(stored(labels, "join-labels"), "sig"), _crossing)
         more = stored(more.join(tested, ["a", "b"], "left_anti"), "join-more")
         links = _checked(d, more).where("ok").select("a", "b")
         roots = components(links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
