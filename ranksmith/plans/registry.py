@@ -1055,6 +1055,21 @@ def q_retrieve_full(spark, sf_dir):
     return rt.retrieve_full(idx, qs, _item_keys(spark, sf_dir))
 
 
+def _learned(spark, sf_dir, kind="gradient_boosting", params=None):
+    """(kind, scorer) of a ranker fitted on the training set: scales with the
+    training statistics, predicts the relevance probability."""
+    train, model = _cached_train(spark, sf_dir), _model(spark, sf_dir, kind, params)
+    return kind, lambda feats: ltr.predict_scores(model, ltr.standard_scale(train, feats))
+
+
+@register("retrieve_full_learned")
+def q_retrieve_full_learned(spark, sf_dir):
+    """Full pipeline with the boosted ranker in place of the fusion."""
+    idx, qs = _setup(spark, sf_dir)
+    return rt.retrieve_full(idx, qs, _item_keys(spark, sf_dir), ranker=_learned(spark, sf_dir),
+                            structure=_item_structure(spark, sf_dir))
+
+
 @register("rule_boost", lambda: osql.rule_boost_sql(rt.LANGUAGE_RULES))
 def q_rule_boost(spark, sf_dir):
     """Language-cue rule boosts of user turns, per (question, target)."""

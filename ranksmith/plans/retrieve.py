@@ -133,8 +133,9 @@ LANGUAGE_RULES = [
 
 
 def retrieve_full(idx: Indexes, queries: DataFrame, item_keys: DataFrame, k: int = 5, pool: int = 25,
-                  rules: list | None = None, model=None) -> DataFrame:
-    """The full pipeline without a learned model: BM25 on the expanded
+                  rules: list | None = None, model=None, ranker=None,
+                  structure: DataFrame | None = None) -> DataFrame:
+    """The full pipeline.  Without a learned ranker: BM25 on the expanded
     question fused with the cosine score, plus name and rule boosts ->
     one hop of propagation through shared join keys -> top ``pool`` plus
     items whose rule boost is at least 0.8 -> pair logits -> heuristic
@@ -146,7 +147,13 @@ def retrieve_full(idx: Indexes, queries: DataFrame, item_keys: DataFrame, k: int
     the lowest-ordinal unscored members of each class of rule targets, so a
     rule family covering a third of the corpus never becomes question x
     family rows.  Forced items are those with a rule boost >= 0.8; only
-    exact rules may reach it (``check_rules``)."""
+    exact rules may reach it (``check_rules``).
+
+    ``ranker`` = (kind, function) takes the place of the fusion: the
+    function turns the candidates' 28 features (query_id, item_id, features;
+    ``structure`` as for ``add_structure_features``) into rows with a
+    ``score``, by which the top k are taken; ``model_used`` is then
+    ``learned_<kind>``.  The features are those the ranker was trained on."""
     from ..functions.scalars import calibrated_score
     rules = LANGUAGE_RULES if rules is None else rules
     bo.check_rules(rules)
@@ -182,6 +189,13 @@ def retrieve_full(idx: Indexes, queries: DataFrame, item_keys: DataFrame, k: int
     cands = stage(bo.force_include(top, s, forced))
     logits = bo.pair_scorer(cands, q, corpus, model)
     fused = bo.heuristic_fusion(cands.join(logits, ["query_id", "item_id"]))
+    if ranker is not None:
+        from ..operators.features import features_28
+        raw = stage(se.bm25_scores(idx.bm25, q))
+        feats = features_28(cands, q, corpus, raw, cs, se.minmax_norm(raw, idx.n_items, max_floor=True),
+                            expanded=xq, item_keys=structure)
+        learned = ranker[1](feats).select("query_id", "item_id", F.col("score").alias("fused"))
+        fused = fused.drop("fused").join(learned, ["query_id", "item_id"])
     best = topk(corpus.select("item_id", "ordinal").join(broadcast_if_small(fused), "item_id"),
                 "query_id", "fused", "ordinal", k)
     best = best.withColumn("calibrated", calibrated_score(F.col("logit")))
@@ -196,4 +210,4 @@ def retrieve_full(idx: Indexes, queries: DataFrame, item_keys: DataFrame, k: int
                             F.col("calibrated").cast("string"), F.lit(")")))
     return out.select("query_id", "rank", "item_id", "name", F.round("fused", 6).alias("rank_score"),
                       F.col("calibrated").alias("score"), "confidence", reason.alias("reason"),
-                      F.lit("heuristic").alias("model_used"))
+                      F.lit(f"learned_{ranker[0]}" if ranker is not None else "heuristic").alias("model_used"))
