@@ -1328,3 +1328,54 @@ def q_map_top5(spark, sf_dir):
     t = tb.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 6).alias("v"))
     m = t.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m"))
     return m.select("user_id", F.explode(lg.map_top(F.col("m"), 5)).alias("name", "value"))
+
+
+# --- SQL text: fences, table references, gold sets ------------------------
+
+_SQL_TEXTS = f"""turns AS (SELECT conv_id, turn, upper(concat_ws('_', a.lang, a.source, CAST(a.doc_id AS VARCHAR))) AS n1,
+  coalesce(upper(concat_ws('_', b.lang, b.source, CAST(b.doc_id AS VARCHAR))), 'NOT_THERE') AS n2
+  FROM conversations c JOIN documents a ON a.doc_id = c.conv_id LEFT JOIN documents b ON b.doc_id = c.conv_id + 900 * c.turn
+  WHERE role = 'assistant')"""
+
+
+def _sql_answers(spark, sf_dir) -> DataFrame:
+    """An SQL answer per assistant turn, over the items of the conversation's
+    number and of a later number: a CTE, a quoted name, and a fence around
+    every other one."""
+    d = _indexes(spark, sf_dir).corpus.select("item_id", "name")
+    c = tb.table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    j = (c.join(d.select(F.col("item_id").alias("conv_id"), F.col("name").alias("n1")), "conv_id")
+         .join(d.select(F.col("item_id").alias("_i"), F.lower("name").alias("n2")),
+               F.col("conv_id") + 900 * F.col("turn") == F.col("_i"), "left"))
+    sql = F.concat(F.lit("WITH recent AS (SELECT * FROM main."), F.col("n1"), F.lit(") SELECT r.* FROM recent r JOIN `"),
+                   F.coalesce("n2", F.lit("not_there")), F.lit("` d ON r.doc_id = d.doc_id"))
+    fenced = F.concat(F.lit("Here it is:\n```sql\n"), sql, F.lit("\n```\nDone."))
+    return j.select("conv_id", "turn", F.when(F.col("conv_id") % 2 == 0, fenced).otherwise(F.concat(F.lit("SQL: "), sql)).alias("answer"))
+
+
+@register("strip_code_fence", lambda: f"""WITH {_SQL_TEXTS} SELECT conv_id, turn, 'WITH recent AS (SELECT * FROM main.' || n1
+  || ') SELECT r.* FROM recent r JOIN `' || lower(n2) || '` d ON r.doc_id = d.doc_id' AS sql FROM turns""")
+def q_strip_code_fence(spark, sf_dir):
+    """SQL of the answers, without fences and prefixes."""
+    return _sql_answers(spark, sf_dir).select("conv_id", "turn", tx.strip_code_fence(F.col("answer")).alias("sql"))
+
+
+@register("sql_table_refs", lambda: f"""WITH {_SQL_TEXTS}
+SELECT conv_id, turn, list_sort(list_distinct([n1, n2, 'RECENT'])) AS tables, ['RECENT'] AS ctes FROM turns""")
+def q_sql_table_refs(spark, sf_dir):
+    """Tables and CTE names that the answers' SQL refers to."""
+    r = tx.sql_table_refs(q_strip_code_fence(spark, sf_dir), "sql")
+    return r.select("conv_id", "turn", F.array_sort("refs.tables").alias("tables"), F.array_sort("refs.ctes").alias("ctes"))
+
+
+@register("gold_items", lambda: f"""WITH {_SQL_TEXTS}
+SELECT DISTINCT conv_id * 1000 + turn AS query_id, unnest([n1] || CASE WHEN n2 <> 'NOT_THERE' THEN [n2] ELSE [] END) AS item_id
+FROM turns""")
+def q_gold_items(spark, sf_dir):
+    """Gold items of the answers: referenced tables without the CTE names,
+    restricted to the catalog."""
+    r = q_sql_table_refs(spark, sf_dir).withColumn("query_id", F.col("conv_id") * 1000 + F.col("turn"))
+    refs = r.select("query_id", F.explode("tables").alias("item_id"))
+    ctes = r.select("query_id", F.explode("ctes").alias("item_id"))
+    names = _indexes(spark, sf_dir).corpus.select(F.col("name").alias("item_id"))
+    return ev.gold_items(refs, ctes, names)
