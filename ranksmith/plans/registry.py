@@ -1333,7 +1333,7 @@ def q_map_top5(spark, sf_dir):
 # --- SQL text: fences, table references, gold sets ------------------------
 
 _SQL_TEXTS = f"""turns AS (SELECT conv_id, turn, upper(concat_ws('_', a.lang, a.source, CAST(a.doc_id AS VARCHAR))) AS n1,
-  coalesce(upper(concat_ws('_', b.lang, b.source, CAST(b.doc_id AS VARCHAR))), 'NOT_THERE') AS n2
+  CASE WHEN b.doc_id IS NULL THEN 'NOT_THERE' ELSE upper(concat_ws('_', b.lang, b.source, CAST(b.doc_id AS VARCHAR))) END AS n2
   FROM conversations c JOIN documents a ON a.doc_id = c.conv_id LEFT JOIN documents b ON b.doc_id = c.conv_id + 900 * c.turn
   WHERE role = 'assistant')"""
 
