@@ -91,6 +91,22 @@ val AS (
   FROM two JOIN one ON one.w = two.w JOIN his ON his.v = two.v CROSS JOIN tot)
 SELECT d.doc_id, len(d.ws) AS n_tokens, round(coalesce(s.x, 0.0), 6) AS ce_difference
 FROM d LEFT JOIN (SELECT doc_id, avg(x) AS x FROM big JOIN val USING (v, w) GROUP BY doc_id) s USING (doc_id)""",
+    "op2_ngram_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1),
+                        lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM d),
+x AS (SELECT doc_id, unnest(sh) AS h FROM s),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id
+      GROUP BY 1, 2),
+l AS (SELECT i, j FROM p JOIN s a ON a.doc_id = i JOIN s b ON b.doc_id = j
+      WHERE 100 * c >= 90 * (len(a.sh) + len(b.sh) - c)),
+r AS (SELECT doc_id AS i, doc_id AS j FROM s UNION SELECT r.i, l.j FROM r JOIN l ON l.i = r.j)
+SELECT s.doc_id, len(any_value(s.sh)) AS n_shingles, min(r.j) AS component_id
+FROM s JOIN r ON r.i = s.doc_id GROUP BY s.doc_id""",
     "op6_voronoi_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
