@@ -49,7 +49,7 @@ CELLS = 1 << 22
 CELL_PARTS = 64
 LIST_ROWS = 20_000
 BLOCK_ROWS = 60_000
-PAIR_BLOCK = 100_000
+PAIR_BLOCK = 1_000_000
 FILTER_BITS = 1 << 27
 
 
@@ -226,43 +226,52 @@ def candidate_pairs(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
     df = df.sort_values(["key", "n", "pos"], kind="stable", ignore_index=True)
     key, n, pos = df["key"].to_numpy(), df["n"].to_numpy().astype(np.int64), df["pos"].to_numpy()
     label = df["label"].to_numpy() if "label" in df else None
-    bits = df["bits"].tolist()
+    sigs, first, node = np.unique(df["sig"].to_numpy(), return_index=True, return_inverse=True)
+    bits = df["bits"].iloc[first].tolist()
     width = np.fromiter(map(len, bits), np.int64, len(bits))
-    sig = df["sig"].to_numpy()
+    size_of = n[first]
+    seen = np.zeros(0, np.int64)
     found: list[np.ndarray] = []
-    open_rows, k = np.arange(len(df)), 1
-    held, size = [], 0
 
-    def settle():
-        i, j = (np.concatenate(c) for c in zip(*held))
+    def settle(held):
+        """Compare the pairs that are new; a pair meets in many lists."""
+        nonlocal seen
+        code = np.unique(np.concatenate(held))
+        if len(seen):
+            at = np.minimum(np.searchsorted(seen, code), len(seen) - 1)
+            code = code[seen[at] != code]
+        if not len(code):
+            return
+        seen = np.union1d(seen, code) if len(seen) else code
+        i, j = code // len(sigs), code % len(sigs)
         h = _hamming(bits, i, j, width)
-        ok = h <= n[i] + n[j] - 2 * need(n[i], n[j])
-        a, b = np.minimum(sig[i[ok]], sig[j[ok]]), np.maximum(sig[i[ok]], sig[j[ok]])
-        found.append(np.unique(np.stack([a, b, h[ok]]), axis=1))
+        ok = h <= size_of[i] + size_of[j] - 2 * need(size_of[i], size_of[j])
+        found.append(np.stack([sigs[i[ok]], sigs[j[ok]], h[ok]]))
 
+    open_rows, k, held, size = np.arange(len(df)), 1, [], 0
     while len(open_rows):
         open_rows = open_rows[open_rows + k < len(df)]
         i, j = open_rows, open_rows + k
         go = (key[i] == key[j]) & (NUM * n[j] <= DEN * n[i])
         open_rows = i = i[go]
         j = j[go]
-        left = np.minimum(n[i] - pos[i], n[j] - pos[j])
-        ok = left >= need(n[i], n[j])
+        ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need(n[i], n[j])
         if label is not None:
             ok &= label[i] != label[j]
         if ok.any():
-            held.append((i[ok], j[ok]))
-            size += int(ok.sum())
+            x, y = node[i[ok]], node[j[ok]]
+            held.append(np.minimum(x, y) * len(sigs) + np.maximum(x, y))
+            size += len(x)
             if size >= PAIR_BLOCK:
-                settle()
+                settle(held)
                 held, size = [], 0
         k += 1
     if held:
-        settle()
+        settle(held)
     if not found:
         e = np.zeros(0, np.int64)
         return e, e, e
-    a, b, h = np.unique(np.concatenate(found, axis=1), axis=1)
+    a, b, h = np.concatenate(found, axis=1)
     return a, b, h
 
 
