@@ -95,13 +95,19 @@ def column_role(name: Column) -> Column:
             .when(_any_contains(c, ROLE_TIME), F.lit("temporal column")))
 
 
-def usecase_text(table_name: Column) -> Column:
-    """Meanings of the name parts found in the abbreviation table, else a
-    generic sentence."""
-    m = F.create_map(*[x for ab, mean in ABBREVIATIONS.items() for x in (F.lit(ab), F.lit(mean))])
+def usecase_text(table_name: Column, overrides: dict[str, str] | None = None,
+                 meanings_of: dict[str, str] = ABBREVIATIONS) -> Column:
+    """The table's own text of ``overrides`` (by upper-case name), else the
+    meanings of the name parts found in ``meanings_of``, else a generic
+    sentence."""
+    own = F.lit(None).cast("string")
+    if overrides:
+        given = F.create_map(*[x for name, text in overrides.items() for x in (F.lit(name.upper()), F.lit(text))])
+        own = F.try_element_at(given, F.upper(table_name))
+    m = F.create_map(*[x for ab, mean in meanings_of.items() for x in (F.lit(ab), F.lit(mean))])
     parts = F.split(F.upper(table_name), "_")
     meanings = F.filter(F.transform(parts, lambda p: F.try_element_at(m, p)), lambda x: x.isNotNull())
-    return F.when(F.size(meanings) > 0,
+    return F.when(own.isNotNull(), own).when(F.size(meanings) > 0,
                   F.concat(F.lit("This table is useful for queries concerning "), F.array_join(meanings, ", "),
                            F.lit("."))) \
         .otherwise(F.concat(F.lit("This table stores records related to "),
@@ -189,13 +195,20 @@ def catalog_search(descriptions: DataFrame, cols: DataFrame, term: str) -> DataF
     return hit_desc.union(hit_col).distinct()
 
 
-def join_paths(top: DataFrame, item_keys: DataFrame) -> DataFrame:
+def join_paths(top: DataFrame, item_keys: DataFrame, known: list[tuple[str, str]] = ()) -> DataFrame:
     """Join paths inside each question's retrieved set: pairs of retrieved
     items (better-ranked first) that share a join key, with the sorted keys
     joined by ``/``.  Pairs are formed only within a question's top-k, so
     their number is bounded by k² per question.
-    ``top`` = (query_id, item_id, rank); ``item_keys`` = (item_id, key)."""
-    a = top.select("query_id", "item_id", "rank").join(item_keys.select("item_id", "key"), "item_id")
+    ``top`` = (query_id, item_id, rank); ``item_keys`` = (item_id, key).
+    ``known`` = pairs of column names that mean the same without being
+    equal: each is a key of its own, ``a=b``, of the items that have either
+    column."""
+    keys = item_keys.select("item_id", "key")
+    for left, right in known:
+        keys = keys.unionByName(item_keys.filter(F.col("key").isin(left, right))
+                                .select("item_id", F.lit(f"{left}={right}").alias("key")).distinct())
+    a = top.select("query_id", "item_id", "rank").join(keys, "item_id")
     x, y = a.alias("x"), a.alias("y")
     p = x.join(y, (F.col("x.query_id") == F.col("y.query_id")) & (F.col("x.key") == F.col("y.key"))
                & (F.col("x.rank") < F.col("y.rank")))

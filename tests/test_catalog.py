@@ -26,3 +26,20 @@ def test_column_classification(spark):
     assert got["total_units"].role == "numeric aggregation column" and got["total_units"].storage_type == "REAL"
     assert got["building"].is_join_key and got["building"].storage_type == "TEXT"
     assert got["warehouse_load_date"].is_audit and not got["warehouse_load_date"].is_join_key
+
+
+def test_usecase_overrides_and_meanings(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([("en_src1_7",), ("FAC_X",), ("plain",)], "t string")
+    col = cg.usecase_text(F.col("t"), {"EN_SRC1_7": "Own text."}, {"FAC": "buildings", "X": "crossings"})
+    assert [r[0] for r in df.select(col).collect()] == [
+        "Own text.", "This table is useful for queries concerning buildings, crossings.",
+        "This table stores records related to plain."]
+
+
+def test_join_paths_with_known_pairs(spark):
+    top = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3)], "query_id long, item_id long, rank int")
+    keys = spark.createDataFrame([(10, "dept_code"), (11, "department"), (12, "term"), (10, "term")], "item_id long, key string")
+    got = {(r.left_item, r.right_item): r.via for r in cg.join_paths(top, keys, [("dept_code", "department")]).collect()}
+    assert got == {(10, 11): "dept_code=department", (10, 12): "term"}
+    assert {(r.left_item, r.right_item) for r in cg.join_paths(top, keys).collect()} == {(10, 12)}
