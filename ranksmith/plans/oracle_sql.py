@@ -244,14 +244,24 @@ def clean_plural_sql(x: str) -> str:
 
 def expansion_extras_sql(q: str) -> str:
     """SQL phrase words + abbreviation words of the full expansion."""
-    from ..operators.expand import (ABBREVIATIONS, EXPANSION_STOP_WORDS, GENERIC_TRIGGER_WORDS,
-                                    SQL_PHRASES)
+    from ..operators.expand import ABBREVIATIONS, SQL_PHRASES
     parts = [f"CASE WHEN contains(lower({q}), '{p}') THEN {_lit_list(ws)} ELSE []::VARCHAR[] END"
-             for p, ws in SQL_PHRASES.items()]
+             for p, ws in SQL_PHRASES.items()] + _abbrev_parts(q, ABBREVIATIONS)
+    return "list_distinct(flatten([" + ", ".join(parts) + "]))"
+
+
+def abbrev_extras_sql(q: str, abbreviations: dict[str, str]) -> str:
+    """The words that abbreviations add to a question."""
+    return "list_distinct(flatten([" + ", ".join(_abbrev_parts(q, abbreviations)) + "]))"
+
+
+def _abbrev_parts(q: str, abbreviations: dict[str, str]) -> list[str]:
+    from ..operators.expand import EXPANSION_STOP_WORDS, GENERIC_TRIGGER_WORDS
+    parts = []
     qw = clean_plural_sql(q)
     qtrig = (f"list_filter({qw}, lambda w: NOT list_contains({_lit_list(EXPANSION_STOP_WORDS)}, w) "
              f"AND NOT list_contains({_lit_list(GENERIC_TRIGGER_WORDS)}, w))")
-    for ab, meaning in ABBREVIATIONS.items():
+    for ab, meaning in abbreviations.items():
         words = sorted({w for w in meaning.replace(",", "").replace(".", "").lower().split()
                         if w not in EXPANSION_STOP_WORDS and len(w) > 3})
         trig = [w for w in words if w not in GENERIC_TRIGGER_WORDS]
@@ -259,7 +269,7 @@ def expansion_extras_sql(q: str) -> str:
         if trig:
             cond += f" OR len(list_intersect({qtrig}, {_lit_list(trig)})) > 0"
         parts.append(f"CASE WHEN {cond} THEN {_lit_list([ab] + [w.upper() for w in words])} ELSE []::VARCHAR[] END")
-    return "list_distinct(flatten([" + ", ".join(parts) + "]))"
+    return parts
 
 
 def features_28_sql(pool: int = 25) -> str:

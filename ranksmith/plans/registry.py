@@ -1379,3 +1379,46 @@ def q_gold_items(spark, sf_dir):
     ctes = r.select("query_id", F.explode("ctes").alias("item_id"))
     names = _indexes(spark, sf_dir).corpus.select(F.col("name").alias("item_id"))
     return ev.gold_items(refs, ctes, names)
+
+
+# --- expansion with dictionaries of the given texts ------------------------
+
+OWN_PHRASES = {" the ": ["article"], " of ": ["genitive", "partitive"], " la ": ["article", "feminine"], "tion": ["noun"],
+               "ment ": ["adverb", "noun"]}
+OWN_ABBREVIATIONS = {"ON": "thnd, thre, and table", "QUE": "elle, pour", "DER": "eine, nicht.", "THAT": "with records"}
+_TURNS = ("q AS (SELECT conv_id * 1000 + turn AS query_id, coalesce(text, '') AS question FROM conversations "
+          "WHERE role = 'user')")
+
+
+@register("expand_phrases_own", lambda: f"""WITH {_TURNS}
+SELECT query_id, list_sort({osql.phrase_extras_sql('question', OWN_PHRASES)}) AS added FROM q""")
+def q_expand_phrases_own(spark, sf_dir):
+    """Words that a dictionary of the texts' own phrases adds to user turns."""
+    qs = tb.questions_conversations(spark, sf_dir)
+    return qs.select("query_id", F.array_sort(ex.phrase_extras(F.lower("question"), OWN_PHRASES)).alias("added"))
+
+
+@register("expand_abbrev_own", lambda: f"""WITH {_TURNS}
+SELECT query_id, list_sort({osql.abbrev_extras_sql('question', OWN_ABBREVIATIONS)}) AS added FROM q""")
+def q_expand_abbrev_own(spark, sf_dir):
+    """Words that abbreviations of the texts' own words add to user turns."""
+    qs = tb.questions_conversations(spark, sf_dir)
+    return qs.select("query_id", F.array_sort(ex.abbrev_extras(F.col("question"), OWN_ABBREVIATIONS)).alias("added"))
+
+
+OWN_RULES = [
+    bo.Rule("exact", [" the "], "EN_SRC1_1", 0.9),
+    bo.Rule("both", [" of "], "EN_SRC2_2", 0.5, any_of_2=[" to ", " in "]),
+    bo.Rule("unless", [" and "], "EN_", 0.3, match="prefix", none_of=[" was "]),
+    bo.Rule("either", [" la "], "FR_", 0.2, match="prefix"),
+    bo.Rule("either", [" de "], "FR_", 0.4, match="prefix"),
+    bo.Rule("minus", ["tion"], "FR_", -0.25, match="prefix"),
+]
+
+
+@register("rule_boost_own", lambda: osql.rule_boost_sql(OWN_RULES))
+def q_rule_boost_own(spark, sf_dir):
+    """Rules of every shape (exact and prefix targets, second phrase lists,
+    exclusions, a shared id, a negative delta) on user turns."""
+    bo.check_rules(OWN_RULES)
+    return bo.rule_target_boosts(tb.questions_conversations(spark, sf_dir), OWN_RULES)
