@@ -837,7 +837,6 @@ def q_subtask_breakdown(spark, sf_dir):
 # --- audit log and experiment runs ------------------------------------------
 
 import os  # noqa: E402
-import time as _time  # noqa: E402
 import uuid  # noqa: E402
 
 from ..sources import logs as lg  # noqa: E402
@@ -884,53 +883,54 @@ def _runs_path(spark, sf_dir) -> str:
     return _cached(spark, ("runs", sf_dir), lambda: _record_runs(spark, sf_dir))
 
 
+_RUNS_SQL = """runs AS (SELECT 'run_' || user_id AS run_id, CASE WHEN user_id % 2 = 0 THEN 'random_forest' ELSE 'gradient_boosting' END
+    AS model_type, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS timestamp, count(*) AS n, round(avg(value), 6) AS v5,
+    round(max(value), 6) AS v10, CASE WHEN user_id % 3 = 0 THEN round(min(value), 6) END AS t10, user_id
+  FROM events WHERE value IS NOT NULL GROUP BY user_id)"""
+
+
 def _record_runs(spark, sf_dir) -> str:
-    """Train two model kinds on the training set (fold 0 held out), record
-    one experiment run each and return the runs folder."""
-    t = _cached_train(spark, sf_dir)
-    folds = ltr.group_kfold(t, 5)
-    tf = t.join(folds, "group_id")
-    tr, va = tf.filter("fold != 0"), tf.filter("fold = 0")
+    """Record one experiment run per user of the events: its validation
+    metrics come from the event values, every third run has a test metric
+    that overrides one of them, every fifth lacks a duration."""
+    e = tb.table(spark, sf_dir, "events").filter("value IS NOT NULL")
+    u = F.col("user_id")
+    per = e.groupBy("user_id").agg(F.max("ts").alias("ts"), F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("v5"),
+                                   F.round(F.max("value"), 6).alias("v10"), F.round(F.min("value"), 6).alias("t10"))
+    runs = per.select(
+        F.concat(F.lit("run_"), u).alias("run_id"),
+        F.when(u % 2 == 0, "random_forest").otherwise("gradient_boosting").alias("model_type"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("n").cast("int").alias("num_training_samples"),
+        F.create_map(F.lit("val_recall_at_5"), "v5", F.lit("val_recall_at_10"), "v10").alias("val_metrics"),
+        F.when(u % 3 == 0, F.create_map(F.lit("val_recall_at_10"), "t10")).alias("test_metrics"),
+        F.when(u % 5 != 0, F.col("n") / 7.0).alias("training_duration_seconds"))
     path = os.path.join(checkpoint_dir(spark), f"runs-{uuid.uuid4().hex[:12]}")
-    runs = []
-    for kind, params in (("random_forest", {"numTrees": 20}), ("gradient_boosting", {"maxIter": 20})):
-        t0 = _time.time()
-        m = ltr.fit(ltr.standard_scale(tr, tr), kind, params)
-        dur = _time.time() - t0
-        val = ltr.fold_metrics(ltr.predict_scores(m, ltr.standard_scale(tr, va))).first().asDict()
-        trn = ltr.fold_metrics(ltr.predict_scores(m, ltr.standard_scale(tr, tr))).first().asDict()
-        imp = {r.feature: r.importance for r in ltr.feature_importance(m, spark).collect()}
-        runs.append((f"{kind}_{uuid.uuid4().hex[:8]}", kind, "grouped holdout, fold 0", sf_dir,
-                     t.count(), len(fe.FEATURE_NAMES), 5, 0.2, dur,
-                     {k: str(v) for k, v in params.items()},
-                     {k.replace("val_", "train_"): v for k, v in trn.items()}, val, {}, imp, [val]))
-    schema = ("run_id string, model_type string, description string, dataset string, num_training_samples int, "
-              "num_features int, cv_folds int, train_test_split_ratio double, training_duration_seconds double, "
-              "hyperparameters map<string,string>, train_metrics map<string,double>, val_metrics map<string,double>, "
-              "test_metrics map<string,double>, feature_importances map<string,double>, "
-              "cv_fold_metrics array<map<string,double>>")
-    lg.experiment_write(spark.createDataFrame(runs, schema), path)
+    lg.experiment_write(runs, path)
     return path
 
 
-@register("experiment_list")
+@register("experiment_list", lambda: f"WITH {_RUNS_SQL} SELECT run_id, model_type, timestamp, n AS num_training_samples, "
+          "v5 AS val_recall_at_5 FROM runs WHERE model_type = 'random_forest'")
 def q_experiment_list(spark, sf_dir):
-    """Record two training runs, list them newest first."""
-    return lg.experiment_list(spark, _runs_path(spark, sf_dir)).select(
-        "run_id", "model_type", "num_training_samples", "val_metrics")
+    """The recorded runs of one model type."""
+    return lg.experiment_list(spark, _runs_path(spark, sf_dir), "random_forest").select(
+        "run_id", "model_type", "timestamp", F.col("num_training_samples").cast("long").alias("num_training_samples"),
+        F.col("val_metrics")["val_recall_at_5"].alias("val_recall_at_5"))
 
 
-@register("best_run")
+@register("best_run", lambda: f"WITH {_RUNS_SQL} SELECT run_id, model_type, v5 AS metric_value FROM runs ORDER BY v5 DESC, run_id LIMIT 1")
 def q_best_run(spark, sf_dir):
     """Best recorded run by validation Recall@5."""
     return lg.best_run(lg.experiment_list(spark, _runs_path(spark, sf_dir)), "val_recall_at_5")
 
 
-@register("run_comparison")
+@register("run_comparison", lambda: f"""WITH {_RUNS_SQL} SELECT run_id, model_type, timestamp, round(v5, 4) AS val_recall_at_5,
+  round(coalesce(t10, v10), 4) AS val_recall_at_10, CAST(0.0 AS DOUBLE) AS val_auc_roc,
+  CASE WHEN user_id % 5 <> 0 THEN round(n / 7.0, 1) ELSE CAST(0.0 AS DOUBLE) END AS training_duration_seconds FROM runs""")
 def q_run_comparison(spark, sf_dir):
-    """Recorded runs side by side on chosen metrics."""
+    """Recorded runs side by side on chosen metrics (one of them missing)."""
     return lg.run_comparison(lg.experiment_list(spark, _runs_path(spark, sf_dir)),
-                             ["val_recall_at_5", "val_ndcg_at_5", "val_auc_roc"])
+                             ["val_recall_at_5", "val_recall_at_10", "val_auc_roc"])
 
 
 @register("predict_scores")
