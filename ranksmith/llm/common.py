@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +17,19 @@ SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold 4 MB, where the session leaves Spark's 64 MB:
+    two tasks' batches, and the arrays made of them, share an executor."""
+    given = spark.conf.get(ARROW_BYTES).lower().rstrip("b")
+    if given.isdigit() and int(given) >= 64 << 20:
+        spark.conf.set(ARROW_BYTES, "4m")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -58,6 +71,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 <<
             to = min(max(to, at + 1), at + max_rows, n)
             yield batch.slice(at, to - at)
             at = to
+        batch = None
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: Python workers live
+    on from stage to stage beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a GNU system
+        pass
 
 
 def offsets_of(arr: pa.Array) -> np.ndarray:

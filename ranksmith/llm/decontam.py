@@ -40,7 +40,7 @@ from .common import mix64, slices
 WINDOW = 5
 COVERAGE = 0.8
 SLICE_ITEMS = 50_000
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 400_000
 
 # fixed values: spellings of units of measure, time and money
 UNITS = frozenset("""mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl dl l s sec secs min mins h hr hrs

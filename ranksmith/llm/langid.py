@@ -106,7 +106,7 @@ def bundle(texts: list[str | None], dim: int, groups: np.ndarray | None = None,
 def _partial(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for b in slices(batches, "text", max_bytes=4 << 20):
+        for b in slices(batches, "text", max_bytes=2 << 20):
             langs = np.array(b.column("lang").to_pylist(), dtype=object)
             names, which = np.unique(langs, return_inverse=True)
             vec = bundle(b.column("text").to_pylist(), dim, which, len(names)).round().astype(np.int64)
@@ -167,7 +167,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, proto = shared.value
-        for b in slices(batches, "text", max_bytes=4 << 20, max_rows=1024):
+        for b in slices(batches, "text", max_bytes=1 << 20, max_rows=1024):
             lang, score = predict_batch(b.column("text").to_pylist(), names, proto)
             cols = {c: b.column(c) for c in keep}
             yield pa.RecordBatch.from_pydict(cols | {"lang_pred": pa.array(lang, pa.string()),
@@ -195,7 +195,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, proto = shared.value
-        for b in slices(batches, "text", max_bytes=4 << 20, max_rows=1024):
+        for b in slices(batches, "text", max_bytes=1 << 20, max_rows=1024):
             lang, _ = predict_batch(b.column("text").to_pylist(), names, proto)
             yield b.filter(pa.array([x != UND for x in lang]))
 

@@ -297,11 +297,12 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     totals = sums | {"docs_b": sums["end_b"], "docs_t": sums["end_t"]}
     model = Model(counts.where(F.col("t") >= _least_count(counts)), totals)
     places = Places(model.keys)
-    # Bigrams that are common in some chunk: a bounded list, chosen over all
-    # documents; which ones it holds decides where they are counted, not how.
+    # Bigrams that are common in some chunk and make up 1 / MAX_FREQUENT of all
+    # words or more, so there are at most MAX_FREQUENT; which ones the list
+    # holds decides where they are counted, not how.
     asked = spark.sparkContext.broadcast((places, model.size, np.zeros(0, np.int64)))
     common = (texts.mapInArrow(lambda it: _marked(it, asked, False), "key long, b long, t long").groupBy("key")
-              .agg(F.sum("b").alias("b")).orderBy(F.desc("b"), "key").limit(MAX_FREQUENT).toPandas())
+              .agg(F.sum("b").alias("b")).where(F.col("b") * MAX_FREQUENT >= int(sums["b"])).select("key").toPandas())
     given = np.sort(common["key"].to_numpy(np.int64))
     exact = spark.sparkContext.broadcast((places, model.size, given))
     known = (texts.mapInArrow(lambda it: _marked(it, exact, True), "key long, b long, t long").groupBy("key")

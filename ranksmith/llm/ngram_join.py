@@ -88,7 +88,7 @@ def parity_bits(s: np.ndarray) -> bytes:
 
 
 def _info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text", 2 << 20):
+    for b in slices(batches, "text", 1 << 20):
         sets = shingle_sets(b.column("text"))
         yield pa.RecordBatch.from_pydict({
             "doc_id": b.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()),
@@ -99,7 +99,7 @@ def _info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     cells, held = None, []
-    for b in slices(batches, "text", 2 << 20):
+    for b in slices(batches, "text", 1 << 20):
         for s in shingle_sets(b.column("text")):
             if not len(s) or (k := signature(s)) in seen:
                 continue
@@ -140,7 +140,7 @@ def index_rows(docs: DataFrame, cells: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = shared.value
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 1 << 20):
             out = []
             seen = set()
             for s in shingle_sets(b.column("text")):
@@ -335,7 +335,7 @@ def _texts_of(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shared.value).astype(bool)
         given: set[int] = set()
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 1 << 20):
             sig = np.array([signature(s) if len(s) else 0 for s in shingle_sets(b.column("text"))], np.int64)
             hit = bits[mix64(sig.view(np.uint64)).astype(np.int64) & (len(bits) - 1)]
             keep = [k for k in np.flatnonzero(hit).tolist()
@@ -348,7 +348,7 @@ def _texts_of(docs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "ta", 2 << 20):
+    for b in slices(batches, "ta", 1 << 20):
         ok = []
         for x, y in zip(shingle_sets(b.column("ta")), shingle_sets(b.column("tb"))):
             both = len(np.intersect1d(x, y, assume_unique=True))

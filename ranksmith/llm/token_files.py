@@ -13,8 +13,8 @@ prefix sum of the token counts before it, so a global position is
 ``base + offset``.  ``read_back`` maps the files into memory again.
 
 Null text counts as empty (only the end id).  Null doc ids come first; rows
-of one doc id are ordered by text.  An empty table gives no rows.  Extra
-columns are ignored.
+of one doc id are ordered by a hash of their texts (so an id of very many rows
+is spread, too).  An empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import shared_folder, slices
 
 MAGIC = b"RSTOK001"
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 700_000
 _TAIL = ".,;:!?*#$%&|"
 # white space other than the space and the line feed
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -114,7 +114,7 @@ class MemoEncoder:
                 lost[k] = stems.get(k) or self.memo[k]
         for memo, made in ((self.memo, stems), (self.plain, plain), (self.memo, lost)):
             if len(memo) < MEMO_ENTRIES:
-                memo.update((k, v) for k, v in made.items() if len(k) < 64 and k[:1] != "\n" or memo is self.plain)
+                memo.update((k, v) for k, v in made.items() if len(k) < 64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
@@ -129,15 +129,16 @@ class MemoEncoder:
             heads.append((i, keys[0]))
             del keys[0]
             got = list(map(get, keys))
-            if None in got:
-                lost.update((k, None) for k, v in zip(keys, got) if v is None)
-            out[i] = (keys, got)
+            gaps = [j for j, v in enumerate(got) if v is None] if None in got else ()
+            for j in gaps:
+                lost[keys[j]] = None
+            out[i] = (keys, got, gaps)
         if lost:
             self._look_up(lost)
         for (i, _), head in zip(heads, self._library([h for _, h in heads])):
-            keys, got = out[i]
-            if None in got:
-                got = [lost[k] if v is None else v for k, v in zip(keys, got)]
+            keys, got, gaps = out[i]
+            for j in gaps:
+                got[j] = lost[keys[j]]
             out[i] = head + b"".join(got)
         for i, data in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = data
@@ -233,7 +234,8 @@ def write(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 2,
     unless ``specials_are_text`` is off.
     """
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+            .repartitionByRange("doc_id", F.xxhash64("text"))
+            .sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
             .mapInArrow(_write_part(uri, tokenizer, end_id, specials_are_text),
                         "part int, n_docs long, n_tokens long").collect())
     parts, base = [], 0
