@@ -51,6 +51,7 @@ LIST_ROWS = 20_000
 BLOCK_ROWS = 60_000
 PAIR_BLOCK = 1_000_000
 FILTER_BITS = 1 << 27
+BROADCAST_IDS = 4_000_000
 
 
 def need(a, b):
@@ -405,8 +406,12 @@ def link_documents(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` (all columns): the document that names its group, and
     all without shingles.  Rows of equal id and text count as one."""
-    keep = stored(grouped(docs).where("doc_id is null or doc_id = component_id").select("doc_id").distinct(), "join-keep")
-    k = keep.withColumnRenamed("doc_id", "_keep")
-    kept = docs.join(k, docs.doc_id.cast("long").eqNullSafe(k["_keep"]), "left_semi")
+    groups = stored(grouped(docs).select("doc_id", "component_id"), "join-groups")
+    named = groups.where("doc_id = component_id").select("doc_id")
+    gone = stored(groups.where("doc_id <> component_id").select("doc_id").distinct()
+                  .join(named, "doc_id", "left_anti").select(F.col("doc_id").alias("_gone")), "join-gone")
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # the texts stay where they are
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, docs.doc_id.cast("long") == gone["_gone"], "left_anti")
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if ids else kept
