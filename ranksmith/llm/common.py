@@ -75,6 +75,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 <<
     give_back()
 
 
+_MEMO_OF: list = [None]
+
+
+def sole_memo(forget=None) -> None:
+    """A worker keeps the memo of one operator at a time: the one kept
+    before, if it is another's, is forgotten."""
+    if _MEMO_OF[0] is not None and _MEMO_OF[0] != forget:
+        _MEMO_OF[0]()
+    _MEMO_OF[0] = forget
+
+
 def give_back() -> None:
     """Return freed memory to the system at a task's end: Python workers live
     on from stage to stage beside the executor's heap."""

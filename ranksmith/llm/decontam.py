@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices
+from .common import mix64, slices, sole_memo
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -240,6 +240,7 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sole_memo(_MEMO.clear)
             index = shared.value
             for b in slices(batches, "text"):
                 rows = [(i, *m) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())
@@ -263,6 +264,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sole_memo(_MEMO.clear)
             index = shared.value
             for b in slices(batches, "text"):
                 keep = [next(index.matches(t), None) is None for t in b.column("text").to_pylist()]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices
+from .common import held_out, slices, sole_memo
 
 DIM = 512
 MAX_LANGUAGES = 4096
@@ -105,6 +105,7 @@ def bundle(texts: list[str | None], dim: int, groups: np.ndarray | None = None,
 
 def _partial(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memo()
         sums: dict[str, np.ndarray] = {}
         for b in slices(batches, "text", max_bytes=2 << 20):
             langs = np.array(b.column("lang").to_pylist(), dtype=object)
@@ -166,6 +167,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: str) ->
     shared = docs.sparkSession.sparkContext.broadcast((names, proto))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memo()
         names, proto = shared.value
         for b in slices(batches, "text", max_bytes=1 << 20, max_rows=1024):
             lang, score = predict_batch(b.column("text").to_pylist(), names, proto)
@@ -194,6 +196,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memo()
         names, proto = shared.value
         for b in slices(batches, "text", max_bytes=1 << 20, max_rows=1024):
             lang, _ = predict_batch(b.column("text").to_pylist(), names, proto)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mix64, slices, stored
+from .common import bytes_of, mix64, slices, sole_memo, stored
 from .hashing import chain, words
 from .links import components
 
@@ -89,6 +89,7 @@ def parity_bits(s: np.ndarray) -> bytes:
 
 
 def _info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sole_memo()
     for b in slices(batches, "text", 1 << 20):
         sets = shingle_sets(b.column("text"))
         yield pa.RecordBatch.from_pydict({

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, slices
+from .common import shared_folder, slices, sole_memo
 
 MAGIC = b"RSTOK001"
 MEMO_ENTRIES = 700_000
@@ -73,6 +73,10 @@ class MemoEncoder:
         self.space = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
         self.space[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.plain.clear()
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes()
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -190,6 +194,7 @@ class Folder:
 def _write_part(uri: str, path: str, end_id: int, specials_are_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out = encoder(path, specials_are_text), Folder(uri)
+        sole_memo(enc.forget)
         part = TaskContext.get().partitionId()
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         # each attempt writes files of its own; the last rename wins whole
