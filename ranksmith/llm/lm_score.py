@@ -1,12 +1,12 @@
 """Cross-entropy difference of matched target and background n-gram models.
 
 Both models are bigram models with the same vocabulary, smoothing and size.
-The vocabulary holds the words with ``MIN_COUNT`` occurrences or more in the
-target documents (where more than ``MAX_WORDS`` have, the smallest count
-that ``MAX_WORDS`` at most reach is asked for); every other word is the
-unknown word, in either model.  Words are runs of bytes other than ASCII white
-space, A-Z lower-cased, told apart by 64-bit hashes.  Background counts are those of all documents, scaled by s so that
-they amount to as many words as the target's.  With <s> before the first word,
+The vocabulary holds every word with ``MIN_COUNT`` occurrences or more in the
+target documents; every other word is the unknown word, in either model.
+Words are runs of bytes other than ASCII white space, A-Z lower-cased; words
+and bigrams are told apart by 64-bit hashes.  Background counts are those of
+all documents, scaled by s so that they amount to as many words as the
+target's.  With <s> before the first word,
 
     p1(w)   = (s c(w) + ALPHA) / (N + ALPHA (V + 1))
     p2(w|v) = (s c(v w) + BETA p1(w)) / (s h(v) + BETA)
@@ -18,13 +18,12 @@ target.  Texts without words, or null, score 0, and so do all if there is no
 target document.  Repeated rows all count and are scored alike, a null doc_id
 is never a target, and extra columns are ignored.
 
-How it runs: word counts are added up per task and then by word.  Bigrams
-that make up a large part of some task's words are counted on their own, and
-their values (``MAX_FREQUENT`` at most) are sent to all tasks.  The
-occurrences of the others go to slots by bigram, packed into a few arrays per
-chunk of documents, so that a slot sees every occurrence of its bigrams; it
-counts them, computes their values and returns each chunk the sums of its
-documents.  The number of slots follows the number of words.
+How it runs: word counts are added up per task and then by word, and written.
+The documents are cut into chunks.  Each chunk asks the slots of its distinct
+words for their counts, then the slots of its distinct bigrams for theirs, and
+scores its documents.  A word or bigram is asked for once per chunk, however
+often it occurs, so no slot depends on a frequent one; the vocabulary stays
+dealt out, and the number of slots follows the number of words.
 """
 
 from __future__ import annotations
@@ -38,66 +37,41 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mix64, slices, stored
+from .common import bytes_of, give_back, mix64, slices, stored
 from .hashing import words
 
 MIN_COUNT = 2
-MAX_WORDS = 1 << 20
 ALPHA = 0.5
 BETA = 5.0
-MAX_FREQUENT = 20_000
-FREQUENT_SHARE = 5_000
 SLOT_WORDS = 2_000_000
+WORDS_A_SLOT = 4  # slots of bigrams for one of words: a chunk has fewer distinct words
 CHUNK_BYTES = 4 << 20
 BROADCAST_IDS = 4_000_000
 START, UNKNOWN = 0, 1
-
-
-class Places:
-    """Places of 64-bit hashes in a sorted array, by their leading bits."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.bits = max(1, int(len(keys)).bit_length())
-        heads = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
-        self.first = np.searchsorted(keys, heads).astype(np.int32)
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, whether it is there) of each hash."""
-        at = self.first[h >> np.uint64(64 - self.bits)]
-        last = len(self.keys) - 1
-        while (less := (self.keys[at] < h) & (at < last)).any():
-            at = at + less
-        return at, (self.keys[at] == h) & (at < last)
+COUNTS = ("b", "t", "end_b", "end_t")
+ROWS = "chunk long, slot int, keys binary, counts binary, docs binary, codes binary"
+TEXTS, WORDS = -1, -2  # a chunk's own rows, which no slot gets
 
 
 class Model:
-    """The shared vocabulary with both models' word and history counts."""
-
-    def __init__(self, vocab: DataFrame, totals: dict[str, int]):
-        v = vocab.toArrow().combine_chunks()
-        keys = v["w"].to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.size = len(keys) + 2
-        n_t, n_b = totals["t"], totals["b"]
-        self.scale = n_t / n_b if n_b else 0.0
-
-        def counts(col, total, first):
-            known = v[col].to_numpy().astype(np.float64)[order]
-            return np.r_[first, total - known.sum(), known]
-
-        base = n_t + ALPHA * (self.size - 1)
-        self.word_t = (counts("t", n_t, 0) + ALPHA) / base
-        self.word_b = (self.scale * counts("b", n_b, 0) + ALPHA) / base
-        self.hist_t = counts("t", n_t, totals["docs_t"]) - counts("end_t", totals["end_t"], 0)
-        self.hist_b = self.scale * (counts("b", n_b, totals["docs_b"]) - counts("end_b", totals["end_b"], 0))
-
-    def values(self, keys: np.ndarray, in_target: np.ndarray, in_all: np.ndarray) -> np.ndarray:
-        """Target loss less background loss of bigrams from their counts."""
-        v, w = keys // self.size, keys % self.size
-        p_t = (in_target + BETA * self.word_t[w]) / (self.hist_t[v] + BETA)
-        p_b = (self.scale * in_all + BETA * self.word_b[w]) / (self.hist_b[v] + BETA)
+    """The totals of both models; the words' counts are given to it."""
+
+    def __init__(self, size: int, known: dict[str, int], totals: dict[str, int]):
+        self.n_t, n_b = totals["t"], totals["b"]
+        self.scale = self.n_t / n_b if n_b else 0.0
+        self.base = self.n_t + ALPHA * (size + 1)
+        # counts of <s>, which only begins texts, and of the unknown word
+        starts = [0, 0, -totals["end_b"], -totals["end_t"]]
+        self.first = np.array([starts, [totals[c] - known[c] for c in COUNTS]], np.int64)
+
+    def values(self, words: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Target loss less background loss of the bigrams of the words at v
+        and w with the counts n (all, target); a word's counts are in the
+        order of ``COUNTS``."""
+        hist = words[v, :2] - words[v, 2:]
+        p_t = (n[:, 1] + BETA * (words[w, 1] + ALPHA) / self.base) / (hist[:, 1] + BETA)
+        p_b = (self.scale * n[:, 0] + BETA * (self.scale * words[w, 0] + ALPHA) / self.base) / (
+            self.scale * hist[:, 0] + BETA)
         return np.log(p_b) - np.log(p_t)
 
 
@@ -109,7 +83,7 @@ def _tokens(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _word_rows(w: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"w": pa.array(w.view(np.int64))} | {
-        c: pa.array(counts[:, k]) for k, c in enumerate(("b", "t", "end_b", "end_t"))})
+        c: pa.array(counts[:, k]) for k, c in enumerate(COUNTS)})
 
 
 def _add_up(w: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,139 +115,157 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _word_rows(*_add_up(*(np.concatenate(c) for c in zip(*held))))
 
 
-def _bigrams(b: pa.RecordBatch, places: Places, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bigram, row, target) of each word."""
-    h, at, target = _tokens(b)
-    if not len(h):
-        return h.astype(np.int64), at, target
-    where, known = places.find(h)
-    ids = np.where(known, where.astype(np.int64) + 2, UNKNOWN)
-    before = np.r_[START, ids[:-1]]
-    before[np.r_[True, at[1:] != at[:-1]]] = START
-    return before * size + ids, at, target
+def _planes(values: np.ndarray) -> bytes:
+    """Integers (one column or several) as byte planes, compressed."""
+    if not len(values):
+        return b""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return planes.nbytes.to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
-def _marked(batches, shared, only: bool):
-    """Counts of bigrams in each chunk: of the given ones, or else of those
-    that make up a large part of it."""
-    places, size, given = shared.value
-    for b in slices(batches, "text", CHUNK_BYTES):
-        key, _, target = _bigrams(b, places, size)
-        keys, n = np.unique(key * 2 + target, return_counts=True)
-        both, first = np.unique(keys >> 1, return_index=True)
-        total = np.add.reduceat(n, first) if len(n) else n
-        in_t = np.add.reduceat(np.where(keys & 1, n, 0), first) if len(n) else n
-        if only:
-            at = np.minimum(np.searchsorted(given, both), max(0, len(given) - 1))
-            pick = given[at] == both if len(given) else np.zeros(len(both), bool)
-        else:
-            pick = total * FREQUENT_SHARE >= len(key)
-        if pick.any():
-            yield pa.RecordBatch.from_pydict({"key": pa.array(both[pick]), "b": pa.array(total[pick]),
-                                              "t": pa.array(in_t[pick])})
+def _unplaned(data: list[bytes], columns: int = 1, kind: str = "<i8") -> np.ndarray:
+    """The values of several pieces, one after the other."""
+    width = np.dtype(kind).itemsize * columns
+    got = [np.frombuffer(pa.decompress(d[8:], int.from_bytes(d[:8], "little"), "zstd"), np.uint8) for d in data if len(d)]
+    return np.concatenate([np.zeros((0, columns), kind)] + [
+        np.ascontiguousarray(g.reshape(width, -1).T).view(kind) for g in got])
 
 
-def _planes(keys: np.ndarray) -> bytes:
-    """int64 values as eight byte planes, which pack better."""
-    return np.ascontiguousarray(keys.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def _slot_of(keys: np.ndarray, slots: int) -> np.ndarray:
+    return ((keys & np.uint64(0x7FFFFFFFFFFFFFFF)) % np.uint64(slots)).astype(np.int64)
 
 
-def _unplaned(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+def _asked(chunk: int, slot: np.ndarray, keys: np.ndarray, counts: np.ndarray | None) -> list[tuple]:
+    """What a chunk asks of each slot; its keys are ordered by slot."""
+    cut = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, np.int64)
+    return [(chunk, int(slot[lo]), _planes(keys[lo:hi].view(np.int64)),
+             b"" if counts is None else _planes(counts[lo:hi]), b"", b"") for lo, hi in zip(cut, np.r_[cut[1:], len(slot)])]
 
 
-def _deal(shared, slots: int):
-    """Each chunk's rows: what its slots get, and (kind 1) its documents with
-    the sums of the frequent bigrams."""
+def _chunks(slots: int):
+    """Each chunk's words, as what it asks of the slots, and (``TEXTS``) its
+    documents with the place of each of their words among those."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, size, given, values = shared.value
         base, seq = TaskContext.get().partitionId() << 32, 0
         for b in slices(batches, "text", CHUNK_BYTES, 1 << 20):
-            key, at, target = _bigrams(b, places, size)
-            n = b.num_rows
-            sums = np.zeros(n)
-            if len(given) and len(key):
-                place = np.minimum(np.searchsorted(given, key), len(given) - 1)
-                hit = given[place] == key
-                sums = np.bincount(at[hit], values[place[hit]], n)
-                rest, row = key[~hit], (at * 2 + target)[~hit]
-            else:
-                rest, row = key, at * 2 + target
-            chunk, seq = base + seq, seq + 1
+            h, at, _ = _tokens(b)
+            uniq, code = np.unique(h, return_inverse=True)
+            slot = _slot_of(uniq, slots)
+            order = np.argsort(slot, kind="stable")
+            place = np.empty(len(order), "<u4")
+            place[order] = np.arange(len(order), dtype="<u4")
             ids = b.column("doc_id")
-            docs = [np.asarray(ids.fill_null(0)).astype("<i8"), np.asarray(ids.is_null()).astype("<i8"),
-                    np.bincount(at, minlength=n).astype("<i8"), sums.astype("<f8").view("<i8")]
-            rows = [(chunk % slots, chunk, 1, b"", np.concatenate(docs).tobytes())]
-            slot = (mix64(rest.view(np.uint64)) % np.uint64(slots)).astype(np.int64)
-            order = np.lexsort((rest, slot))
-            slot, rest, row = slot[order], rest[order], row[order].astype("<u4")
-            cut = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, np.int64)
-            for lo, hi in zip(cut, np.r_[cut[1:], len(slot)]):
-                rows.append((int(slot[lo]), chunk, 0, _planes(rest[lo:hi]),
-                             np.ascontiguousarray(row[lo:hi].view(np.uint8).reshape(-1, 4).T).tobytes()))
+            docs = np.stack([np.asarray(ids.fill_null(0)).astype("<i8"), np.asarray(ids.is_null()).astype("<i8"),
+                             np.asarray(b.column("target")).astype("<i8"),
+                             np.bincount(at, minlength=b.num_rows).astype("<i8")], axis=1)
+            rows = [(base + seq, TEXTS, b"", b"", _planes(docs), _planes(place[code]))]
+            rows += _asked(base + seq, slot[order], uniq[order], None)
+            seq += 1
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
-                 pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())],
-                ["slot", "chunk", "kind", "keys", "docs"])
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[2:]],
+                ["chunk", "slot", "keys", "counts", "docs", "codes"])
     return run
 
 
-def _settle(shared):
-    """One slot: the sums of each chunk's documents over the slot's bigrams."""
+def _word_slot(slots: int):
+    """One slot: name and counts of each chunk's words; the name of a word
+    that is not in the vocabulary is ``UNKNOWN``."""
+    def run(asked: pd.DataFrame, vocab: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return asked
+        keys = vocab["w"].to_numpy(np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys = np.append(keys[order], 0)
+        own = np.zeros((len(keys), 5), np.int64)
+        own[:-1, 0] = np.arange(len(vocab)) * slots + int(asked["slot"].iloc[0]) + 2
+        own[:-1, 1:] = vocab[list(COUNTS)].to_numpy(np.int64)[order]
+        own[-1, 0] = UNKNOWN
+        last = len(vocab)
+        got = []
+        for k in asked["keys"]:
+            want = _unplaned([k])[:, 0]
+            at = np.searchsorted(keys[:last], want)
+            got.append(_planes(own[np.where(keys[at] == want, at, last)]))
+        return asked.assign(keys=b"", counts=got)
+    return run
+
+
+def _laid_out(docs: np.ndarray, codes: np.ndarray, names: np.ndarray):
+    """A chunk's distinct bigrams, sorted, as the two words' names in one
+    number, and each token's document and bigram."""
+    ids = names[codes]
+    at = np.repeat(np.arange(len(docs)), docs[:, 3])
+    before = np.r_[START, ids[:-1]][:len(ids)]
+    before[np.r_[True, at[1:] != at[:-1]][:len(ids)]] = START
+    pair, token = np.unique(before << 32 | ids, return_inverse=True)
+    return pair, at, token
+
+
+def _by_slot(pair: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, place) of the bigrams in the slots' order."""
+    slot = _slot_of(mix64(pair.view(np.uint64)), slots)
+    order = np.argsort(slot, kind="stable")
+    return slot[order], order
+
+
+def _texts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    own = pdf[pdf["slot"] == TEXTS].iloc[0]
+    return _unplaned([own["docs"]], 4), _unplaned([own["codes"]], kind="<u4")[:, 0]
+
+
+def _bigrams(slots: int):
+    """One chunk: what it asks of the slots of its bigrams, and (``WORDS``)
+    its words' names and counts."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = shared.value
-        pdf = pdf.sort_values(["kind", "chunk"], ignore_index=True)
-        out = [pdf.loc[pdf["kind"] == 1, ["slot", "chunk", "kind", "docs"]].rename(columns={"docs": "data"})]
-        work = pdf[pdf["kind"] == 0]
-        if len(work):
-            keys = [_unplaned(k) for k in work["keys"]]
-            docs = [np.ascontiguousarray(np.frombuffer(d, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-                    for d in work["docs"]]
-            key, row = np.concatenate(keys), np.concatenate(docs)
-            order = np.argsort(key, kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
-            n = np.diff(np.r_[first, len(key)])
-            in_t = np.add.reduceat((row[order] & 1).astype(np.int64), first)
-            value = np.empty(len(key))
-            value[order] = np.repeat(model.values(key[order][first], in_t, n), n)
-            data, at = [], 0
-            for d in docs:
-                sums = np.bincount(d >> 1, value[at:at + len(d)])
-                at += len(d)
-                own = np.unique(d >> 1)
-                data.append(own.astype("<u4").tobytes() + sums[own].astype("<f8").tobytes())
-            out.append(pd.DataFrame({"slot": work["slot"], "chunk": work["chunk"], "kind": 0, "data": data}))
-        return pd.concat(out, ignore_index=True)[["slot", "chunk", "kind", "data"]]
+        docs, codes = _texts(pdf)
+        words_ = _unplaned(list(pdf[pdf["slot"] >= 0].sort_values("slot")["counts"]), 5)
+        pair, at, token = _laid_out(docs, codes, words_[:, 0])
+        n = np.stack([np.bincount(token, minlength=len(pair)),
+                      np.bincount(token[docs[at, 2] > 0], minlength=len(pair))], axis=1)
+        slot, order = _by_slot(pair, slots)
+        chunk = pdf["chunk"].iloc[0]
+        rows = [(chunk, WORDS, b"", _planes(words_), b"", b"")] + _asked(chunk, slot, pair[order], n[order])
+        give_back()
+        return pd.DataFrame(rows, columns=["chunk", "slot", "keys", "counts", "docs", "codes"])
     return run
 
 
-def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
+def _bigram_slot(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One slot: the counts of each chunk's bigrams over all chunks."""
+    keys = [_unplaned([k])[:, 0] for k in pdf["keys"]]
+    ends = np.cumsum([len(k) for k in keys])
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+    total = np.add.reduceat(_unplaned(list(pdf["counts"]), 2)[order], first, axis=0)
+    out = np.empty((len(key), 2), np.int64)
+    out[order] = np.repeat(total, np.diff(np.r_[first, len(key)]), axis=0)
+    got = [_planes(out[lo:hi]) for lo, hi in zip(np.r_[0, ends[:-1]], ends)]
+    give_back()
+    return pdf.assign(keys=b"", counts=got)
+
+
+def _finish(shared, slots: int):
     """One chunk: its documents' scores."""
-    pdf = pdf.sort_values(["kind", "slot"], ignore_index=True)
-    docs = np.frombuffer(pdf["data"].iloc[-1], "<i8").reshape(4, -1)
-    total = docs[3].view("<f8").copy()
-    for data in pdf["data"].iloc[:-1]:
-        n = len(data) // 12
-        total[np.frombuffer(data, "<u4", n)] += np.frombuffer(data, "<f8", n, 4 * n)
-    n = docs[2]
-    ids = pd.arrays.IntegerArray(docs[0].copy(), docs[1] > 0)
-    return pd.DataFrame({"doc_id": ids, "n_tokens": n,
-                         "ce_difference": np.round(np.where(n > 0, total / np.maximum(n, 1), 0.0), 6)})
-
-
-def _least_count(counts: DataFrame) -> int:
-    """The smallest target count, ``MIN_COUNT`` or more, that ``MAX_WORDS``
-    words at most reach."""
-    many = F.least("t", F.lit(1_000_000))
-    rows = counts.where(F.col("t") >= MIN_COUNT).groupBy(many.alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()
-    least, words = MIN_COUNT, 0
-    for r in sorted(rows, key=lambda r: -r["t"]):
-        words += r["n"]
-        if words > MAX_WORDS:
-            least = r["t"] + 1
-            break
-    return least
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        model = shared.value
+        docs, codes = _texts(pdf)
+        words_ = _unplaned(list(pdf.loc[pdf["slot"] == WORDS, "counts"]), 5)
+        pair, at, token = _laid_out(docs, codes, words_[:, 0])
+        counts = np.empty((len(pair), 2), np.int64)
+        counts[_by_slot(pair, slots)[1]] = _unplaned(list(pdf[pdf["slot"] >= 0].sort_values("slot")["counts"]), 2)
+        # the words' counts by the order of their names
+        names, first = np.unique(np.r_[START, UNKNOWN, words_[:, 0]], return_index=True)
+        own = np.append(model.first, words_[:, 1:], axis=0)[first]
+        value = model.values(own, np.searchsorted(names, pair >> 32), np.searchsorted(names, pair & 0xFFFFFFFF), counts)
+        n = docs[:, 3]
+        total = np.bincount(at, value[token], len(docs))
+        ids = pd.arrays.IntegerArray(docs[:, 0].copy(), docs[:, 1] > 0)
+        give_back()
+        return pd.DataFrame({"doc_id": ids, "n_tokens": n,
+                             "ce_difference": np.round(np.where(n > 0, total / np.maximum(n, 1), 0.0), 6)})
+    return run
 
 
 def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -293,28 +285,24 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     counts = texts.mapInArrow(_count_words, "w long, b long, t long, end_b long, end_t long").groupBy("w").agg(
         *[F.sum(c).alias(c) for c in ("b", "t", "end_b", "end_t")])
     counts = stored(counts, "lm-words")
-    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("b", "t", "end_b", "end_t")]).first().asDict()
-    totals = sums | {"docs_b": sums["end_b"], "docs_t": sums["end_t"]}
-    model = Model(counts.where(F.col("t") >= _least_count(counts)), totals)
-    places = Places(model.keys)
-    # Bigrams that are common in some chunk and make up 1 / MAX_FREQUENT of all
-    # words or more, so there are at most MAX_FREQUENT; which ones the list
-    # holds decides where they are counted, not how.
-    asked = spark.sparkContext.broadcast((places, model.size, np.zeros(0, np.int64)))
-    common = (texts.mapInArrow(lambda it: _marked(it, asked, False), "key long, b long, t long").groupBy("key")
-              .agg(F.sum("b").alias("b")).where(F.col("b") * MAX_FREQUENT >= int(sums["b"])).select("key").toPandas())
-    given = np.sort(common["key"].to_numpy(np.int64))
-    exact = spark.sparkContext.broadcast((places, model.size, given))
-    known = (texts.mapInArrow(lambda it: _marked(it, exact, True), "key long, b long, t long").groupBy("key")
-             .agg(F.sum("b").alias("b"), F.sum("t").alias("t")).toPandas().sort_values("key"))
-    given = known["key"].to_numpy(np.int64)
-    values = model.values(given, known["t"].to_numpy(np.float64), known["b"].to_numpy(np.float64))
-    slots = max(1, -(-int(sums["b"]) // SLOT_WORDS))
-    dealt = spark.sparkContext.broadcast((places, model.size, given, values))
-    shared = spark.sparkContext.broadcast(model)
-    parts = (d.mapInArrow(_deal(dealt, slots), "slot long, chunk long, kind int, keys binary, docs binary")
-             .groupBy("slot").applyInPandas(_settle(shared), "slot long, chunk long, kind int, data binary"))
-    return parts.groupBy("chunk").applyInPandas(_finish, "doc_id long, n_tokens long, ce_difference double")
+    add = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]
+    totals = counts.agg(*add).first().asDict()
+    slots = max(1, -(-int(totals["b"]) // SLOT_WORDS))
+    word_slots = -(-slots // WORDS_A_SLOT)
+    vocab = counts.where(F.col("t") >= MIN_COUNT)
+    known = vocab.agg(F.count(F.lit(1)).alias("size"), *add).first().asDict()
+    if known["size"] >= 1 << 30:  # a bigram's number holds two names
+        raise ValueError("vocabularies beyond 2^30 words need wider names")
+    shared = spark.sparkContext.broadcast(Model(known["size"], known, totals))
+    # the same slot as _slot_of gives the word
+    vocab = vocab.withColumn("slot", F.expr(f"CAST((w & 9223372036854775807) % {word_slots} AS INT)"))
+    chunks = stored(d.mapInArrow(_chunks(word_slots), ROWS), "lm-chunks")
+    own, asked = chunks.where("slot < 0"), chunks.where("slot >= 0")
+    answers = asked.groupBy("slot").cogroup(vocab.groupBy("slot")).applyInPandas(_word_slot(word_slots), ROWS)
+    bigrams = stored(own.unionAll(answers).groupBy("chunk").applyInPandas(_bigrams(slots), ROWS), "lm-bigrams")
+    answers = bigrams.where("slot >= 0").groupBy("slot").applyInPandas(_bigram_slot, ROWS)
+    return own.unionAll(bigrams.where("slot < 0")).unionAll(answers).groupBy("chunk").applyInPandas(
+        _finish(shared, slots), "doc_id long, n_tokens long, ce_difference double")
 
 
 def good_ids(labels: DataFrame) -> DataFrame:

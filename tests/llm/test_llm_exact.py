@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from ranksmith.llm import (decontam, html_text, knn_join, langid, links, mixing, ngram_join, quality, repeats,
+from ranksmith.llm import (decontam, html_text, knn_join, langid, links, lm_score, mixing, ngram_join, quality, repeats,
                            token_files)
 from ranksmith.llm.hashing import words
 
@@ -64,6 +64,44 @@ def test_ngram_join_brute_force(near_copies, monkeypatch, list_rows):
         i: (len(s), want[i]) for i, s in sets.items()}
 
 
+def brute_ce(texts, targets):
+    words_ = {i: t.lower().split() for i, t in texts.items()}
+    t = collections.Counter(w for i in targets for w in words_[i])
+    ids = {i: ["<s>"] + [w if t[w] >= 2 else None for w in ws] for i, ws in words_.items()}
+    size = 1 + sum(n >= 2 for n in t.values())
+
+    def counts(docs):
+        own = [ids[i] for i in docs]
+        return (collections.Counter(w for x in own for w in x[1:]), collections.Counter(w for x in own for w in x[:-1]),
+                collections.Counter(p for x in own for p in zip(x, x[1:])))
+
+    one_t, his_t, two_t = counts(targets)
+    one_b, his_b, two_b = counts(texts)
+    n = sum(one_t.values())
+    s = n / sum(one_b.values())
+
+    def loss(c1, h, c2, s, v, w):
+        return -np.log((s * c2[v, w] + 5 * (s * c1[w] + 0.5) / (n + 0.5 * size)) / (s * h[v] + 5))
+
+    return {i: np.mean([loss(one_t, his_t, two_t, 1, *p) - loss(one_b, his_b, two_b, s, *p) for p in zip(x, x[1:])])
+            for i, x in ids.items()}
+
+
+@pytest.mark.parametrize("slot_words", [2_000_000, 500])
+def test_lm_score_keeps_all_words(spark, monkeypatch, slot_words):
+    """The vocabulary holds all words of the target's, however many."""
+    monkeypatch.setattr(lm_score, "MAX_WORDS", 20, raising=False)
+    monkeypatch.setattr(lm_score, "SLOT_WORDS", slot_words)
+    rnd = random.Random(3)
+    texts = {i: " ".join(f"w{int(300 * rnd.random() ** 3)}" for _ in range(rnd.randrange(1, 60))) for i in range(200)}
+    targets = [i for i in texts if i % 3 == 0]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = lm_score.score(docs, spark.createDataFrame([(i,) for i in targets], "doc_id long")).collect()
+    want = brute_ce(texts, targets)
+    assert len(got) == len(want)
+    assert max(abs(r["ce_difference"] - want[r["doc_id"]]) for r in got) < 2e-6
+
+
 def test_components_chain(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, k) for k in range(1001, 1500)]
     got = links.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
