@@ -5,7 +5,9 @@ case, where numbers, units and names are replaced by typed placeholders.  A
 name is a capitalised word that neither begins a sentence nor stands in a run
 of capitals.  Windows of ``WINDOW`` template words are hashed and hash-joined
 with the items' windows, and so are the windows of the plain words, whose
-casing may differ from the item's.
+casing may differ from the item's.  A second template of each text, the wide
+one, takes a capitalised word that begins a sentence for a name as well; its
+windows are joined with those of the items' wide templates.
 
 For every document and item the joined windows are aligned (equal distance
 between their places); the best alignment must cover ``COVERAGE`` of the
@@ -59,8 +61,9 @@ _OUTER = "\"'`.,;:!?()[]{}<>*#%$&|~_=+-/\\“”‘’«»¿¡…–—"
 _CLOSERS = "\"'`)]}>”’»*#%$&|~_"
 # marks of a word, kept below its hash
 ENDS, CAPITAL, LOWER, NUM, UNIT = 1, 2, 4, 8, 16
-NUMBER, MEASURE, NAME = 1, 2, 3  # slot types
+NUMBER, MEASURE, NAME, FIRST = 1, 2, 3, 4  # slot types; FIRST: a name in the wide template only
 SLOT_IDS = np.array([0, 0x1F3A5C71, 0x2B4D6E83, 0x3C5F7A95], np.uint64)
+FILTER_BITS = 24
 _MEMO: dict[str, int] = {}
 
 
@@ -87,7 +90,7 @@ def _coded(word: str) -> int:
 
 def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(hash per word, slot type per word, the words) of a text; the slot
-    types are 0, ``NUMBER``, ``MEASURE`` and ``NAME``."""
+    types are 0, ``NUMBER``, ``MEASURE``, ``NAME`` and ``FIRST``."""
     words = text.replace("\n", "\n ").replace("\t", " ").replace("\r", " ").split(" ")
     memo = _MEMO
     got = list(map(memo.get, words))
@@ -110,67 +113,96 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
     cap = (marks & CAPITAL) > 0
     loud = cap & ((marks & LOWER) == 0)
     run = loud & (np.r_[False, loud[:-1]] | np.r_[loud[1:], False])
-    slot = np.where(marks & NUM, NUMBER, np.where(marks & UNIT, MEASURE, np.where(cap & ~starts & ~run, NAME, 0)))
+    slot = np.where(marks & NUM, NUMBER, np.where(marks & UNIT, MEASURE, np.where(cap & ~run, np.where(starts, FIRST, NAME), 0)))
     return codes >> np.uint64(5), slot.astype(np.uint8), [words[i] for i in at] if len(at) < len(words) else words
 
 
-def windows(ids: np.ndarray, size: int = WINDOW) -> np.ndarray:
-    """Hash of each run of ``size`` words."""
+def windows(ids: np.ndarray, size: int = WINDOW, kind: int = 0) -> np.ndarray:
+    """Hash of each run of ``size`` words; each kind has its own hashes."""
     n = len(ids) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.full(n, size, np.uint64)
+    h = np.full(n, size + (kind << 32), np.uint64)
     for k in range(size):
         h *= np.uint64(0x9E3779B97F4A7C15)
         h += ids[k:n + k]
     return mix64(h)
 
 
-def both_windows(ids: np.ndarray, slot: np.ndarray) -> list[np.ndarray]:
-    """Template windows, then plain ones if any word is a slot."""
-    if not slot.any():
-        return [windows(ids)]
-    return [windows(np.where(slot > 0, SLOT_IDS[slot], ids)), windows(ids)]
+def both_windows(ids: np.ndarray, slot: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, hashes) of the template windows, and of the plain ones that
+    hold a slot."""
+    own = windows(np.where(slot > 0, SLOT_IDS[slot], ids))
+    slots = np.r_[0, np.cumsum(slot > 0)]
+    held = np.flatnonzero(slots[WINDOW:] > slots[:-WINDOW]) if len(own) else np.zeros(0, np.int64)
+    return [(np.arange(len(own)), own)] + ([(held, windows(ids)[held])] if len(held) else [])
+
+
+def narrow(slot: np.ndarray) -> np.ndarray:
+    return np.where(slot == FIRST, 0, slot)
+
+
+def wide(ids: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash per place, slot type) of the wide template."""
+    slot = np.minimum(slot, NAME)
+    return np.where(slot > 0, SLOT_IDS[slot], ids), slot
 
 
 class Items:
-    """Benchmark items with an index of their windows."""
+    """Benchmark items with an index of their windows; each is there as its
+    template and as its wide one."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.ids, self.words, self.slots, self.n = [], [], [], []
+        self.ids, self.words, self.slots, self.n, self.wide = [], [], [], [], []
         keys, where, place, self.short = [], [], [], {}
+
+        def entry(item, words, slot, n, is_wide, found):
+            k = len(self.ids)
+            for store, value in ((self.ids, item), (self.words, words), (self.slots, slot), (self.n, n),
+                                 (self.wide, is_wide)):
+                store.append(value)
+            for at, w in found:
+                keys.append(w)
+                where.append(np.full(len(w), k))
+                place.append(at)
+            return k
+
         for item, text in rows:
-            h, slot, words = template(text)
+            h, full, words = template(text)
             if not len(h):
                 continue
-            k = len(self.ids)
-            self.ids.append(item)
-            self.words.append([bare(w) for w in words])
-            self.slots.append(slot)
-            self.n.append(max(1, len(h) - WINDOW + 1))
-            if len(h) < WINDOW:
+            slot, words = narrow(full), [bare(w) for w in words]
+            n = len(h) - WINDOW + 1
+            if n <= 0:
+                k = entry(item, words, slot, 1, False, [])
                 canon = np.where(slot > 0, SLOT_IDS[slot], h)
                 self.short.setdefault(int(windows(canon, len(h))[0]), []).append(k)
                 continue
-            for w in both_windows(h, slot):
-                keys.append(w)
-                where.append(np.full(len(w), k))
-                place.append(np.arange(len(w)))
+            entry(item, words, slot, n, False, both_windows(h, slot))
+            ids, slot = wide(h, full)
+            if (full == FIRST).any():
+                entry(item, words, slot, n, True, [(np.arange(n), windows(ids, kind=1))])
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
         self.item = np.concatenate(where)[order] if where else order
         self.place = np.concatenate(place)[order] if place else order
         self.uniq, self.first, self.times = np.unique(self.keys, return_index=True, return_counts=True)
+        # leading bits that any window has: most lookups end here
+        bits = min(FILTER_BITS, len(self.uniq).bit_length() + 4)
+        self.shift = np.uint64(64 - bits)
+        self.leads = np.zeros(1 << bits, bool)
+        self.leads[self.uniq >> self.shift] = True
 
     def matches(self, text: str | None) -> Iterator[tuple[int, int, int, int, bool]]:
         """(item id, windows matched, windows, slots exchanged, exact) of the
         items that ``text`` holds."""
         if not text:
             return
-        ids, slot, words = template(text)
+        ids, full, words = template(text)
         if not len(ids):
             return
+        slot = narrow(full)
         if len(ids) < WINDOW and self.short:
             canon = np.where(slot > 0, SLOT_IDS[slot], ids)
             for k in self.short.get(int(windows(canon, len(ids))[0]), ()):
@@ -180,11 +212,15 @@ class Items:
         if len(ids) < WINDOW or not len(self.uniq):
             return
         docs_at, hits = [], []
-        for h in both_windows(ids, slot):
+        own = wide(ids, full)
+        spread = windows(own[0], kind=1)
+        for places, h in [*both_windows(ids, slot), (np.arange(len(spread)), spread)]:
+            near = np.flatnonzero(self.leads[h >> self.shift])
+            h = h[near]
             at = np.minimum(np.searchsorted(self.uniq, h), len(self.uniq) - 1)
-            pos = np.flatnonzero(self.uniq[at] == h)
-            docs_at.append(pos)
-            hits.append(at[pos])
+            found = np.flatnonzero(self.uniq[at] == h)
+            docs_at.append(places[near[found]])
+            hits.append(at[found])
         pos, hit = np.concatenate(docs_at), np.concatenate(hits)
         if not len(pos):
             return
@@ -195,7 +231,10 @@ class Items:
         row = np.unique(np.stack([item, pos - place, place]), axis=1)
         new = np.flatnonzero(np.r_[True, (np.diff(row[0]) != 0) | (np.diff(row[1]) != 0)])
         size = np.diff(np.r_[new, row.shape[1]])
+        given = set()
         for k in np.unique(row[0][new]):
+            if self.wide[k] and k - 1 in given:
+                continue
             need = COVERAGE * self.n[k] - 1e-9
             own = np.flatnonzero((row[0][new] == k) & (size >= need))
             for a in own[np.argsort(-size[own], kind="stable")]:
@@ -204,6 +243,7 @@ class Items:
                     covered[p:p + WINDOW] = True
                 got = self._slots(k, int(row[1][new[a]]), covered, slot, words)
                 if got is not None:
+                    given.add(k)
                     yield self.ids[k], int(size[a]), self.n[k], got, got == 0 and bool(size[a] == self.n[k])
                     break
 

@@ -181,6 +181,17 @@ def test_templates(spark):
     assert not one("If many people buy apples for a few dollars, how many of them pay today?")
 
 
+def test_names_at_sentence_starts():
+    text = "Tom bought 12 apples. Tom gave 3 to Anna. Tom ate 2 more. How many apples does Tom have left?"
+    items = decontam.Items([(1, text)])
+    found = lambda t: [m[0] for m in items.matches(t)]
+    assert list(items.matches(text)) == [(1, 16, 16, 0, True)]
+    assert found(text.replace("Tom", "Sam")) == [1]
+    assert found("Some words. " + text.replace("Tom", "Sam").replace("12", "15") + " Others follow.") == [1]
+    # one name of the item stands for two in the text
+    assert found(text.replace("Tom gave", "Eve gave").replace("Tom", "Sam")) == []
+
+
 def test_decontamination_slices(spark, monkeypatch):
     monkeypatch.setattr(decontam, "SLICE_ITEMS", 3)
     texts = [" ".join(f"t{i}x{k}" for k in range(12)) for i in range(10)]
