@@ -6,12 +6,14 @@ name is a capitalised word that neither begins a sentence nor stands in a run
 of capitals.  Windows of ``WINDOW`` template words are hashed and hash-joined
 with the items' windows, and so are the windows of the plain words, whose
 casing may differ from the item's.  A second template of each text, the wide
-one, takes a capitalised word that begins a sentence for a name as well; its
-windows are joined with those of the items' wide templates.
+one, takes a capitalised word that begins a sentence for a name as well, and a
+run of names, or of numbers, for one placeholder; its windows are joined with
+those of the items' wide templates.
 
 For every document and item the joined windows are aligned (equal distance
-between their places); the best alignment must cover ``COVERAGE`` of the
-item's windows.  Then the slots are checked: along the alignment, equal
+between their places); the best alignment, or else alignments that follow each
+other in order within ``SPAN`` times the item's length, must cover
+``COVERAGE`` of the item's windows.  Then the slots are checked: along the alignment, equal
 fillers of the item must have equal fillers in the document and the other way
 round.  So a question whose numbers, names or units were exchanged is caught,
 and a text that has its shape with fillers that do not correspond is not.
@@ -29,6 +31,7 @@ of items.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +44,7 @@ from .common import mix64, slices, sole_memo
 
 WINDOW = 5
 COVERAGE = 0.8
+SPAN = 1.5
 SLICE_ITEMS = 50_000
 MEMO_ENTRIES = 400_000
 
@@ -142,10 +146,33 @@ def narrow(slot: np.ndarray) -> np.ndarray:
     return np.where(slot == FIRST, 0, slot)
 
 
-def wide(ids: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash per place, slot type) of the wide template."""
+def wide(ids: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash per place, slot type, first words and the end) of the wide
+    template; a run of names or numbers is one place.  A word that begins a
+    sentence belongs to the run behind it if both words are one elsewhere."""
+    same = (slot[1:] == slot[:-1]) & ((slot[1:] == NAME) | (slot[1:] == NUMBER))
+    lead = np.flatnonzero((slot[:-1] == FIRST) & (slot[1:] == NAME))
+    if len(lead):
+        two = ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:]
+        same[lead] = np.isin(two[lead], two[same & (slot[1:] == NAME)])
     slot = np.minimum(slot, NAME)
-    return np.where(slot > 0, SLOT_IDS[slot], ids), slot
+    at = np.flatnonzero(np.r_[True, ~same])
+    return np.where(slot > 0, SLOT_IDS[slot], ids)[at], slot[at], np.r_[at, len(ids)]
+
+
+def chain(pos: np.ndarray, place: np.ndarray) -> list[tuple[int, int]]:
+    """The longest run of (pos, place) that grows in both."""
+    order = np.lexsort((-place, pos))
+    tops, ends, back = [], [], np.full(len(order), -1)
+    for i, o in enumerate(order):
+        at = bisect_left(tops, place[o])
+        back[i] = ends[at - 1] if at else -1
+        tops[at:at + 1], ends[at:at + 1] = [place[o]], [i]
+    out, i = [], ends[-1] if ends else -1
+    while i >= 0:
+        out.append((int(pos[order[i]]), int(place[order[i]])))
+        i = back[i]
+    return out[::-1]
 
 
 class Items:
@@ -179,9 +206,11 @@ class Items:
                 self.short.setdefault(int(windows(canon, len(h))[0]), []).append(k)
                 continue
             entry(item, words, slot, n, False, both_windows(h, slot))
-            ids, slot = wide(h, full)
-            if (full == FIRST).any():
-                entry(item, words, slot, n, True, [(np.arange(n), windows(ids, kind=1))])
+            ids, slot, cut = wide(h, full)
+            found = windows(ids, kind=1)
+            if len(found) and (full > 0).any():
+                words = [" ".join(words[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:])]
+                entry(item, words, slot, len(found), True, [(np.arange(len(found)), found)])
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
@@ -206,7 +235,7 @@ class Items:
         if len(ids) < WINDOW and self.short:
             canon = np.where(slot > 0, SLOT_IDS[slot], ids)
             for k in self.short.get(int(windows(canon, len(ids))[0]), ()):
-                got = self._slots(k, 0, np.ones(len(ids), bool), slot, words)
+                got = self._slots(k, np.arange(len(ids)), np.arange(len(ids) + 1), words)
                 if got is not None:
                     yield self.ids[k], 1, 1, got, got == 0
         if len(ids) < WINDOW or not len(self.uniq):
@@ -227,34 +256,69 @@ class Items:
         times = self.times[hit]
         entry = np.repeat(self.first[hit] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
         item, place, pos = self.item[entry], self.place[entry], np.repeat(pos, times)
-        # one row per item, alignment and window, then per item and alignment
+        # one row per item, alignment and window
         row = np.unique(np.stack([item, pos - place, place]), axis=1)
-        new = np.flatnonzero(np.r_[True, (np.diff(row[0]) != 0) | (np.diff(row[1]) != 0)])
-        size = np.diff(np.r_[new, row.shape[1]])
         given = set()
-        for k in np.unique(row[0][new]):
+        each = np.arange(len(ids) + 1)
+        of = np.flatnonzero(np.r_[True, np.diff(row[0]) != 0])
+        for lo, hi in zip(of, np.r_[of[1:], row.shape[1]]):
+            k = int(row[0][lo])
             if self.wide[k] and k - 1 in given:
                 continue
             need = COVERAGE * self.n[k] - 1e-9
-            own = np.flatnonzero((row[0][new] == k) & (size >= need))
-            for a in own[np.argsort(-size[own], kind="stable")]:
-                covered = np.zeros(len(self.words[k]), bool)
-                for p in row[2][new[a]:new[a] + size[a]]:
-                    covered[p:p + WINDOW] = True
-                got = self._slots(k, int(row[1][new[a]]), covered, slot, words)
+            if hi - lo < need:
+                continue
+            cut = own[2] if self.wide[k] else each
+            for pairs in self._aligned(k, row[1][lo:hi] + row[2][lo:hi], row[2][lo:hi], need):
+                to = np.full(len(self.words[k]), -1)
+                for q, p in pairs:
+                    fresh = to[p:p + WINDOW] < 0
+                    to[p:p + WINDOW][fresh] = np.arange(q, q + WINDOW)[fresh]
+                got = self._slots(k, to, cut, words)
                 if got is not None:
                     given.add(k)
-                    yield self.ids[k], int(size[a]), self.n[k], got, got == 0 and bool(size[a] == self.n[k])
+                    size = len(pairs)
+                    yield self.ids[k], size, self.n[k], got, got == 0 and size == self.n[k] and (
+                        pairs[-1][0] - pairs[0][0] == pairs[-1][1] - pairs[0][1])
                     break
 
-    def _slots(self, k: int, shift: int, covered: np.ndarray, slot: np.ndarray, words: list[str]) -> int | None:
+    def _aligned(self, k: int, pos: np.ndarray, place: np.ndarray, need: float) -> Iterator[list[tuple[int, int]]]:
+        """Windows (place in the document, in the item) that lie in order and
+        are enough: single alignments, the best first, then several."""
+        shift = pos - place
+        order = np.lexsort((place, shift))
+        new = np.flatnonzero(np.r_[True, np.diff(shift[order]) != 0])
+        size = np.diff(np.r_[new, len(order)])
+        for a in np.argsort(-size, kind="stable"):
+            if size[a] < need:
+                break
+            at = order[new[a]:new[a] + size[a]]
+            yield list(zip(pos[at].tolist(), place[at].tolist()))
+        if len(new) < 2:
+            return
+        order = np.argsort(pos, kind="stable")
+        pos, place = pos[order], place[order]
+        ends = np.searchsorted(pos, pos + int(SPAN * len(self.words[k])) + WINDOW)
+        past = -1
+        for i in np.flatnonzero((ends - np.arange(len(pos)) >= need) & np.r_[True, pos[1:] > pos[:-1]]):
+            if pos[i] <= past or len(np.unique(place[i:ends[i]])) < need:
+                continue
+            got = chain(pos[i:ends[i]], place[i:ends[i]])
+            if len(got) >= need:
+                yield got
+                past = got[0][0]
+
+    def _slots(self, k: int, to_place: np.ndarray, cut: np.ndarray, words: list[str]) -> int | None:
         """Slots whose filler differs; None if the fillers do not correspond
-        one to one."""
+        one to one.  ``to_place``: the document's place of each of the item's
+        (-1: none); ``cut``: the first word of each place."""
         to: dict = {}
         back: dict = {}
         changed = 0
-        for p in np.flatnonzero(covered & (self.slots[k] > 0)):
-            kind, mine, other = int(self.slots[k][p]), self.words[k][p], bare(words[p + shift])
+        for p in np.flatnonzero((to_place >= 0) & (self.slots[k] > 0)):
+            q = to_place[p]
+            kind, mine = int(self.slots[k][p]), self.words[k][p]
+            other = " ".join(bare(w) for w in words[cut[q]:cut[q + 1]])
             if to.setdefault((kind, mine), other) != other or back.setdefault((kind, other), mine) != mine:
                 return None
             changed += mine != other

@@ -192,6 +192,21 @@ def test_names_at_sentence_starts():
     assert found(text.replace("Tom gave", "Eve gave").replace("Tom", "Sam")) == []
 
 
+def test_fillers_of_other_lengths():
+    text = ("If Alice Brown travels from New York with 20 sealed boxes and sells every one of them for 3 dollars "
+            "before noon then how many dollars does Alice Brown bring back to New York that evening")
+    passage = [f"p{chr(97 + i // 6)}{chr(97 + i % 6)}" for i in range(40)]
+    items = decontam.Items([(1, text), (2, " ".join(passage))])
+    found = lambda t: [m[0] for m in items.matches(t)]
+    assert found("Well: " + text.replace("Alice Brown", "Bob").replace("20", "twenty five").replace("New York", "Paris")) == [1]
+    for other in (passage[:20] + ["inserted"] + passage[20:], passage[:20] + passage[21:]):
+        (m,) = items.matches("before " + " ".join(other) + " after")
+        assert m[0] == 2 and m[1] >= 0.8 * 36 and not m[4]
+    # the parts in another order, or far from each other, are not the passage
+    assert not found(" ".join(passage[20:] + passage[:20]))
+    assert not found(" ".join(passage[:20] + [f"x{i}y" for i in range(60)] + passage[20:]))
+
+
 def test_decontamination_slices(spark, monkeypatch):
     monkeypatch.setattr(decontam, "SLICE_ITEMS", 3)
     texts = [" ".join(f"t{i}x{k}" for k in range(12)) for i in range(10)]
