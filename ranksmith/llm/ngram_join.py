@@ -1,9 +1,9 @@
 """Exact n-gram Jaccard self-join with set-relation skipping.
 
-A document's set holds its distinct ``WIDTH``-word shingles (words are runs
-of bytes other than ASCII white space, A-Z lower-cased; fewer words: the
-whole sequence as one shingle).  Sets link when their Jaccard similarity is at
-least ``NUM / DEN``.  Shingles and sets are told apart by 64-bit hashes.
+A document's set holds its distinct shingles of ``rule.width`` words (words
+are runs of bytes other than ASCII white space, A-Z lower-cased; fewer words:
+the whole sequence as one shingle).  Sets link when their Jaccard similarity is
+at least ``rule.num / rule.den``.  Shingles and sets are told apart by 64-bit hashes.
 
 1. Equal sets have equal answers: they become one node.
 2. A prefix of each set, its rarest shingles first, is indexed.  How rare a
@@ -31,6 +31,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -54,9 +55,23 @@ FILTER_BITS = 1 << 27
 BROADCAST_IDS = 4_000_000
 
 
-def need(a, b):
-    """Smallest shared number at which sets of a and b shingles link."""
-    return -(-NUM * (a + b) // (NUM + DEN))
+@dataclass(frozen=True)
+class Rule:
+    """Words of a shingle, and the similarity from which sets link."""
+    width: int = WIDTH
+    num: int = NUM
+    den: int = DEN
+
+    def need(self, a, b):
+        """Smallest shared number at which sets of a and b shingles link."""
+        return -(-self.num * (a + b) // (self.num + self.den))
+
+    def need_own(self, n: int) -> int:
+        """Shared shingles without which a set of n links with none."""
+        return -(-self.num * n // self.den)
+
+
+RULE = Rule()
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
@@ -88,21 +103,21 @@ def parity_bits(s: np.ndarray) -> bytes:
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
 
-def _info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _info(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     sole_memo()
     for b in slices(batches, "text", 1 << 20):
-        sets = shingle_sets(b.column("text"))
+        sets = shingle_sets(b.column("text"), rule.width)
         yield pa.RecordBatch.from_pydict({
             "doc_id": b.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()),
             "sig": pa.array([signature(s) for s in sets], pa.int64()),
             "bits": pa.array([parity_bits(s) for s in sets], pa.binary())})
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cells(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     cells, held = None, []
     for b in slices(batches, "text", 1 << 20):
-        for s in shingle_sets(b.column("text")):
+        for s in shingle_sets(b.column("text"), rule.width):
             if not len(s) or (k := signature(s)) in seen:
                 continue
             if len(seen) < 1 << 18:
@@ -125,9 +140,9 @@ def _sum_cells(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [key[0]], "counts": [np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()]})
 
 
-def cell_counts(docs: DataFrame) -> np.ndarray:
+def cell_counts(docs: DataFrame, rule: Rule) -> np.ndarray:
     """Shingles per hash cell over all documents (16 MB, whatever the input)."""
-    rows = (docs.select("text").mapInArrow(_cells, "part int, counts binary")
+    rows = (docs.select("text").mapInArrow(lambda it: _cells(it, rule), "part int, counts binary")
             .groupBy("part").applyInPandas(_sum_cells, "part int, counts binary").collect())
     out = np.zeros((CELL_PARTS, CELLS // CELL_PARTS), "<u4")
     for r in rows:
@@ -135,7 +150,7 @@ def cell_counts(docs: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def index_rows(docs: DataFrame, cells: np.ndarray) -> DataFrame:
+def index_rows(docs: DataFrame, cells: np.ndarray, rule: Rule) -> DataFrame:
     """(key, sig, n, pos): each set's prefix; a key is a shingle, or a pair of
     blocks of one whose cell counts more than ``LIST_ROWS``."""
     shared = docs.sparkSession.sparkContext.broadcast(cells)
@@ -145,12 +160,12 @@ def index_rows(docs: DataFrame, cells: np.ndarray) -> DataFrame:
         for b in slices(batches, "text", 1 << 20):
             out = []
             seen = set()
-            for s in shingle_sets(b.column("text")):
+            for s in shingle_sets(b.column("text"), rule.width):
                 n = len(s)
                 if not n or (sig := signature(s)) in seen:
                     continue
                 seen.add(sig)
-                p = n - need_own(n) + 1
+                p = n - rule.need_own(n) + 1
                 weight = cells[(s >> np.uint64(42)).astype(np.int64)]
                 order = np.lexsort((mix64(s), weight))[:p]
                 pre, w = s[order], weight[order]
@@ -171,11 +186,6 @@ def index_rows(docs: DataFrame, cells: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, sig long, n int, pos int")
 
 
-def need_own(n: int) -> int:
-    """Shared shingles without which a set of n links with none."""
-    return -(-NUM * n // DEN)
-
-
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
     """Rows ordered by key, cut between two keys."""
     held, size = [], 0
@@ -193,12 +203,12 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Index rows whose list holds another set of fitting size."""
     for df in _lists(batches):
         df = df.drop_duplicates(["key", "sig"]).sort_values(["key", "n"], kind="stable")
         key, n = df["key"].to_numpy(), df["n"].to_numpy().astype(np.int64)
-        fits = (key[1:] == key[:-1]) & (NUM * n[1:] <= DEN * n[:-1])
+        fits = (key[1:] == key[:-1]) & (rule.num * n[1:] <= rule.den * n[:-1])
         df = df[np.r_[False, fits] | np.r_[fits, False]]
         if len(df):
             yield pa.RecordBatch.from_pandas(df, preserve_index=False)
@@ -222,7 +232,7 @@ def _hamming(bits: list[bytes], i: np.ndarray, j: np.ndarray, width: np.ndarray)
     return out
 
 
-def candidate_pairs(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidate_pairs(df: pd.DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, differing bits) of row pairs of one list that may link; with a
     ``label`` column, only pairs of different labels."""
     df = df.sort_values(["key", "n", "pos"], kind="stable", ignore_index=True)
@@ -247,17 +257,17 @@ def candidate_pairs(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
         seen = np.union1d(seen, code) if len(seen) else code
         i, j = code // len(sigs), code % len(sigs)
         h = _hamming(bits, i, j, width)
-        ok = h <= size_of[i] + size_of[j] - 2 * need(size_of[i], size_of[j])
+        ok = h <= size_of[i] + size_of[j] - 2 * rule.need(size_of[i], size_of[j])
         found.append(np.stack([sigs[i[ok]], sigs[j[ok]], h[ok]]))
 
     open_rows, k, held, size = np.arange(len(df)), 1, [], 0
     while len(open_rows):
         open_rows = open_rows[open_rows + k < len(df)]
         i, j = open_rows, open_rows + k
-        go = (key[i] == key[j]) & (NUM * n[j] <= DEN * n[i])
+        go = (key[i] == key[j]) & (rule.num * n[j] <= rule.den * n[i])
         open_rows = i = i[go]
         j = j[go]
-        ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need(n[i], n[j])
+        ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= rule.need(n[i], n[j])
         if label is not None:
             ok &= label[i] != label[j]
         if ok.any():
@@ -277,10 +287,10 @@ def candidate_pairs(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return a, b, h
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Pairs, nearest first, that join sets not joined before."""
     for df in _lists(batches):
-        a, b, h = candidate_pairs(df)
+        a, b, h = candidate_pairs(df, rule)
         order = np.lexsort((b, a, h))
         up: dict[int, int] = {}
 
@@ -301,10 +311,10 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
 
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _crossing(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """All candidate pairs of different components."""
     for df in _lists(batches):
-        a, b, _ = candidate_pairs(df)
+        a, b, _ = candidate_pairs(df, rule)
         if len(a):
             yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
 
@@ -319,7 +329,7 @@ def _filter_bits(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
 
-def _texts_of(docs: DataFrame, sigs: DataFrame) -> DataFrame:
+def _texts_of(docs: DataFrame, sigs: DataFrame, rule: Rule) -> DataFrame:
     """(sig, text) of one document per wanted set.
 
     A bit filter of the wanted signatures (eight bits for each, 16 MB at
@@ -338,7 +348,7 @@ def _texts_of(docs: DataFrame, sigs: DataFrame) -> DataFrame:
         bits = np.unpackbits(shared.value).astype(bool)
         given: set[int] = set()
         for b in slices(batches, "text", 1 << 20):
-            sig = np.array([signature(s) if len(s) else 0 for s in shingle_sets(b.column("text"))], np.int64)
+            sig = np.array([signature(s) if len(s) else 0 for s in shingle_sets(b.column("text"), rule.width)], np.int64)
             hit = bits[mix64(sig.view(np.uint64)).astype(np.int64) & (len(bits) - 1)]
             keep = [k for k in np.flatnonzero(hit).tolist()
                     if sig[k] not in given and (len(given) > 1 << 18 or given.add(int(sig[k])) is None)]
@@ -349,38 +359,38 @@ def _texts_of(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     return made.join(sigs, "sig").groupBy("sig").agg(F.max("text").alias("text"))
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "ta", 1 << 20):
         ok = []
-        for x, y in zip(shingle_sets(b.column("ta")), shingle_sets(b.column("tb"))):
+        for x, y in zip(shingle_sets(b.column("ta"), rule.width), shingle_sets(b.column("tb"), rule.width)):
             both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(DEN * both >= NUM * (len(x) + len(y) - both))
+            ok.append(rule.den * both >= rule.num * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_pydict({"a": b.column("a"), "b": b.column("b"), "ok": pa.array(ok, pa.bool_())})
 
 
-def _checked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _checked(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, ok) of pairs of signatures, from the whole sets."""
     sigs = stored(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "join-sigs")
-    texts = stored(_texts_of(docs, sigs), "join-texts")
+    texts = stored(_texts_of(docs, sigs, rule), "join-texts")
     with_a = pairs.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("ta")), "a")
     with_b = with_a.join(texts.select(F.col("sig").alias("b"), F.col("text").alias("tb")), "b")
-    return stored(with_b.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long, ok boolean"), "join-checked")
+    return stored(with_b.select("a", "b", "ta", "tb").mapInArrow(lambda it: _verify(it, rule), "a long, b long, ok boolean"), "join-checked")
 
 
-def grouped(docs: DataFrame) -> DataFrame:
+def grouped(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """(doc_id, n_shingles, component_id, sig) of every row of ``docs``."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    info = stored(d.mapInArrow(_info, "doc_id long, n long, sig long, bits binary"), "join-sets")
-    rows = index_rows(d, cell_counts(d))
-    index = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, rows.schema), "join-index")
+    info = stored(d.mapInArrow(lambda it: _info(it, rule), "doc_id long, n long, sig long, bits binary"), "join-sets")
+    rows = index_rows(d, cell_counts(d, rule), rule)
+    index = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _shared(it, rule), rows.schema), "join-index")
     bits = info.where("n > 0").groupBy("sig").agg(F.max("bits").alias("bits"))
 
     def by_list(rows: DataFrame, run) -> DataFrame:
         frame = rows.join(bits, "sig")
         return stored(frame.repartition("key").sortWithinPartitions("key")
-                      .mapInArrow(run, "a long, b long").distinct(), "join-pairs")
+                      .mapInArrow(lambda it: run(it, rule), "a long, b long").distinct(), "join-pairs")
 
-    tested = _checked(d, by_list(index, _forest))
+    tested = _checked(d, by_list(index, _forest), rule)
     links = tested.where("ok").select("a", "b")
     roots = components(links)
     if tested.where("not ok").limit(1).count():
@@ -389,7 +399,7 @@ def grouped(docs: DataFrame) -> DataFrame:
             "sig", F.coalesce("root", "sig").alias("label"))
         more = by_list(index.join(stored(labels, "join-labels"), "sig"), _crossing)
         more = stored(more.join(tested, ["a", "b"], "left_anti"), "join-more")
-        links = _checked(d, more).where("ok").select("a", "b")
+        links = _checked(d, more, rule).where("ok").select("a", "b")
         roots = components(links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = stored(info.select("doc_id", "n", "sig").join(roots, info.sig == roots.node, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "sig", F.coalesce("root", "sig").alias("root")), "join-roots")
@@ -399,15 +409,15 @@ def grouped(docs: DataFrame) -> DataFrame:
         .alias("component_id"), "sig")
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
+def link_documents(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    return grouped(docs).drop("sig")
+    return grouped(docs, rule).drop("sig")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """Rows of ``docs`` (all columns): the document that names its group, and
     all without shingles.  Rows of equal id and text count as one."""
-    groups = stored(grouped(docs).select("doc_id", "component_id"), "join-groups")
+    groups = stored(grouped(docs, rule).select("doc_id", "component_id"), "join-groups")
     named = groups.where("doc_id = component_id").select("doc_id")
     gone = stored(groups.where("doc_id <> component_id").select("doc_id").distinct()
                   .join(named, "doc_id", "left_anti").select(F.col("doc_id").alias("_gone")), "join-gone")

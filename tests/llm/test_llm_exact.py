@@ -64,6 +64,28 @@ def test_ngram_join_brute_force(near_copies, monkeypatch, list_rows):
         i: (len(s), want[i]) for i, s in sets.items()}
 
 
+def test_ngram_join_of_another_rule(spark, near_copies):
+    """150 words, three changed far apart: 134 of 158 shingles of five words
+    are shared, 140 of 156 of three, which 0.9 keeps apart."""
+    rule = ngram_join.Rule(width=5, num=8, den=10)
+    w = [f"w{i}" for i in range(150)]
+    other = [f"x{i}" if i in (30, 75, 148) else v for i, v in enumerate(w)]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(other)), (3, "another text of some words")],
+                                 "doc_id long, text string")
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(docs, rule).collect()) == [1, 3]
+    assert sorted(r.component_id for r in ngram_join.link_documents(docs).collect()) == [1, 2, 3]
+    pdf = near_copies.toPandas()
+    sets = {}
+    for i, t in zip(pdf["doc_id"], pdf["text"]):
+        v = (t or "").encode().lower().split()
+        sets[i] = {tuple(v[k:k + 5]) for k in range(len(v) - 4)} if len(v) >= 5 else ({tuple(v)} if v else set())
+    ids = sorted(sets)
+    root = links.union_find([(a, b) for k, a in enumerate(ids) for b in ids[k + 1:]
+                             if sets[a] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])])
+    got = {r.doc_id: r.component_id for r in ngram_join.link_documents(near_copies, rule).collect()}
+    assert got == {i: root.get(i, i) for i in ids}
+
+
 def brute_ce(texts, targets):
     words_ = {i: t.lower().split() for i, t in texts.items()}
     t = collections.Counter(w for i in targets for w in words_[i])
