@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, knn_join, langid, lm_score, mixing, ngram_join, quality, repeats, token_files
+from . import (decontam, exact_dedup, html_text, infill, knn_join, langid, lm_score, mixing, ngram_join, prefix_trie, quality,
+               repeats, token_files)
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +54,18 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(read(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.classes(read(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.node_rows(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ce_difference": op1_ce_difference,
     "op2_ngram_join": op2_ngram_join,
@@ -64,6 +77,9 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_token_ids": op9_token_ids,
     "op10_source_mix": op10_source_mix,
+    "op11_infill": op11_infill,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
@@ -119,4 +135,61 @@ s AS (
 r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_infill": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+r AS (
+  SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS x FROM d),
+c AS (
+  SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS z,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR x[3] % 100 >= 50
+              THEN 'plain' WHEN x[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (
+  SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:z], '') AS mid,
+         array_to_string(u[z + 1:n], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p""",
+    "op12_exact_dedup": r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+r AS (
+  SELECT *, count(*) OVER (PARTITION BY t) AS group_size,
+         first_value(doc_id) OVER (PARTITION BY t ORDER BY points DESC, doc_id NULLS FIRST) AS keep_id,
+         row_number() OVER (PARTITION BY t ORDER BY points DESC, doc_id NULLS FIRST) AS k FROM d)
+SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(t) AS text_sha256 FROM r""",
+    "op13_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+k AS (
+  SELECT DISTINCT c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295::BIGINT) % 9 AS h FROM t),
+e AS (
+  SELECT k.c, b.pos, b.role, b.text, 0 AS part FROM k JOIN t b ON b.c = k.c - k.c % 5 AND b.pos <= k.h
+  UNION ALL SELECT t.c, t.pos, t.role, t.text, 1 FROM t JOIN k ON k.c = t.c WHERE t.pos > k.h),
+p AS (
+  SELECT c, row_number() OVER w AS d, strlen(text) AS n_bytes,
+         string_agg(sha256(sha256(role) || sha256(text)), '') OVER w AS path
+  FROM e WINDOW w AS (PARTITION BY c ORDER BY part, pos ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT c, d, n_bytes, path FROM p UNION ALL SELECT c, 0, 0, '' FROM k),
+l AS (SELECT c, max(d) AS size FROM a GROUP BY c),
+n AS (
+  SELECT path, d, min(a.c) AS owner, count(*) AS n_convs, any_value(n_bytes) AS n_bytes,
+         sha256(coalesce(string_agg(a.c::VARCHAR, ',' ORDER BY a.c) FILTER (d = size), '')) AS ends
+  FROM a JOIN l ON l.c = a.c GROUP BY path, d),
+x AS (SELECT n.*, up.owner AS parent FROM n LEFT JOIN n up ON up.d = n.d - 1 AND up.path = left(n.path, 64 * (n.d - 1))),
+ch AS (SELECT left(path, 64 * (d - 1)) AS path, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+y AS (SELECT x.*, coalesce(ch.n_children, 0) AS n_children FROM x LEFT JOIN ch ON ch.path = x.path AND ch.d = x.d)
+SELECT u.owner AS conv_id, u.d AS depth, any_value(u.parent) AS parent_conv_id, any_value(u.n_convs) AS n_convs,
+       any_value(u.n_children) AS n_children, count(*) FILTER (v.n_children = 0) AS n_leaves,
+       CAST(sum((v.n_convs - 1) * v.n_bytes) AS BIGINT) AS saved_tokens, any_value(u.ends) AS ends_sha256
+FROM y u JOIN y v ON v.d >= u.d AND left(v.path, 64 * u.d) = u.path GROUP BY u.owner, u.d, u.path""",
 }
