@@ -312,12 +312,12 @@ def _clean(length: int):
                     at = j
                 kept.append(t[at:])
                 left = b"".join(kept)
-                out.append((len(t), len(t) - len(left), len(merged), hashlib.sha256(left).hexdigest()))
+                out.append((len(t), len(t) - len(left), len(merged), hashlib.sha256(left).hexdigest(), len(left)))
             cols = list(zip(*out))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                 pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                 pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.int64())],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept"])
     return run
 
 
@@ -325,6 +325,8 @@ def repeated_windows(d: DataFrame, length: int = LENGTH, gram: int = GRAM, bucke
     """(doc_id, tid, q1, q2) of ``d`` (doc_id, text): ranges of repeated windows."""
     again, solve = _settled(stored(d.mapInArrow(_anchors(length, gram), ROWS), "rep-anchors"))
     found = [again]
+    # equal rows ask for the same
+    solve = solve.select("doc_id", "tid", "key", "ctx", "p", "q1", "q2", "ctxs").distinct()
     wanted = stored(solve.groupBy("doc_id", "tid").agg(
         F.collect_list(F.struct("key", "ctx", "p", "q1", "q2", "ctxs")).alias("rows")), "rep-wanted")
     w = wanted.select(F.col("doc_id").alias("_d"), F.col("tid").alias("_t"), "rows")
@@ -351,13 +353,14 @@ def repeated_windows(d: DataFrame, length: int = LENGTH, gram: int = GRAM, bucke
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept (bytes that
+    stay) of every row."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = stored(repeated_windows(d, length, gram, bucket_rows).groupBy("doc_id", "tid").agg(
+    spans = stored(repeated_windows(d, length, gram, bucket_rows).distinct().groupBy("doc_id", "tid").agg(
         F.collect_list(F.struct("q1", "q2")).alias("spans")), "rep-spans")
     mask = bit_filter(spans, "tid")
     s = spans.select(F.col("doc_id").alias("_d"), F.col("tid").alias("_t"), "spans")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long"
     touched = _passing(d, mask).join(s, (F.col("tid") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     shared = docs.sparkSession.sparkContext.broadcast(mask)
 

@@ -153,7 +153,22 @@ def test_repeats_brute_force(near_copies, spark, bucket_rows):
     pdf = df.toPandas().sort_values("doc_id")
     want = brute_repeats([(t or "").encode() for t in pdf["text"]], 100)
     got = repeats.remove_repeats(df, length=100, gram=16, bucket_rows=bucket_rows).orderBy("doc_id").collect()
-    assert [tuple(r)[1:] for r in got] == want
+    assert [tuple(r)[1:5] for r in got] == want
+    assert all(r.n_kept == r.n_bytes - r.n_removed for r in got)
+
+
+def test_repeats_of_equal_rows_stay_linear(spark):
+    """5,000 equal rows, and a text that shares part of them: every row asks
+    for its spans once."""
+    rnd = random.Random(4)
+    text = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(700))
+    other = "other " + text[1000:3000] + " end"
+    rows = [(1, text)] * 5000 + [(2, other), (3, "short"), (3, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spans = repeats.repeated_windows(df).where("doc_id = 1").distinct()
+    assert spans.count() < 5000
+    got = collections.Counter((r.doc_id, r.n_removed, r.n_kept) for r in repeats.remove_repeats(df).collect())
+    assert got == {(1, len(text), 0): 5000, (2, 2000, len(other) - 2000): 1, (3, 0, 5): 2}
 
 
 def test_anchor_rows_cut_in_pieces():
