@@ -6,6 +6,14 @@ its place; a text bundles (adds) the vectors of all its n-grams; a language
 prototype bundles those of all its training documents.  A document gets the
 language whose prototype has the largest cosine with its vector.
 
+A filter (``keep_identified``) trusts the best cosine only where it is not far
+below what learned documents of its size reach: documents are classed by the
+weight of their vector (about the sum of squared gram counts), and a class's
+threshold is ``SHARE`` of the ``QUANTILE`` of its learned documents' cosines.
+A class of few learned documents takes the lowest threshold of the full ones
+if its own is higher; a size that was never learned takes the lowest of all.
+Fewer learned documents than a class needs reject nothing.
+
 Letters are lower-cased; every other run of characters counts as one word
 boundary.  Null texts and texts without a letter give ``und`` with score 0,
 and so does every text when nothing can be learned (no labelled rows).  Ties
@@ -28,6 +36,10 @@ from .common import held_out, slices, sole_memo
 DIM = 512
 MAX_LANGUAGES = 4096
 UND = "und"
+QUANTILE = 0.001
+SHARE = 0.5
+CLASS_ROWS = 200  # learned documents that give a class a threshold of its own
+SCORED_ROWS = 100_000  # learned documents scored for the thresholds, by hash of their id
 
 
 @lru_cache(maxsize=1 << 16)
@@ -150,15 +162,22 @@ def learn(docs: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
 
 
 def predict_batch(texts: list[str | None], names: list[str], proto: np.ndarray) -> tuple[list[str], np.ndarray]:
+    return classed_batch(texts, names, proto)[:2]
+
+
+def classed_batch(texts: list[str | None], names: list[str], proto: np.ndarray
+                  ) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score, and the class of each text's weight."""
     if not names:
-        return [UND] * len(texts), np.zeros(len(texts))
+        return [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     vec = bundle(texts, proto.shape[1])
     any_letter = np.array([any(map(str.isalpha, t or "")) for t in texts])
     norm = np.linalg.norm(vec, axis=1)
     cos = np.round((vec @ proto.T) / np.where(norm > 0, norm, 1)[:, None], 9)
     best = cos.argmax(axis=1)
     score = np.clip(cos[np.arange(len(texts)), best], 0, 1)
-    return [names[b] if a else UND for b, a in zip(best, any_letter)], np.where(any_letter, score, 0.0)
+    weight = np.floor(np.log2(np.maximum(norm ** 2 / proto.shape[1], 1))).astype(np.int64)
+    return [names[b] if a else UND for b, a in zip(best, any_letter)], np.where(any_letter, score, 0.0), weight
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: str) -> DataFrame:
@@ -189,17 +208,44 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(flagged, model, "doc_id", "held_out")
 
 
+def thresholds(learned: DataFrame, model: tuple[list[str], np.ndarray]) -> tuple[dict[int, float], float]:
+    """(threshold by class, threshold of all other classes) from the scores of
+    the learned documents, or of about ``SCORED_ROWS`` of them."""
+    shared = learned.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memo()
+        for b in slices(batches, "text", max_bytes=1 << 20, max_rows=1024):
+            lang, score, weight = classed_batch(b.column("text").to_pylist(), *shared.value)
+            told = np.array([x != UND for x in lang], bool)
+            yield pa.RecordBatch.from_pydict({"class": pa.array(weight[told]), "score": pa.array(score[told])})
+
+    parts = max(1, learned.count() // SCORED_ROWS)
+    some = learned.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0).select("text")
+    rows = some.mapInArrow(run, "class long, score double").groupBy("class").agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("score", QUANTILE, 100_000).alias("low")).collect()
+    if sum(r["n"] for r in rows) < CLASS_ROWS:
+        return {}, 0.0
+    low = {r["class"]: SHARE * r["low"] for r in rows}
+    full = min((low[r["class"]] for r in rows if r["n"] >= CLASS_ROWS), default=1.0)
+    return {r["class"]: low[r["class"]] if r["n"] >= CLASS_ROWS else min(low[r["class"]], full) for r in rows}, min(
+        low.values(), default=0.0)
+
+
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (all columns) whose language could be told; documents
-    with null text or without a letter go."""
-    model = learn(docs.where(~held_out(F.col("doc_id"))))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """Rows of ``docs`` (all columns) whose language could be told: documents
+    with null text or without a letter go, and those that resemble no learned
+    language as much as learned documents of their size do."""
+    learned = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    model = learn(learned)
+    shared = docs.sparkSession.sparkContext.broadcast((model, *thresholds(learned, model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole_memo()
-        names, proto = shared.value
+        model, own, least = shared.value
         for b in slices(batches, "text", max_bytes=1 << 20, max_rows=1024):
-            lang, _ = predict_batch(b.column("text").to_pylist(), names, proto)
-            yield b.filter(pa.array([x != UND for x in lang]))
+            lang, score, weight = classed_batch(b.column("text").to_pylist(), *model)
+            yield b.filter(pa.array([x != UND and s >= own.get(w, least)
+                                     for x, s, w in zip(lang, score.tolist(), weight.tolist())]))
 
     return docs.mapInArrow(run, docs.schema)
