@@ -13,13 +13,22 @@ those of the items' wide templates.
 For every document and item the joined windows are aligned (equal distance
 between their places); the best alignment, or else alignments that follow each
 other in order within ``SPAN`` times the item's length, must cover
-``COVERAGE`` of the item's windows.  Then the slots are checked: along the alignment, equal
-fillers of the item must have equal fillers in the document and the other way
-round.  So a question whose numbers, names or units were exchanged is caught,
-and a text that has its shape with fillers that do not correspond is not.
-
-An item of fewer than ``WINDOW`` words is too short to tell from chance; it
-is found only as a whole document.  Items without words match nothing, nor do
+``COVERAGE`` of the item's windows.  Then the slots are checked: along the
+alignment, equal fillers of the item must have equal fillers in the document,
+and different names of the item different names there (different numbers may
+well become the same).  So a question whose numbers, names or units were
+exchanged is caught, and a text that has its shape with fillers that do not
+correspond is not.
+
+Words end at any white space, no-break spaces included.  A text written without
+spaces has few, very long words: an item with ``LONG_WORDS`` letters a word, and
+``CHARS + 8`` letters at least, is also indexed by windows of ``CHARS`` letters
+(marks of punctuation and white space left out, a run of digits as one
+placeholder), which are joined with those of documents that hold such writing.
+
+An item of fewer than ``WINDOW`` words that is not written so is too short to
+tell from chance; it is found only as a whole document.  Items without words
+match nothing, nor do
 null and empty texts; repeated rows are reported alike; empty tables give no
 rows; extra columns are ignored.
 
@@ -31,8 +40,10 @@ of items.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +57,7 @@ WINDOW = 5
 COVERAGE = 0.8
 SPAN = 1.5
 SLICE_ITEMS = 50_000
+CHARS, LONG_WORDS = 8, 12
 MEMO_ENTRIES = 400_000
 
 # fixed values: spellings of units of measure, time and money
@@ -92,9 +104,37 @@ def _coded(word: str) -> int:
     return (xxhash.xxh64_intdigest(low) >> 5 | 1) << 5 | code
 
 
+# scripts written without spaces between words, and very long words
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]|\\S{64}")
+_SPACES = re.compile("[^\\S \n\t\r]")
+_OTHER_SPACES = [c for c in map(chr, range(0x80, 0x3001)) if c.isspace()]
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """0 for code points that are left out, 2 for digits, 1 for the others."""
+    kind = {"L": 1, "M": 1, "N": 1}
+    return np.fromiter((2 if (c := unicodedata.category(chr(i))) == "Nd" else kind.get(c[0], 0) for i in range(0x110000)),
+                       np.uint8, 0x110000)
+
+
+def letters(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+    """(hash per place, slot type, first letter of each place and the end, the
+    letters) of a text's letters; a run of digits is one place."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = _kinds()[codes]
+    codes, kind = codes[kind > 0], kind[kind > 0]
+    at = np.flatnonzero(np.r_[True, (kind[1:] != 2) | (kind[:-1] != 2)][:len(kind)])
+    slot = np.where(kind[at] == 2, NUMBER, 0).astype(np.uint8)
+    ids = np.where(slot > 0, SLOT_IDS[slot], mix64(codes[at].astype(np.uint64) + np.uint64(1 << 32)))
+    return ids, slot, np.r_[at, len(codes)], codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(hash per word, slot type per word, the words) of a text; the slot
     types are 0, ``NUMBER``, ``MEASURE``, ``NAME`` and ``FIRST``."""
+    if not text.isascii() and any(c in text for c in _OTHER_SPACES):
+        text = _SPACES.sub(" ", text)
     words = text.replace("\n", "\n ").replace("\t", " ").replace("\r", " ").split(" ")
     memo = _MEMO
     got = list(map(memo.get, words))
@@ -180,13 +220,13 @@ class Items:
     template and as its wide one."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.ids, self.words, self.slots, self.n, self.wide = [], [], [], [], []
+        self.ids, self.words, self.slots, self.n, self.wide, self.dense = [], [], [], [], [], []
         keys, where, place, self.short = [], [], [], {}
 
-        def entry(item, words, slot, n, is_wide, found):
+        def entry(item, words, slot, n, is_wide, found, dense=False):
             k = len(self.ids)
             for store, value in ((self.ids, item), (self.words, words), (self.slots, slot), (self.n, n),
-                                 (self.wide, is_wide)):
+                                 (self.wide, is_wide), (self.dense, dense)):
                 store.append(value)
             for at, w in found:
                 keys.append(w)
@@ -200,6 +240,12 @@ class Items:
                 continue
             slot, words = narrow(full), [bare(w) for w in words]
             n = len(h) - WINDOW + 1
+            if len(text) >= max(CHARS + 8, LONG_WORDS * len(h)):
+                ids, held, cut, chars = letters(text)
+                found = windows(ids, CHARS, 2)
+                if len(ids) >= max(CHARS + 8, LONG_WORDS * len(h)):
+                    entry(item, [" ".join(chars[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:])], held, len(found), False,
+                          [(np.arange(len(found)), found)], True)
             if n <= 0:
                 k = entry(item, words, slot, 1, False, [])
                 canon = np.where(slot > 0, SLOT_IDS[slot], h)
@@ -232,18 +278,33 @@ class Items:
         if not len(ids):
             return
         slot = narrow(full)
+        given: set = set()
         if len(ids) < WINDOW and self.short:
             canon = np.where(slot > 0, SLOT_IDS[slot], ids)
             for k in self.short.get(int(windows(canon, len(ids))[0]), ()):
                 got = self._slots(k, np.arange(len(ids)), np.arange(len(ids) + 1), words)
-                if got is not None:
+                if got is not None and self.ids[k] not in given:
+                    given.add(self.ids[k])
                     yield self.ids[k], 1, 1, got, got == 0
-        if len(ids) < WINDOW or not len(self.uniq):
+        if not len(self.uniq):
             return
+        if True in self.dense and _DENSE.search(text):
+            of = letters(text)
+            found = windows(of[0], CHARS, 2)
+            if len(found):
+                yield from self._held([(np.arange(len(found)), found)], CHARS, of, of, of[3], given)
+        if len(ids) >= WINDOW:
+            own = wide(ids, full)
+            spread = windows(own[0], kind=1)
+            each = (ids, slot, np.arange(len(ids) + 1))
+            yield from self._held([*both_windows(ids, slot), (np.arange(len(spread)), spread)], WINDOW, each, own, words, given)
+
+    def _held(self, found_windows, size: int, plain: tuple, own: tuple, words, given: set
+              ) -> Iterator[tuple[int, int, int, int, bool]]:
+        """Items whose windows of ``size`` places are among those of a text;
+        ``plain`` and ``own`` are its templates, ``given`` the items found."""
         docs_at, hits = [], []
-        own = wide(ids, full)
-        spread = windows(own[0], kind=1)
-        for places, h in [*both_windows(ids, slot), (np.arange(len(spread)), spread)]:
+        for places, h in found_windows:
             near = np.flatnonzero(self.leads[h >> self.shift])
             h = h[near]
             at = np.minimum(np.searchsorted(self.uniq, h), len(self.uniq) - 1)
@@ -258,27 +319,24 @@ class Items:
         item, place, pos = self.item[entry], self.place[entry], np.repeat(pos, times)
         # one row per item, alignment and window
         row = np.unique(np.stack([item, pos - place, place]), axis=1)
-        given = set()
-        each = np.arange(len(ids) + 1)
         of = np.flatnonzero(np.r_[True, np.diff(row[0]) != 0])
         for lo, hi in zip(of, np.r_[of[1:], row.shape[1]]):
             k = int(row[0][lo])
-            if self.wide[k] and k - 1 in given:
+            if self.ids[k] in given:
                 continue
             need = COVERAGE * self.n[k] - 1e-9
             if hi - lo < need:
                 continue
-            cut = own[2] if self.wide[k] else each
+            cut = own[2] if self.wide[k] else plain[2]
             for pairs in self._aligned(k, row[1][lo:hi] + row[2][lo:hi], row[2][lo:hi], need):
                 to = np.full(len(self.words[k]), -1)
                 for q, p in pairs:
-                    fresh = to[p:p + WINDOW] < 0
-                    to[p:p + WINDOW][fresh] = np.arange(q, q + WINDOW)[fresh]
+                    fresh = to[p:p + size] < 0
+                    to[p:p + size][fresh] = np.arange(q, q + size)[fresh]
                 got = self._slots(k, to, cut, words)
                 if got is not None:
-                    given.add(k)
-                    size = len(pairs)
-                    yield self.ids[k], size, self.n[k], got, got == 0 and size == self.n[k] and (
+                    given.add(self.ids[k])
+                    yield self.ids[k], len(pairs), self.n[k], got, got == 0 and len(pairs) == self.n[k] and (
                         pairs[-1][0] - pairs[0][0] == pairs[-1][1] - pairs[0][1])
                     break
 
@@ -310,7 +368,7 @@ class Items:
 
     def _slots(self, k: int, to_place: np.ndarray, cut: np.ndarray, words: list[str]) -> int | None:
         """Slots whose filler differs; None if the fillers do not correspond
-        one to one.  ``to_place``: the document's place of each of the item's
+        (names: one to one).  ``to_place``: the document's place of each of the item's
         (-1: none); ``cut``: the first word of each place."""
         to: dict = {}
         back: dict = {}
@@ -319,7 +377,9 @@ class Items:
             q = to_place[p]
             kind, mine = int(self.slots[k][p]), self.words[k][p]
             other = " ".join(bare(w) for w in words[cut[q]:cut[q + 1]])
-            if to.setdefault((kind, mine), other) != other or back.setdefault((kind, other), mine) != mine:
+            if to.setdefault((kind, mine), other) != other:
+                return None
+            if kind == NAME and back.setdefault(other, mine) != mine:
                 return None
             changed += mine != other
         return changed
