@@ -76,13 +76,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 <<
 
 
 _MEMO_OF: list = [None]
+TABLES: list = []  # calls that give up tables which any operator may make again
 
 
 def sole_memo(forget=None) -> None:
     """A worker keeps the memo of one operator at a time: the one kept
-    before, if it is another's, is forgotten."""
-    if _MEMO_OF[0] is not None and _MEMO_OF[0] != forget:
-        _MEMO_OF[0]()
+    before, if it is another's, is forgotten, and so are shared tables."""
+    if _MEMO_OF[0] != forget:
+        for give_up in [_MEMO_OF[0], *TABLES]:
+            if give_up is not None:
+                give_up()
     _MEMO_OF[0] = forget
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import SPACE_BYTES, mix64
+from .common import SPACE_BYTES, TABLES, mix64
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -14,6 +14,7 @@ _IS_SPACE[list(SPACE_BYTES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+TABLES.append(_POWERS.clear)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
