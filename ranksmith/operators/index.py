@@ -7,10 +7,13 @@ Layout choices for scale:
   the documents already sit: building them shuffles nothing.
 * Corpus statistics (N, average length, mean idf) are lazy scalar
   subqueries, not joins or driver round trips.
+* Items stay whole as *forward* rows (an item with its tokens); postings are
+  exploded from them where they are needed.
 * The only shuffles of the index build are the vocabulary count (partial
-  aggregation map-side, so hot tokens collapse before the exchange) and,
-  for TF-IDF, the join that attaches idf to every posting plus the
-  per-document norm.
+  aggregation map-side, so hot tokens collapse before the exchange) and, for
+  TF-IDF, one pass of the forward rows into chunks: each chunk is dealt the
+  idf of its tokens once (a token is one row per chunk, however hot), and
+  weights and norm are worked out inside the item's row.
 """
 
 from __future__ import annotations
@@ -18,12 +21,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from importlib import resources
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tok_word2, tok_ws
+from ..session import checkpoint_dir
 from .util import scalar, with_term_freqs
 
+CHUNK_TOKENS = 500_000  # distinct tokens of items, summed up, in a chunk
+
 
 def default_stop_words() -> list[str]:
     """English stop list used by the TF-IDF tokenizer (Spark ML's default
@@ -46,6 +55,12 @@ class Bm25Index:
     avgdl: Column
     k1: float
     b: float
+    forward: DataFrame         # item_id, ordinal, dl, ws = array of (token, tf)
+
+    @classmethod
+    def of(cls, forward: DataFrame, vocab: DataFrame, n_docs: Column, avgdl: Column, k1: float, b: float) -> "Bm25Index":
+        """The index of stored forward rows."""
+        return cls(_postings(forward.withColumnRenamed("ws", "tfs")), vocab, n_docs, avgdl, k1, b, forward)
 
 
 def bm25_index(corpus: DataFrame, k1: float = 1.5, b: float = 0.75,
@@ -69,15 +84,21 @@ def bm25_index(corpus: DataFrame, k1: float = 1.5, b: float = 0.75,
     mean_idf = scalar(vocab.agg(F.avg("idf_raw")))
     vocab = vocab.select("token", "df", F.when(F.col("idf_raw") < 0, F.lit(epsilon) * mean_idf)
                          .otherwise(F.col("idf_raw")).alias("idf"))
-    return Bm25Index(postings, vocab, n_docs, avgdl, k1, b)
+    return Bm25Index(postings, vocab, n_docs, avgdl, k1, b, d.withColumnRenamed("tfs", "ws"))
 
 
 @dataclass
 class TfidfIndex:
-    postings: DataFrame        # item_id, ordinal, token, tf, idf, wn (L2-normalised tf*idf)
+    forward: DataFrame         # item_id, ordinal, wd = array of (token, tf, wn), wn: L2-normalised tf*idf
     vocab: DataFrame           # token, df, idf
     stop: DataFrame            # token
 
+    @property
+    def postings(self) -> DataFrame:
+        """(item_id, ordinal, token, tf, wn)"""
+        return (self.forward.select("item_id", "ordinal", F.explode_outer("wd").alias("p")).filter(F.col("p").isNotNull())
+                .select("item_id", "ordinal", "p.token", "p.tf", "p.wn"))
+
 
 def stop_frame(spark: SparkSession, stop_words: list[str] | None) -> DataFrame:
     words = default_stop_words() if stop_words is None else stop_words
@@ -95,17 +116,46 @@ def word_postings(df: DataFrame, id_col: str, text_col: str, stop: DataFrame) ->
     return p.join(F.broadcast(stop), "token", "left_anti")
 
 
+def _tokens(d: DataFrame, *keep: str) -> DataFrame:
+    return d.select(*keep, F.explode_outer(F.col("tfs.token")).alias("token")).filter(F.col("token").isNotNull())
+
+
+def _weigh(items: pa.Table, words: pa.Table) -> pa.Table:
+    """Items of a chunk with the weight of each token in the item's row."""
+    items = items.combine_chunks()
+    lists = items.column("tfs").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    off = np.asarray(lists.offsets).astype(np.int64)
+    flat = lists.values.slice(off[0], off[-1] - off[0])
+    off = off - off[0]
+    token, tf = flat.field("token"), flat.field("tf")
+    known = words.column("token").combine_chunks()
+    at = pc.index_in(token, value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
+    w = tf.to_numpy(zero_copy_only=False) * words.column("idf").to_numpy()[at] if len(at) else np.zeros(0)
+    item = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    norm = np.sqrt(np.bincount(item, w * w, len(off) - 1))
+    wn = pa.array(w / norm[item])
+    out = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([token, tf, wn], ["token", "tf", "wn"]))
+    return pa.table({"item_id": items.column("item_id"), "ordinal": items.column("ordinal"), "wd": out})
+
+
 def tfidf_index(corpus: DataFrame, stop_words: list[str] | None = None) -> TfidfIndex:
     """TF-IDF with raw term counts, smooth idf = ln((1+N)/(1+df)) + 1 and
     L2-normalised document vectors."""
     spark = corpus.sparkSession
-    stop = stop_frame(spark, stop_words)
-    p = word_postings(corpus, "item_id", "text", stop)
+    words = default_stop_words() if stop_words is None else stop_words
+    d = with_term_freqs(corpus.select("item_id", "ordinal", tok_word2("text").alias("toks")), "toks", "tfs").drop("toks")
+    if words:
+        d = d.withColumn("tfs", F.filter("tfs", lambda p: ~p["token"].isin(*words)))
+    checkpoint_dir(spark)
+    d = d.checkpoint(eager=True)  # read by the vocabulary, the chunks and the weights
     n_docs = scalar(corpus.agg(F.count(F.lit(1)).cast("double")))
-    vocab = p.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    vocab = _tokens(d).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     vocab = vocab.withColumn("idf", F.ln((n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0)
-    pw = p.join(vocab.select("token", "idf"), "token")
-    w = F.col("tf") * F.col("idf")
-    norm = F.sqrt(F.sum(w * w).over(Window.partitionBy("item_id")))
-    pw = pw.withColumn("wn", w / norm)
-    return TfidfIndex(pw, vocab, stop)
+    chunks = max(1, (d.agg(F.sum(F.size("tfs"))).first()[0] or 0) // CHUNK_TOKENS)
+    d = d.withColumn("chunk", F.pmod(F.xxhash64("item_id"), F.lit(chunks)))
+    need = _tokens(d, "chunk").distinct().join(vocab.select("token", "idf"), "token") \
+        .select(F.col("chunk").alias("part"), "token", "idf")
+    forward = d.groupBy("chunk").cogroup(need.groupBy("part")).applyInArrow(
+        _weigh, "item_id long, ordinal long, wd array<struct<token: string, tf: long, wn: double>>")
+    return TfidfIndex(forward, vocab, stop_frame(spark, stop_words))

@@ -1,9 +1,11 @@
 """Batch search: many questions scored against a corpus in one plan.
 
-Scores are sparse: only (query, item) pairs that share a token exist as
-rows.  Items without a shared token have an implicit score of 0; per-query
-min-max normalisation and top-k fill account for them without ever
-materialising the query x corpus product.
+The searches score inside tasks that hold the questions' bounds (``scoring``)
+and emit the best items only.  Items without a shared token have an implicit
+score of 0; per-query min-max normalisation and top-k fill account for them.
+``bm25_scores`` and ``tfidf_scores`` give all pairs that share a token as rows;
+the searches use them only where a weight is negative (the mean idf of a very
+small corpus can be), for which no bound holds.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.text import tok_ws
 from .index import Bm25Index, TfidfIndex, word_postings
 from ..session import checkpoint_dir
-from .util import BROADCAST_MAX_ROWS, OUT_DIGITS, has_at_most, rank_key, topk, with_term_freqs
+from .scoring import Scorer, nonnegative
+from .util import BROADCAST_MAX_ROWS, OUT_DIGITS, broadcast_if_small, has_at_most, rank_key, topk, with_term_freqs
 
 
 def query_terms_ws(queries: DataFrame, text_col: str = "question") -> DataFrame:
@@ -64,12 +67,70 @@ def tfidf_scores(index: TfidfIndex, queries: DataFrame, text_col: str = "questio
     return hits.groupBy("query_id", "item_id", "ordinal").agg(F.sum(F.col("wq") * F.col("wn")).alias("score"))
 
 
+def bm25_terms(index: Bm25Index, queries: DataFrame, text_col: str = "question") -> DataFrame:
+    """(query_id, kind, token, w, df): the questions' weighted BM25 tokens;
+    a repeated token counts once per occurrence."""
+    qt = broadcast_if_small(query_terms_ws(queries, text_col))
+    return index.vocab.join(qt, "token").select(
+        "query_id", F.lit(0).alias("kind"), "token", (F.col("qtf") * F.col("idf")).alias("w"), "df")
+
+
+def tfidf_terms(index: TfidfIndex, queries: DataFrame, text_col: str = "question") -> DataFrame:
+    """(query_id, kind, token, w, df): the questions' L2-normalised TF-IDF
+    vectors; tokens unseen in the corpus are dropped before normalising."""
+    qp = broadcast_if_small(word_postings(queries, "query_id", text_col, index.stop))
+    qw = index.vocab.join(qp, "token").withColumn("w", F.col("tf") * F.col("idf"))
+    # a question's own tokens: as many as its text has
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))
+    return qw.select("query_id", F.lit(1).alias("kind"), "token", (F.col("w") / norm).alias("w"), "df")
+
+
+def _number(spark, *values: Column) -> list[float]:
+    return [float(x or 0.0) for x in spark.range(1).select(*(v.alias(f"c{i}") for i, v in enumerate(values))).first()]
+
+
+def bm25_scorer(index: Bm25Index) -> Scorer:
+    n, avgdl = _number(index.forward.sparkSession, index.n_docs, index.avgdl)
+    return Scorer(index.forward, int(n), avgdl, index.k1, index.b, (True, False))
+
+
+def tfidf_scorer(index: TfidfIndex, n_items: int) -> Scorer:
+    return Scorer(index.forward, n_items, kinds=(False, True))
+
+
+def hybrid_scorer(bm25: Bm25Index, tfidf: TfidfIndex) -> Scorer:
+    """Scorer of both kinds of tokens at once."""
+    n, avgdl = _number(bm25.forward.sparkSession, bm25.n_docs, bm25.avgdl)
+    both = bm25.forward.join(tfidf.forward.select("item_id", "wd"), "item_id")
+    return Scorer(both, int(n), avgdl, bm25.k1, bm25.b)
+
+
+def hybrid_top(scorer: Scorer, bm25: DataFrame, tfidf: DataFrame, stats: DataFrame, k: int, alpha: float = 0.5
+               ) -> tuple[DataFrame, DataFrame]:
+    """alpha * cosine + (1 - alpha) * minmax(bm25), best ``k`` per question.
+
+    The fused score is a sum over the question's tokens of both kinds plus a
+    constant of the question, the ``base`` score of an item matched by neither:
+    one bounded search over both kinds of tokens finds the top, without the two
+    score lists.  ``stats`` = (query_id, mn, mx, rng) of BM25."""
+    w = F.col("w") * (1 - alpha) / F.coalesce("rng", F.lit(1.0))
+    terms = bm25.join(stats.select("query_id", "rng"), "query_id", "left").select("query_id", "kind", "token", w.alias("w"), "df") \
+        .unionByName(tfidf.withColumn("w", F.col("w") * alpha))
+    base = stats.select("query_id", (F.lit(1 - alpha) * ((F.lit(0.0) - F.col("mn")) / F.col("rng"))).alias("base"))
+    top = scorer.top(terms, k).join(base, "query_id", "left")
+    return top.select("query_id", "item_id", "ordinal", (F.col("score") + F.coalesce("base", F.lit(0.0))).alias("score")), base
+
+
 def minmax_stats(scores: DataFrame, n_items: Column, max_floor: bool = False) -> DataFrame:
     """Per query: min and max over *all* items (implicit zeros included when
     fewer than ``n_items`` items were matched) and the divisor, which is 1
     when max = min.  ``max_floor``: a max <= 0 becomes 1.0 first."""
-    st = scores.groupBy("query_id").agg(F.min("score").alias("mn"), F.max("score").alias("mx"),
-                                        F.count(F.lit(1)).alias("m"))
+    return minmax_of(scores.groupBy("query_id").agg(F.min("score").alias("mn"), F.max("score").alias("mx"),
+                                                    F.count(F.lit(1)).alias("m")), n_items, max_floor)
+
+
+def minmax_of(st: DataFrame, n_items: Column, max_floor: bool = False) -> DataFrame:
+    """The same from (query_id, mn, mx, m) of the matched items."""
     some_zero = F.col("m") < n_items
     mn = F.when(some_zero, F.least(F.col("mn"), F.lit(0.0))).otherwise(F.col("mn"))
     mx = F.when(some_zero, F.greatest(F.col("mx"), F.lit(0.0))).otherwise(F.col("mx"))
@@ -185,7 +246,8 @@ def topk_with_fill(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, k: i
 def bm25_search(index: Bm25Index, queries: DataFrame, corpus: DataFrame, k: int = 15,
                 text_col: str = "question") -> DataFrame:
     """Top-k items per query by BM25: (query_id, item_id, score, rank)."""
-    s = bm25_scores(index, queries, text_col)
+    terms = bm25_terms(index, queries, text_col)
+    s = bm25_scorer(index).top(terms, k) if nonnegative(terms) else bm25_scores(index, queries, text_col)
     out = topk_with_fill(s, queries, corpus, k)
     return out.select("query_id", "item_id", F.round("score", OUT_DIGITS).alias("score"), "rank")
 
@@ -193,6 +255,6 @@ def bm25_search(index: Bm25Index, queries: DataFrame, corpus: DataFrame, k: int
 def tfidf_search(index: TfidfIndex, queries: DataFrame, corpus: DataFrame, k: int = 15,
                  text_col: str = "question") -> DataFrame:
     """Top-k items per query by TF-IDF cosine: (query_id, item_id, score, rank)."""
-    s = tfidf_scores(index, queries, text_col)
+    s = tfidf_scorer(index, corpus.count()).top(tfidf_terms(index, queries, text_col), k)
     out = topk_with_fill(s, queries, corpus, k)
     return out.select("query_id", "item_id", F.round("score", OUT_DIGITS).alias("score"), "rank")

@@ -573,7 +573,7 @@ def _features(spark, sf_dir, pool: int = 25) -> DataFrame:
     bm = rt.stage(se.bm25_scores(idx.bm25, qs))
     cs = rt.stage(se.tfidf_scores(idx.tfidf, qs))
     bnorm = se.minmax_norm(bm, idx.n_items, max_floor=True)
-    cands = rt.stage(rt.hybrid_pool(idx, qs, pool, scores=(bm, cs)))
+    cands = rt.stage(rt.hybrid_pool(idx, qs, pool))
     xq = rt.stage(ex.expand_full(qs))
     return fe.features_28(cands, qs, idx.corpus, bm, cs, bnorm, expanded=xq, item_keys=_item_structure(spark, sf_dir))
 
@@ -1193,8 +1193,15 @@ def q_memo_lookup(spark, sf_dir):
 # --- more index, expansion and evaluation keys ----------------------------
 
 @register("tfidf_index", lambda: f"WITH {osql.corpus_cte()}, {osql.questions_cte()}{osql.tfidf_ctes()} "
-          "SELECT token, round(idf, 9) AS idf FROM tvoc")
+          "SELECT item_id, token, round(w / nrm, 9) AS wn FROM tdw JOIN tdn USING (item_id)")
 def q_tfidf_index(spark, sf_dir):
+    """L2-normalised TF-IDF weight of every token of every item."""
+    return _indexes(spark, sf_dir).tfidf.postings.select("item_id", "token", F.round("wn", 9).alias("wn"))
+
+
+@register("tfidf_vocabulary", lambda: f"WITH {osql.corpus_cte()}, {osql.questions_cte()}{osql.tfidf_ctes()} "
+          "SELECT token, round(idf, 9) AS idf FROM tvoc")
+def q_tfidf_vocabulary(spark, sf_dir):
     """TF-IDF vocabulary with smooth idf (stop words removed)."""
     return _indexes(spark, sf_dir).tfidf.vocab.select("token", F.round("idf", 9).alias("idf"))
 

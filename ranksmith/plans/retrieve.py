@@ -29,6 +29,7 @@ class Indexes:
         self.materialize = materialize
         self._bm25 = None
         self._tfidf = None
+        self._hybrid = None
         if materialize:
             checkpoint_dir(corpus.sparkSession)
             self.n_items = F.lit(corpus.count())
@@ -40,10 +41,10 @@ class Indexes:
         if self._bm25 is None:
             b = ix.bm25_index(self.corpus)
             if self.materialize:
-                post = b.postings.checkpoint(eager=True)
+                forward = b.forward.checkpoint(eager=True)
                 vocab = b.vocab.checkpoint(eager=True)
-                avgdl = self.corpus.sparkSession.range(1).select(b.avgdl).first()[0]
-                b = ix.Bm25Index(post, vocab, self.n_items.cast("double"), F.lit(float(avgdl or 0.0)), b.k1, b.b)
+                avgdl = forward.agg(F.avg("dl")).first()[0]
+                b = ix.Bm25Index.of(forward, vocab, self.n_items.cast("double"), F.lit(float(avgdl or 0.0)), b.k1, b.b)
             self._bm25 = b
         return self._bm25
 
@@ -52,10 +53,20 @@ class Indexes:
         if self._tfidf is None:
             t = ix.tfidf_index(self.corpus)
             if self.materialize:
-                t = ix.TfidfIndex(t.postings.checkpoint(eager=True), t.vocab.checkpoint(eager=True), t.stop)
+                t = ix.TfidfIndex(t.forward.checkpoint(eager=True), t.vocab.checkpoint(eager=True), t.stop)
             self._tfidf = t
         return self._tfidf
 
+    @property
+    def hybrid(self) -> "se.Scorer":
+        """Scorer of both kinds of tokens."""
+        if self._hybrid is None:
+            h = se.hybrid_scorer(self.bm25, self.tfidf)
+            if self.materialize:
+                h.forward = h.forward.checkpoint(eager=True)
+            self._hybrid = h
+        return self._hybrid
+
 
 def stage(df: DataFrame) -> DataFrame:
     """Materialise one pipeline stage in the shared checkpoint folder.
@@ -70,19 +81,21 @@ def stage(df: DataFrame) -> DataFrame:
 
 def hybrid_pool(idx: Indexes, queries: DataFrame, k: int, alpha: float = 0.5,
                 text_col: str = "question", mentions: DataFrame | None = None,
-                forced_score: float = 2.0, scores: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+                forced_score: float = 2.0) -> DataFrame:
     """alpha x TF-IDF cosine + (1 - alpha) x min-max BM25 over the whole
     corpus; mentioned items forced to ``forced_score``; top k per query:
     (query_id, item_id, ordinal, score, rank)."""
     q = queries.select("query_id", F.col(text_col).alias("question"))
-    bm, cs = scores if scores is not None else (se.bm25_scores(idx.bm25, q), se.tfidf_scores(idx.tfidf, q))
-    pairs, base = se.hybrid_scores(bm, cs, idx.n_items, alpha)
-    has_ord = "ordinal" in pairs.columns
-    pairs = pairs.select("query_id", "item_id", *(["ordinal"] if has_ord else []), "score")
+    bt = stage(se.bm25_terms(idx.bm25, q))
+    if se.nonnegative(bt):
+        st = stage(se.minmax_of(idx.hybrid.stats(bt), idx.n_items))
+        pairs, base = se.hybrid_top(idx.hybrid, bt, se.tfidf_terms(idx.tfidf, q), st, k, alpha)
+    else:
+        pairs, base = se.hybrid_scores(se.bm25_scores(idx.bm25, q), se.tfidf_scores(idx.tfidf, q), idx.n_items, alpha)
+    pairs = pairs.select("query_id", "item_id", "ordinal", "score")
     if mentions is not None:
-        m = mentions
-        if has_ord:  # mentions are few: attach their ordinal with the corpus streaming past them
-            m = idx.corpus.select("item_id", "ordinal").join(broadcast_if_small(mentions), "item_id")
+        # mentions are few: attach their ordinal with the corpus streaming past them
+        m = idx.corpus.select("item_id", "ordinal").join(broadcast_if_small(mentions), "item_id")
         pairs = bo.candidate_union(pairs, m, forced_score)
     return se.topk_with_fill(pairs, q, idx.corpus, k, base)
 
