@@ -17,7 +17,7 @@ Rulings (documented differences from the reference):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sigmoid
@@ -25,7 +25,7 @@ from ..functions.text import (AGGREGATION_KEYWORDS, JOIN_KEYWORDS, SUBQUERY_KEYW
                               keyword_hits, tok_word, trigram_count, trigram_jaccard,
                               with_trigrams, ws_set)
 from .expand import ABBREVIATIONS
-from .util import broadcast_if_small, rank_key
+from .util import broadcast_if_small
 
 FEATURE_NAMES = [
     "bm25_score", "tfidf_cosine", "jaccard_word", "jaccard_char_3gram",
@@ -56,39 +56,14 @@ def _prefix_meaning_words() -> Column:
     return F.map_from_arrays(F.array(*keys), F.array(*vals))
 
 
-def ranks_of(scores: DataFrame, corpus: DataFrame, name: str, cands: DataFrame | None = None) -> DataFrame:
-    """(query_id, item_id, <name>): 1-based rank among the question's scored
-    pairs, by (score desc, ordinal asc).
-
-    With ``cands`` only those pairs are ranked, as 1 + the number of the
-    question's pairs ordered before them: each scored pair is compared with
-    its question's (broadcast, bounded) candidates and the counts are
-    aggregated map-side, so a question matching most of the corpus never
-    sits in one task the way a per-question window would."""
-    s = scores if "ordinal" in scores.columns else scores.join(corpus.select("item_id", "ordinal"), "item_id")
-    if cands is None:
-        w = Window.partitionBy("query_id").orderBy(rank_key("score").desc(), F.col("ordinal").asc())
-        return s.select("query_id", "item_id", F.row_number().over(w).alias(name))
-    own = s.join(broadcast_if_small(cands.select("query_id", "item_id").distinct()), ["query_id", "item_id"]) \
-        .select("query_id", F.col("item_id").alias("c_item"), rank_key("score").alias("c_key"),
-                F.col("ordinal").alias("c_ord"))
-    better = (rank_key("score") > F.col("c_key")) | ((rank_key("score") == F.col("c_key"))
-                                                    & (F.col("ordinal") < F.col("c_ord")))
-    cnt = s.join(broadcast_if_small(own), "query_id").groupBy("query_id", "c_item") \
-        .agg(F.sum(better.cast("long")).alias("_b"))
-    return cnt.select("query_id", F.col("c_item").alias("item_id"), (F.col("_b") + 1).cast("int").alias(name))
-
-
-def features_28(cands: DataFrame, queries: DataFrame, corpus: DataFrame,
-                bm25: DataFrame, tfidf: DataFrame, bm25_norm: DataFrame,
+def features_28(cands: DataFrame, queries: DataFrame, corpus: DataFrame, scores: DataFrame,
                 expanded: DataFrame | None = None, dense: DataFrame | None = None,
                 item_keys: DataFrame | None = None) -> DataFrame:
     """One row per candidate: (query_id, item_id, f1..f28 by name).
 
-    ``cands`` = (query_id, item_id); ``bm25`` / ``tfidf`` = raw sparse
-    pair scores; ``bm25_norm`` = (query_id, item_id, norm, base) min-max
-    normalised BM25 of matched pairs with the per-query base value of
-    unmatched items; ``expanded`` = (query_id, expanded) text."""
+    ``cands`` = (query_id, item_id); ``scores`` = the candidates' scores and
+    ranks (``search.candidate_scores``); ``expanded`` = (query_id, expanded)
+    text."""
     q = queries.select("query_id", "question")
     c = cands.select("query_id", "item_id").distinct()
     d = corpus.select("item_id", "ordinal", "name", "text")
@@ -96,18 +71,10 @@ def features_28(cands: DataFrame, queries: DataFrame, corpus: DataFrame,
     # and stream the corpus past them instead of shuffling its text
     j = d.join(broadcast_if_small(c.join(q, "query_id")), "item_id")
     # sparse scores and ranks
-    bn = bm25_norm.select("query_id", "item_id", F.col("norm").alias("_bn"))
-    base = bm25_norm.groupBy("query_id").agg(F.first("base").alias("_base"))
-    j = j.join(bn, ["query_id", "item_id"], "left").join(base, "query_id", "left")
-    j = j.join(tfidf.select("query_id", "item_id", F.col("score").alias("_tf")), ["query_id", "item_id"], "left")
+    j = j.join(scores.select("query_id", "item_id", F.col("norm").alias("_bn"), F.col("cosine").alias("_tf"),
+                             F.col("bm25_rank").alias("_br"), F.col("cosine_rank").alias("_cr")), ["query_id", "item_id"])
     if dense is not None:
         j = j.join(dense.select("query_id", "item_id", F.col("score").alias("_de")), ["query_id", "item_id"], "left")
-    br = ranks_of(bm25, corpus, "_br", c)
-    cr = ranks_of(tfidf, corpus, "_cr", c)
-    bm_m = bm25.groupBy("query_id").agg(F.count(F.lit(1)).alias("_bm_m"))
-    cr_m = tfidf.groupBy("query_id").agg(F.count(F.lit(1)).alias("_cr_m"))
-    j = (j.join(br, ["query_id", "item_id"], "left").join(cr, ["query_id", "item_id"], "left")
-         .join(bm_m, "query_id", "left").join(cr_m, "query_id", "left"))
     if expanded is not None:
         j = j.join(expanded.select("query_id", "expanded"), "query_id", "left")
     # question trigram set (short) in the JVM; the document side only
@@ -122,14 +89,14 @@ def features_28(cands: DataFrame, queries: DataFrame, corpus: DataFrame,
     name_toks = F.array_distinct(F.array_remove(F.split(F.regexp_replace(nl, "_", " "), " "), ""))
     parts = F.split(nl, "_")
     f = {}
-    f["bm25_score"] = F.coalesce("_bn", "_base", F.lit(0.0))
-    f["tfidf_cosine"] = F.coalesce("_tf", F.lit(0.0))
+    f["bm25_score"] = F.col("_bn")
+    f["tfidf_cosine"] = F.col("_tf")
     f["jaccard_word"] = _jac(qw, dw)
     f["jaccard_char_3gram"] = trigram_jaccard("_ql", "_qg", "_dl", F.col("_dgn"))
     f["exact_table_name_match"] = ((F.instr(ql, nl) > 0) | (F.instr(ql, F.regexp_replace(nl, "_", " ")) > 0)).cast("double")
     f["partial_table_name_match"] = F.exists(parts, lambda p: (F.length(p) > 3) & (F.instr(ql, p) > 0)).cast("double")
     f["query_table_token_overlap"] = F.size(F.array_intersect(qw, name_toks)).cast("double")
-    f["biencoder_cosine"] = F.coalesce("_de", "_tf", F.lit(0.0)) if dense is not None else F.coalesce("_tf", F.lit(0.0))
+    f["biencoder_cosine"] = F.coalesce("_de", "_tf") if dense is not None else F.col("_tf")
     f["cross_encoder_logit"] = pair_logit(ql, F.col("name"), ws_set("question"), ws_set("text"))
     f["cross_encoder_calibrated"] = sigmoid(f["cross_encoder_logit"])
     for k in ("num_columns", "num_fk_relations", "schema_graph_degree",
@@ -145,8 +112,8 @@ def features_28(cands: DataFrame, queries: DataFrame, corpus: DataFrame,
     f["has_subquery_indicator"] = (ks > 0).cast("double")
     f["num_sql_keywords_detected"] = (ka + kj + ks).cast("double")
     f["bm25_x_cosine"] = f["bm25_score"] * f["biencoder_cosine"]
-    f["bm25_rank"] = F.coalesce(F.col("_br"), F.coalesce(F.col("_bm_m"), F.lit(0)) + 1).cast("double")
-    f["cosine_rank"] = F.coalesce(F.col("_cr"), F.coalesce(F.col("_cr_m"), F.lit(0)) + 1).cast("double")
+    f["bm25_rank"] = F.col("_br").cast("double")
+    f["cosine_rank"] = F.col("_cr").cast("double")
     f["rank_difference"] = F.abs(f["bm25_rank"] - f["cosine_rank"])
     f["score_ratio"] = F.when(f["biencoder_cosine"] > 1e-6, f["bm25_score"] / f["biencoder_cosine"]) \
         .otherwise(f["bm25_score"] * 100.0)

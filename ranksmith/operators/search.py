@@ -69,10 +69,11 @@ def tfidf_scores(index: TfidfIndex, queries: DataFrame, text_col: str = "questio
 
 def bm25_terms(index: Bm25Index, queries: DataFrame, text_col: str = "question") -> DataFrame:
     """(query_id, kind, token, w, df): the questions' weighted BM25 tokens;
-    a repeated token counts once per occurrence."""
+    a repeated token counts once per occurrence.  Stored: every pass over the
+    corpus reads them."""
     qt = broadcast_if_small(query_terms_ws(queries, text_col))
     return index.vocab.join(qt, "token").select(
-        "query_id", F.lit(0).alias("kind"), "token", (F.col("qtf") * F.col("idf")).alias("w"), "df")
+        "query_id", F.lit(0).alias("kind"), "token", (F.col("qtf") * F.col("idf")).alias("w"), "df").checkpoint(eager=True)
 
 
 def tfidf_terms(index: TfidfIndex, queries: DataFrame, text_col: str = "question") -> DataFrame:
@@ -82,13 +83,38 @@ def tfidf_terms(index: TfidfIndex, queries: DataFrame, text_col: str = "question
     qw = index.vocab.join(qp, "token").withColumn("w", F.col("tf") * F.col("idf"))
     # a question's own tokens: as many as its text has
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))
-    return qw.select("query_id", F.lit(1).alias("kind"), "token", (F.col("w") / norm).alias("w"), "df")
+    return qw.select("query_id", F.lit(1).alias("kind"), "token", (F.col("w") / norm).alias("w"), "df").checkpoint(eager=True)
 
 
 def _number(spark, *values: Column) -> list[float]:
     return [float(x or 0.0) for x in spark.range(1).select(*(v.alias(f"c{i}") for i, v in enumerate(values))).first()]
 
 
+def candidate_scores(scorer: Scorer, bm25: DataFrame, tfidf: DataFrame, cands: DataFrame, n_items: Column) -> DataFrame:
+    """(query_id, item_id, bm25, norm, cosine, bm25_rank, cosine_rank) of the
+    ``cands``: raw BM25 (null where unmatched), min-max normalised BM25 (max
+    floor), TF-IDF cosine, and the ranks among the question's matched items by
+    (score, ordinal); unmatched candidates share the next rank.
+
+    The scores are looked up for the candidates only; the ranks are counts of
+    score ranges between the question's candidates, the extreme values come
+    from one pass: nothing has a row per question and item."""
+    c = cands.select("query_id", "item_id").distinct()
+    out = c
+    for name, terms in (("bm25", bm25), ("cosine", tfidf)):
+        own = scorer.lookup(terms, c).checkpoint(eager=True)
+        st = scorer.stats(terms).checkpoint(eager=True)
+        before = scorer.before(terms, own)
+        out = out.join(own.select("query_id", "item_id", F.col("score").alias(name)), ["query_id", "item_id"], "left") \
+            .join(before, ["query_id", "item_id"], "left").join(st.select("query_id", "m"), "query_id", "left") \
+            .withColumn(f"{name}_rank", (F.coalesce("n_before", "m", F.lit(0)) + 1).cast("int")).drop("n_before", "m")
+        if name == "bm25":
+            mm = minmax_of(st, n_items, True)
+            out = out.join(mm, "query_id", "left").withColumn(
+                "norm", F.coalesce((F.coalesce("bm25", F.lit(0.0)) - F.col("mn")) / F.col("rng"), F.lit(0.0))).drop("mn", "mx", "rng")
+    return out.withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+
+
 def bm25_scorer(index: Bm25Index) -> Scorer:
     n, avgdl = _number(index.forward.sparkSession, index.n_docs, index.avgdl)
     return Scorer(index.forward, int(n), avgdl, index.k1, index.b, (True, False))

@@ -570,12 +570,10 @@ from ..operators import ltr  # noqa: E402
 
 def _features(spark, sf_dir, pool: int = 25) -> DataFrame:
     idx, qs = _setup(spark, sf_dir)
-    bm = rt.stage(se.bm25_scores(idx.bm25, qs))
-    cs = rt.stage(se.tfidf_scores(idx.tfidf, qs))
-    bnorm = se.minmax_norm(bm, idx.n_items, max_floor=True)
     cands = rt.stage(rt.hybrid_pool(idx, qs, pool))
     xq = rt.stage(ex.expand_full(qs))
-    return fe.features_28(cands, qs, idx.corpus, bm, cs, bnorm, expanded=xq, item_keys=_item_structure(spark, sf_dir))
+    scores = rt.stage(rt.pool_scores(idx, qs, cands))
+    return fe.features_28(cands, qs, idx.corpus, scores, expanded=xq, item_keys=_item_structure(spark, sf_dir))
 
 
 def _item_structure(spark, sf_dir) -> DataFrame:

@@ -100,6 +100,12 @@ def hybrid_pool(idx: Indexes, queries: DataFrame, k: int, alpha: float = 0.5,
     return se.topk_with_fill(pairs, q, idx.corpus, k, base)
 
 
+def pool_scores(idx: Indexes, queries: DataFrame, cands: DataFrame) -> DataFrame:
+    """Scores and ranks of candidates (``search.candidate_scores``)."""
+    return se.candidate_scores(idx.hybrid, se.bm25_terms(idx.bm25, queries), se.tfidf_terms(idx.tfidf, queries),
+                               cands, idx.n_items)
+
+
 def hybrid_search(idx: Indexes, queries: DataFrame, k: int = 20, alpha: float = 0.5) -> DataFrame:
     """Hybrid fusion on the offline-expanded question, top 20."""
     m = bo.mention_pairs(queries, idx.corpus, raw=False, clean=True, singular=True)
@@ -204,9 +210,7 @@ def retrieve_full(idx: Indexes, queries: DataFrame, item_keys: DataFrame, k: int
     fused = bo.heuristic_fusion(cands.join(logits, ["query_id", "item_id"]))
     if ranker is not None:
         from ..operators.features import features_28
-        raw = stage(se.bm25_scores(idx.bm25, q))
-        feats = features_28(cands, q, corpus, raw, cs, se.minmax_norm(raw, idx.n_items, max_floor=True),
-                            expanded=xq, item_keys=structure)
+        feats = features_28(cands, q, corpus, stage(pool_scores(idx, q, cands)), expanded=xq, item_keys=structure)
         learned = ranker[1](feats).select("query_id", "item_id", F.col("score").alias("fused"))
         fused = fused.drop("fused").join(learned, ["query_id", "item_id"])
     best = topk(corpus.select("item_id", "ordinal").join(broadcast_if_small(fused), "item_id"),
