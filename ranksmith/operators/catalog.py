@@ -174,15 +174,56 @@ def compact_schema_line(cols: DataFrame) -> DataFrame:
                                              usecase_text(F.col("table_name"))).alias("line"))
 
 
+MOST_SUBSETS_OF = 10  # keys of a pattern whose subsets are counted one by one
+
+
+def neighbour_counts(cols: DataFrame) -> DataFrame:
+    """(table_name, num_neighbours): tables that share a join key with it,
+    each counted once however many keys they share.
+
+    Tables with the same set of keys form a pattern.  The tables that share a
+    key with a pattern are the union of its hubs, counted by inclusion and
+    exclusion over the sizes of the hubs' intersections, which are counts of
+    the patterns that hold a subset of keys: no pairs of tables, and a hub of
+    any size is one number.  Patterns of more than ``MOST_SUBSETS_OF`` keys have
+    too many subsets; the patterns (not the tables) they meet are joined."""
+    tables = table_keys(cols).groupBy("table_name").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    patterns = tables.groupBy("keys").agg(F.count(F.lit(1)).alias("n"))
+    few = patterns.filter(F.size("keys") <= MOST_SUBSETS_OF)
+
+    def subsets(p: DataFrame) -> DataFrame:
+        bits = F.explode(F.expr("sequence(1, shiftleft(1, size(keys)) - 1)")).alias("bits")
+        chosen = F.expr("filter(keys, (x, i) -> (bits & shiftleft(1, i)) > 0)")
+        return p.select("keys", "n", bits).select("keys", "n", chosen.alias("subset"))
+
+    own = subsets(few)
+    # subsets that some small pattern asks for, in patterns of any size
+    wide = patterns.filter(F.size("keys") > MOST_SUBSETS_OF)
+    asked = own.select("subset", F.col("subset")[0].alias("key")).distinct()
+    in_wide = (wide.select(F.col("keys").alias("_w"), "n", F.explode("keys").alias("key")).join(asked, "key")
+               .filter(F.size(F.array_except("subset", "_w")) == 0).select("subset", "n"))
+    size = own.select("subset", "n").unionByName(in_wide).groupBy("subset").agg(F.sum("n").alias("size"))
+    sign = F.when(F.size("subset") % 2 == 1, F.col("size")).otherwise(-F.col("size"))
+    small = own.join(size, "subset").groupBy("keys").agg((F.sum(sign) - 1).alias("num_neighbours"))
+    key = patterns.select(F.col("keys").alias("_o"), "n", F.explode("keys").alias("key"))
+    met = (wide.select("keys", F.explode("keys").alias("key")).join(key, "key").select("keys", "_o", "n").distinct()
+           .groupBy("keys").agg((F.sum("n") - 1).alias("num_neighbours")))
+    return tables.join(small.unionByName(met), "keys").select("table_name", "num_neighbours")
+
+
 def relation_counts(cols: DataFrame) -> DataFrame:
-    """Per table: column count, number of shared join keys and the largest
-    number of tables one of its keys links (hub sizes, no pair list)."""
+    """Per table: column count, number of shared join keys, the largest number
+    of tables one of its keys links, the number of tables it shares a key with,
+    and the first 200 characters of its description."""
     n = cols.groupBy("table_name").agg(F.count(F.lit(1)).alias("num_columns"))
     k = table_keys(cols).groupBy("table_name").agg(F.count(F.lit(1)).alias("num_join_keys"),
                                                     F.max("n_tables").alias("max_hub_tables"))
     return n.join(k, "table_name", "left").select(
         "table_name", "num_columns", F.coalesce("num_join_keys", F.lit(0)).alias("num_join_keys"),
-        F.coalesce("max_hub_tables", F.lit(0)).alias("max_hub_tables"))
+        F.coalesce("max_hub_tables", F.lit(0)).alias("max_hub_tables")).join(neighbour_counts(cols), "table_name", "left") \
+        .join(describe_tables(cols), "table_name", "left") \
+        .withColumn("num_neighbours", F.coalesce("num_neighbours", F.lit(0))) \
+        .withColumn("description", F.substring(F.coalesce("description", F.lit("")), 1, 200))
 
 
 def catalog_search(descriptions: DataFrame, cols: DataFrame, term: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,28 +59,74 @@ def class_balance(train: DataFrame) -> DataFrame:
 KFOLD_RANGES = 64
 
 
+def _count_upto(loads: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:
+    """How many groups of size ``n`` have been dealt when every group went to
+    a load of at most ``x``, per ``x``."""
+    return np.maximum((x[:, None] - loads[None, :]) // n + 1, 0).sum(axis=1)
+
+
+def deal(loads: np.ndarray, n: int, i: np.ndarray) -> np.ndarray:
+    """Fold of the ``i``-th of equal groups of size ``n``, each given to the
+    lightest fold (the first of equals) from ``loads`` on.  A fold takes its
+    groups at loads L, L + n, L + 2n ..., so the i-th group goes where the i-th
+    smallest of all these loads lies: found by bisection, without dealing."""
+    low, high = np.full(len(i), loads.min() - 1), loads.max() + n * (i + 1)
+    while (high - low > 1).any():
+        mid = (low + high) // 2
+        enough = _count_upto(loads, n, mid) > i
+        low, high = np.where(enough, low, mid), np.where(enough, mid, high)
+    at = (high[:, None] >= loads) & ((high[:, None] - loads) % n == 0)
+    place = i - _count_upto(loads, n, high - 1)
+    return (at & (np.cumsum(at, axis=1) == place[:, None] + 1)).argmax(axis=1)
+
+
+def loads_by_size(classes: list[tuple[int, int]], k: int) -> dict[int, np.ndarray]:
+    """The folds' loads before the groups of each size are dealt, for classes
+    (size, number of groups), largest size first."""
+    loads, out = np.zeros(k, np.int64), {}
+    for n, c in sorted(classes, reverse=True):
+        out[n] = loads
+        last = np.array([c - 1])
+        fold = int(deal(loads, n, last)[0])
+        low, high = loads.min() - 1, loads.max() + n * c
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (low, mid) if _count_upto(loads, n, np.array([mid]))[0] >= c else (mid, high)
+        given = np.maximum((high - 1 - loads) // n + 1, 0)
+        there = (high >= loads) & ((high - loads) % n == 0) & (np.arange(k) <= fold)
+        loads = loads + n * (given + there)
+    return out
+
+
 def group_kfold(train: DataFrame, k: int = 5) -> DataFrame:
-    """Fold number per group: groups ordered by size (desc, then id) are
-    dealt to folds 0..k-1, k-1..0, 0.. (snake order), which balances fold
-    sizes; k is capped by the number of groups.  (group_id, fold)."""
+    """Fold number per group: groups in order of size (largest first, then id)
+    each go to the lightest fold; k is capped by the number of groups.
+    (group_id, fold).
+
+    The dealing is worked out on classes (size, number of groups), of which
+    there are as many as sizes: for each class the folds' loads before it.  A
+    group's fold follows from its number in its class alone."""
     sizes = train.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    n_groups = sizes.agg(F.count(F.lit(1))).scalar()
-    kk = F.least(F.lit(k), n_groups)
-    # groups of one size are cut into ranges of their ids, numbered range by
-    # range; the ranges' offsets are a table of sizes x ranges rows (sizes:
-    # at most the candidates of a pool)
+    classes = [tuple(r) for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()]
+    before = loads_by_size(classes, max(1, min(k, sum(c for _, c in classes))))
+    # groups of one size are cut into ranges of their ids, numbered range by range
     probs = [i / KFOLD_RANGES for i in range(1, KFOLD_RANGES)]
     cuts = sizes.groupBy("n").agg(F.percentile_approx("group_id", probs, 10000).alias("_cuts"))
     b = sizes.join(cuts, "n").withColumn("_b", F.aggregate("_cuts", F.lit(0), lambda a, c: a + (c < F.col("group_id"))
                                                             .cast("int"))).drop("_cuts")
-    at = Window.orderBy(F.col("n").desc(), "_b").rowsBetween(Window.unboundedPreceding, -1)
+    at = Window.partitionBy("n").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = (b.groupBy("n", "_b").agg(F.count(F.lit(1)).alias("_c"))
            .select("n", "_b", F.coalesce(F.sum("_c").over(at), F.lit(0)).alias("_off")))
     own = Window.partitionBy("n", "_b").orderBy("group_id")
-    r = b.join(off, ["n", "_b"]).withColumn("_i", F.col("_off") + F.row_number().over(own) - 1)
-    lap = F.floor(F.col("_i") / kk)
-    pos = F.col("_i") % kk
-    return r.select("group_id", F.when(lap % 2 == 0, pos).otherwise(kk - 1 - pos).cast("int").alias("fold"))
+    r = b.join(off, ["n", "_b"]).select("group_id", "n", (F.col("_off") + F.row_number().over(own) - 1).alias("_i"))
+
+    def run(batches):
+        for pdf in batches:
+            fold = np.zeros(len(pdf), np.int32)
+            for n, rows in pdf.groupby("n").indices.items():
+                fold[rows] = deal(before[n], n, pdf["_i"].to_numpy()[rows].astype(np.int64))
+            yield pdf[["group_id"]].assign(fold=fold)
+    return r.mapInPandas(run, "group_id long, fold int")
 
 
 def standard_scale(train: DataFrame, apply_to: DataFrame, cols=FEATURE_NAMES) -> DataFrame:

@@ -146,19 +146,36 @@ def stage_breakdown(req: DataFrame) -> DataFrame:
 
 
 def metrics_summary(req: DataFrame) -> DataFrame:
-    """The whole summary in one row, computed in a single aggregation
-    (zeros when there are no requests)."""
+    """The whole summary in one row (zeros and empty lists when there are no
+    requests): totals, stage means, and the per-endpoint figures as lists in
+    order of ``endpoints``.
+
+    One aggregation per endpoint holds the sums that the totals need; a total
+    is a sum of a few endpoint rows, next to their exact percentiles."""
     ret = F.col("endpoint").isin(RETRIEVAL_ENDPOINTS) & F.col("success")
+    means = {"top_confidence": F.col("top_confidence"), "used_learned_ranker": F.col("used_learned_ranker").cast("double"),
+             **{s: F.col(s) for s in STAGES}}
+    sums = [x for name, c in means.items()
+            for x in (F.sum(F.when(ret, c)).alias(f"s_{name}"), F.count(F.when(ret, c)).alias(f"n_{name}"))]
+    per = req.groupBy("endpoint").agg(
+        F.count(F.lit(1)).alias("count"), F.sum((~F.col("success")).cast("long")).alias("error_count"),
+        round_half_up(F.avg("latency_ms"), 1).alias("avg"), *sums)
+    pct = exact_percentiles(req, "endpoint", "latency_ms", [50, 95, 99])
+    per = per.join(pct.withColumnRenamed("endpoint", "_e"), F.col("endpoint").eqNullSafe(F.col("_e")), "left").drop("_e")
     z = F.lit(0.0)
-    errors = F.coalesce(F.sum((~F.col("success")).cast("long")), F.lit(0))
-    aggs = [F.count(F.lit(1)).alias("total_requests"), errors.alias("total_errors"),
-            F.round(F.coalesce(F.try_divide(errors.cast("double"), F.count(F.lit(1))), z), 4).alias("error_rate"),
-            F.round(F.coalesce(F.avg(F.when(ret, F.col("top_confidence"))), z), 4).alias("avg_confidence"),
-            F.round(F.coalesce(F.avg(F.when(ret, F.col("used_learned_ranker").cast("double"))), z), 4)
-            .alias("learned_ranker_usage_pct"),
-            F.countDistinct("endpoint").alias("n_endpoints")]
-    aggs += [round_half_up(F.coalesce(F.avg(F.when(ret, F.col(s))), z), 1).alias(s) for s in STAGES]
-    return req.agg(*aggs)
+    mean = {name: F.coalesce(F.try_divide(F.sum(f"s_{name}"), F.sum(f"n_{name}")), z) for name in means}
+    total, errors = F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum("error_count"), F.lit(0))
+    rows = F.array_sort(F.collect_list(F.struct(
+        "endpoint", "count", round_half_up("p50", 1).alias("p50"), round_half_up("p95", 1).alias("p95"),
+        round_half_up("p99", 1).alias("p99"), "avg", "error_count")))
+    out = per.agg(total.alias("total_requests"), errors.alias("total_errors"),
+                  F.round(F.coalesce(F.try_divide(errors.cast("double"), total), z), 4).alias("error_rate"),
+                  F.round(mean["top_confidence"], 4).alias("avg_confidence"),
+                  F.round(mean["used_learned_ranker"], 4).alias("learned_ranker_usage_pct"),
+                  F.count(F.lit(1)).alias("n_endpoints"), *(round_half_up(mean[s], 1).alias(s) for s in STAGES), rows.alias("_rows"))
+    lists = {"endpoints": "endpoint", "counts": "count", "latency_p50_ms": "p50", "latency_p95_ms": "p95",
+             "latency_p99_ms": "p99", "latency_avg_ms": "avg", "error_counts": "error_count"}
+    return out.select(*[c for c in out.columns if c != "_rows"], *(F.col(f"_rows.{f}").alias(c) for c, f in lists.items()))
 
 
 def recent_buffer(req: DataFrame, n: int = 1000) -> DataFrame:

@@ -462,12 +462,17 @@ SELECT sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS positives, sum(CASE WHEN la
 
 
 def group_kfold_sql(k: int = 5) -> str:
-    return f"""WITH t AS ({training_set_sql()}),
+    return f"""WITH RECURSIVE t AS ({training_set_sql()}),
 s AS (SELECT group_id, count(*) AS n FROM t GROUP BY group_id),
 g AS (SELECT least({k}, (SELECT count(*) FROM s)) AS kk),
-r AS (SELECT group_id, row_number() OVER (ORDER BY n DESC, group_id) - 1 AS i FROM s)
-SELECT group_id, CAST(CASE WHEN floor(i / kk) % 2 = 0 THEN i % kk ELSE kk - 1 - i % kk END AS INTEGER) AS fold
-FROM r, g"""
+r AS (SELECT group_id, n, row_number() OVER (ORDER BY n DESC, group_id) AS i FROM s),
+d AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS group_id, list_transform(range(kk), lambda j: CAST(0 AS BIGINT)) AS loads,
+        CAST(NULL AS INTEGER) AS fold FROM g
+      UNION ALL
+      SELECT r.i, r.group_id, list_transform(d.loads, lambda x, j: x + CASE WHEN j = list_position(d.loads, list_min(d.loads))
+               THEN r.n ELSE 0 END), CAST(list_position(d.loads, list_min(d.loads)) - 1 AS INTEGER)
+      FROM d JOIN r ON r.i = d.i + 1)
+SELECT group_id, fold FROM d WHERE i > 0"""
 
 
 def standard_scale_sql() -> str:

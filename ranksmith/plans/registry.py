@@ -448,8 +448,14 @@ SELECT count(*) AS total_requests, sum(CASE WHEN success THEN 0 ELSE 1 END) AS t
   {_r1(f'coalesce(avg(CASE WHEN {_RET} THEN retrieval_ms END), 0.0)')} AS retrieval_ms,
   {_r1(f'coalesce(avg(CASE WHEN {_RET} THEN reranking_ms END), 0.0)')} AS reranking_ms,
   {_r1(f'coalesce(avg(CASE WHEN {_RET} THEN generation_ms END), 0.0)')} AS generation_ms,
-  {_r1(f'coalesce(avg(CASE WHEN {_RET} THEN validation_ms END), 0.0)')} AS validation_ms
-FROM req""")
+  {_r1(f'coalesce(avg(CASE WHEN {_RET} THEN validation_ms END), 0.0)')} AS validation_ms,
+  any_value(endpoints) AS endpoints, any_value(counts) AS counts, any_value(p50) AS latency_p50_ms, any_value(p95) AS latency_p95_ms,
+  any_value(p99) AS latency_p99_ms, any_value(av) AS latency_avg_ms, any_value(errs) AS error_counts
+FROM req, (SELECT list(endpoint ORDER BY endpoint) AS endpoints, list(n ORDER BY endpoint) AS counts, list(p50 ORDER BY endpoint) AS p50,
+    list(p95 ORDER BY endpoint) AS p95, list(p99 ORDER BY endpoint) AS p99, list(av ORDER BY endpoint) AS av, list(errs ORDER BY endpoint) AS errs
+  FROM (SELECT endpoint, count(*) AS n, {_r1('quantile_cont(latency_ms, 0.5)')} AS p50, {_r1('quantile_cont(latency_ms, 0.95)')} AS p95,
+          {_r1('quantile_cont(latency_ms, 0.99)')} AS p99, {_r1('avg(latency_ms)')} AS av,
+          sum(CASE WHEN success THEN 0 ELSE 1 END)::BIGINT AS errs FROM req GROUP BY endpoint))""")
 def q_metrics_summary(spark, sf_dir):
     """The whole telemetry summary in one row."""
     return tm.metrics_summary(_req(spark, sf_dir))
@@ -999,10 +1005,15 @@ def q_shared_key_edges(spark, sf_dir):
 @register("relation_counts", lambda: f"""WITH {osql.catalog_class_sql()},
 n AS (SELECT table_name, count(*) AS num_columns FROM ccols GROUP BY table_name),
 k AS (SELECT table_name, count(*) AS num_join_keys, max(n_tables) AS max_hub_tables FROM tk GROUP BY table_name)
-SELECT n.table_name, num_columns, coalesce(num_join_keys, 0) AS num_join_keys, coalesce(max_hub_tables, 0) AS max_hub_tables
-FROM n LEFT JOIN k USING (table_name)""")
+SELECT n.table_name, num_columns, coalesce(num_join_keys, 0) AS num_join_keys, coalesce(max_hub_tables, 0) AS max_hub_tables,
+  coalesce(num_neighbours, 0) AS num_neighbours, substring(coalesce(description, ''), 1, 200) AS description
+FROM n LEFT JOIN k USING (table_name)
+LEFT JOIN (SELECT a.table_name, count(DISTINCT b.table_name) AS num_neighbours FROM tk a JOIN tk b ON a.key = b.key
+           AND a.table_name <> b.table_name GROUP BY a.table_name) USING (table_name)
+LEFT JOIN ({osql.describe_sql(False)}) USING (table_name)""")
 def q_relation_counts(spark, sf_dir):
-    """Columns, shared join keys and largest hub per table."""
+    """Columns, shared join keys, largest hub, neighbours and the beginning of
+    the description per table."""
     return cg.relation_counts(_cat_cols(spark, sf_dir))
 
 
@@ -1107,21 +1118,27 @@ def _naming_turns(spark, sf_dir):
 
 
 @register("graph_propagate", lambda: f"""WITH {osql.catalog_class_sql()}, {osql.corpus_cte()}, {osql.questions_cte()}{osql.bm25_ctes()}{osql.tfidf_ctes()}{osql.hybrid_ctes(forced=False)}
-{osql.ranked_cte('pool', 'hyb', 25)},
-s AS (SELECT query_id, item_id, score * 3 AS score FROM pool),
+
+, s AS (SELECT hyb.query_id, hyb.item_id, hyb.score * 3 AS score FROM hyb JOIN (SELECT query_id, item_id FROM bm
+   UNION SELECT query_id, item_id FROM cs) USING (query_id, item_id)),
 ik AS (SELECT DISTINCT docs.item_id, tk.key FROM docs JOIN tk ON tk.table_name = docs.name),
 hub AS (SELECT s.query_id, ik.key, max(s.score) * 0.4 AS lift FROM s JOIN ik USING (item_id) WHERE s.score > 1.0 GROUP BY ALL),
 recv AS (SELECT s.query_id, s.item_id, max(hub.lift) AS lift FROM s JOIN ik USING (item_id)
          JOIN hub ON hub.query_id = s.query_id AND hub.key = ik.key GROUP BY ALL)
-SELECT s.query_id, s.item_id, round(greatest(s.score, coalesce(recv.lift, s.score)), 6) AS score
-FROM s LEFT JOIN recv USING (query_id, item_id)""")
+SELECT s.query_id, s.item_id, NULL AS key, round(recv.lift, 6) AS score FROM s JOIN recv USING (query_id, item_id) WHERE recv.lift > s.score
+UNION ALL SELECT query_id, NULL, key, round(lift, 6) FROM hub""")
 def q_graph_propagate(spark, sf_dir):
-    """Hybrid scores (x 3, so that some are above 1) of the top-25 pools,
-    lifted through shared join keys."""
+    """Hybrid scores (x 3, so that some are above 1) of all scored items,
+    lifted through shared join keys before any cut: a row per scored item that
+    is lifted, and a row (question, key, lift) per hub, which holds for all of
+    the key's unscored members."""
     idx, qs = _setup(spark, sf_dir)
-    s = rt.hybrid_pool(idx, qs, 25).select("query_id", "item_id", (F.col("score") * 3).alias("score"))
-    out = bo.graph_propagate(rt.stage(s), _item_keys(spark, sf_dir))
-    return out.select("query_id", "item_id", F.round("score", 6).alias("score"))
+    pairs, _ = se.hybrid_scores(se.bm25_scores(idx.bm25, qs), se.tfidf_scores(idx.tfidf, qs), idx.n_items)
+    s = rt.stage(pairs.select("query_id", "item_id", (F.col("score") * 3).alias("score"), (F.col("score") * 3).alias("own")))
+    keys = _item_keys(spark, sf_dir)
+    lifted = bo.graph_propagate(s, keys).where("score > own").select("query_id", "item_id", F.lit(None).cast("string").alias("key"), "score")
+    hubs = bo.push_hubs(s, keys).select("query_id", F.lit(None).cast("long").alias("item_id"), "key", F.col("lift").alias("score"))
+    return lifted.unionByName(hubs).withColumn("score", F.round("score", 6))
 
 
 @register("pair_scorer", lambda: f"""WITH {osql.corpus_cte()}, {osql.questions_cte()}{osql.bm25_ctes()}{osql.tfidf_ctes()}{osql.hybrid_ctes(forced=False)}
