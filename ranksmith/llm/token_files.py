@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import shared_folder, slices, sole_memo
 
 MAGIC = b"RSTOK001"
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 700_000
 _TAIL = ".,;:!?*#$%&|"
 # white space other than the space and the line feed
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -55,10 +55,10 @@ class MemoEncoder:
     Between such places the ids do not depend on each other, and neither do
     those of a word and of the punctuation after it, so they are encoded once
     per distinct chunk.  A text with longer runs of white space, or other
-    kinds of it, goes to the library whole.  The memos stop growing at ``MEMO_ENTRIES``.
+    kinds of it, goes to the library whole.  The memos stop growing at ``entries``.
     """
 
-    def __init__(self, path: str, specials_are_text: bool):
+    def __init__(self, path: str, specials_are_text: bool, entries: int = MEMO_ENTRIES):
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
@@ -68,6 +68,7 @@ class MemoEncoder:
             and "use_regex=True" in kind and self.tok.normalizer is None
         wide = self.tok.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.dtype = np.dtype("<u4" if wide else "<u2")
+        self.entries = entries
         self.memo: dict[str, bytes] = {}  # after a space
         self.plain: dict[str, bytes] = {}  # without one
         self.space = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
@@ -117,7 +118,7 @@ class MemoEncoder:
             else:
                 lost[k] = stems.get(k) or self.memo[k]
         for memo, made in ((self.memo, stems), (self.plain, plain), (self.memo, lost)):
-            if len(memo) < MEMO_ENTRIES:
+            if len(memo) < self.entries:
                 memo.update((k, v) for k, v in made.items() if len(k) < 64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -149,11 +150,11 @@ class MemoEncoder:
         return out
 
 
-def encoder(path: str, specials_are_text: bool = True) -> MemoEncoder:
+def encoder(path: str, specials_are_text: bool = True, entries: int = MEMO_ENTRIES) -> MemoEncoder:
     """One encoder per Python worker and vocabulary file."""
-    key = (path, specials_are_text)
+    key = (path, specials_are_text, entries)
     if key not in _ENCODERS:
-        _ENCODERS[key] = MemoEncoder(path, specials_are_text)
+        _ENCODERS[key] = MemoEncoder(*key)
     return _ENCODERS[key]
 
 
@@ -191,9 +192,9 @@ class Folder:
             return np.frombuffer(f.read_at(count * np.dtype(dtype).itemsize, offset), dtype=dtype)
 
 
-def _write_part(uri: str, path: str, end_id: int, specials_are_text: bool):
+def _write_part(uri: str, path: str, end_id: int, specials_are_text: bool, entries: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out = encoder(path, specials_are_text), Folder(uri)
+        enc, out = encoder(path, specials_are_text, entries), Folder(uri)
         sole_memo(enc.forget)
         part = TaskContext.get().partitionId()
         end = np.array([end_id], dtype=enc.dtype).tobytes()
@@ -231,17 +232,18 @@ def _write_part(uri: str, path: str, end_id: int, specials_are_text: bool):
 
 
 def write(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 2,
-          specials_are_text: bool = True) -> list[tuple[int, int, int, int]]:
+          specials_are_text: bool = True, memo_entries: int = MEMO_ENTRIES) -> list[tuple[int, int, int, int]]:
     """Encode ``docs`` (doc_id, text) into token files below ``uri``.
 
     Returns (partition, documents, tokens, base) per file, one small row per
     partition; a literal special-token string in a text is ordinary text
-    unless ``specials_are_text`` is off.
+    unless ``specials_are_text`` is off.  ``memo_entries`` bounds the memory of
+    a worker's memo, and with it what is encoded again.
     """
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .repartitionByRange("doc_id", F.xxhash64("text"))
             .sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-            .mapInArrow(_write_part(uri, tokenizer, end_id, specials_are_text),
+            .mapInArrow(_write_part(uri, tokenizer, end_id, specials_are_text, memo_entries),
                         "part int, n_docs long, n_tokens long").collect())
     parts, base = [], 0
     for r in sorted(rows, key=lambda r: r.part):
@@ -292,7 +294,7 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def token_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def token_digest(spark: SparkSession, docs: DataFrame, memo_entries: int = MEMO_ENTRIES) -> DataFrame:
     """Write the token files of ``docs`` and report each document from them."""
     uri = shared_folder(spark, "token-files")
-    return read_back(spark, uri, write(docs, uri, byte_bpe_path()))
+    return read_back(spark, uri, write(docs, uri, byte_bpe_path(), memo_entries=memo_entries))
