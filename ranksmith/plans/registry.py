@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -507,8 +508,24 @@ def q_stream_metrics_sliding(spark, sf_dir):
     return sm.stream_metrics(spark, f"{sf_dir}/events.parquet", "1 hour", "30 minutes")
 
 
-@register("stream_dedup", lambda: "SELECT DISTINCT user_id, event_type FROM events")
+@register("stream_dedup", lambda: """WITH RECURSIVE e AS (SELECT *, epoch_us(ts) AS us FROM events WHERE ts IS NOT NULL),
+f AS (SELECT user_id, event_type, min(us) AS us FROM e GROUP BY ALL
+      UNION ALL SELECT e.user_id, e.event_type, min(e.us) FROM f JOIN e ON e.user_id IS NOT DISTINCT FROM f.user_id
+        AND e.event_type IS NOT DISTINCT FROM f.event_type AND e.us >= f.us + 7 * 86400000000 GROUP BY ALL)
+SELECT e.user_id, e.event_type, min(e.event_id) AS event_id, e.ts, arg_min(e.value, e.event_id) AS value
+FROM e JOIN f ON e.user_id IS NOT DISTINCT FROM f.user_id AND e.event_type IS NOT DISTINCT FROM f.event_type AND e.us = f.us
+WHERE e.us <= (SELECT max(us) // 1000 * 1000 - 3600000000 FROM e) GROUP BY e.user_id, e.event_type, e.ts""")
 def q_stream_dedup(spark, sf_dir):
+    """The first event of each (user, type) in event time and the first one
+    again after each seven days, up to the last watermark (keyed state with
+    timers: the arrival order does not matter)."""
+    d = sm.stream_first(spark, f"{sf_dir}/events.parquet", ["user_id", "event_type"], "event_id", "1 hour",
+                        dt.timedelta(days=7))
+    return d.select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
+
+
+@register("stream_dedup_keys", lambda: "SELECT DISTINCT user_id, event_type FROM events")
+def q_stream_dedup_keys(spark, sf_dir):
     """The distinct (user, type) keys that pass a 1-hour watermark dedup (which
     of a key's events comes first depends on the arrival)."""
     return sm.stream_dedup(spark, f"{sf_dir}/events.parquet", ["user_id", "event_type"]).select("user_id", "event_type").distinct()

@@ -8,6 +8,7 @@ records beyond the watermark are dropped by the aggregate.
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import uuid
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.telemetry import requests_from_events
 from ..session import checkpoint_dir
+from .first import first_per_key
 
 
 def _run_dir(spark: SparkSession, name: str) -> str:
@@ -75,6 +77,14 @@ def stream_dedup(spark: SparkSession, events_path: str, keys: list[str], delay:
     return run_to_table(spark, d, "stream_dedup")
 
 
+def stream_first(spark: SparkSession, events_path: str, keys: list[str], order: str, delay: str = "1 hour",
+                 expiry: dt.timedelta = dt.timedelta(days=1)) -> DataFrame:
+    """First record per key in event time, again after each ``expiry``
+    (``first_per_key``); the result holds those the watermark has reached."""
+    ev = events_stream(spark, events_path)
+    return run_to_table(spark, first_per_key(ev, keys, order, "ts", delay, expiry), "stream_first")
+
+
 def stream_audit_log(spark: SparkSession, records: DataFrame, name: str = "audit") -> DataFrame:
     """Append audit records (a streaming DataFrame) to a JSON-lines sink
     with a checkpoint; returns the sink read back as a batch table."""
