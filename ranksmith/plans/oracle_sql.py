@@ -505,3 +505,66 @@ q AS (SELECT q0.query_id, q0.question || ' ' || array_to_string(list_concat({phr
 SELECT query_id, item_id, round(score, 6) AS score, rank FROM (
   SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ordinal) AS rank FROM hyb)
 WHERE rank <= {k}"""
+
+
+def retrieve_full_sql(rules: str, k: int = 5, pool: int = 25, questions: str = "") -> str:
+    """The heuristic branch of the full pipeline over all question x item
+    pairs.  ``rules`` = SELECT of (cues, target, match, delta), which may read
+    ``docs``; ``questions`` = CTE of (query_id, question) if not the benchmark."""
+    from ..operators.expand import SQL_PHRASES
+    extras = (f"list_distinct(list_concat({phrase_extras_sql('q.question', SQL_PHRASES)}, "
+              f"{expansion_extras_sql('q.question')}))")
+    ws = lambda c: f"list_distinct({ws_tokens(c)})"
+    words = (f"list_transform({ws_tokens('question')}, lambda t: "
+             "regexp_replace(t, '^[?,.()_:]+|[?,.()_:]+$', '', 'g'))")
+    # BM25 sees the expanded question, the cosine the plain one
+    bm = bm25_ctes().replace("FROM q)", "FROM xq)")
+    return f"""WITH {catalog_class_sql()}, {corpus_cte()}, {questions or questions_cte()},
+men AS (SELECT q.query_id, d.item_id, d.name FROM q CROSS JOIN docs d WHERE {mention_sql()}),
+mnames AS (SELECT query_id, list(DISTINCT name) AS nm FROM men GROUP BY query_id),
+xq AS (SELECT q.query_id, q.question || ' ' || array_to_string(list_concat({extras}, coalesce(nm, []::VARCHAR[])), ' ') || ' ' AS question
+       FROM q LEFT JOIN mnames USING (query_id)){bm}{tfidf_ctes()},
+ball AS ({all_pairs('bm')}),
+bst AS (SELECT query_id, min(score) AS mn, max(score) AS mx0 FROM ball GROUP BY query_id),
+bsr AS (SELECT query_id, mn, CASE WHEN (CASE WHEN mx0 > 0 THEN mx0 ELSE 1.0 END) <> mn
+          THEN (CASE WHEN mx0 > 0 THEN mx0 ELSE 1.0 END) - mn ELSE 1.0 END AS rng FROM bst),
+nw AS (SELECT DISTINCT query_id, unnest({words}) AS w FROM q),
+np AS (SELECT item_id, split_part(lower(name), '_', 2) AS p2 FROM docs),
+nb AS (SELECT query_id, item_id, max(b) AS b FROM (SELECT query_id, item_id, 2.0 AS b FROM men UNION ALL
+       SELECT query_id, item_id, 1.5 FROM nw JOIN np ON length(p2) > 3 AND (nw.w = p2 OR nw.w = p2 || 's'
+         OR (suffix(p2, 's') AND nw.w = left(p2, length(p2) - 1)))) GROUP BY ALL),
+rules AS ({rules}),
+rb AS (SELECT q.query_id, d.item_id, sum(r.delta) AS b FROM q JOIN rules r
+         ON len(list_filter(r.cues, lambda c: contains(lower(q.question), c))) > 0
+       JOIN docs d ON (r.match = 'exact' AND d.name = r.target) OR (r.match = 'prefix' AND starts_with(d.name, r.target))
+       GROUP BY ALL),
+s AS (SELECT q.query_id, q.question, d.item_id, d.ordinal, d.name, d.text,
+        0.5 * coalesce(cs.score, 0.0) + 0.5 * ((coalesce(bm.score, 0.0) - mn) / rng) + coalesce(nb.b, 0.0) + coalesce(rb.b, 0.0) AS score,
+        rb.b AS rule
+      FROM q CROSS JOIN docs d JOIN bsr ON bsr.query_id = q.query_id
+      LEFT JOIN bm ON bm.query_id = q.query_id AND bm.item_id = d.item_id
+      LEFT JOIN cs ON cs.query_id = q.query_id AND cs.item_id = d.item_id
+      LEFT JOIN nb ON nb.query_id = q.query_id AND nb.item_id = d.item_id
+      LEFT JOIN rb ON rb.query_id = q.query_id AND rb.item_id = d.item_id),
+ik AS (SELECT DISTINCT docs.item_id, tk.key FROM docs JOIN tk ON tk.table_name = docs.name),
+hub AS (SELECT query_id, key, max(score) * 0.4 AS lift FROM s JOIN ik USING (item_id) WHERE score > 1.0 GROUP BY ALL),
+lifts AS (SELECT hub.query_id, ik.item_id, max(hub.lift) AS lift FROM hub JOIN ik USING (key) GROUP BY ALL),
+p AS (SELECT s.* REPLACE (greatest(s.score, coalesce(lifts.lift, s.score)) AS score) FROM s LEFT JOIN lifts USING (query_id, item_id)),
+r0 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ordinal) AS rk FROM p),
+c AS (SELECT *, 4.0 * (CASE WHEN contains(lower(question), replace(lower(name), '_', ' ')) THEN 0.2 ELSE 0.0 END
+        + least(len(list_intersect({ws('question')}, {ws('text')})), 5) * 0.01) - 2.0 AS logit
+      FROM r0 WHERE rk <= {pool} OR rule >= 0.8),
+f AS (SELECT *, score + 1.5 / (1.0 + exp(-logit)) AS fused, round(1.0 / (1.0 + exp(-(logit + 2.5) / 1.2)), 4) AS cal FROM c),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, ordinal) AS rank FROM f)
+SELECT t.query_id, t.rank, t.item_id, t.name, round(t.fused, 6) AS rank_score, t.cal AS score,
+  first_value(t.cal) OVER (PARTITION BY t.query_id ORDER BY t.rank) AS confidence,
+  CASE WHEN men.item_id IS NOT NULL THEN 'Question directly mentions table ''' || t.name || ''''
+       ELSE 'Semantically mapped table based on query intent (score=' || CAST(t.cal AS VARCHAR) || ')' END AS reason,
+  'heuristic' AS model_used
+FROM t LEFT JOIN men ON men.query_id = t.query_id AND men.item_id = t.item_id WHERE t.rank <= {k}"""
+
+
+def rules_select(rules) -> str:
+    """Rules of one cue list each as rows (cues, target, match, delta)."""
+    return " UNION ALL ".join(f"SELECT {_lit_list(r.any_of)} AS cues, '{r.target}' AS target, '{r.match}' AS match, "
+                              f"CAST({float(r.delta)} AS DOUBLE) AS delta" for r in rules)

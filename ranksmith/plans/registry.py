@@ -1072,7 +1072,7 @@ def _item_keys(spark, sf_dir):
         .select("item_id", "key", "ordinal")
 
 
-@register("retrieve_full")
+@register("retrieve_full", lambda: osql.retrieve_full_sql(osql.rules_select(rt.LANGUAGE_RULES)))
 def q_retrieve_full(spark, sf_dir):
     """Full pipeline (no learned model): expanded BM25 + cosine, name and
     language-rule boosts, key-hub propagation, top 25 + forced, pair
@@ -1081,6 +1081,30 @@ def q_retrieve_full(spark, sf_dir):
     return rt.retrieve_full(idx, qs, _item_keys(spark, sf_dir))
 
 
+# cues of the rules that force the corpus' first and last item into the pool
+FIRST_CUES, LAST_CUES = [" the ", " la ", " der "], [" and ", " les ", " el ", " what "]
+
+_NAMING_SQL = """q AS (SELECT conv_id * 1000 + turn AS query_id,
+  CASE WHEN turn % 2 = 0 THEN c.text || ' see ' || replace(lower(d.name), '_', ' ')
+       ELSE c.text || ' from ' || split_part(lower(d.name), '_', 2) || '?' END AS question
+  FROM conversations c JOIN docs d ON d.item_id = conv_id WHERE role = 'user' AND c.text IS NOT NULL)"""
+
+
+@register("retrieve_full_naming", lambda: osql.retrieve_full_sql(
+    osql.rules_select(rt.LANGUAGE_RULES)
+    + f" UNION ALL SELECT {osql._lit_list(FIRST_CUES)}, (SELECT arg_min(name, ordinal) FROM docs), 'exact', 0.9"
+    + f" UNION ALL SELECT {osql._lit_list(LAST_CUES)}, (SELECT arg_max(name, ordinal) FROM docs), 'exact', 0.8",
+    questions=_NAMING_SQL))
+def q_retrieve_full_naming(spark, sf_dir):
+    """Full pipeline on user turns that name an item, with exact rules that
+    force the corpus' first and last item: mentions, name boosts, forced items
+    and propagation all take effect."""
+    idx, qs = _indexes(spark, sf_dir), _naming_turns(spark, sf_dir)
+    ends = idx.corpus.agg(F.min_by("name", "ordinal").alias("a"), F.max_by("name", "ordinal").alias("b")).first()
+    exact = [bo.Rule("first", FIRST_CUES, ends["a"], 0.9), bo.Rule("last", LAST_CUES, ends["b"], 0.8)] if ends["a"] else []
+    return rt.retrieve_full(idx, qs, _item_keys(spark, sf_dir), rules=rt.LANGUAGE_RULES + exact)
+
+
 def _learned(spark, sf_dir, kind="gradient_boosting", params=None):
     """(kind, scorer) of a ranker fitted on the training set: scales with the
     training statistics, predicts the relevance probability."""
