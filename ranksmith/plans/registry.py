@@ -44,6 +44,7 @@ def q_tfidf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 from pyspark.sql import functions as F  # noqa: E402
 
 from ..operators import boost as bo  # noqa: E402
+from ..operators import checks as ck  # noqa: E402
 from ..operators import containment as ct  # noqa: E402
 from ..operators import expand as ex  # noqa: E402
 from ..operators import evaluate as ev  # noqa: E402
@@ -1381,6 +1382,47 @@ def q_compare_models(spark, sf_dir):
     return rows.withColumn("best", F.col("model_type") == best)
 
 
+_FIT_CHECKS = ["train_gbt", "train_rf", "train_boosted_variants/lightgbm", "train_boosted_variants/xgboost"]
+
+
+@register("learning_fit_check", lambda: f"""WITH t AS ({osql.training_set_sql()}),
+g AS (SELECT group_id, count(*) AS n FROM t GROUP BY group_id),
+c AS (SELECT {' + '.join(f"CASE WHEN max({c}) = min({c}) THEN 1 ELSE 0 END" for c in fe.FEATURE_NAMES)} AS constant FROM t)
+SELECT name AS "check", CAST(sum(least(n, 5)) AS BIGINT) AS n_rows, count(*) AS n_groups, true AS ok
+FROM g, (SELECT unnest({osql._lit_list(_FIT_CHECKS)}) AS name) GROUP BY name
+UNION ALL SELECT name, CAST(sum(n) AS BIGINT), count(*), true
+FROM g, (SELECT unnest(['predict_scores', 'ranker_save_load']) AS name) GROUP BY name
+UNION ALL SELECT 'feature_importance', {len(fe.FEATURE_NAMES)}, constant, true FROM c""")
+def q_learning_fit_check(spark, sf_dir):
+    """Properties of the four fitted models, their top lists and scores, the
+    saved and reloaded ranker and the importances; a row per operator."""
+    t, s = _cached_train(spark, sf_dir), _scaled_train(spark, sf_dir)
+    out = None
+    for name, kind in zip(_FIT_CHECKS, ("gradient_boosting", "random_forest", "lightgbm", "xgboost")):
+        row = ck.top_check(name, ltr.predict_topk(_model(spark, sf_dir, kind), s, 5), t)
+        out = row if out is None else out.unionByName(row)
+    forest = _model(spark, sf_dir, "random_forest")
+    scored = ltr.predict_scores(forest, s)
+    loaded = ltr.predict_scores(ltr.load_model(ltr.save_model(forest, checkpoint_dir(spark))), s)
+    importance = ltr.feature_importance(_model(spark, sf_dir, "gradient_boosting"), spark)
+    return (out.unionByName(ck.score_check("predict_scores", scored, 0.9))
+            .unionByName(ck.same_check("ranker_save_load", scored, loaded))
+            .unionByName(ck.importance_check("feature_importance", importance, q_training_set(spark, sf_dir), fe.FEATURE_NAMES)))
+
+
+@register("learning_cv_check", lambda: f"""WITH f AS ({osql.group_kfold_sql()})
+SELECT 'cross_validate' AS "check", count(DISTINCT fold) AS n_rows, count(DISTINCT fold) AS n_groups, true AS ok FROM f
+UNION ALL SELECT 'fold_mean_std', 1, 9, true
+UNION ALL SELECT 'compare_models', {len(ltr.MODEL_PARAMS)}, {len(ltr.MODEL_PARAMS)}, true""")
+def q_learning_cv_check(spark, sf_dir):
+    """Properties of the fold metrics, their summary and the comparison of all
+    model kinds; a row per operator."""
+    folds = _cv(spark, sf_dir, "gradient_boosting")
+    return (ck.fold_check("cross_validate", folds)
+            .unionByName(ck.summary_check("fold_mean_std", ltr.cv_summary(folds), folds))
+            .unionByName(ck.best_check("compare_models", q_compare_models(spark, sf_dir))))
+
+
 @register("map_top5", lambda: """SELECT user_id, event_type AS name, value FROM (
   SELECT user_id, event_type, total AS value,
          row_number() OVER (PARTITION BY user_id ORDER BY total DESC, event_type) AS r
