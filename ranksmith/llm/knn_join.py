@@ -11,7 +11,8 @@ and any x of the cell
 
 The lower bounds of the cells, with their counts, give a value that the k-th
 best score reaches at least; a query is sent only to the blocks of cells whose
-upper bound reaches it.  Each block is solved by matrix products, and the
+upper bound reaches it, and a block's rows only to the slices of queries that
+visit it.  Each block is solved by matrix products, and the
 blocks' lists are merged.  Nothing is approximate: the bounds carry a margin
 for rounding, and the products are exact in float64 while the components stay
 below 2^20.
@@ -158,11 +159,12 @@ def top_k(rows: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", emb
     if dim == 0 and vecs.limit(1).count() == 0:
         return spark.createDataFrame([], schema)
     dim = max(dim, 1)
-    sample = (vecs.withColumn("h", F.xxhash64("vec_id", "v")).groupBy("v").agg(F.min("h").alias("h"))
-              .orderBy("h").limit(SAMPLE_ROWS).select("v").collect())
+    # the smallest hashes first (no shuffle of the table), then each vector once
+    drawn = vecs.select(F.xxhash64("vec_id", "v").alias("h"), "v").orderBy("h").limit(SAMPLE_ROWS).collect()
+    sample = list(dict.fromkeys(tuple(r["v"]) for r in drawn))
     pool = np.zeros((len(sample), dim))
-    for i, r in enumerate(sample):
-        pool[i, :len(r["v"])] = r["v"]
+    for i, v in enumerate(sample):
+        pool[i, :len(v)] = v
     pivots = _spread(pool, PIVOTS)
     shared = spark.sparkContext.broadcast(pivots)
     cells = stored(vecs.mapInArrow(_assign(shared, dim), "vec_id long, v array<double>, cell int, dist double"),
@@ -182,10 +184,12 @@ def top_k(rows: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", emb
     route = spark.sparkContext.broadcast((pivots, count, radius, blocks, first))
     queries = asked.withColumn("part", part).mapInArrow(
         _route(route, dim, k), "block long, part int, vec_id long, v array<double>")
+    # data go only where a query's bound reaches: blocks meet the parts that ask for them
+    visits = stored(queries.select("block", "part").distinct(), "knn-visits")
     salted = (cells.join(F.broadcast(places), "cell")
               .withColumn("_u", F.monotonically_increasing_id())
               .select((F.col("first") + F.pmod(F.xxhash64("vec_id", "_u"), F.col("blocks"))).alias("block"),
-                      "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")))
+                      "vec_id", "v").join(visits, "block"))
     lists = (queries.groupBy("block", "part").cogroup(salted.groupBy("block", "part"))
              .applyInPandas(_solve(dim, k), "query_id long, vec_id long, score long"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
