@@ -11,13 +11,13 @@ Layout choices for scale:
   exploded from them where they are needed.
 * The only shuffles of the index build are the vocabulary count (partial
   aggregation map-side, so hot tokens collapse before the exchange) and, for
-  TF-IDF, one pass of the forward rows into chunks: each chunk is dealt the
-  idf of its tokens once (a token is one row per chunk, however hot), and
-  weights and norm are worked out inside the item's row.
+  the length of an item's TF-IDF vector, the occurrences of its rarer tokens.
+  Weights (tf * idf / length) are not stored: whoever reads them has the idf.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from importlib import resources
 
@@ -28,10 +28,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tok_word2, tok_ws
-from ..session import checkpoint_dir
-from .util import scalar, with_term_freqs
+from .util import broadcast_if_small, scalar, stored, with_term_freqs
 
-CHUNK_TOKENS = 500_000  # distinct tokens of items, summed up, in a chunk
+CHUNK_TOKENS = 500_000
+HOT_TOKENS = 200_000   # frequent tokens whose idf is sent to every task
+NORM_ROWS, NORM_BYTES = 4_000_000, 96 << 20  # of norms that are sent to every task
 
 
 def default_stop_words() -> list[str]:
@@ -64,18 +65,21 @@ class Bm25Index:
 
 
 def bm25_index(corpus: DataFrame, k1: float = 1.5, b: float = 0.75,
-               epsilon: float = 0.25) -> Bm25Index:
+               epsilon: float = 0.25, rows: DataFrame | None = None) -> Bm25Index:
     """Okapi BM25 index on whitespace tokens (punctuation kept).
 
     idf = ln(N - df + 0.5) - ln(df + 0.5); a negative idf is replaced by
     ``epsilon`` times the mean idf of the whole vocabulary (the mean taken
-    before the replacement).
+    before the replacement).  ``rows``: stored ``token_rows``.
     """
     # the ordinal rides along in every posting, so scored pairs carry it
     # and never need a join back to the corpus for tie-breaking
-    d = corpus.select("item_id", "ordinal", tok_ws("text").alias("toks"))
-    d = d.withColumn("dl", F.size("toks"))
-    d = with_term_freqs(d, "toks", "tfs").drop("toks")
+    if rows is not None:
+        d = rows.select("item_id", "ordinal", "dl", F.col("ws").alias("tfs"))
+    else:
+        d = corpus.select("item_id", "ordinal", tok_ws("text").alias("toks"))
+        d = d.withColumn("dl", F.size("toks"))
+        d = with_term_freqs(d, "toks", "tfs").drop("toks")
     postings = _postings(d)
     n_docs = scalar(corpus.agg(F.count(F.lit(1)).cast("double")))
     avgdl = scalar(d.agg(F.avg("dl")))
@@ -89,15 +93,21 @@ def bm25_index(corpus: DataFrame, k1: float = 1.5, b: float = 0.75,
 
 @dataclass
 class TfidfIndex:
-    forward: DataFrame         # item_id, ordinal, wd = array of (token, tf, wn), wn: L2-normalised tf*idf
+    forward: DataFrame         # item_id, ordinal, wd = array of (token, tf), norm: length of the vector of tf*idf
     vocab: DataFrame           # token, df, idf
     stop: DataFrame            # token
 
+    @property
+    def counts(self) -> DataFrame:
+        """(item_id, ordinal, token, tf, norm)"""
+        return (self.forward.select("item_id", "ordinal", "norm", F.explode_outer("wd").alias("p")).filter(F.col("p").isNotNull())
+                .select("item_id", "ordinal", "p.token", "p.tf", "norm"))
+
     @property
     def postings(self) -> DataFrame:
-        """(item_id, ordinal, token, tf, wn)"""
-        return (self.forward.select("item_id", "ordinal", F.explode_outer("wd").alias("p")).filter(F.col("p").isNotNull())
-                .select("item_id", "ordinal", "p.token", "p.tf", "p.wn"))
+        """(item_id, ordinal, token, tf, wn), wn: L2-normalised tf*idf"""
+        return self.counts.join(self.vocab.select("token", "idf"), "token").select(
+            "item_id", "ordinal", "token", "tf", (F.col("tf") * F.col("idf") / F.col("norm")).alias("wn"))
 
 
 def stop_frame(spark: SparkSession, stop_words: list[str] | None) -> DataFrame:
@@ -120,42 +130,83 @@ def _tokens(d: DataFrame, *keep: str) -> DataFrame:
     return d.select(*keep, F.explode_outer(F.col("tfs.token")).alias("token")).filter(F.col("token").isNotNull())
 
 
-def _weigh(items: pa.Table, words: pa.Table) -> pa.Table:
-    """Items of a chunk with the weight of each token in the item's row."""
-    items = items.combine_chunks()
-    lists = items.column("tfs").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The elements of a list column, the row of each, and the offsets."""
     off = np.asarray(lists.offsets).astype(np.int64)
     flat = lists.values.slice(off[0], off[-1] - off[0])
-    off = off - off[0]
-    token, tf = flat.field("token"), flat.field("tf")
-    known = words.column("token").combine_chunks()
-    at = pc.index_in(token, value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
-    w = tf.to_numpy(zero_copy_only=False) * words.column("idf").to_numpy()[at] if len(at) else np.zeros(0)
-    item = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    norm = np.sqrt(np.bincount(item, w * w, len(off) - 1))
-    wn = pa.array(w / norm[item])
-    out = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([token, tf, wn], ["token", "tf", "wn"]))
-    return pa.table({"item_id": items.column("item_id"), "ordinal": items.column("ordinal"), "wd": out})
-
-
-def tfidf_index(corpus: DataFrame, stop_words: list[str] | None = None) -> TfidfIndex:
+    return flat, np.repeat(np.arange(len(lists)), np.diff(off)), off - off[0]
+
+
+def _counted(lists: pa.ListArray, stop: pa.Array) -> pa.ListArray:
+    """Token lists as lists of (token, tf), without the stop words."""
+    flat, row, _ = _flat(lists)
+    code = flat.dictionary_encode()
+    words, n = code.dictionary, max(1, len(code.dictionary))
+    key, tf = np.unique(row * n + code.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    keep = ~np.asarray(pc.is_in(words, value_set=stop))[key % n] if len(key) else np.zeros(0, bool)
+    key, tf = key[keep], tf[keep]
+    off = np.searchsorted(key // n, np.arange(len(lists) + 1))
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays(
+        [words.take(pa.array(key % n)), pa.array(tf, pa.int64())], ["token", "tf"]))
+
+
+def token_rows(corpus: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
+    """(row, item_id, ordinal, dl, ws, tfs): the counted tokens of both
+    indexes in the item's row, stored.  ``row`` tells repeated ids apart."""
+    words = default_stop_words() if stop_words is None else stop_words
+    d = corpus.select(F.monotonically_increasing_id().alias("row"), "item_id", "ordinal",
+                      tok_ws("text").alias("ws"), tok_word2("text").alias("tfs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in ("row", "item_id", "ordinal")} | {
+                "dl": pc.list_value_length(b.column("ws")), "ws": _counted(b.column("ws"), pa.array([], pa.string())),
+                "tfs": _counted(b.column("tfs"), pa.array(words, pa.string()))})
+
+    kinds = dict(d.dtypes)
+    own = ", ".join(f"{c} {kinds[c]}" for c in ("row", "item_id", "ordinal"))
+    return stored(d.mapInArrow(run, f"{own}, dl int, ws array<struct<token: string, tf: long>>, tfs array<struct<token: string, tf: long>>"),
+                  "tokens")
+
+
+def _norms(d: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(row, norm): lengths of the rows' TF-IDF vectors.  Every task holds the
+    idf of the ``HOT_TOKENS`` most frequent tokens, so only the occurrences of
+    the rarer ones are dealt by token."""
+    idf = vocab.select("token", "df", "idf")
+    hot = idf.orderBy(F.desc("df"), "token").limit(HOT_TOKENS).select("token", "idf").toArrow().combine_chunks()
+    shared = d.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.concat_arrays(shared.value.column("token").chunks) if shared.value.num_rows else pa.array([], pa.string())
+        weight = np.r_[shared.value.column("idf").to_numpy(), 0.0]
+        for b in batches:
+            flat, row, _ = _flat(b.column("tfs"))
+            token, tf = flat.field("token"), flat.field("tf").to_numpy(zero_copy_only=False)
+            at = pc.index_in(token, value_set=known).fill_null(len(known)).to_numpy(zero_copy_only=False)
+            square = np.bincount(row, (tf * weight[at]) ** 2, b.num_rows)
+            rare = np.flatnonzero(at == len(known))
+            own = b.column("row").to_numpy()
+            yield pa.RecordBatch.from_pydict({
+                "row": pa.array(np.r_[own, own[row[rare]]]),
+                "s": pa.array(np.r_[square, np.zeros(len(rare))]),
+                "token": pa.concat_arrays([pa.nulls(b.num_rows, pa.string()), token.take(pa.array(rare))]),
+                "tf": pa.array(np.r_[np.zeros(b.num_rows, np.int64), tf[rare]], pa.int64())})
+
+    p = stored(d.select("row", "tfs").mapInArrow(run, "row long, s double, token string, tf long"), "squares")
+    rare = p.where("token IS NOT NULL").join(idf.select("token", "idf"), "token") \
+        .select("row", ((F.col("tf") * F.col("idf")) ** 2).alias("s"))
+    return p.where("token IS NULL").select("row", "s").unionByName(rare).groupBy("row").agg(F.sqrt(F.sum("s")).alias("norm"))
+
+
+def tfidf_index(corpus: DataFrame, stop_words: list[str] | None = None, rows: DataFrame | None = None) -> TfidfIndex:
     """TF-IDF with raw term counts, smooth idf = ln((1+N)/(1+df)) + 1 and
-    L2-normalised document vectors."""
+    L2-normalised document vectors.  ``rows``: stored ``token_rows``."""
     spark = corpus.sparkSession
-    words = default_stop_words() if stop_words is None else stop_words
-    d = with_term_freqs(corpus.select("item_id", "ordinal", tok_word2("text").alias("toks")), "toks", "tfs").drop("toks")
-    if words:
-        d = d.withColumn("tfs", F.filter("tfs", lambda p: ~p["token"].isin(*words)))
-    checkpoint_dir(spark)
-    d = d.checkpoint(eager=True)  # read by the vocabulary, the chunks and the weights
+    d = token_rows(corpus, stop_words) if rows is None else rows
     n_docs = scalar(corpus.agg(F.count(F.lit(1)).cast("double")))
     vocab = _tokens(d).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    vocab = vocab.withColumn("idf", F.ln((n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0)
-    chunks = max(1, (d.agg(F.sum(F.size("tfs"))).first()[0] or 0) // CHUNK_TOKENS)
-    d = d.withColumn("chunk", F.pmod(F.xxhash64("item_id"), F.lit(chunks)))
-    need = _tokens(d, "chunk").distinct().join(vocab.select("token", "idf"), "token") \
-        .select(F.col("chunk").alias("part"), "token", "idf")
-    forward = d.groupBy("chunk").cogroup(need.groupBy("part")).applyInArrow(
-        _weigh, "item_id long, ordinal long, wd array<struct<token: string, tf: long, wn: double>>")
+    vocab = stored(vocab.withColumn("idf", F.ln((n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0), "vocabulary")
+    norms = broadcast_if_small(_norms(d, vocab), NORM_ROWS, NORM_BYTES)
+    forward = d.join(norms, "row", "left").select("item_id", "ordinal", F.col("tfs").alias("wd"), "norm", "row", "dl", "ws")
     return TfidfIndex(forward, vocab, stop_frame(spark, stop_words))

@@ -59,6 +59,7 @@ class Slice:
     term: np.ndarray         # number of each question token (kinds follow each other)
     w: np.ndarray
     start: np.ndarray        # first token of each question, and the end
+    df: list[np.ndarray]     # per kind, of each token: how many items hold it
 
     def __post_init__(self):
         self.of = np.repeat(np.arange(len(self.queries)), np.diff(self.start))
@@ -74,15 +75,19 @@ def slices(terms: DataFrame) -> Iterator[Slice]:
         t = own.orderBy("query_id", "df", "kind", "token").toArrow().combine_chunks()
         q, start = np.unique(t.column("query_id").to_numpy(), return_index=True)
         kind, token = t.column("kind").to_numpy(), t.column("token").combine_chunks()
-        number, tokens, at = np.zeros(len(kind), np.int64), [], 0
+        number, tokens, dfs, at = np.zeros(len(kind), np.int64), [], [], 0
+        df = t.column("df").to_numpy()
         for i in (0, 1):
             mine = np.flatnonzero(kind == i)
             code = token.take(pa.array(mine)).dictionary_encode()
             code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
-            number[mine] = code.indices.to_numpy(zero_copy_only=False) + at
+            own = code.indices.to_numpy(zero_copy_only=False)
+            number[mine] = own + at
             tokens.append(code.dictionary)
+            dfs.append(np.zeros(len(code.dictionary)))
+            dfs[-1][own] = df[mine]
             at += len(code.dictionary)
-        yield Slice(q, tokens, number, t.column("w").to_numpy(), np.r_[start, len(kind)])
+        yield Slice(q, tokens, number, t.column("w").to_numpy(), np.r_[start, len(kind)], dfs)
 
 
 class Block:
@@ -101,8 +106,9 @@ class Block:
                 hit = np.flatnonzero(np.asarray(code.is_valid()))
                 d = np.searchsorted(off - off[0], hit, side="right") - 1
                 doc.append(d)
-                term.append(code.take(pa.array(hit)).to_numpy(zero_copy_only=False).astype(np.int64) + at)
-                value.append(impact(b, flat, hit, d))
+                own = code.take(pa.array(hit)).to_numpy(zero_copy_only=False).astype(np.int64)
+                term.append(own + at)
+                value.append(impact(b, flat, hit, d, s.df[kind][own]))
             at += len(tokens)
         none = np.zeros(0, np.int64)
         doc, term = (np.concatenate(x) if x else none for x in (doc, term))
@@ -185,19 +191,20 @@ class _Best:
 
 class Scorer:
     """Scores of questions against forward rows (item_id, ordinal, and ``ws``
-    with dl, or ``wd``, or both)."""
+    with dl, or ``wd`` with norm, or both)."""
 
     def __init__(self, forward: DataFrame, n_items: int, avgdl: float = 0.0, k1: float = 1.5, b: float = 0.75,
                  kinds: tuple[bool, bool] = (True, True)):
         self.forward, self.n_items = forward, n_items
 
-        def bm25(batch, flat, hit, doc):
+        def bm25(batch, flat, hit, doc, df):
             tf = flat.field("tf").to_numpy(zero_copy_only=False)[hit].astype(float)
             dl = batch.column("dl").to_numpy().astype(float)[doc]
             return (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * dl / avgdl))
 
-        def tfidf(batch, flat, hit, doc):
-            return flat.field("wn").to_numpy(zero_copy_only=False)[hit]
+        def tfidf(batch, flat, hit, doc, df):
+            tf = flat.field("tf").to_numpy(zero_copy_only=False)[hit].astype(float)
+            return tf * (np.log((n_items + 1.0) / (df + 1.0)) + 1.0) / batch.column("norm").to_numpy(zero_copy_only=False)[doc]
 
         self.impacts = (bm25 if kinds[0] else None, tfidf if kinds[1] else None)
 

@@ -62,9 +62,10 @@ def tfidf_scores(index: TfidfIndex, queries: DataFrame, text_col: str = "questio
     qw = qw.withColumn("w", F.col("tf") * F.col("idf"))
     qn = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qnorm"))
     qw = qw.join(_side(qn, small), "query_id").select(
-        "query_id", "token", (F.col("w") / F.col("qnorm")).alias("wq"))
-    hits = index.postings.join(_side(qw, small), "token")
-    return hits.groupBy("query_id", "item_id", "ordinal").agg(F.sum(F.col("wq") * F.col("wn")).alias("score"))
+        "query_id", "token", "idf", (F.col("w") / F.col("qnorm")).alias("wq"))
+    hits = index.counts.join(_side(qw, small), "token")
+    wn = F.col("tf") * F.col("idf") / F.col("norm")
+    return hits.groupBy("query_id", "item_id", "ordinal").agg(F.sum(F.col("wq") * wn).alias("score"))
 
 
 def bm25_terms(index: Bm25Index, queries: DataFrame, text_col: str = "question") -> DataFrame:
@@ -125,9 +126,18 @@ def tfidf_scorer(index: TfidfIndex, n_items: int) -> Scorer:
 
 
 def hybrid_scorer(bm25: Bm25Index, tfidf: TfidfIndex) -> Scorer:
-    """Scorer of both kinds of tokens at once."""
+    """Scorer of both kinds of tokens at once.  Items are as a join by id
+    pairs them: rows of a repeated id meet each other's, null ids none."""
     n, avgdl = _number(bm25.forward.sparkSession, bm25.n_docs, bm25.avgdl)
-    both = bm25.forward.join(tfidf.forward.select("item_id", "wd"), "item_id")
+    cols = ["item_id", "ordinal", "dl", "ws", "wd", "norm"]
+    rows = tfidf.forward.where(F.col("item_id").isNotNull())
+    checkpoint_dir(rows.sparkSession)
+    twice = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("item_id").checkpoint(eager=True)
+    both = rows.select(*cols)
+    if twice.limit(1).count():
+        own = rows.join(twice, "item_id", "left_semi")
+        pairs = own.select("item_id", "ordinal", "dl", "ws").join(own.select("item_id", "wd", "norm"), "item_id")
+        both = both.join(twice, "item_id", "left_anti").unionByName(pairs).select(*cols)
     return Scorer(both, int(n), avgdl, bm25.k1, bm25.b)
 
 

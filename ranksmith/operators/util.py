@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     return F.broadcast(held) if n <= max_rows and size <= max_bytes else df
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as compressed Parquet in the shared folder: a fraction of a
+    checkpoint's bytes, and readers take the columns they need."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scalar(df: DataFrame) -> Column:
     """One-row, one-column DataFrame as a lazy scalar subquery."""
     return df.scalar()

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import search as se
+from ..operators.util import stored
 from ..session import checkpoint_dir
 from ..sources import tables as tb
 from . import oracle_sql as osql
@@ -62,8 +63,7 @@ def _indexes(spark: SparkSession, sf_dir: str) -> "rt.Indexes":
         corpus = tb.corpus_documents(spark, sf_dir)
         # the corpus is read by many plans: store it once too (one scan +
         # tokenisation-free reads afterwards)
-        checkpoint_dir(spark)
-        _INDEXES[key] = rt.Indexes(corpus.checkpoint(eager=True))
+        _INDEXES[key] = rt.Indexes(stored(corpus, "corpus"))
     return _INDEXES[key]
 
 

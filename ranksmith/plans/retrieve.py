@@ -10,7 +10,7 @@ from ..operators import boost as bo
 from ..operators import expand as ex
 from ..operators import index as ix
 from ..operators import search as se
-from ..operators.util import OUT_DIGITS, broadcast_if_small, scalar, topk
+from ..operators.util import OUT_DIGITS, broadcast_if_small, scalar, stored, topk
 from ..session import checkpoint_dir
 
 
@@ -27,6 +27,7 @@ class Indexes:
     def __init__(self, corpus: DataFrame, materialize: bool = True):
         self.corpus = corpus
         self.materialize = materialize
+        self._rows = None
         self._bm25 = None
         self._tfidf = None
         self._hybrid = None
@@ -36,13 +37,19 @@ class Indexes:
         else:
             self.n_items = scalar(corpus.agg(F.count(F.lit(1))))
 
+    @property
+    def rows(self) -> DataFrame:
+        """Counted tokens of every item, tokenised once for both indexes."""
+        if self._rows is None:
+            self._rows = ix.token_rows(self.corpus)
+        return self._rows
+
     @property
     def bm25(self) -> ix.Bm25Index:
         if self._bm25 is None:
-            b = ix.bm25_index(self.corpus)
+            b = ix.bm25_index(self.corpus, rows=self.rows)
             if self.materialize:
-                forward = b.forward.checkpoint(eager=True)
-                vocab = b.vocab.checkpoint(eager=True)
+                forward, vocab = b.forward, stored(b.vocab, "vocabulary")
                 avgdl = forward.agg(F.avg("dl")).first()[0]
                 b = ix.Bm25Index.of(forward, vocab, self.n_items.cast("double"), F.lit(float(avgdl or 0.0)), b.k1, b.b)
             self._bm25 = b
@@ -51,20 +58,14 @@ class Indexes:
     @property
     def tfidf(self) -> ix.TfidfIndex:
         if self._tfidf is None:
-            t = ix.tfidf_index(self.corpus)
-            if self.materialize:
-                t = ix.TfidfIndex(t.forward.checkpoint(eager=True), t.vocab.checkpoint(eager=True), t.stop)
-            self._tfidf = t
+            self._tfidf = ix.tfidf_index(self.corpus, rows=self.rows)
         return self._tfidf
 
     @property
     def hybrid(self) -> "se.Scorer":
         """Scorer of both kinds of tokens."""
         if self._hybrid is None:
-            h = se.hybrid_scorer(self.bm25, self.tfidf)
-            if self.materialize:
-                h.forward = h.forward.checkpoint(eager=True)
-            self._hybrid = h
+            self._hybrid = se.hybrid_scorer(self.bm25, self.tfidf)
         return self._hybrid
 
 
