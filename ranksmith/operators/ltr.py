@@ -9,9 +9,12 @@ scaler is fitted inside each fold on its training rows only.
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .evaluate import auc_roc, binary_metrics, pool_metrics
 from .features import FEATURE_NAMES
-from .util import topk
+from .util import stored, topk
 
 # model settings of the reference, in Spark ML terms
 MODEL_PARAMS = {
@@ -196,23 +199,34 @@ def fold_metrics(scored: DataFrame) -> DataFrame:
     return scored.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in vals.items()])
 
 
+FITS_AT_ONCE = 12
+
+
 def cross_validate(train: DataFrame, kind: str = "gradient_boosting", k: int = 5,
                    params: dict | None = None) -> DataFrame:
     """Grouped k-fold CV: per fold, scale with training-fold statistics,
     fit, score the held-out groups and compute every metric.  One row per
     fold (fold, val_*)."""
+    return cross_validate_kinds(train, [kind], k, params)[0]
+
+
+def cross_validate_kinds(train: DataFrame, kinds: list[str], k: int = 5, params: dict | None = None) -> list[DataFrame]:
+    """``cross_validate`` of several kinds.  A fit is a long row of small jobs,
+    so the folds of all kinds are fitted at the same time (as Spark ML's
+    ``CrossValidator`` does with ``parallelism``)."""
     folds = group_kfold(train, k)
-    t = train.join(folds, "group_id")
-    n_folds = folds.agg(F.max("fold")).first()[0] + 1
-    rows = None
-    for f in range(n_folds):
+    t = stored(train.join(folds, "group_id"), "folds")
+    n_folds = t.agg(F.max("fold")).first()[0] + 1
+
+    def one(kind: str, f: int) -> DataFrame:
         tr, va = t.filter(F.col("fold") != f), t.filter(F.col("fold") == f)
-        tr_s = standard_scale(tr, tr)
-        va_s = standard_scale(tr, va)
-        m = fit(tr_s, kind, params)
-        met = fold_metrics(predict_scores(m, va_s)).withColumn("fold", F.lit(f))
-        rows = met if rows is None else rows.unionByName(met)
-    return rows
+        m = fit(standard_scale(tr, tr), kind, params)
+        return fold_metrics(predict_scores(m, standard_scale(tr, va))).withColumn("fold", F.lit(f))
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        jobs = [[pool.submit(inheritable_thread_target(train.sparkSession)(one), kind, f) for f in range(n_folds)]
+                for kind in kinds]
+        return [functools.reduce(DataFrame.unionByName, [j.result() for j in own]) for own in jobs]
 
 
 def cv_summary(per_fold: DataFrame) -> DataFrame:
