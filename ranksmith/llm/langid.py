@@ -39,7 +39,6 @@ UND = "und"
 QUANTILE = 0.001
 SHARE = 0.5
 CLASS_ROWS = 200  # learned documents that give a class a threshold of its own
-SCORED_ROWS = 100_000  # learned documents scored for the thresholds, by hash of their id
 
 
 @lru_cache(maxsize=1 << 16)
@@ -210,7 +209,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def thresholds(learned: DataFrame, model: tuple[list[str], np.ndarray]) -> tuple[dict[int, float], float]:
     """(threshold by class, threshold of all other classes) from the scores of
-    the learned documents, or of about ``SCORED_ROWS`` of them."""
+    all learned documents."""
     shared = learned.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,9 +219,7 @@ def thresholds(learned: DataFrame, model: tuple[list[str], np.ndarray]) -> tuple
             told = np.array([x != UND for x in lang], bool)
             yield pa.RecordBatch.from_pydict({"class": pa.array(weight[told]), "score": pa.array(score[told])})
 
-    parts = max(1, learned.count() // SCORED_ROWS)
-    some = learned.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0).select("text")
-    rows = some.mapInArrow(run, "class long, score double").groupBy("class").agg(
+    rows = learned.select("text").mapInArrow(run, "class long, score double").groupBy("class").agg(
         F.count(F.lit(1)).alias("n"), F.percentile_approx("score", QUANTILE, 100_000).alias("low")).collect()
     if sum(r["n"] for r in rows) < CLASS_ROWS:
         return {}, 0.0
