@@ -8,8 +8,8 @@ reached its time, so that no earlier one can follow.  Records that the
 watermark has already passed when they arrive are late and dropped, as in
 every event-time operator of Spark.
 
-State per key: the end of the open span, and the records above the watermark
-that may still become a first one, by time.  Records inside the open span are
+State per key: the end of the open span, and the list of records above the
+watermark that may still become a first one, written with one call per batch.  Records inside the open span are
 never kept, and the end of the span is removed when the watermark passes it, so
 state stays bounded by the keys and times within ``delay`` and ``expiry``.
 State lives in RocksDB, beside the checkpoint; a lost executor restores it.
@@ -40,38 +40,45 @@ class FirstPerKey(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.until = handle.getValueState("until", "us long")
-        self.waiting = handle.getMapState("waiting", "us long", "ord long, record string")
+        self.waiting = handle.getListState("waiting", "us long, ord long, record string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         until = self.until.get()[0] if self.until.exists() else None
+        first: dict[int, tuple[int, str]] = {}
         for pdf in rows:
-            first = pdf.sort_values(["us", "ord", "record"], kind="stable").drop_duplicates("us")
-            if until is not None:
-                first = first[first["us"] >= until]
-            for us, order, record in zip(first["us"], first["ord"], first["record"]):
-                us, new = int(us), (int(order), record)
-                if not self.waiting.containsKey((us,)):
-                    self.handle.registerTimer(-(-us // 1000))
-                elif tuple(self.waiting.getValue((us,))) <= new:
-                    continue
-                self.waiting.updateValue((us,), new)
-        yield pd.DataFrame()
+            for us, order, record in zip(pdf["us"].tolist(), pdf["ord"].tolist(), pdf["record"].tolist()):
+                if (until is None or us >= until) and (us not in first or (order, record) < first[us]):
+                    first[us] = (order, record)
+        if first:
+            self.waiting.appendList([(us, *first[us]) for us in sorted(first)])
+            self.handle.registerTimer(-(-min(first) // 1000))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        now = timerValues.getCurrentWatermarkInMs() * 1000
         until = self.until.get()[0] if self.until.exists() else None
+        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
         out = []
-        # timers fire in the order of their times; those of removed records find nothing
-        for us in sorted(k[0] for k in self.waiting.keys() if k[0] <= now):
+        for us, _, record in waiting:
+            if us > now:
+                break
             if until is None or us >= until:
-                out.append(self.waiting.getValue((us,))[1])
+                out.append(record)
                 until = us + self.expiry
-                self.until.update((until,))
-                self.handle.registerTimer(-(-until // 1000))
-            self.waiting.removeKey((us,))
+        # one timer is set per key: for its next waiting record, else for the end of its span
+        rest = [w for w in waiting if w[0] > now and (until is None or w[0] >= until)]
+        if len(rest) < len(waiting):
+            self.waiting.put(rest) if rest else self.waiting.clear()
         if until is not None and until <= now:
             self.until.clear()
-        yield pd.DataFrame({"record": out}) if out else pd.DataFrame()
+        elif out:
+            self.until.update((until,))
+        if rest and waiting[0][0] <= now:
+            self.handle.registerTimer(-(-rest[0][0] // 1000))
+        elif until is not None and until > now:
+            self.handle.registerTimer(-(-until // 1000))
+        if out:
+            yield pd.DataFrame({"record": out})
 
     def close(self) -> None:
         pass
