@@ -31,3 +31,46 @@ def test_forward_rows_hold_counts_only_and_repeated_ids_pair_up(spark):
     assert ids == {1: 4, 2: 1}  # as a join of both indexes by id pairs them
     qs = spark.createDataFrame([(7, "dd")], "query_id long, question string")
     assert [r.item_id for r in se.tfidf_search(idx.tfidf, qs, corpus, 1).collect()] == [2]
+
+
+def test_texts_are_cut_as_the_token_functions_do(spark):
+    from pyspark.sql import functions as F
+
+    from ranksmith.functions.text import tok_word2, tok_ws
+    texts = ["", " ", "a", "Aa  bb CC dd　", "\x1cx\x1d\x85y z", "don't stop_me_now x9 éÉ 中文 中", "_ __ a_ 1 22",
+             "İstanbul ẞ ΣΣ ß", "tab\tnew\nline\r\nend ", "\U0001d54fy \U0001d54f", "​q﻿", None]
+    d = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "item_id long, ordinal long, text string")
+    want = {r.item_id: r for r in d.select("item_id", tok_ws("text").alias("ws"), tok_word2("text").alias("w2"),
+                                           F.size(F.coalesce(tok_ws("text"), F.array().cast("array<string>"))).alias("n")).collect()}
+    rows = ix.token_rows(d, ["stop_me_now"])
+    assert len(rows.collect()) == len(texts)
+    for r in rows.collect():
+        w = want[r.item_id]
+        assert r.dl == (None if w.ws is None else w.n), texts[r.item_id]
+        assert {x.token: x.tf for x in r.ws} == collections.Counter(w.ws or []), texts[r.item_id]
+        assert {x.token: x.tf for x in r.tfs} == collections.Counter(x for x in w.w2 or [] if x != "stop_me_now"), texts[r.item_id]
+
+
+def test_no_norms_for_the_vocabulary_alone(spark, monkeypatch):
+    corpus = spark.createDataFrame([(1, 1, "n1", "aa bb"), (2, 2, "n2", "aa")], "item_id long, ordinal long, name string, text string")
+    monkeypatch.setattr(ix, "_norms", None)
+    idx = rt.Indexes(corpus)
+    assert {r.token: r.df for r in idx.tfidf.vocab.collect()} == {"aa": 2, "bb": 1}
+
+
+def test_a_block_spreads_its_tokens_once_for_hits_and_scores(spark, monkeypatch):
+    from ranksmith.operators import scoring as sc
+    corpus = spark.createDataFrame([(1, 1, "n1", "aa bb"), (2, 2, "n2", "aa"), (3, 3, "n3", "cc")],
+                                   "item_id long, ordinal long, name string, text string")
+    idx = rt.Indexes(corpus)
+    forward = idx.hybrid.forward.toArrow().combine_chunks().to_batches()[0]
+    s = next(sc.slices(spark.createDataFrame([(7, 0, "aa", 0.0, 2), (7, 0, "cc", 2.0, 1), (8, 0, "zz", 1.0, 0)],
+                                             "query_id long, kind int, token string, w double, df long")))
+    block = sc.Block(s, forward, idx.hybrid.impacts)
+    calls, spread = [], sc.Block.spread
+    monkeypatch.setattr(sc.Block, "spread", lambda *a: calls.append(1) or spread(*a))
+    hit, score = (x.reshape(2, 3) for x in block.matched(s))
+    at = {i: k for k, i in enumerate(forward.column("item_id").to_pylist())}
+    # a token of weight 0 matches too
+    assert [bool(hit[0, at[i]]) for i in (1, 2, 3)] == [True, True, True] and not hit[1].any()
+    assert [score[0, at[i]] > 0 for i in (1, 2, 3)] == [False, False, True] and len(calls) == 1
