@@ -82,6 +82,9 @@ def _tokens(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _word_rows(w: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    # equal counts side by side: the shuffle's compression finds them in the row before
+    order = np.lexsort(counts.T)
+    w, counts = w[order], counts[order]
     return pa.RecordBatch.from_pydict({"w": pa.array(w.view(np.int64))} | {
         c: pa.array(counts[:, k]) for k, c in enumerate(COUNTS)})
 
@@ -131,20 +134,30 @@ def _unplaned(data: list[bytes], columns: int = 1, kind: str = "<i8") -> np.ndar
         np.ascontiguousarray(g.reshape(width, -1).T).view(kind) for g in got])
 
 
+def _steps(values: np.ndarray) -> np.ndarray:
+    """The first value and the differences that follow, modulo the width."""
+    return np.concatenate([values[:1], values[1:] - values[:-1]])
+
+
 def _slot_of(keys: np.ndarray, slots: int) -> np.ndarray:
-    return ((keys & np.uint64(0x7FFFFFFFFFFFFFFF)) % np.uint64(slots)).astype(np.int64)
+    """A range of the hashes is a slot: what a chunk asks of one lies close
+    together, so that its steps are short however many slots there are."""
+    return (((keys & np.uint64(0x7FFFFFFFFFFFFFFF)) >> np.uint64(32)) * np.uint64(slots) >> np.uint64(31)).astype(np.int64)
 
 
 def _asked(chunk: int, slot: np.ndarray, keys: np.ndarray, counts: np.ndarray | None) -> list[tuple]:
-    """What a chunk asks of each slot; its keys are ordered by slot."""
+    """What a chunk asks of each slot; its keys are ordered by slot.  Words
+    (without counts) are told by their steps."""
     cut = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, np.int64)
-    return [(chunk, int(slot[lo]), _planes(keys[lo:hi].view(np.int64)),
+    told = _steps if counts is None else np.asarray
+    return [(chunk, int(slot[lo]), _planes(told(keys[lo:hi]).view(np.int64)),
              b"" if counts is None else _planes(counts[lo:hi]), b"", b"") for lo, hi in zip(cut, np.r_[cut[1:], len(slot)])]
 
 
 def _chunks(slots: int):
     """Each chunk's words, as what it asks of the slots, and (``TEXTS``) its
-    documents with the place of each of their words among those."""
+    documents with the place of each of their words among those: numbers by
+    frequency, and (``keys``) the steps between the places they stand for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seq = TaskContext.get().partitionId() << 32, 0
         for b in slices(batches, "text", CHUNK_BYTES, 1 << 20):
@@ -158,7 +171,10 @@ def _chunks(slots: int):
             docs = np.stack([np.asarray(ids.fill_null(0)).astype("<i8"), np.asarray(ids.is_null()).astype("<i8"),
                              np.asarray(b.column("target")).astype("<i8"),
                              np.bincount(at, minlength=b.num_rows).astype("<i8")], axis=1)
-            rows = [(base + seq, TEXTS, b"", b"", _planes(docs), _planes(place[code]))]
+            often = np.lexsort((place, -np.bincount(code, minlength=len(uniq))))
+            number = np.empty(len(order), "<u4")
+            number[often] = np.arange(len(order), dtype="<u4")
+            rows = [(base + seq, TEXTS, _planes(_steps(place[often])), b"", _planes(docs), _planes(number[code]))]
             rows += _asked(base + seq, slot[order], uniq[order], None)
             seq += 1
             cols = list(zip(*rows))
@@ -184,7 +200,7 @@ def _word_slot(slots: int):
         last = len(vocab)
         got = []
         for k in asked["keys"]:
-            want = _unplaned([k])[:, 0]
+            want = np.cumsum(_unplaned([k])[:, 0])
             at = np.searchsorted(keys[:last], want)
             got.append(_planes(own[np.where(keys[at] == want, at, last)]))
         return asked.assign(keys=b"", counts=got)
@@ -211,7 +227,8 @@ def _by_slot(pair: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _texts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     own = pdf[pdf["slot"] == TEXTS].iloc[0]
-    return _unplaned([own["docs"]], 4), _unplaned([own["codes"]], kind="<u4")[:, 0]
+    places = np.cumsum(_unplaned([own["keys"]], kind="<u4")[:, 0], dtype="<u4")
+    return _unplaned([own["docs"]], 4), places[_unplaned([own["codes"]], kind="<u4")[:, 0]]
 
 
 def _bigrams(slots: int):
@@ -295,7 +312,7 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
         raise ValueError("vocabularies beyond 2^30 words need wider names")
     shared = spark.sparkContext.broadcast(Model(known["size"], known, totals))
     # the same slot as _slot_of gives the word
-    vocab = vocab.withColumn("slot", F.expr(f"CAST((w & 9223372036854775807) % {word_slots} AS INT)"))
+    vocab = vocab.withColumn("slot", F.expr(f"CAST(shiftright(shiftright(w & 9223372036854775807, 32) * {word_slots}L, 31) AS INT)"))
     chunks = stored(d.mapInArrow(_chunks(word_slots), ROWS), "lm-chunks")
     own, asked = chunks.where("slot < 0"), chunks.where("slot >= 0")
     answers = asked.groupBy("slot").cogroup(vocab.groupBy("slot")).applyInPandas(_word_slot(word_slots), ROWS)
