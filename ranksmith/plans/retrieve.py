@@ -181,13 +181,14 @@ def retrieve_full(idx: Indexes, queries: DataFrame, item_keys: DataFrame, k: int
     q = queries.select("query_id", "question")
     mentions = stage(bo.mention_pairs(q, corpus))
     xq = stage(ex.expand_full(q, mentions, corpus))
-    bm = stage(se.bm25_scores(idx.bm25, xq.select("query_id", F.col("expanded").alias("question"))))
-    cs = stage(se.tfidf_scores(idx.tfidf, q))
+    # rows per (question, item): as Parquet, a fraction of a checkpoint's bytes
+    bm = stored(se.bm25_scores(idx.bm25, xq.select("query_id", F.col("expanded").alias("question"))), "bm25-pairs")
+    cs = stored(se.tfidf_scores(idx.tfidf, q), "cosine-pairs")
     pairs, base = se.hybrid_scores(bm, cs, idx.n_items, 0.5, max_floor=True)
     nb = bo.name_boost(q, corpus, mentions)
     tb = stage(bo.rule_target_boosts(q, rules))
     scored = pairs.select("query_id", "item_id").unionByName(nb.select("query_id", "item_id"))
-    rb = stage(bo.apply_rule_boosts(scored, corpus, tb, rules, fill_k=pool))
+    rb = stored(bo.apply_rule_boosts(scored, corpus, tb, rules, fill_k=pool), "rule-boosts")
     adds = nb.select("query_id", "item_id", F.col("name_boost").alias("b")) \
         .unionByName(rb.select("query_id", "item_id", F.col("boost").alias("b"))) \
         .groupBy("query_id", "item_id").agg(F.sum("b").alias("b"))
@@ -201,9 +202,9 @@ def retrieve_full(idx: Indexes, queries: DataFrame, item_keys: DataFrame, k: int
     boosted = s.filter(F.col("ordinal").isNull()).drop("ordinal")
     s = known.unionByName(corpus.select("item_id", "ordinal").join(broadcast_if_small(boosted), "item_id")
                           .select("query_id", "item_id", "ordinal", "score"))
-    s = stage(s)
-    s = stage(bo.graph_propagate(s, item_keys).select("query_id", "item_id", "ordinal", "score")
-              .unionByName(bo.propagated_fill(s, item_keys, base, pool)))
+    s = stored(s, "scores")
+    s = stored(bo.graph_propagate(s, item_keys).select("query_id", "item_id", "ordinal", "score")
+               .unionByName(bo.propagated_fill(s, item_keys, base, pool)), "lifted")
     top = se.topk_with_fill(s, q, corpus, pool, base).select("query_id", "item_id", "score")
     forced = rb.filter(F.col("boost") >= 0.8)
     cands = stage(bo.force_include(top, s, forced))
