@@ -39,6 +39,7 @@ UND = "und"
 QUANTILE = 0.001
 SHARE = 0.5
 CLASS_ROWS = 200  # learned documents that give a class a threshold of its own
+SLICE_BYTES = 1 << 19  # of text worked on at a time: about 130 bytes of arrays for each
 
 
 @lru_cache(maxsize=1 << 16)
@@ -118,7 +119,7 @@ def _partial(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole_memo()
         sums: dict[str, np.ndarray] = {}
-        for b in slices(batches, "text", max_bytes=2 << 20):
+        for b in slices(batches, "text", max_bytes=SLICE_BYTES):
             langs = np.array(b.column("lang").to_pylist(), dtype=object)
             names, which = np.unique(langs, return_inverse=True)
             vec = bundle(b.column("text").to_pylist(), dim, which, len(names)).round().astype(np.int64)
@@ -187,7 +188,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole_memo()
         names, proto = shared.value
-        for b in slices(batches, "text", max_bytes=1 << 20, max_rows=1024):
+        for b in slices(batches, "text", max_bytes=SLICE_BYTES, max_rows=1024):
             lang, score = predict_batch(b.column("text").to_pylist(), names, proto)
             cols = {c: b.column(c) for c in keep}
             yield pa.RecordBatch.from_pydict(cols | {"lang_pred": pa.array(lang, pa.string()),
@@ -214,7 +215,7 @@ def thresholds(learned: DataFrame, model: tuple[list[str], np.ndarray]) -> tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole_memo()
-        for b in slices(batches, "text", max_bytes=1 << 20, max_rows=1024):
+        for b in slices(batches, "text", max_bytes=SLICE_BYTES, max_rows=1024):
             lang, score, weight = classed_batch(b.column("text").to_pylist(), *shared.value)
             told = np.array([x != UND for x in lang], bool)
             yield pa.RecordBatch.from_pydict({"class": pa.array(weight[told]), "score": pa.array(score[told])})
@@ -240,7 +241,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole_memo()
         model, own, least = shared.value
-        for b in slices(batches, "text", max_bytes=1 << 20, max_rows=1024):
+        for b in slices(batches, "text", max_bytes=SLICE_BYTES, max_rows=1024):
             lang, score, weight = classed_batch(b.column("text").to_pylist(), *model)
             yield b.filter(pa.array([x != UND and s >= own.get(w, least)
                                      for x, s, w in zip(lang, score.tolist(), weight.tolist())]))

@@ -75,8 +75,10 @@ class MemoEncoder:
         self.space[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True
 
     def forget(self) -> None:
+        """Another operator has the worker: the memos go, and the vocabulary."""
         self.memo.clear()
         self.plain.clear()
+        _ENCODERS.clear()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes()
