@@ -2,7 +2,7 @@
 
 A corpus item is one *forward* row: its tokens with their impacts.  Tasks read
 blocks of items and hold the weights of a bounded slice of questions; what
-leaves a task is bounded by its questions, never by pairs:
+leaves a task is bounded by its questions, never by pairs (but for ``pairs``):
 
 * ``top``: every task keeps the best ``k`` items per question.  The k-th best
   score so far is the question's bound, at first that of a hash sample of the
@@ -14,6 +14,9 @@ leaves a task is bounded by its questions, never by pairs:
     far as their largest impacts together stay below the bound, are only looked
     up for the items whose score so far could still reach it.
 
+* ``pairs``: the scores of all matched pairs, for results that have a row for
+  each: an item's tokens are in its row, so a pair is scored whole in one task
+  and none is shuffled.
 * ``stats``: number, least and largest score of the matched items.
 * ``lookup``: scores of given candidates only.
 * ``before``: how many matched items are ordered before given cuts (candidates'
@@ -137,9 +140,10 @@ class Block:
         cell, x = self.spread(s, used)
         return np.bincount(cell, None if counted else x, len(s.queries) * self.n)
 
-    def matched(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
-        """(whether any token is held, score) of every cell."""
-        cell, x = self.spread(s, np.arange(len(s.w)))
+    def matched(self, s: Slice, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(whether any token is held, score) of every cell, by the question
+        tokens ``used`` (all)."""
+        cell, x = self.spread(s, np.arange(len(s.w)) if used is None else used)
         hit = np.zeros(len(s.queries) * self.n, bool)
         hit[cell] = True
         return hit, np.bincount(cell, x, len(hit))
@@ -224,7 +228,9 @@ class Scorer:
 
             def task(batches, shared=shared):
                 return run(*shared.value, batches)
-            part = rows.mapInArrow(task, schema)
+            # tokens of a kind that is not asked for stay behind
+            idle = [c for c, asked, impact in zip(("ws", "wd"), s.tokens, self.impacts) if impact is None or not len(asked)]
+            part = rows.drop(*idle).mapInArrow(task, schema)
             out = part if out is None else out.unionAll(part)
         return out
 
@@ -276,6 +282,28 @@ class Scorer:
         found = self._passes(terms, run, "query_id long, item_id long, ordinal long, score double", rows, known)
         return topk(found, "query_id", "score", "ordinal", k).drop("rank")
 
+    def pairs(self, terms: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+        """(query_id, item_id, ordinal, bm25, cosine) of every pair of a
+        question and a row that share a token; a score is null where no token
+        of its kind is shared."""
+        impacts = self.impacts
+
+        def run(s: Slice, _, batches):
+            kinds = s.term >= len(s.tokens[0])
+            for b, block in _blocks(s, batches, impacts):
+                hits, scores = zip(*(block.matched(s, np.flatnonzero(kinds == kind)) for kind in (0, 1)))
+                cells = np.flatnonzero(hits[0] | hits[1])
+                for lo in range(0, len(cells), POOL_ROWS):
+                    cell = cells[lo:lo + POOL_ROWS]
+                    d = pa.array(cell % block.n)
+                    yield pa.RecordBatch.from_pydict({
+                        "query_id": pa.array(s.queries[cell // block.n], pa.int64()),
+                        "item_id": b.column("item_id").take(d).cast(pa.int64()),
+                        "ordinal": b.column("ordinal").take(d).cast(pa.int64()),
+                        **{name: pa.array(score[cell], mask=~hit[cell]) for name, hit, score in zip(("bm25", "cosine"), hits, scores)}})
+
+        return self._passes(terms, run, "query_id long, item_id long, ordinal long, bm25 double, cosine double", rows)
+
     def stats(self, terms: DataFrame) -> DataFrame:
         """(query_id, mn, mx, m): least and largest score and the number of the
         matched items."""

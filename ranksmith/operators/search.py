@@ -17,7 +17,7 @@ from ..functions.text import tok_ws
 from .index import Bm25Index, TfidfIndex, word_postings
 from ..session import checkpoint_dir
 from .scoring import Scorer, nonnegative
-from .util import BROADCAST_MAX_ROWS, OUT_DIGITS, broadcast_if_small, has_at_most, rank_key, topk, with_term_freqs
+from .util import OUT_DIGITS, broadcast_if_small, rank_key, topk, with_term_freqs
 
 
 def query_terms_ws(queries: DataFrame, text_col: str = "question") -> DataFrame:
@@ -28,44 +28,47 @@ def query_terms_ws(queries: DataFrame, text_col: str = "question") -> DataFrame:
             .select("query_id", F.col("p.token").alias("token"), F.col("p.tf").alias("qtf")))
 
 
-def _side(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
+def pair_rows(scorer: Scorer, terms: DataFrame) -> DataFrame:
+    """(query_id, item_id, ordinal, bm25, cosine) of every pair sharing a
+    token: scored where the item's row lies, without a shuffle of pairs.
+
+    The scores of rows that repeat an item add up; only the pairs of those
+    items are dealt by key."""
+    rows, keys = scorer.forward, ["item_id", "ordinal"]
+    least = terms.agg(F.min("query_id")).first()[0]
+    none = F.lit((least or 0) - 1)  # stands for a null question id
+    asked = terms.withColumn("query_id", F.coalesce("query_id", none))
+    checkpoint_dir(rows.sparkSession)
+    twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys).checkpoint(eager=True)
+    if twice.limit(1).count():
+        t = broadcast_if_small(twice.toDF("_i", "_o"))
+        same = F.col("item_id").eqNullSafe(F.col("_i")) & F.col("ordinal").eqNullSafe(F.col("_o"))
+        again = scorer.pairs(asked, rows.join(t, same, "left_semi")).groupBy("query_id", *keys).agg(
+            F.sum("bm25").alias("bm25"), F.sum("cosine").alias("cosine"))
+        out = scorer.pairs(asked, rows.join(t, same, "left_anti")).unionByName(again)
+    else:
+        out = scorer.pairs(asked)
+    return out.withColumn("query_id", F.nullif(F.col("query_id"), none))
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame, text_col: str = "question") -> DataFrame:
-    """(query_id, item_id, score) for every pair sharing a token.
-
-    A repeated query token counts once per occurrence (weight qtf).  The
-    query side is broadcast when its term count is checked to be bounded,
-    so postings stream through a hash lookup and are never shuffled by
-    token (no hot-token skew); otherwise the join is left to Catalyst with
-    AQE skew splitting.  The (query, item) partial sums are combined
-    map-side before the one exchange the aggregation needs.
-    """
-    qt = query_terms_ws(queries, text_col)
-    small = has_at_most(qt, BROADCAST_MAX_ROWS)
-    qw = (_side(qt, small).join(index.vocab.select("token", "idf"), "token")
-          .select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w")))
-    k1, b = index.k1, index.b
-    hits = index.postings.join(_side(qw, small), "token")
-    tf = F.col("tf")
-    contrib = F.col("w") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / index.avgdl))
-    return hits.groupBy("query_id", "item_id", "ordinal").agg(F.sum(contrib).alias("score"))
+    """(query_id, item_id, ordinal, score) for every pair sharing a token.  A
+    repeated query token counts once per occurrence (weight qtf)."""
+    p = pair_rows(bm25_scorer(index), bm25_terms(index, queries, text_col))
+    return p.select("query_id", "item_id", "ordinal", F.col("bm25").alias("score"))
 
 
 def tfidf_scores(index: TfidfIndex, queries: DataFrame, text_col: str = "question") -> DataFrame:
-    """(query_id, item_id, score): cosine of L2-normalised TF-IDF vectors.
-    Query tokens unseen in the corpus are dropped before normalising."""
-    qp = word_postings(queries, "query_id", text_col, index.stop)
-    small = has_at_most(qp, BROADCAST_MAX_ROWS)
-    qw = _side(qp, small).join(index.vocab.select("token", "idf"), "token")
-    qw = qw.withColumn("w", F.col("tf") * F.col("idf"))
-    qn = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qnorm"))
-    qw = qw.join(_side(qn, small), "query_id").select(
-        "query_id", "token", "idf", (F.col("w") / F.col("qnorm")).alias("wq"))
-    hits = index.counts.join(_side(qw, small), "token")
-    wn = F.col("tf") * F.col("idf") / F.col("norm")
-    return hits.groupBy("query_id", "item_id", "ordinal").agg(F.sum(F.col("wq") * wn).alias("score"))
+    """(query_id, item_id, ordinal, score): cosine of L2-normalised TF-IDF
+    vectors.  Query tokens unseen in the corpus are dropped before normalising."""
+    p = pair_rows(tfidf_scorer(index, index.rows.count()), tfidf_terms(index, queries, text_col))
+    return p.select("query_id", "item_id", "ordinal", F.col("cosine").alias("score"))
+
+
+def both_scores(scorer: Scorer, bm25: DataFrame, tfidf: DataFrame) -> DataFrame:
+    """(query_id, item_id, ordinal, bm25, cosine) for every pair sharing a
+    token of either kind, from one pass; null where none of the kind is shared."""
+    return pair_rows(scorer, bm25.unionByName(tfidf))
 
 
 def bm25_terms(index: Bm25Index, queries: DataFrame, text_col: str = "question") -> DataFrame:
@@ -125,6 +128,12 @@ def tfidf_scorer(index: TfidfIndex, n_items: int) -> Scorer:
     return Scorer(index.forward, n_items, kinds=(False, True))
 
 
+def row_scorer(bm25: Bm25Index, tfidf: TfidfIndex) -> Scorer:
+    """Scorer of both kinds of tokens of every row as it stands."""
+    n, avgdl = _number(bm25.forward.sparkSession, bm25.n_docs, bm25.avgdl)
+    return Scorer(tfidf.forward.select("item_id", "ordinal", "dl", "ws", "wd", "norm"), int(n), avgdl, bm25.k1, bm25.b)
+
+
 def hybrid_scorer(bm25: Bm25Index, tfidf: TfidfIndex) -> Scorer:
     """Scorer of both kinds of tokens at once.  Items are as a join by id
     pairs them: rows of a repeated id meet each other's, null ids none."""
@@ -180,24 +189,29 @@ def minmax_of(st: DataFrame, n_items: Column, max_floor: bool = False) -> DataFr
 def minmax_norm(scores: DataFrame, n_items: Column, max_floor: bool = False) -> DataFrame:
     """(query_id, item_id, score, norm) plus the per-query ``base`` value an
     unmatched item (raw score 0) normalises to."""
-    st = minmax_stats(scores, n_items, max_floor)
+    st = broadcast_if_small(minmax_stats(scores, n_items, max_floor))  # a row per question: pairs stay where they are
     out = scores.join(st, "query_id")
     return out.select("query_id", "item_id", "score",
                       ((F.col("score") - F.col("mn")) / F.col("rng")).alias("norm"),
                       ((F.lit(0.0) - F.col("mn")) / F.col("rng")).alias("base"))
 
 
-def hybrid_scores(bm25: DataFrame, cosine: DataFrame, n_items: Column, alpha: float = 0.5,
+def hybrid_scores(bm25: DataFrame, cosine: DataFrame | None, n_items: Column, alpha: float = 0.5,
                   max_floor: bool = False) -> tuple[DataFrame, DataFrame]:
     """alpha * cosine + (1 - alpha) * minmax(bm25) for every matched pair.
+    Without ``cosine`` the first frame holds both scores (``both_scores``).
 
     Returns (pairs, base): ``pairs`` = (query_id, item_id, bm25, cosine,
     score); ``base`` = (query_id, base_score) — the fused score of an item
     matched by neither side."""
-    st = minmax_stats(bm25, n_items, max_floor)
-    keys = ["query_id", "item_id"] + (["ordinal"] if "ordinal" in bm25.columns and "ordinal" in cosine.columns else [])
-    pairs = (bm25.withColumnRenamed("score", "bm25")
-             .join(cosine.withColumnRenamed("score", "cosine"), keys, "full"))
+    if cosine is None:
+        pairs = bm25
+        bm25 = bm25.where("bm25 IS NOT NULL").withColumnRenamed("bm25", "score")
+    else:
+        keys = ["query_id", "item_id"] + (["ordinal"] if "ordinal" in bm25.columns and "ordinal" in cosine.columns else [])
+        pairs = (bm25.withColumnRenamed("score", "bm25")
+                 .join(cosine.withColumnRenamed("score", "cosine"), keys, "full"))
+    st = broadcast_if_small(minmax_stats(bm25, n_items, max_floor))
     pairs = pairs.join(st, "query_id", "left")
     # a query with no BM25 match at all: every raw score is 0, range 1
     mn = F.coalesce(F.col("mn"), F.lit(0.0))

@@ -68,6 +68,12 @@ class Indexes:
             self._hybrid = se.hybrid_scorer(self.bm25, self.tfidf)
         return self._hybrid
 
+    @property
+    def all_pairs(self) -> "se.Scorer":
+        """Scorer of both kinds of tokens over every row, repeated ids and
+        null ids too (``search.both_scores`` adds their rows up)."""
+        return se.row_scorer(self.bm25, self.tfidf)
+
 
 def stage(df: DataFrame) -> DataFrame:
     """Materialise one pipeline stage in the shared checkpoint folder.
@@ -182,9 +188,9 @@ def retrieve_full(idx: Indexes, queries: DataFrame, item_keys: DataFrame, k: int
     mentions = stage(bo.mention_pairs(q, corpus))
     xq = stage(ex.expand_full(q, mentions, corpus))
     # rows per (question, item): as Parquet, a fraction of a checkpoint's bytes
-    bm = stored(se.bm25_scores(idx.bm25, xq.select("query_id", F.col("expanded").alias("question"))), "bm25-pairs")
-    cs = stored(se.tfidf_scores(idx.tfidf, q), "cosine-pairs")
-    pairs, base = se.hybrid_scores(bm, cs, idx.n_items, 0.5, max_floor=True)
+    both = stored(se.both_scores(idx.all_pairs, se.bm25_terms(idx.bm25, xq.select("query_id", F.col("expanded").alias("question"))),
+                                 se.tfidf_terms(idx.tfidf, q)), "pairs")
+    pairs, base = se.hybrid_scores(both, None, idx.n_items, 0.5, max_floor=True)
     nb = bo.name_boost(q, corpus, mentions)
     tb = stage(bo.rule_target_boosts(q, rules))
     scored = pairs.select("query_id", "item_id").unionByName(nb.select("query_id", "item_id"))
