@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from ..functions.text import ws_set
 from .containment import contains_pairs
 from .search import first_free
-from .util import broadcast_if_small, topk
+from .util import broadcast_if_small, stored, topk
 
 
 # names share their first parts (language, source): each joins through one gram,
 # the rarest of all it has, so the questions are indexed at every position
 NAME_TIERS = ((8, 1), (4, 1), (1, 1))
+CLASS_ITEMS, CLASS_BYTES = 4_000_000, 96 << 20  # of (item, class of its keys) rows that are sent to every task
 PART_ROWS = 2_000_000  # (question, class of items) rows that are sent to every task, within a bound of bytes
 
 
@@ -180,31 +181,45 @@ def rule_pins(queries: DataFrame, corpus: DataFrame, rules: list[Rule],
     return first.select("query_id", "item_id", F.row_number().over(w).cast("long").alias("fpos"))
 
 
+def key_classes(item_keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item_id, _class), (_class, key): items with the same set of join keys
+    form a class, named by its smallest item."""
+    sets = stored(item_keys.groupBy("item_id").agg(F.sort_array(F.collect_set("key")).alias("_keys")), "key-sets")
+    named = sets.groupBy("_keys").agg(F.min("item_id").alias("_class"))
+    of = broadcast_if_small(sets.join(named, "_keys").select("item_id", "_class"), CLASS_ITEMS, CLASS_BYTES)
+    return of, named.select("_class", F.explode("_keys").alias("key"))
+
+
 def push_hubs(scores: DataFrame, item_keys: DataFrame, threshold: float = 1.0, factor: float = 0.4,
-              score: str = "score") -> DataFrame:
+              score: str = "score", classes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, key, lift): what every item above ``threshold`` gives to
-    the members of its join keys, the best per (question, key)."""
-    src = scores.filter(F.col(score) > threshold).join(item_keys.select("item_id", "key"), "item_id")
-    return src.groupBy("query_id", "key").agg((F.max(F.col(score)) * factor).alias("lift"))
+    the members of its join keys, the best per (question, key).  Pairs meet
+    classes of items first (``key_classes``), so none is repeated per key."""
+    of, keys = classes or key_classes(item_keys)
+    src = scores.filter(F.col(score) > threshold).join(of, "item_id").groupBy("query_id", "_class").agg(F.max(score).alias("_best"))
+    return src.join(keys, "_class").groupBy("query_id", "key").agg((F.max("_best") * factor).alias("lift"))
 
 
 def graph_propagate(scores: DataFrame, item_keys: DataFrame, threshold: float = 1.0,
-                    factor: float = 0.4, score: str = "score") -> DataFrame:
+                    factor: float = 0.4, score: str = "score", classes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One hop of score propagation over shared join keys: every item whose
     score is above ``threshold`` lifts each scored neighbour to at least
     ``factor`` x its score (from pre-propagation scores).
 
     Neighbours are items sharing a key; the push goes through the key as a
     hub, never through materialised item pairs: per (question, key) the
-    best pushing score, then per receiving item the best over its keys.  An
+    best pushing score, then per (question, class of receiving items) the best
+    over its keys, which the scored rows look up.  An
     item's own push never exceeds its score, so it changes nothing for
-    itself.  ``item_keys`` = (item_id, key, ordinal).  Unscored members of
+    itself.  ``item_keys`` = (item_id, key, ordinal); ``classes``: their
+    ``key_classes``.  Unscored members of
     the hubs are the business of ``propagated_fill``."""
-    hub = push_hubs(scores, item_keys, threshold, factor, score)
-    recv = (scores.select("query_id", "item_id").join(item_keys.select("item_id", "key"), "item_id")
-            .join(hub, ["query_id", "key"]).groupBy("query_id", "item_id").agg(F.max("lift").alias("_lift")))
-    out = scores.join(recv, ["query_id", "item_id"], "left")
-    return out.withColumn(score, F.greatest(F.col(score), F.coalesce(F.col("_lift"), F.col(score)))).drop("_lift")
+    of, keys = classes = classes or key_classes(item_keys)
+    hub = push_hubs(scores, item_keys, threshold, factor, score, classes)
+    lifts = broadcast_if_small(keys.join(hub, "key").groupBy("query_id", "_class").agg(F.max("lift").alias("_lift")))
+    out = scores.join(of, "item_id", "left").join(lifts, ["query_id", "_class"], "left")
+    lifted = F.greatest(F.col(score), F.coalesce(F.col("_lift"), F.col(score)))
+    return out.withColumn(score, lifted).select(*scores.columns)
 
 
 def propagated_fill(scores: DataFrame, item_keys: DataFrame, base: DataFrame, k: int,

@@ -1175,11 +1175,14 @@ def q_graph_propagate(spark, sf_dir):
     is lifted, and a row (question, key, lift) per hub, which holds for all of
     the key's unscored members."""
     idx, qs = _setup(spark, sf_dir)
-    pairs, _ = se.hybrid_scores(se.bm25_scores(idx.bm25, qs), se.tfidf_scores(idx.tfidf, qs), idx.n_items)
-    s = rt.stage(pairs.select("query_id", "item_id", (F.col("score") * 3).alias("score"), (F.col("score") * 3).alias("own")))
+    both = se.both_scores(idx.all_pairs, se.bm25_terms(idx.bm25, qs), se.tfidf_terms(idx.tfidf, qs))
+    pairs, _ = se.hybrid_scores(both, None, idx.n_items)
+    s = stored(pairs.select("query_id", "item_id", (F.col("score") * 3).alias("score")), "scores").withColumn("own", F.col("score"))
     keys = _item_keys(spark, sf_dir)
-    lifted = bo.graph_propagate(s, keys).where("score > own").select("query_id", "item_id", F.lit(None).cast("string").alias("key"), "score")
-    hubs = bo.push_hubs(s, keys).select("query_id", F.lit(None).cast("long").alias("item_id"), "key", F.col("lift").alias("score"))
+    classes = bo.key_classes(keys)
+    lifted = bo.graph_propagate(s, keys, classes=classes).where("score > own").select(
+        "query_id", "item_id", F.lit(None).cast("string").alias("key"), "score")
+    hubs = bo.push_hubs(s, keys, classes=classes).select("query_id", F.lit(None).cast("long").alias("item_id"), "key", F.col("lift").alias("score"))
     return lifted.unionByName(hubs).withColumn("score", F.round("score", 6))
 
 
