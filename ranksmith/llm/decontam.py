@@ -34,7 +34,10 @@ rows; extra columns are ignored.
 
 The items' windows are sent to the tasks in slices of ``SLICE_ITEMS`` items,
 one pass over the documents for each, so their size is bounded for any number
-of items.
+of items.  A task makes the templates of ``SLICE_BYTES`` of texts as columns
+and looks all their windows up at once; only texts that share a window with
+an item (or have too few words for one, or hold writing without spaces) are
+taken up one by one.
 """
 
 from __future__ import annotations
@@ -47,6 +50,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +61,7 @@ WINDOW = 5
 COVERAGE = 0.8
 SPAN = 1.5
 SLICE_ITEMS = 50_000
+SLICE_BYTES = 2 << 20
 CHARS, LONG_WORDS = 8, 12
 MEMO_ENTRIES = 400_000
 
@@ -130,12 +135,14 @@ def letters(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
     return ids, slot, np.r_[at, len(codes)], codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(hash per word, slot type per word, the words) of a text; the slot
-    types are 0, ``NUMBER``, ``MEASURE``, ``NAME`` and ``FIRST``."""
+def _cut(text: str) -> str:
+    """The text with a blank wherever a word ends; line ends stay with their word."""
     if not text.isascii() and any(c in text for c in _OTHER_SPACES):
         text = _SPACES.sub(" ", text)
-    words = text.replace("\n", "\n ").replace("\t", " ").replace("\r", " ").split(" ")
+    return text.replace("\n", "\n ").replace("\t", " ").replace("\r", " ")
+
+
+def _codes(words: list[str]) -> np.ndarray:
     memo = _MEMO
     got = list(map(memo.get, words))
     if None in got:
@@ -145,20 +152,58 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
                 got[i] = code = _coded(words[i])
                 if not full:
                     memo[words[i]] = code
-    codes = np.fromiter(got, np.uint64, len(got))
+    return np.fromiter(got, np.uint64, len(got))
+
+
+def _slots_of(codes: np.ndarray, ends: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Slot types of the words at ``at``; ``codes`` are theirs, ``ends`` counts
+    the sentence ends of all words, ``first`` marks the first words of texts
+    (and, one place more, the end)."""
+    before = np.concatenate([[0], ends])[at]  # sentence ends up to the word before
+    starts = first[:-1].copy()
+    starts[1:] |= before[1:] > before[:-1]
+    marks = (codes & np.uint64(31)).astype(np.uint8)
+    cap = (marks & CAPITAL) > 0
+    loud = cap & ((marks & LOWER) == 0)
+    pair = loud[1:] & loud[:-1] & ~first[1:-1]
+    run = np.zeros(len(loud), bool)
+    run[1:] |= pair
+    run[:-1] |= pair
+    slot = np.where(cap & ~run, np.where(starts, np.uint8(FIRST), np.uint8(NAME)), np.uint8(0))
+    slot[(marks & UNIT) > 0] = MEASURE
+    slot[(marks & NUM) > 0] = NUMBER
+    return slot
+
+
+def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(hash per word, slot type per word, the words) of a text; the slot
+    types are 0, ``NUMBER``, ``MEASURE``, ``NAME`` and ``FIRST``."""
+    words = _cut(text).split(" ")
+    codes = _codes(words)
     ends = np.cumsum(codes & np.uint64(ENDS)).astype(np.int64)
     at = np.flatnonzero(codes >> np.uint64(5))
     if not len(at):
         return codes[:0], np.zeros(0, np.uint8), []
     codes = codes[at]
-    before = np.r_[0, ends][at]  # sentence ends up to the word before
-    starts = np.r_[True, before[1:] > before[:-1]]
-    marks = (codes & np.uint64(31)).astype(np.uint8)
-    cap = (marks & CAPITAL) > 0
-    loud = cap & ((marks & LOWER) == 0)
-    run = loud & (np.r_[False, loud[:-1]] | np.r_[loud[1:], False])
-    slot = np.where(marks & NUM, NUMBER, np.where(marks & UNIT, MEASURE, np.where(cap & ~run, np.where(starts, FIRST, NAME), 0)))
-    return codes >> np.uint64(5), slot.astype(np.uint8), [words[i] for i in at] if len(at) < len(words) else words
+    first = np.zeros(len(at) + 1, bool)
+    first[[0, -1]] = True
+    return codes >> np.uint64(5), _slots_of(codes, ends, at, first), [words[i] for i in at] if len(at) < len(words) else words
+
+
+def templates(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash per word, slot type per word, first word of each text and the
+    end) of several texts, each as ``template`` has it."""
+    split = pc.split_pattern(pa.array([_cut(t or "") for t in texts], pa.string()), " ")
+    off = np.asarray(split.offsets).astype(np.int64)
+    coded = split.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
+    codes = _codes(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+    ends = np.cumsum(codes & np.uint64(ENDS)).astype(np.int64)
+    at = np.flatnonzero(codes >> np.uint64(5))
+    cut = np.searchsorted(at, off - off[0])
+    codes = codes[at]
+    first = np.zeros(len(at) + 1, bool)
+    first[cut] = True
+    return codes >> np.uint64(5), _slots_of(codes, ends, at, first), cut
 
 
 def windows(ids: np.ndarray, size: int = WINDOW, kind: int = 0) -> np.ndarray:
@@ -186,18 +231,27 @@ def narrow(slot: np.ndarray) -> np.ndarray:
     return np.where(slot == FIRST, 0, slot)
 
 
-def wide(ids: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def wide(ids: np.ndarray, slot: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash per place, slot type, first words and the end) of the wide
     template; a run of names or numbers is one place.  A word that begins a
-    sentence belongs to the run behind it if both words are one elsewhere."""
+    sentence belongs to the run behind it if both words are one elsewhere.
+    ``cut``: first word of each text and the end, if there are several."""
     same = (slot[1:] == slot[:-1]) & ((slot[1:] == NAME) | (slot[1:] == NUMBER))
-    lead = np.flatnonzero((slot[:-1] == FIRST) & (slot[1:] == NAME))
+    lead = (slot[:-1] == FIRST) & (slot[1:] == NAME)
+    if cut is not None:
+        edge = cut[(cut > 0) & (cut < len(slot))] - 1
+        same[edge] = lead[edge] = False
+    lead = np.flatnonzero(lead)
     if len(lead):
-        two = ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:]
-        same[lead] = np.isin(two[lead], two[same & (slot[1:] == NAME)])
+        names = np.flatnonzero(same & (slot[1:] == NAME))
+
+        def two(k: np.ndarray) -> np.ndarray:
+            h = ids[k] * np.uint64(0x9E3779B97F4A7C15) + ids[k + 1]
+            return h if cut is None else mix64(h + mix64(np.searchsorted(cut, k, side="right").astype(np.uint64)))
+        same[lead] = np.isin(two(lead), two(names))
     slot = np.minimum(slot, NAME)
-    at = np.flatnonzero(np.r_[True, ~same])
-    return np.where(slot > 0, SLOT_IDS[slot], ids)[at], slot[at], np.r_[at, len(ids)]
+    at = np.flatnonzero(np.concatenate([[True], ~same])) if len(slot) else np.zeros(0, np.int64)
+    return np.where(slot > 0, SLOT_IDS[slot], ids)[at], slot[at], np.append(at, len(ids))
 
 
 def chain(pos: np.ndarray, place: np.ndarray) -> list[tuple[int, int]]:
@@ -268,6 +322,33 @@ class Items:
         self.shift = np.uint64(64 - bits)
         self.leads = np.zeros(1 << bits, bool)
         self.leads[self.uniq >> self.shift] = True
+        self.any_dense = True in self.dense
+
+    def sharing(self, texts: list[str | None]) -> np.ndarray:
+        """Places of the texts that can hold an item: those that share a
+        window with one, and those that need another look than windows."""
+        ids, full, cut = templates(texts)
+        n = np.diff(cut)
+        out = (n > 0) & (n < WINDOW) if self.short else np.zeros(len(texts), bool)
+        if not len(self.uniq):
+            return np.flatnonzero(out)
+        if self.any_dense:
+            out |= np.fromiter((bool(t and _DENSE.search(t)) for t in texts), bool, len(texts))
+        own, _, at = wide(ids, full, cut)
+        for found, ends in ((both_windows(ids, narrow(full)), cut),
+                            ([(None, windows(own, kind=1))], np.searchsorted(at, cut))):
+            for places, h in found:
+                near = np.flatnonzero(self.leads[h >> self.shift])
+                near = near[self._known(h[near])[1]]
+                start = near if places is None else places[near]
+                of = np.searchsorted(ends, start, side="right") - 1
+                out[of[start + WINDOW <= ends[of + 1]]] = True
+        return np.flatnonzero(out)
+
+    def _known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``uniq``, whether it is there) of each hash."""
+        at = np.minimum(np.searchsorted(self.uniq, h), len(self.uniq) - 1)
+        return at, self.uniq[at] == h
 
     def matches(self, text: str | None) -> Iterator[tuple[int, int, int, int, bool]]:
         """(item id, windows matched, windows, slots exchanged, exact) of the
@@ -288,7 +369,7 @@ class Items:
                     yield self.ids[k], 1, 1, got, got == 0
         if not len(self.uniq):
             return
-        if True in self.dense and _DENSE.search(text):
+        if self.any_dense and _DENSE.search(text):
             of = letters(text)
             found = windows(of[0], CHARS, 2)
             if len(found):
@@ -307,8 +388,8 @@ class Items:
         for places, h in found_windows:
             near = np.flatnonzero(self.leads[h >> self.shift])
             h = h[near]
-            at = np.minimum(np.searchsorted(self.uniq, h), len(self.uniq) - 1)
-            found = np.flatnonzero(self.uniq[at] == h)
+            at, known = self._known(h)
+            found = np.flatnonzero(known)
             docs_at.append(places[near[found]])
             hits.append(at[found])
         pos, hit = np.concatenate(docs_at), np.concatenate(hits)
@@ -406,9 +487,10 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sole_memo(_MEMO.clear)
             index = shared.value
-            for b in slices(batches, "text"):
-                rows = [(i, *m) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())
-                        for m in index.matches(t)]
+            for b in slices(batches, "text", SLICE_BYTES):
+                texts = b.column("text").to_pylist()
+                rows = [(b.column("doc_id")[k].as_py(), *m) for k in index.sharing(texts).tolist()
+                        for m in index.matches(texts[k])]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)],
                                                      ["doc_id", "item_id", "n_matched", "n_windows", "n_changed",
@@ -430,8 +512,11 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sole_memo(_MEMO.clear)
             index = shared.value
-            for b in slices(batches, "text"):
-                keep = [next(index.matches(t), None) is None for t in b.column("text").to_pylist()]
+            for b in slices(batches, "text", SLICE_BYTES):
+                texts = b.column("text").to_pylist()
+                keep = np.ones(len(texts), bool)
+                for k in index.sharing(texts).tolist():
+                    keep[k] = next(index.matches(texts[k]), None) is None
                 yield b.filter(pa.array(keep))
         docs = docs.mapInArrow(run, docs.schema)
     return docs
