@@ -9,8 +9,8 @@ Layout choices for scale:
   subqueries, not joins or driver round trips.
 * Items stay whole as *forward* rows (an item with its tokens); postings are
   exploded from them where they are needed.
-* The only shuffles of the index build are the vocabulary count (partial
-  aggregation map-side, so hot tokens collapse before the exchange) and, for
+* The only shuffles of the index build are the vocabulary count (the tasks
+  that cut the texts count each batch, so hot tokens collapse at once) and, for
   the length of an item's TF-IDF vector, the occurrences of its rarer tokens.
   Weights (tf * idf / length) are not stored: whoever reads them has the idf.
 """
@@ -28,10 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import NON_WORD_RE, WS_RE, tok_word2, tok_ws
+from ..functions.text import NON_WORD_RE, WS_CLASS, tok_word2, tok_ws
 from .util import broadcast_if_small, scalar, stored, with_term_freqs
 
 CHUNK_TOKENS = 500_000
+PIECE_BYTES = 4 << 20  # of texts that are cut at a time
+ODD_SPACE = WS_CLASS.replace(r"\x{9}-\x{d}\x{1c}-\x{20}", r"\x{1c}-\x{1f}")  # white space other than \t to \r and blank
 HOT_TOKENS = 200_000   # frequent tokens whose idf is sent to every task
 NORM_ROWS, NORM_BYTES = 4_000_000, 96 << 20  # of norms that are sent to every task
 
@@ -84,7 +86,7 @@ def bm25_index(corpus: DataFrame, k1: float = 1.5, b: float = 0.75,
     postings = _postings(d)
     n_docs = scalar(corpus.agg(F.count(F.lit(1)).cast("double")))
     avgdl = scalar(d.agg(F.avg("dl")))
-    vocab = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    vocab = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")) if rows is None else _dfs(rows, "ws_df")
     vocab = vocab.withColumn("idf_raw", F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean_idf = scalar(vocab.agg(F.avg("idf_raw")))
     vocab = vocab.select("token", "df", F.when(F.col("idf_raw") < 0, F.lit(epsilon) * mean_idf)
@@ -135,10 +137,6 @@ def word_postings(df: DataFrame, id_col: str, text_col: str, stop: DataFrame) ->
     return p.join(F.broadcast(stop), "token", "left_anti")
 
 
-def _tokens(d: DataFrame, *keep: str) -> DataFrame:
-    return d.select(*keep, F.explode_outer(F.col("tfs.token")).alias("token")).filter(F.col("token").isNotNull())
-
-
 def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The elements of a list column, the row of each, and the offsets."""
     off = np.asarray(lists.offsets).astype(np.int64)
@@ -146,48 +144,92 @@ def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return flat, np.repeat(np.arange(len(lists)), np.diff(off)), off - off[0]
 
 
-def _split(text: pa.Array, gap: str, least: int) -> pa.ListArray:
-    """The pieces of ``least`` characters or more between the ``gap``s of each
-    (lower-cased) text, repeats kept: ``tok_ws`` and ``tok_word2``."""
-    flat, _, off = _flat(pc.split_pattern_regex(text, gap))
-    good = pc.greater_equal(pc.utf8_length(flat), least)
+def _kept(lists: pa.ListArray, least: int, mask: pa.Array | None = None) -> pa.ListArray:
+    """The strings of ``least`` characters or more."""
+    flat, _, off = _flat(lists)
+    good = pc.greater_equal(pc.utf8_length(flat) if least > 1 else pc.binary_length(flat), least)
     kept = np.r_[0, np.cumsum(good.to_numpy(zero_copy_only=False))]
-    return pa.ListArray.from_arrays(pa.array(kept[off], pa.int32()), flat.filter(good), mask=text.is_null())
-
-
-def _counted(lists: pa.ListArray, stop: pa.Array) -> pa.ListArray:
-    """Token lists as lists of (token, tf), without the stop words."""
-    flat, row, _ = _flat(lists)
-    code = flat.dictionary_encode()
-    words, n = code.dictionary, max(1, len(code.dictionary))
-    key, tf = np.unique(row * n + code.indices.to_numpy(zero_copy_only=False), return_counts=True)
-    keep = ~np.asarray(pc.is_in(words, value_set=stop))[key % n] if len(key) else np.zeros(0, bool)
-    key, tf = key[keep], tf[keep]
-    off = np.searchsorted(key // n, np.arange(len(lists) + 1))
+    return pa.ListArray.from_arrays(pa.array(kept[off], pa.int32()), flat.filter(good), mask=mask)
+
+
+def _spaced(text: pa.Array) -> pa.ListArray:
+    """The pieces of each (lower-cased) text between white space, repeats
+    kept: ``tok_ws``."""
+    odd = pc.match_substring_regex(text, ODD_SPACE).fill_null(False)
+    if pc.any(odd).as_py():
+        text = pc.replace_with_mask(text, odd, pc.replace_substring_regex(text.filter(odd), ODD_SPACE, " "))
+    return _kept(pc.ascii_split_whitespace(text), 1, text.is_null())
+
+
+def _counts(row: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, how often) of each distinct pair, ordered; ``n`` codes."""
+    key, tf = np.unique(row * max(1, n) + code, return_counts=True)
+    return key // max(1, n), key % max(1, n), tf
+
+
+def _listed(words: pa.Array, code: np.ndarray, n: np.ndarray, off: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays(
-        [words.take(pa.array(key % n)), pa.array(tf, pa.int64())], ["token", "tf"]))
+        [words.take(pa.array(code)), pa.array(n, pa.int64())], ["token", "tf"]))
+
+
+def _pieces(words: pa.Array, row: np.ndarray, code: np.ndarray, tf: np.ndarray, stop: pa.Array
+            ) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Counted whitespace tokens as counted word tokens (words, row, code,
+    tf) without the stop words: white space is no part of a word, so each
+    distinct token is cut once."""
+    flat, _, off = _flat(_kept(pc.split_pattern_regex(words, NON_WORD_RE), 2))
+    coded = flat.dictionary_encode()
+    own, idx = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    good = ~np.asarray(pc.is_in(own, value_set=stop))[idx] if len(idx) else np.zeros(0, bool)
+    off = np.r_[0, np.cumsum(good)][off]
+    idx = idx[good]
+    size = np.diff(off)[code]
+    at = np.repeat(off[:-1][code] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+    times = np.repeat(tf, size)
+    return own, *_counts(np.repeat(np.repeat(row, size), times), np.repeat(idx[at], times), len(own))
 
 
 def token_rows(corpus: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
-    """(row, item_id, ordinal, dl, ws, tfs): the counted tokens of both
-    indexes in the item's row, stored.  ``row`` tells repeated ids apart.
+    """(row, item_id, ordinal, dl, ws, tfs, ws_df, tfs_df): the counted tokens
+    of both indexes in the item's row, stored.  ``row`` tells repeated ids
+    apart; the first row of each piece of a batch also has the piece's own
+    vocabularies, each token with the number of its rows that hold it.
 
     The tasks get the lower-cased texts and cut them as a column, so no token
     is a JVM object and none is handed over one by one."""
     words = default_stop_words() if stop_words is None else stop_words
     d = corpus.select(F.monotonically_increasing_id().alias("row"), "item_id", "ordinal", F.lower("text").alias("text"))
 
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        ws = _spaced(b.column("text"))
+        flat, row, _ = _flat(ws)
+        coded = flat.dictionary_encode()
+        own = coded.dictionary
+        counted = own, *_counts(row, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(own))
+        out = {c: b.column(c) for c in ("row", "item_id", "ordinal")} | {"dl": pc.list_value_length(ws)}
+        for name, (token, row, code, tf) in (("ws", counted), ("tfs", _pieces(*counted, pa.array(words, pa.string())))):
+            out[name] = _listed(token, code, tf, np.searchsorted(row, np.arange(b.num_rows + 1)))
+            df = np.bincount(code, minlength=len(token))
+            held = np.flatnonzero(df)
+            out[name + "_df"] = _listed(token, held, df[held], np.r_[0, np.full(b.num_rows, len(held))])
+        return pa.RecordBatch.from_pydict(out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ws = _split(b.column("text"), WS_RE, 1)
-            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in ("row", "item_id", "ordinal")} | {
-                "dl": pc.list_value_length(ws), "ws": _counted(ws, pa.array([], pa.string())),
-                "tfs": _counted(_split(b.column("text"), NON_WORD_RE, 2), pa.array(words, pa.string()))})
+            size = max(1, b.num_rows * PIECE_BYTES // max(1, b.nbytes))
+            for lo in range(0, b.num_rows, size):
+                yield cut(b.slice(lo, size))
 
     kinds = dict(d.dtypes)
     own = ", ".join(f"{c} {kinds[c]}" for c in ("row", "item_id", "ordinal"))
-    return stored(d.mapInArrow(run, f"{own}, dl int, ws array<struct<token: string, tf: long>>, tfs array<struct<token: string, tf: long>>"),
-                  "tokens")
+    lists = ", ".join(f"{c} array<struct<token: string, tf: long>>" for c in ("ws", "ws_df", "tfs", "tfs_df"))
+    return stored(d.mapInArrow(run, f"{own}, dl int, {lists}"), "tokens")
+
+
+def _dfs(rows: DataFrame, column: str) -> DataFrame:
+    """(token, df) of stored ``token_rows``: the pieces' vocabularies together."""
+    return (rows.select(F.explode_outer(column).alias("p")).filter(F.col("p").isNotNull())
+            .groupBy("p.token").agg(F.sum("p.tf").alias("df")))
 
 
 def _norms(d: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -226,6 +268,6 @@ def tfidf_index(corpus: DataFrame, stop_words: list[str] | None = None, rows: Da
     spark = corpus.sparkSession
     d = token_rows(corpus, stop_words) if rows is None else rows
     n_docs = scalar(corpus.agg(F.count(F.lit(1)).cast("double")))
-    vocab = _tokens(d).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    vocab = _dfs(d, "tfs_df")
     vocab = stored(vocab.withColumn("idf", F.ln((n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0), "vocabulary")
     return TfidfIndex(d, vocab, stop_frame(spark, stop_words))

@@ -43,6 +43,7 @@ from .util import RANK_DIGITS, broadcast_if_small, rank_key, topk
 
 SLICE_TERMS = 200_000
 CELLS = 1 << 21      # questions x items scored at a time
+CROWDED = 64         # items in a block that hold a question token, on average
 SEED_PART = 32       # one in so many items gives the first bounds
 POOL_ROWS = 1 << 16  # found rows that are held before they are cut to k
 EPS = 2 * 10.0 ** -RANK_DIGITS
@@ -136,15 +137,40 @@ class Block:
         own = np.repeat(used, size)
         return s.of[own] * self.n + self.doc[at], s.w[own] * self.value[at]
 
+    def _crowded(self, s: Slice, used: np.ndarray) -> bool:
+        """Whether the tokens are so frequent here that adding them one by one
+        beats a row per question, token and item."""
+        return len(used) > 0 and (self.first[1:] - self.first[:-1])[s.term[used]].sum() >= CROWDED * len(used)
+
+    def _added(self, s: Slice, used: np.ndarray, hit: np.ndarray | None = None) -> np.ndarray:
+        """The tokens' contributions to each cell, added in the order of
+        ``spread``; their cells are marked in ``hit``."""
+        out = np.zeros((len(s.queries), self.n))
+        for q, t, w in zip(s.of[used].tolist(), s.term[used].tolist(), s.w[used].tolist()):
+            lo, hi = self.first[t], self.first[t + 1]
+            if lo < hi:
+                doc = self.doc[lo:hi]
+                out[q][doc] += w * self.value[lo:hi]
+                if hit is not None:
+                    hit[q][doc] = True
+        return out.ravel()
+
     def scores(self, s: Slice, used: np.ndarray, counted: bool = False) -> np.ndarray:
+        if not counted and self._crowded(s, used):
+            return self._added(s, used)
         cell, x = self.spread(s, used)
         return np.bincount(cell, None if counted else x, len(s.queries) * self.n)
 
     def matched(self, s: Slice, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(whether any token is held, score) of every cell, by the question
         tokens ``used`` (all)."""
-        cell, x = self.spread(s, np.arange(len(s.w)) if used is None else used)
-        hit = np.zeros(len(s.queries) * self.n, bool)
+        used = np.arange(len(s.w)) if used is None else used
+        hit = np.zeros((len(s.queries), self.n), bool)
+        if self._crowded(s, used):
+            score = self._added(s, used, hit)
+            return hit.ravel(), score
+        hit = hit.ravel()
+        cell, x = self.spread(s, used)
         hit[cell] = True
         return hit, np.bincount(cell, x, len(hit))
 

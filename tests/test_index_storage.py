@@ -74,3 +74,18 @@ def test_a_block_spreads_its_tokens_once_for_hits_and_scores(spark, monkeypatch)
     # a token of weight 0 matches too
     assert [bool(hit[0, at[i]]) for i in (1, 2, 3)] == [True, True, True] and not hit[1].any()
     assert [score[0, at[i]] > 0 for i in (1, 2, 3)] == [False, False, True] and len(calls) == 1
+
+
+def test_vocabularies_are_counted_where_texts_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(ix, "PIECE_BYTES", 64)
+    texts = ["aa bb aa", "the (cc-dd) cc", None, "", "aa x y b cc", "don't aa", "aa-aa bb", "\x1caa\x1f"]
+    corpus = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "item_id long, ordinal long, text string").coalesce(1)
+    rows = ix.token_rows(corpus)
+    got = rows.collect()
+    assert sum(1 for r in got if r.ws_df) > 1  # several pieces
+    for column, listed in (("ws_df", "ws"), ("tfs_df", "tfs")):
+        want = collections.Counter(x.token for r in got for x in r[listed])
+        assert {r.token: r.df for r in ix._dfs(rows, column).collect()} == want and want
+    monkeypatch.setattr(ix, "_postings", lambda d, *a: d.limit(0).selectExpr("null token"))  # no pass over the occurrences
+    vocab = ix.bm25_index(corpus, rows=rows).vocab
+    assert {r.token: r.df for r in vocab.collect()} == collections.Counter(x.token for r in got for x in r["ws"])

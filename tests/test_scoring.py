@@ -180,3 +180,25 @@ def test_pairs_of_repeated_and_null_ids_add_up(spark):
     for (q, i), v in _bm25_brute([r[3] for r in rows], ["x y", "y", "q"]).items():
         want[(7, None, None)[q], rows[i][0]] += v
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_frequent_tokens_are_added_without_a_row_per_token_and_item(spark, monkeypatch):
+    import numpy as np
+
+    from ranksmith.operators import scoring as sc
+    n = 300
+    corpus = spark.createDataFrame([(i, i, f"n{i}", "aa bb " + ("cc " if i % 2 else "") + f"w{i}") for i in range(n)],
+                                   "item_id long, ordinal long, name string, text string").coalesce(1)
+    idx = rt.Indexes(corpus)
+    batch = idx.hybrid.forward.coalesce(1).toArrow().combine_chunks().to_batches()[0]
+    s = next(sc.slices(spark.createDataFrame(
+        [(7, 0, "aa", 0.1, n), (7, 0, "cc", 0.7, n // 2), (7, 1, "bb", 0.3, n), (8, 1, "aa", 0.2, n), (8, 0, "cc", 0.0, n // 2),
+         (8, 0, "zz", 1.0, 1), (9, 0, "w5", 0.9, 1)], "query_id long, kind int, token string, w double, df long")))
+    block, every = sc.Block(s, batch, idx.hybrid.impacts), np.arange(len(s.w))
+    monkeypatch.setattr(sc, "CROWDED", 1 << 40)
+    plain = block.matched(s), block.scores(s, every)
+    monkeypatch.setattr(sc, "CROWDED", 64)
+    monkeypatch.setattr(sc.Block, "spread", None)
+    added = block.matched(s), block.scores(s, every)
+    assert (plain[0][0] == added[0][0]).all() and plain[0][0].any() and not plain[0][0].all()
+    assert (plain[0][1] == added[0][1]).all() and (plain[1] == added[1]).all()  # the same sums, bit by bit
